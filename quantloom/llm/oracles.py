@@ -12,3 +12,19 @@ select doc_id, count(*) as n_lines, count(*) filter (where k in (from often)) as
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where k not in (from often)), '')) as kept_sha256
 from keyed group by doc_id
 """
+
+ORACLES["op10_ngram_join"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as i from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by all) p
+  join sizes m on m.doc_id = a join sizes n on n.doc_id = b where 100 * i >= 90 * (m.n + n.n - i)),
+reach as (select doc_id as a, doc_id as b from words union select r.a, l.b from reach r join links l on l.a = r.b)
+select w.doc_id, coalesce(any_value(n), 0) as n_shingles, min(b) as component_id
+from words w left join sizes s on s.doc_id = w.doc_id join reach r on r.a = w.doc_id group by w.doc_id
+"""
