@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -17,8 +20,27 @@ BATCH_ROWS = 256
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the executors, which may not have it installed; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="quantloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{package.name}.zip", "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(f"{folder}/{package.name}.zip")
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that very long texts don't fill a Python worker."""
+    """Prepare for Arrow functions: ship the code, and bound a batch's rows, so that long texts don't fill a worker."""
+    ship_code(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
