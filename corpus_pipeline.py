@@ -1,29 +1,70 @@
-"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, decontamination, mixing."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, decontamination, mixing.
+
+Each stage reads the table that the one before wrote.  The filtering stages remove only what their method names: texts
+without a language, lines found in ten or more documents, all but the least doc_id of a group of near-duplicates, and
+documents that hold a benchmark passage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quantloom.llm.decontam import decontaminate
+from quantloom.llm.language_id import identify, train
 from quantloom.llm.line_dedup import dedup_lines
+from quantloom.llm.mixing import mixed
+from quantloom.llm.ngram_join import ngram_components
+from quantloom.llm.runtime import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents go; no document does."""
-    return dedup_lines(docs).select(*docs.columns)
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or below the calibrated score go; those with a null doc_id are judged like all."""
+    return identify(docs, train(docs)).where("not rejected").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten or more documents go; no document does.  n_chars follows the text."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least doc_id stays; rows with a null doc_id all stay."""
+    groups = ngram_components(docs.select("doc_id", "text"))
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("\0stay")).distinct()
+    return docs.join(stay, docs["doc_id"] == stay["\0stay"], "left").where(F.col("\0stay").isNotNull() | docs["doc_id"].isNull()).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated").select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; `copy` numbers the copies."""
+    return mixed(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", line_dedup_stage)]
-#: Learned models and copies by a dual have no SQL form.
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_join", join_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
+#: A learned model and copies by a dual have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each reading what the one before wrote."""
+    """All stages over `documents`; each reads the table that the one before wrote to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs)
     return docs
