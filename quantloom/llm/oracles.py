@@ -28,3 +28,32 @@ reach as (select doc_id as a, doc_id as b from words union select r.a, l.b from
 select w.doc_id, coalesce(any_value(n), 0) as n_shingles, min(b) as component_id
 from words w left join sizes s on s.doc_id = w.doc_id join reach r on r.a = w.doc_id group by w.doc_id
 """
+
+ORACLES["op7_quality_rules"] = r"""
+with base as (
+  select row_number() over () as rid, doc_id, source as host, coalesce(text, '') as text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+win as (
+  select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select rid, w, unnest(range(1, len(w) - 1)) as i from base where len(w) > 2)),
+twice as (select rid, i from (select rid, i, count(*) over (partition by rid, s) as c from win) where c > 1),
+rep as (select rid, count(distinct i + k) as n_repeat_words from twice, range(3) t(k) group by rid),
+dup as (
+  select rid, sum(c - 1) as n_dup_lines from (select rid, line, count(*) as c from (select rid, unnest(ls) as line from base) where regexp_matches(line, '[^\x20\x09-\x0D]') group by all) group by rid),
+lines as (
+  select rid, host, text, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as k
+  from (select rid, host, text, unnest(ls) as line from base)),
+keyed as (select *, len(k) - len(replace(k, ' ', '')) + 1 as n from lines where k <> ''),
+texts as (select host, count(distinct text) as texts from base group by host),
+often as (
+  select x.host, k from (select host, k, count(distinct text) as c from keyed group by all) x join texts t on t.host is not distinct from x.host where c > 20 and c > 0.0005 * texts),
+lost as (select rid, count(*) as n_removed_lines, sum(n) as lost from keyed x join often o on o.k = x.k and o.host is not distinct from x.host group by rid),
+counts as (
+  select doc_id, len(w) as n_words, coalesce(len(array_to_string(w, '')), 0) as word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+    coalesce(n_removed_lines, 0) as n_removed_lines, cast(len(w) - coalesce(lost, 0) as bigint) as n_left_words, lost is not null as touched
+  from base left join rep using (rid) left join dup using (rid) left join lost using (rid))
+select * exclude (touched), n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  touched and (100 * n_left_words < 30 * n_words or n_left_words < 50) as depleted,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (touched and (100 * n_left_words < 30 * n_words or n_left_words < 50)) as kept
+from counts
+"""
