@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, mixing, ngram_join, quality_rules
+from . import decontam, language_id, line_dedup, mixing, ngram_join, pii_weak, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_weak.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(pii_weak.joined_spans("base"), 256).alias("base_sha256"), pii_weak.joined_spans(F.concat("base", "added")).alias("spans"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
     "op10_ngram_join": op10_ngram_join,
 }
