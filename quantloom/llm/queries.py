@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language_id, line_dedup, mixing, ngram_join, pii_weak, quality_rules
+from . import decontam, language_id, line_dedup, mixing, ngram_join, pii_weak, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: The rules of op4: (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filters.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "contaminated", "items")
@@ -53,6 +62,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
