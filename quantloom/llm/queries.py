@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_diff, language_id, line_dedup, mixing, ngram_join, pii_weak, quality_rules, url_filters
+from . import cotraining, decontam, html_diff, language_id, line_dedup, mixing, ngram_join, pii_weak, quality_rules, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = cotraining.train(docs, _table(spark, sf_dir, "labels"))
+    return cotraining.score_documents(docs.select("doc_id", "text", "source", "lang", "n_chars"), model).select("doc_id", "quality_score", "toxic_score", "kept")
+
+
 #: The rules of op4: (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -67,6 +73,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
