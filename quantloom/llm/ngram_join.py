@@ -3,17 +3,18 @@
 1. Each text becomes a set of shingle hashes in one global order: rare shingles by hash, frequent ones last by count.
    Texts with equal sets share a node (64 bits of a cryptographic digest of the set) and are one from here on.
 2. Two sets with Jaccard >= threshold share a token among the first n - ceil(threshold * n) + 1 of either.  Only these
-   prefix tokens are shuffled; a node none of whose tokens occurs at a node of fitting size is alone.
+   prefix tokens are shuffled; a node is alone unless one of them occurs at a node of fitting size and slot counts (the
+   counts of a set's tokens in SLOTS classes: they differ by no more than the sets do).
 3. The other nodes' whole sets go to buckets by a shared token, twice with other tokens and other blocks.  In a block,
    sets of a component stand in a trie along the global order.  A probe descends with the overlap so far and leaves a
    subtree once that plus the most that can remain is too small.  A component is left at its first link: more links
    inside it change nothing.
 4. Components of the links so far; then every remaining pair of nodes in different components that shares a prefix
-   token and passes the size and position bounds is compared exactly, after a bound from 64 slot counts.  So no link
-   between components is lost, and no pairs inside a group of copies are made.
+   token and passes the size and position bounds is compared exactly.  So no link between components is lost, and no
+   pairs inside a group of copies are made.
 
-At scale: nothing here collects documents to the driver but the list of frequent shingles (at most `frequent`), and the
-active nodes where they are few enough (`broadcast_nodes`; else a join).  Blocks are bounded in sets and in shingles.
+At scale: to the driver come the list of frequent shingles (at most `frequent`) and a bitmap of FILTER_BITS bits, never
+links, components or fingerprints.  Blocks are bounded in sets and in shingles.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from .components import connected
 from .runtime import materialize, small_batches, texts
 from .shingles import shingle_set
 
-SLOTS = 64
+SLOTS = 128
+WHOLE_GROUP = 20_000
+FILTER_BITS = 1 << 24
 BLOCK_SETS = 2_000
 BLOCK_SHINGLES = 8_000_000
 
@@ -176,7 +179,7 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, keep: int) -> tupl
     return h[order], (len(h) - 1 - np.arange(len(h), dtype=np.int64))[order]
 
 
-def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, threshold: tuple[int, int] = (90, 100), frequent: int = 50_000, broadcast_nodes: int = 2_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, threshold: tuple[int, int] = (90, 100), frequent: int = 50_000) -> DataFrame:
     """Components of documents whose sets of word shingles have Jaccard >= threshold[0] / threshold[1].
 
     Result: a row per row of docs: doc_id, n_shingles, component_id (long); other columns of docs play no part.
@@ -199,7 +202,7 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, slots = [], [], [], []
             for t in texts(batch, text):
                 tokens, node = one(t)
                 n = len(tokens)
@@ -208,15 +211,15 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 nodes.append(node if n else None)
                 sizes.append(n)
                 prefixes.append(tokens[: n - limit.least(n) + 1] if new else None)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), batch.column(1)], names=["node", "n", "prefix", "doc_id"])
+                slots.append(np.minimum(np.bincount(tokens & (SLOTS - 1), minlength=SLOTS), 255).astype(np.uint8).tobytes() if new else None)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(slots, pa.binary()), batch.column(1)], names=["node", "n", "prefix", "slots", "doc_id"])
 
     # a copy within the task has no prefix of its own
-    described = materialize(docs.select(text, F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(describe, "node long, n long, prefix array<long>, doc_id long"))
+    described = materialize(docs.select(text, F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(describe, "node long, n long, prefix array<long>, slots binary, doc_id long"))
     active = materialize(_active(described, limit))
-    n_active = active.select("node").distinct().count()
     found = described.select("node", "doc_id")
-    if n_active:
-        labels = _labels(docs, text, active, n_active, limit, one, broadcast_nodes)
+    if not active.isEmpty():
+        labels = _labels(docs, text, active, limit, one)
         least = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         by_label = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         components = by_label.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -226,14 +229,44 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return described.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _by_token(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Whole groups of rows sorted by their first column, several groups at a time."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(now[0]):
+            continue
+        if rest is not None:
+            now = [np.concatenate(p) for p in zip(rest, now, strict=True)]
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last token may go on
+        if cut:
+            yield [c[:cut] for c in now]
+        rest = [c[cut:] for c in now]
+    if rest is not None:
+        yield rest
+
+
+def _narrow(spark, df: DataFrame) -> DataFrame:
+    """materialize() with large Arrow batches, for rows of a few numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        return materialize(df)
+    finally:
+        spark.conf.set(key, was)
+
+
 def _active(described: DataFrame, limit: Threshold) -> DataFrame:
-    """(token, node, n, pos) where another node of fitting size holds the token in its prefix too."""
-    rows = described.where("prefix is not null").select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    """(token, node, n, pos) where another node with the token in its prefix passes the bounds on sizes, positions and slots.
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
+    A group of more than WHOLE_GROUP nodes passes unchecked: more rows than needed change nothing but the work.
+    """
+    first = described.where("prefix is not null")
+    rows = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
 
-        def near(token: np.ndarray, n: np.ndarray, node: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, n, node, pos in _by_token(batches):
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
             token, n, node, pos = token[new], n[new], node[new], pos[new]
@@ -241,58 +274,77 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
             hit = np.zeros(len(token), bool)
             hit[1:] |= fits
             hit[:-1] |= fits
-            return pa.RecordBatch.from_pydict({"token": token[hit], "n": n[hit], "node": node[hit], "pos": pos[hit]})
+            yield pa.RecordBatch.from_pydict({"token": token[hit], "n": n[hit], "node": node[hit], "pos": pos[hit]})
 
-        for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            if not len(now[0]):
-                continue
-            if rest is not None:
-                now = [np.concatenate(p) for p in zip(rest, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last token may go on
-            if cut:
-                yield near(*(c[:cut] for c in now))
-            rest = [c[cut:] for c in now]
-        if rest is not None:
-            yield near(*rest)
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, n, node, pos, slots in _by_token(batches):
+            ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
+            starts = np.append(0, ends[:-1])
+            hit = np.zeros(len(token), bool)
+            counts = np.frombuffer(b"".join(slots), np.uint8).reshape(len(slots), SLOTS)
+            for size in np.unique(ends - starts):
+                if size == 1:
+                    continue
+                group = starts[ends - starts == size]
+                if size > WHOLE_GROUP:
+                    for g in group:
+                        hit[g : g + size] = True
+                    continue
+                for gap in range(1, size):  # all groups of a size at once, neighbours first
+                    a = (group[:, None] + np.arange(size - gap)).ravel()
+                    b = a + gap
+                    fits = n[a] >= limit.least(n[b])
+                    if not fits.any():
+                        break
+                    open_ = fits & ~(hit[a] & hit[b]) & (1 + np.minimum(n[a] - 1 - pos[a], n[b] - 1 - pos[b]) >= limit.overlap(n[a], n[b]))
+                    a, b = a[open_], b[open_]
+                    for i in range(0, len(a), 1 << 15):
+                        x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+                        apart = np.abs(counts[x].astype(np.int16) - counts[y]).sum(axis=1)
+                        good = apart <= n[x] + n[y] - 2 * limit.overlap(n[x], n[y])
+                        hit[x[good]] = True
+                        hit[y[good]] = True
+            yield pa.RecordBatch.from_pydict({"token": token[hit], "n": n[hit], "node": node[hit], "pos": pos[hit]})
 
     spark = described.sparkSession
-    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     parts = rows.select("token", "n", "node", F.col("pos").cast("long").alias("pos")).repartition("token").sortWithinPartitions("token", "n", "node")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # narrow rows
-    try:
-        out = parts.mapInArrow(shared, "token long, n long, node long, pos long")
-        return materialize(out)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    shared = _narrow(spark, parts.mapInArrow(near, "token long, n long, node long, pos long"))
+    slots = shared.select("node").distinct().join(first.select("node", "slots"), "node").groupBy("node").agg(F.first("slots").alias("slots"))
+    wide = shared.join(slots, "node").select("token", "n", "node", "pos", "slots").repartition("token").sortWithinPartitions("token", "n", "node")
+    return materialize(wide.mapInArrow(alike, "token long, n long, node long, pos long"))
+
 
+def _bitmap(names: DataFrame) -> bytes:
+    """A filter of FILTER_BITS bits with the bit of every node set: its size doesn't follow the corpus."""
+    bit = F.pmod("node", F.lit(FILTER_BITS))
+    rows = names.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.tobytes()
 
-def _labels(docs: DataFrame, text: str, active: DataFrame, n_active: int, limit: Threshold, one, broadcast_nodes: int) -> DataFrame:
+
+def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, one) -> DataFrame:
     """(node, label) of the active nodes that have links."""
     spark = docs.sparkSession
     names = active.select("node").distinct()
-    wanted = spark.sparkContext.broadcast(np.sort(np.array([r["node"] for r in names.toLocalIterator()], np.int64))) if n_active <= broadcast_nodes else None
+    held = spark.sparkContext.broadcast(_bitmap(names))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        bits = np.frombuffer(held.value, np.int64)
         for batch in batches:
             out = []
             for t in texts(batch, text):
                 tokens, node = one(t)
-                if not len(tokens) or node in seen:
+                bit = node % FILTER_BITS
+                if not len(tokens) or node in seen or not int(bits[bit // 64]) >> (bit % 64) & 1:
                     continue
-                if wanted is not None:
-                    k = int(np.searchsorted(wanted.value, node))
-                    if k == len(wanted.value) or wanted.value[k] != node:
-                        continue
                 seen.add(node)
-                out.append((node, len(tokens), tokens.tobytes(), np.bincount(tokens & (SLOTS - 1), minlength=SLOTS).astype(np.int32)))
+                out.append((node, len(tokens), tokens.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.list_(pa.int32()))], names=["node", "n", "tokens", "slots"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["node", "n", "tokens"])
 
-    sets = docs.select(text).mapInArrow(whole, "node long, n long, tokens binary, slots array<int>")
-    if wanted is None:
-        sets = sets.join(names, "node", "left_semi")
+    sets = docs.select(text).mapInArrow(whole, "node long, n long, tokens binary").join(names, "node", "left_semi")
     sets = materialize(sets.dropDuplicates(["node"]))
 
     # two rounds of buckets: the first shared token, then the one that another hash puts first, each in random blocks
@@ -329,24 +381,18 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, n_active: int, limit:
 
     # what is left: pairs in different components that share a prefix token
     labelled = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
+    labelled = labelled.join(mixed, "token", "left_semi")
 
     def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != now:
-                    yield from _across(held, limit)
-                    now, held = row[0], []
-                held.append(row[1:])
-        yield from _across(held, limit)
+        for columns in _by_token(batches):
+            token = columns[0]
+            ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
+            for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
+                yield from _across(*(c[i:j] for c in columns[1:]), limit)
 
     pairs = labelled.select("token", "n", "node", "pos", "label").repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(differing, "a long, b long")
-    pairs = pairs.distinct()
-    slim = sets.select("node", "n", "slots")
-    wide = pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
-    need = F.ceil(F.lit(limit.num) * (F.col("na") + F.col("nb")) / F.lit(limit.num + limit.den))
-    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = materialize(wide.where(most >= need).select("a", "b"))
+    pairs = materialize(pairs.distinct())
     body = sets.select("node", "tokens")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +415,11 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _across(rows: list[tuple], limit: Threshold) -> Iterator[pa.RecordBatch]:
-    """Pairs of a token's rows (n, node, pos, label) with other labels that pass the size and position bounds."""
-    if len({r[3] for r in rows}) < 2:
-        return
-    n, node, pos, label = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+def _across(n: np.ndarray, node: np.ndarray, pos: np.ndarray, label: np.ndarray, limit: Threshold) -> Iterator[pa.RecordBatch]:
+    """Pairs of a token's rows in different components that pass the size and position bounds."""
     kinds, counts = np.unique(label, return_counts=True)
+    if len(kinds) < 2:
+        return
     for i in np.flatnonzero(label != kinds[counts.argmax()]):
         # each such row against all others; two of them meet once
         ok = (label != label[i]) & (np.minimum(n, n[i]) >= limit.least(np.maximum(n, n[i])))
