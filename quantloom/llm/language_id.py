@@ -128,10 +128,12 @@ def _sample(docs: DataFrame, text: str, lang: str, doc_id: str, sample_docs: int
     return sorted(counts), kept
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 2000, per_language: int = 300, epochs: int = 6, reject_rate: float = 0.001) -> LanguageModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 2000, per_language: int = 300, epochs: int = 6, reject_rate: float = 0.001, above_chance: float = 0.15) -> LanguageModel:
     """Learn from at most per_language documents of a language and about sample_docs in all, none of them held out.
 
     reject_rate: share of correctly predicted calibration documents that the rejection threshold may lose.
+    above_chance: part of the way from chance to certainty that the threshold never passes, so that short texts and
+    texts in two languages, whose best language is still likelier than chance, are not rejected.
     """
     small_batches(docs.sparkSession)
     languages, rows = _sample(docs, text, lang, doc_id, sample_docs, per_language)
@@ -172,7 +174,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         model.temperature = min((float(t) for t in np.geomspace(0.2, 5, 33)), key=loss)
         s = np.exp(z / model.temperature - (z / model.temperature).max(axis=1, keepdims=True))
         top = (s / s.sum(axis=1, keepdims=True))[np.argmax(s, axis=1) == y].max(axis=1, initial=0)
-        model.reject_below = float(np.quantile(top, reject_rate)) if len(top) else 0.0
+        chance = 1 / len(languages)
+        model.reject_below = min(float(np.quantile(top, reject_rate)), chance + above_chance * (1 - chance)) if len(top) else 0.0
     return model
 
 
