@@ -6,8 +6,9 @@ template lines and go.  Lines that the markup puts in navigation, adverts, forms
 it puts in the article stay even if the neighbour has them: there, a shared line is a quotation or a copied page, and
 deleting it would lose main text.  Where a page marks no article, the difference alone decides on the rest.
 
-At scale: one range exchange by (host, path), so a host with a third of all pages spreads over many tasks; a task holds
-three pages at a time.  Pages at the edges of tasks find their neighbours through a narrow table of edges.
+At scale: only line hashes move.  One range exchange of them by (host, path) spreads a host with a third of all pages
+over many tasks; a task holds three pages at a time, and pages at the edges of tasks find their neighbours through a
+narrow table of edges.  What is shared comes back to the pages by a join that Spark broadcasts only if its files are small.
 """
 
 from __future__ import annotations
@@ -79,20 +80,20 @@ def main_text(texts: list[str], zones: list[int], shared: set[int]) -> str:
     return " ".join(t for k, (t, z) in enumerate(zip(texts, zones, strict=True)) if z == BODY and k not in shared)
 
 
-def difference(page: dict, before: dict | None, after: dict | None) -> tuple[str, int]:
-    """(main text, lines shared) of a page between the pages next to it; rows of another host are no neighbours."""
+def shared_with_nearest(page: dict, before: dict | None, after: dict | None) -> list[int]:
+    """Positions of the page's lines that its nearest neighbour shares; rows of another host are no neighbours."""
     near = [n for n in (before, after) if n is not None and n["host"] == page["host"]]
     # the one before on a tie
     other = max(near, key=lambda n: shared_prefix(page["path"], n["path"]))["hashes"] if near else []
-    shared = common_subsequence(page["hashes"], other)
-    return main_text(page["texts"], page["zones"], shared), len(shared)
+    return sorted(common_subsequence(page["hashes"], other))
 
 
-_LINES = [("hashes", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("zones", pa.list_(pa.int32()))]
-_SIDE = pa.struct([("host", pa.string()), ("path", pa.string()), _LINES[0]])
-_PAGE = [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string())]
+_HASHES = ("hashes", pa.list_(pa.int64()))
+_LINES = [("k", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), _HASHES]
+_SIDE = pa.struct([("host", pa.string()), ("path", pa.string()), _HASHES])
+_SHARED = [("k", pa.int64()), ("shared", pa.list_(pa.int32()))]
+_SORTED = [*_SHARED, ("host", pa.string()), ("path", pa.string()), _HASHES, ("part", pa.int32()), ("row", pa.int64()), ("last", pa.bool_()), ("before", _SIDE), ("after", _SIDE)]
 _DONE = [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_shared", pa.int64())]
-_SORTED = [*_PAGE, *_LINES, ("part", pa.int32()), ("row", pa.int64()), ("last", pa.bool_()), ("before", _SIDE), ("after", _SIDE), ("text", pa.string()), ("n_shared", pa.int64())]
 
 
 def _batch(rows: list[dict], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -105,13 +106,9 @@ def _schema(fields: list[tuple[str, pa.DataType]]):
     return from_arrow_schema(pa.schema(fields))
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            texts, zones, hashes = parse(row.pop("html"))
-            out.append(row | {"texts": texts, "zones": zones, "hashes": hashes})
-        yield _batch(out, [*_PAGE, *_LINES])
+        yield _batch([row | {"hashes": parse(row.pop("html"))[2]} for row in batch.to_pylist()], _LINES)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,23 +119,27 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     side = lambda n: n and {k: n[k] for k in ("host", "path", "hashes")}
 
     def rows() -> Iterator[dict | None]:
+        seen = None
         for batch in batches:
-            yield from batch.to_pylist()
+            for r in batch.to_pylist():
+                if r["k"] != seen:  # copies stand together
+                    seen = r["k"]
+                    yield r
         yield None
 
     before = now = None
     row, out = 0, []
     for after in rows():
         if now is not None:
-            mine = {"part": part, "row": row, "last": after is None}
+            mine = {"k": now["k"], "part": part, "row": row, "last": after is None}
             if row and after is not None:
-                mine["text"], mine["n_shared"] = difference(now, before, after)
-                out.append({k: now[k] for k, _ in _PAGE} | mine)
+                mine["shared"] = shared_with_nearest(now, before, after)
             else:
-                out.append(now | mine | {"before": side(before), "after": side(after)})
+                mine |= side(now) | {"before": side(before), "after": side(after)}
+            out.append(mine)
             row += 1
         before, now = now, after
-        if len(out) >= 128:
+        if len(out) >= 512:
             yield _batch(out, _SORTED)
             out = []
     if out:
@@ -146,11 +147,17 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch([{"k": r["k"], "shared": shared_with_nearest(r, r["before"] or r["outer_before"], r["after"] or r["outer_after"])} for r in batch.to_pylist()], _SHARED)
+
+
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for r in batch.to_pylist():
-            r["text"], r["n_shared"] = difference(r, r["before"] or r["outer_before"], r["after"] or r["outer_after"])
-            out.append({k: r[k] for k, _ in _DONE})
+            texts, zones, _ = parse(r["html"])
+            shared = set(r["shared"] or ())
+            out.append({"page_id": r["page_id"], "url": r["url"], "text": main_text(texts, zones, shared), "n_shared": len(shared)})
         yield _batch(out, _DONE)
 
 
@@ -158,20 +165,22 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", pa
     """A row per row of pages: page_id, url, text (never null), n_shared (lines shared with the nearest page).
 
     Null and empty html: text "".  A null url has an empty host; such pages are neighbours of each other.  Ties in the
-    order of host, path and page_id are broken by url and a hash of html, so the result doesn't depend on partitions.
-    Repeated rows are neighbours of each other: without an article they share all and lose their text, with one they
-    keep it.  Other columns of pages play no part; an empty table gives no rows.
+    order of host, path and page_id are broken by url and a hash of the row, so the result doesn't depend on partitions.
+    Rows equal in page_id, url and html are one page, and get its text.  Other columns of pages play no part; an empty
+    table gives no rows.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).cast("string").alias("html"))
-    order = ["host", "path", "page_id", "url", F.xxhash64("hashes")]
-    parsed = rows.mapInArrow(_parsed, _schema([*_PAGE, *_LINES]))
-    done = materialize(parsed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_paired, _schema(_SORTED)))
-    edge = done.where("row = 0 or last")
-    # two rows a task, of hashes only
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).withColumn("k", F.xxhash64("page_id", "url", "html"))
+    named = rows.select("k", "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+    lines = materialize(named.mapInArrow(_hashed, _schema(_LINES)))
+    order = ["host", "path", "page_id", "url", "k"]
+    paired = materialize(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_paired, _schema(_SORTED)))
+    edge = paired.where("row = 0 or last")
+    # two rows a task
     line = Window.orderBy("part", "row")
     side = F.struct("host", "path", "hashes")
     outer = edge.select("part", "row", F.lag(side).over(line).alias("outer_before"), F.lead(side).over(line).alias("outer_after"))
-    judged = edge.join(outer, ["part", "row"]).mapInArrow(_resolved, _schema(_DONE))
-    return done.where("row > 0 and not last").select("page_id", "url", "text", "n_shared").unionByName(judged)
+    judged = edge.join(outer, ["part", "row"]).mapInArrow(_resolved, _schema(_SHARED))
+    shared = materialize(paired.where("row > 0 and not last").select("k", "shared").unionByName(judged).where("size(shared) > 0"))
+    return rows.join(shared, "k", "left").mapInArrow(_extracted, _schema(_DONE))
