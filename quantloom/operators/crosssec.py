@@ -37,3 +37,11 @@ def market_regime(last: DataFrame, *by: str) -> DataFrame:
     use = last.where("nbar >= 60")
     out = use.groupBy(*by).agg(F.avg(F.when(F.col("c") > F.col("ma20"), 1.0).otherwise(0.0)).alias("breadth"), F.avg("ret20").alias("mean_ret"), F.count("*").alias("n"))
     return out.withColumn("regime", F.expr(REGIME))
+
+
+def with_regime(last: DataFrame, *by: str) -> DataFrame:
+    """last bars with the regime that market_regime gives for all of them."""
+    use = F.col("nbar") >= 60
+    breadth = F.avg(F.when(use, F.when(F.col("c") > F.col("ma20"), 1.0).otherwise(0.0))).over(_over(*by))
+    mean_ret = F.avg(F.when(use, F.col("ret20"))).over(_over(*by))
+    return last.withColumns({"breadth": breadth, "mean_ret": mean_ret}).withColumn("regime", F.expr(REGIME)).drop("breadth", "mean_ret")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.expr import fixed
 from quantloom.operators import scoring
-from quantloom.operators.crosssec import market_regime, percentile_rank
+from quantloom.operators.crosssec import percentile_rank, with_regime
 from quantloom.operators.indicators import closes, ewm_last, last_bars, with_features
 from quantloom.operators.scoring import LIVE, Profile
 
@@ -20,10 +20,10 @@ def latest_features(bars: DataFrame, profile: str = "live") -> DataFrame:
 def prefiltered(bars: DataFrame, basics: DataFrame | None, lhb: DataFrame | None, profile: Profile = LIVE) -> DataFrame:
     """Codes that pass every gate, with valuation, special trades, chip score, ranks and the market's regime.
 
-    The regime counts all codes with enough bars, before the gates; it is one row, joined by broadcast.
+    The regime counts all codes with enough bars, before the gates: windows over the one row of each code, so the
+    features are computed once.
     """
-    last = latest_features(bars, "live" if profile.valuation else "backtest")
-    regime = market_regime(last)
+    last = with_regime(latest_features(bars, "live" if profile.valuation else "backtest"))
     if basics is not None:
         last = last.join(basics, "code", "left")
     for condition in scoring.gates(profile).values():
@@ -32,7 +32,6 @@ def prefiltered(bars: DataFrame, basics: DataFrame | None, lhb: DataFrame | None
         last = last.join(lhb, "code", "left")
     else:
         last = last.withColumns({"lhb_count": F.lit(0), "net": F.lit(0.0)})
-    last = last.crossJoin(F.broadcast(regime.select("regime")))  # one row
     return last.withColumns({"rps20": percentile_rank("ret20"), "rps60": percentile_rank("ret60"), "chip": F.expr(scoring.CHIP), "lhb_bonus": F.expr(scoring.LHB_BONUS)})
 
 

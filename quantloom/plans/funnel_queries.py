@@ -86,8 +86,7 @@ def _tracks(spark, sf) -> DataFrame:
     """The quant track merged with a stand-in pattern track (every third code)."""
     q = funnel.quant_funnel(_bars(spark, sf), fx.basics(spark, sf), _lhb(spark, sf), SCALED)
     p = fx.basics(spark, sf).where("code % 3 = 0").select("code", (F.col("code") % 50 + 10).alias("pattern_score"))
-    m = merge_tracks(q.select("code", F.col("quant").alias("quant_score")), p).withColumnRenamed("quant_score", "quant")
-    return m.crossJoin(F.broadcast(q.select("regime").limit(1)))
+    return merge_tracks(q.select("code", F.col("quant").alias("quant_score"), "regime"), p, ("regime",)).withColumnRenamed("quant_score", "quant")
 
 
 TRACKS = f"""{PRE}, {TOP}, pat as (select code, code % 50 + 10 pattern_score from basics where code % 3 = 0),
