@@ -12,7 +12,7 @@ from quantloom.operators.aggregates import special_trades
 from quantloom.operators.crosssec import market_regime
 from quantloom.operators.joins import contains_any, merge_tracks
 from quantloom.plans import funnel
-from quantloom.plans.indicator_queries import BF, FEATURES, LASTBARS, B, W, fix
+from quantloom.plans.indicator_queries import BF, FEATURES, LASTBARS, OSC, B, W, fix
 from quantloom.sources import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -142,16 +142,20 @@ def old_strategy(spark, sf):
     return last.select("code", F.expr(scoring.OLD_GATES).alias("dropped"), fixed(F.expr(score)).alias("old_score"))
 
 
-@query("f1_signal_score")
+PARTS = {"trend": scoring.SIGNAL_TREND, "bias_score": scoring.SIGNAL_BIAS, "volume": scoring.SIGNAL_VOLUME, "support": scoring.SIGNAL_SUPPORT, "macd": scoring.SIGNAL_MACD, "rsi": scoring.SIGNAL_RSI}
+
+
+@query("f1_signal_score", f"""{BF}, {OSC}, o as (select code, d, dif, dea, hist, rsi6, lag(hist) over {W} p_hist from osc), x as (select f.*, o.* exclude (code, d), (f.c - ma5) / ma5 * 100 bias, f.v / greatest(v5, 1e-9) vr from f join o on o.code = f.code and o.d = f.d),
+last as (select * from x qualify row_number() over (partition by code order by d desc) = 1), y as (select *, {", ".join(f"{v} {k}" for k, v in PARTS.items())} from last), z as (select *, {" + ".join(PARTS)} total from y)
+select code, {", ".join(PARTS)}, total, {scoring.SIGNAL_LABEL} as signal from z""")
 def signal_score(spark, sf):
     b = _bars(spark, sf)
     o = ind.oscillators(b).select("code", "d", "dif", "dea", "hist", "rsi6")
     x = ind.with_features(b).join(o, ["code", "d"]).withColumn("p_hist", F.lag("hist").over(series()))
     last = ind.last_bars(x).withColumns({"bias": (F.col("c") - F.col("ma5")) / F.col("ma5") * 100, "vr": F.col("v") / F.greatest(F.col("v5"), F.lit(1e-9))})
-    parts = {"trend": scoring.SIGNAL_TREND, "bias_score": scoring.SIGNAL_BIAS, "volume": scoring.SIGNAL_VOLUME, "support": scoring.SIGNAL_SUPPORT, "macd": scoring.SIGNAL_MACD, "rsi": scoring.SIGNAL_RSI}
-    last = last.withColumns({k: F.expr(v) for k, v in parts.items()}).withColumn("total", sum((F.col(k) for k in parts), F.lit(0)))
+    last = last.withColumns({k: F.expr(v) for k, v in PARTS.items()}).withColumn("total", sum((F.col(k) for k in PARTS), F.lit(0)))
     enough = F.col("nbar") >= 5
-    return last.select("code", *parts, F.when(enough, F.col("total")).otherwise(0).alias("total"), F.when(enough, F.expr(scoring.SIGNAL_LABEL)).otherwise("SELL").alias("signal"))
+    return last.select("code", *PARTS, F.when(enough, F.col("total")).otherwise(0).alias("total"), F.when(enough, F.expr(scoring.SIGNAL_LABEL)).otherwise("SELL").alias("signal"))
 
 
 @query("b8_b9_keyword_filters", """with n as (select s_suppkey code, s_name name from supplier) select code, contains(name, '1') or contains(name, '77') or contains(cast(code as varchar), '5') as excluded, upper(name) like '%ST%' as st from n""")

@@ -64,22 +64,27 @@ def moving_averages(spark, sf):
     return b.select("code", "d", *(fixed(ind.sma(n)).alias(f"ma{n}") for n in (5, 10, 20, 60)), fixed(ind.sma(60, strict=True)).alias("strict60"))
 
 
-@query("e3_e6_oscillators", f"""{B}, s as (select code, d, cast(c as double) c, row_number() over {W} n, cast(c - lag(c) over {W} as double) step,
-  (c - min(l) {rows(9)}) / (max(h) {rows(9)} - min(l) {rows(9)} + 1e-9) * 100 rsv from bars),
-g as (select code, n, d, c e12, c e26, 0.0::double dif, 0.0::double dea, null::double u6, null::double w6, null::double u14, null::double w14, round_even(rsv, 2) k, rsv kraw, round_even(rsv, 2) dd, round_even(rsv, 2) ddraw from s where n = 1
-  union all
-  select code, n, d, e12, e26, dif, round_even(dearaw, 4), u6, w6, u14, w14, round_even(kraw, 2), kraw, round_even(ddraw, 2), ddraw from (
-  select *, dea0 * 0.8::double + dif * 0.2::double dearaw, ddraw0 * (1 - 1/3::double) + round_even(kraw, 2) * (1/3::double) ddraw from (
-  select s.code, s.n, s.d, g.e12 * (1 - 2/13::double) + s.c * (2/13::double) e12, g.e26 * (1 - 2/27::double) + s.c * (2/27::double) e26,
-    round_even(g.e12 * (1 - 2/13::double) + s.c * (2/13::double) - (g.e26 * (1 - 2/27::double) + s.c * (2/27::double)), 4) dif, g.dea dea0,
-    case when g.u6 is null then greatest(s.step, 0) else g.u6 * (1 - 1/6::double) + greatest(s.step, 0) * (1/6::double) end u6, case when g.w6 is null then greatest(-s.step, 0) else g.w6 * (1 - 1/6::double) + greatest(-s.step, 0) * (1/6::double) end w6,
-    case when g.u14 is null then greatest(s.step, 0) else g.u14 * (1 - 1/14::double) + greatest(s.step, 0) * (1/14::double) end u14, case when g.w14 is null then greatest(-s.step, 0) else g.w14 * (1 - 1/14::double) + greatest(-s.step, 0) * (1/14::double) end w14,
-    g.kraw * (1 - 1/3::double) + s.rsv * (1/3::double) kraw, g.ddraw ddraw0
-  from g join s on s.code = g.code and s.n = g.n + 1)))
-select code, d, {fix("dif", 4)} as dif, {fix("100 - 100 / (1 + u6 / case when w6 = 0 then 1e-9 else w6 end)", 2)} as rsi6, {fix("100 - 100 / (1 + u14 / case when w14 = 0 then 1e-9 else w14 end)", 2)} as rsi14, {fix("k", 2)} as k from g""")
+def _mean(state: str, value: str, n: str) -> str:
+    return f"{state} * (1 - {n}::double) + {value} * ({n}::double)"
+
+
+def _wilder(state: str, value: str, n: int) -> str:
+    return f"case when {state} is null then {value} else {_mean(state, value, f'1/{n}')} end"
+
+
+#: MACD, RSI and KDJ of whole series: one row a bar, each step from the states of the one before.
+OSC = f"""s as (select code, d, cast(c as double) c, row_number() over {W} n, cast(c - lag(c) over {W} as double) step, (c - min(l) {rows(9)}) / (max(h) {rows(9)} - min(l) {rows(9)} + 1e-9) * 100 rsv from bars),
+g as (select code, n, d, c e12, c e26, 0.0::double dif, 0.0::double dea, null::double u6, null::double w6, null::double u14, null::double w14, rsv k from s where n = 1
+  union all select code, n, d, e12, e26, round_even(e12 - e26, 4), {_mean("dea0", "round_even(e12 - e26, 4)", "0.2")}, u6, w6, u14, w14, k from (
+  select s.code, s.n, s.d, {_mean("g.e12", "s.c", "2/13")} e12, {_mean("g.e26", "s.c", "2/27")} e26, g.dea dea0, {_wilder("g.u6", "greatest(s.step, 0)", 6)} u6, {_wilder("g.w6", "greatest(-s.step, 0)", 6)} w6,
+    {_wilder("g.u14", "greatest(s.step, 0)", 14)} u14, {_wilder("g.w14", "greatest(-s.step, 0)", 14)} w14, {_mean("g.k", "s.rsv", "1/3")} k from g join s on s.code = g.code and s.n = g.n + 1)),
+osc as (select code, d, n, dif, round_even(dea, 4) dea, round_even(2 * (dif - round_even(dea, 4)), 4) hist, 100 - 100 / (1 + u6 / case when w6 = 0 then 1e-9 else w6 end) rsi6, 100 - 100 / (1 + u14 / case when w14 = 0 then 1e-9 else w14 end) rsi14, k from g)"""
+
+
+@query("e3_e6_oscillators", f"""{B}, {OSC} select code, d, {fix("dif", 4)} as dif, {fix("dea", 3)} as dea, {fix("rsi6", 2)} as rsi6, {fix("rsi14", 2)} as rsi14, {fix("k", 2)} as k from osc""")
 def oscillators(spark, sf):
     o = ind.oscillators(_bars(spark, sf))
-    return o.select("code", "d", fixed("dif", 4).alias("dif"), fixed("rsi6", 2).alias("rsi6"), fixed("rsi14", 2).alias("rsi14"), fixed("k", 2).alias("k"))
+    return o.select("code", "d", fixed("dif", 4).alias("dif"), fixed("dea", 3).alias("dea"), fixed("rsi6", 2).alias("rsi6"), fixed("rsi14", 2).alias("rsi14"), fixed("k", 2).alias("k"))
 
 
 @query("e7_bollinger", f"""{B}, m as (select *, round_even(avg(c) {rows(20)}, 3) mid, coalesce(stddev_samp(c) {rows(20)}, 0) sd from bars),
@@ -156,11 +161,12 @@ def e23(spark, sf):
     return last.select("code", F.expr(labels.ALIGNMENT).alias("alignment"), F.expr("ma5 > ma20 and ma20 > ma60").alias("bullish"), F.expr("ma5 < ma20 and ma20 < ma60").alias("bearish"))
 
 
-@query("e24_macd_status")
+@query("e24_macd_status", f"""{B}, {OSC}, p as (select *, lag(dif) over {W} p_dif, lag(dea) over {W} p_dea, lag(hist) over {W} p_hist from osc)
+select code, {labels.MACD_STATUS} as status, {fix("dif", 2)} as dif from p qualify row_number() over (partition by code order by d desc) = 1""")
 def e24(spark, sf):
     o = ind.oscillators(_bars(spark, sf))
     x = o.withColumns({f"p_{n}": F.lag(n).over(series()) for n in ("dif", "dea", "hist")})
-    return ind.last_bars(x).select("code", F.expr(labels.MACD_STATUS).alias("status"), F.format_string("DIF=%.3f DEA=%.3f", "dif", "dea").alias("numbers"))
+    return ind.last_bars(x).select("code", F.expr(labels.MACD_STATUS).alias("status"), fixed("dif", 2).alias("dif"))
 
 
 @query("e25_index_trend", f"""{BF}, {LASTBARS} select code, case when c > ma5 and ma5 > ma10 and ma10 > ma20 then 'up' when c < ma5 and ma5 < ma10 and ma10 < ma20 then 'down' else 'mixed' end as trend,

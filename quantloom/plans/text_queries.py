@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import text as tx
-from quantloom.functions.expr import fixed
+from quantloom.functions.expr import fixed, trailing
 from quantloom.operators import patterns
-from quantloom.plans.indicator_queries import B, fix
+from quantloom.operators.indicators import last_bars
+from quantloom.plans.indicator_queries import B, fix, rows
 from quantloom.sources import feeds
 from quantloom.sources import fixtures as fx
 
@@ -64,6 +65,18 @@ def a15(spark, sf):
     return s.select(F.col("s_suppkey").alias("k"), tx.market_prefix(F.lpad((F.col("s_suppkey") * 9973 % 1000000).cast("string"), 6, "0")).alias("code"))
 
 
+@query("a16_a18_snapshot_round_trip", "select n_nationkey, n_name, n_regionkey from nation")
+def a16(spark, sf):
+    """A dated snapshot written to the shared folder and read back; Spark's committer makes it all or nothing."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    n = fx.table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    feeds.write_snapshot(n, path, kind="json")
+    return spark.read.schema(n.schema).json(path)
+
+
 @query("a17_age_bounded_read", "select event_id from events where ts >= timestamp '2024-01-30 00:00:00' - interval 24 hours")
 def a17(spark, sf):
     return feeds.fresh(fx.table(spark, sf, "events"), F.lit("2024-01-30 00:00:00").cast("timestamp"), 24, "ts").select("event_id")
@@ -204,6 +217,23 @@ def z14(spark, sf):
     return b.join(again, "code", "left").select("code", F.coalesce("pe", "again").alias("pe"))
 
 
+@query("z15_candidate_risk_text", f"""{B}, x as (select code, c, first_value(c) over (partition by code order by d rows between 59 preceding and current row) c60, avg(c) {rows(5)} ma5, row_number() over (partition by code order by d desc) n from bars)
+select code, printf('60-bar %+.1f%%, bias %+.2f%%', (c - c60) / cast(c60 as double) * 100, (c - ma5) / ma5 * 100) as line from x where n = 1""")
+def z15(spark, sf):
+    b = fx.bars_walk(spark, sf)
+    x = b.withColumns({"c60": F.first("c").over(trailing(60)), "ma5": F.avg("c").over(trailing(5))})
+    gain, bias = (F.col("c") - F.col("c60")) / F.col("c60") * 100, (F.col("c") - F.col("ma5")) / F.col("ma5") * 100
+    return last_bars(x).select("code", F.format_string("60-bar %+.1f%%, bias %+.2f%%", gain, bias).alias("line"))
+
+
+@query("i18_report_order", f"with {fx.PICKS} select code, src, row_number() over (order by score desc, code, src) as place from (select code, 'approved' as src, max(score) score from model_picks where rank <= 20 group by code union all select code, 'soft', max(score) from model_picks where rank between 21 and 40 group by code)")
+def i18(spark, sf):
+    p = fx.model_picks(spark, sf)
+    part = lambda c, n: p.where(c).groupBy("code").agg(F.max("score").alias("score")).withColumn("src", F.lit(n))
+    both = part("rank <= 20", "approved").unionByName(part("rank between 21 and 40", "soft"))
+    return both.select("code", "src", F.row_number().over(Window.orderBy(F.desc("score"), "code", "src")).alias("place"))
+
+
 @query("z16_formats", "select event_id, repeat('*', cast(greatest(0, least(5, round(value / 40))) as int)) as stars, printf('%+.1f%%', cast(event_id % 200 - 100 as double) / 7) as pct from events")
 def z16(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", tx.stars(F.col("value") / 40).alias("stars"), tx.signed_percent((F.col("event_id") % 200 - 100) / 7).alias("pct"))
