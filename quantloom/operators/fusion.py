@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def ranked(rows: DataFrame, *order: Column | str, most: int | None = None, name: str = "place") -> DataFrame:
     """rows with their place in the order; the first `most` of them."""
-    out = rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    out = rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     return out if most is None else out.where(F.col(name) <= most)
 
 

@@ -56,7 +56,7 @@ def reordered(items: DataFrame, wanted: DataFrame) -> DataFrame:
     """items(code, pos, ...) in the order of wanted(code, at), then the rest in their own; unknown and repeated codes drop out."""
     first = wanted.groupBy("code").agg(F.min("at").alias("at"))
     j = items.join(first, "code", "left")
-    place = F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), "pos"))
+    place = F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), "pos")).cast("long")
     return j.withColumn("place", place).drop("at")
 
 

@@ -65,4 +65,4 @@ def scale_positions(picks: DataFrame, cap: Column | float, position: str = "posi
 def diversify(picks: DataFrame, group: str, most: int, pos: str = "pos") -> DataFrame:
     """Greedy diversity: at most `most` of each group in order; kept rows keep their order in `place`."""
     kept = group_cap(picks.withColumn("_s", F.lit(0)), group, most, "_s", pos).where("kept").drop("_s", "kept")
-    return kept.withColumn("place", F.row_number().over(Window.orderBy(pos)))
+    return kept.withColumn("place", F.row_number().over(Window.orderBy(pos)).cast("long"))

@@ -89,5 +89,5 @@ def top_count(rows: Column, share: Column | float, low: int, high: int) -> Colum
 def keep_top(scored: DataFrame, score: str, share: Column | float, low: int, high: int, tie: str = "code", rows: Column | None = None) -> DataFrame:
     """The best rows by score, as many as top_count says, with `rank`; the count is a window, not an action."""
     n = F.count("*").over(Window.partitionBy()) if rows is None else rows
-    ranked = scored.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc(score), tie)), "_n": top_count(n, share, low, high)})
+    ranked = scored.withColumns({"rank": F.row_number().over(Window.orderBy(F.desc(score), tie)).cast("long"), "_n": top_count(n, share, low, high)})
     return ranked.where("rank <= _n").drop("_n")

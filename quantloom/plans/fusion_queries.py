@@ -248,7 +248,7 @@ def _recommended(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("as_of", "code").orderBy("d")
     x = x.withColumns({"c20": F.lag("c", 19).over(w), "n": F.row_number().over(Window.partitionBy("as_of", "code").orderBy(F.desc("d")))}).where("n = 1")
     gain = (F.col("c") - F.col("c20")) / F.col("c20")
-    rank = F.row_number().over(Window.partitionBy("as_of").orderBy(gain.desc_nulls_last(), "code"))
+    rank = F.row_number().over(Window.partitionBy("as_of").orderBy(gain.desc_nulls_last(), "code")).cast("long")
     return x.withColumn("rank", rank).where("rank <= 20").select(F.col("as_of").alias("d"), "code", F.col("c").alias("price"), "rank")
 
 
@@ -269,7 +269,7 @@ def d6(spark, sf):
 
 @query("d10_weekday_stats", f"""{RET} select isodow(d) - 1 as weekday, count(*) as n, {fix("avg(case when ret > 0 then 100.0 else 0 end)")} as win_rate from ret where horizon = 5 and ret is not null group by 1""")
 def d10(spark, sf):
-    r = _returns(spark, sf).where("horizon = 5").withColumn("weekday", F.weekday("d"))
+    r = _returns(spark, sf).where("horizon = 5").withColumn("weekday", F.weekday("d").cast("long"))
     return return_summary(r, "weekday").select("weekday", "n", fixed("win_rate").alias("win_rate"))
 
 

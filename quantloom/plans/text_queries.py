@@ -41,7 +41,7 @@ def a9(spark, sf):
     return q.select("code", F.col("price").try_cast("double").alias("price"), "name")
 
 
-@query("a11_quoted_records", "select cast(s_suppkey as varchar) as code, case when s_suppkey % 11 <> 0 then 5.0 + s_suppkey % 70 end as pe from supplier")
+@query("a11_quoted_records", "select cast(s_suppkey as varchar) as code, case when s_suppkey % 11 <> 0 then 5.0::double + s_suppkey % 70 end as pe from supplier")
 def a11(spark, sf):
     b = fx.basics(spark, sf)
     line = F.concat(F.lit("v_"), F.col("code").cast("string"), F.lit('="'), F.concat_ws("~", "name", F.coalesce(F.col("pe").cast("string"), F.lit("-"))), F.lit('";'))
@@ -92,7 +92,7 @@ def a19(spark, sf):
 @query("a22_health_order", "select n_nationkey, row_number() over (order by case n_name when 'NATION_3' then 0 when 'NATION_1' then 1 else 99 end, n_name) as place from nation")
 def a22(spark, sf):
     prio = F.coalesce(F.create_map(F.lit("NATION_3"), F.lit(0), F.lit("NATION_1"), F.lit(1))[F.col("n_name")], F.lit(99))
-    return fx.table(spark, sf, "nation").select("n_nationkey", F.row_number().over(Window.orderBy(prio, "n_name")).alias("place"))
+    return fx.table(spark, sf, "nation").select("n_nationkey", F.row_number().over(Window.orderBy(prio, "n_name")).cast("long").alias("place"))
 
 
 @query("a23_export", f"{B}, t as (select code, d, c, row_number() over (partition by code order by d desc) n, count(*) over (partition by code) k from bars) select code, count(*) as n, cast(sum(c) as bigint) as total from t where n <= 300 and k >= 50 group by code")
@@ -231,7 +231,7 @@ def i18(spark, sf):
     p = fx.model_picks(spark, sf)
     part = lambda c, n: p.where(c).groupBy("code").agg(F.max("score").alias("score")).withColumn("src", F.lit(n))
     both = part("rank <= 20", "approved").unionByName(part("rank between 21 and 40", "soft"))
-    return both.select("code", "src", F.row_number().over(Window.orderBy(F.desc("score"), "code", "src")).alias("place"))
+    return both.select("code", "src", F.row_number().over(Window.orderBy(F.desc("score"), "code", "src")).cast("long").alias("place"))
 
 
 @query("z16_formats", "select event_id, repeat('*', cast(greatest(0, least(5, round(value / 40))) as int)) as stars, printf('%+.1f%%', cast(event_id % 200 - 100 as double) / 7) as pct from events")

@@ -61,7 +61,7 @@ SECTORS = "sector_map as (select s_suppkey code, n_name sector, r_name category
 def model_picks(spark: SparkSession, sf_dir: str, most: int = 200) -> DataFrame:
     """(model, rank, code, sector, score): ballots of five models."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
-    rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    rank = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long")
     rows = o.select(F.col("o_orderpriority").alias("model"), rank.alias("rank"), F.col("o_custkey").alias("code"), (50 + F.col("o_orderkey") % 50).alias("score"))
     return rows.where(F.col("rank") <= most)
 
