@@ -229,21 +229,35 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return described.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _by_token(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Whole groups of rows sorted by their first column, several groups at a time."""
+def _by_token(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Rows sorted by their first column, cut between its values: (columns, False) holds whole groups.
+
+    A group of more than `most` rows comes in parts as (columns, True), so no task holds more of it than that.
+    """
     rest: list[np.ndarray] | None = None
+    passing = None
     for batch in batches:
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if passing is not None and len(now[0]):
+            cut = int(np.searchsorted(now[0], passing, side="right"))
+            if cut:
+                yield [c[:cut] for c in now], True
+            now = [c[cut:] for c in now]
         if not len(now[0]):
             continue
+        passing = None
         if rest is not None:
             now = [np.concatenate(p) for p in zip(rest, now, strict=True)]
         cut = int(np.searchsorted(now[0], now[0][-1]))  # the last token may go on
         if cut:
-            yield [c[:cut] for c in now]
+            yield [c[:cut] for c in now], False
         rest = [c[cut:] for c in now]
+        if most is not None and len(rest[0]) > most:
+            passing = rest[0][0]
+            yield rest, True
+            rest = None
     if rest is not None:
-        yield rest
+        yield rest, False
 
 
 def _narrow(spark, df: DataFrame) -> DataFrame:
@@ -266,18 +280,35 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
     rows = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, node, pos in _by_token(batches):
+        """Rows next to one of the same token and a fitting size; only the last row waits for the next batch."""
+        held: list[np.ndarray] | None = None
+        known = False  # that the row held has a fitting one before it
+        for batch in batches:
+            now = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                now = [np.concatenate(p) for p in zip(held, now, strict=True)]
+            token, n, node, pos = now
+            if not len(token):
+                continue
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
             token, n, node, pos = token[new], n[new], node[new], pos[new]
             fits = (token[1:] == token[:-1]) & (n[:-1] >= limit.least(n[1:]))
             hit = np.zeros(len(token), bool)
+            hit[0] = known
             hit[1:] |= fits
             hit[:-1] |= fits
+            known, held = bool(hit[-1]), [token[-1:], n[-1:], node[-1:], pos[-1:]]
+            hit[-1] = False
             yield pa.RecordBatch.from_pydict({"token": token[hit], "n": n[hit], "node": node[hit], "pos": pos[hit]})
+        if held is not None and known:
+            yield pa.RecordBatch.from_pydict(dict(zip(("token", "n", "node", "pos"), held, strict=True)))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, node, pos, slots in _by_token(batches):
+        for (token, n, node, pos, slots), whole in _by_token(batches, WHOLE_GROUP):
+            if whole:
+                yield pa.RecordBatch.from_pydict({"token": token, "n": n, "node": node, "pos": pos})
+                continue
             ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
             starts = np.append(0, ends[:-1])
             hit = np.zeros(len(token), bool)
@@ -286,10 +317,6 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
                 if size == 1:
                     continue
                 group = starts[ends - starts == size]
-                if size > WHOLE_GROUP:
-                    for g in group:
-                        hit[g : g + size] = True
-                    continue
                 for gap in range(1, size):  # all groups of a size at once, neighbours first
                     a = (group[:, None] + np.arange(size - gap)).ravel()
                     b = a + gap
@@ -385,7 +412,7 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, one
     labelled = labelled.join(mixed, "token", "left_semi")
 
     def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _by_token(batches):
+        for columns, _ in _by_token(batches):
             token = columns[0]
             ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
             for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):

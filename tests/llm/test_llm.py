@@ -388,6 +388,20 @@ def test_ngram_components_brute_force(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def test_groups_in_parts():
+    import pyarrow as pa
+
+    token = np.repeat(np.arange(6), [1, 9, 2, 1, 12, 3])
+    batches = lambda n: (pa.RecordBatch.from_pydict({"t": token[i : i + n], "x": np.arange(len(token))[i : i + n]}) for i in range(0, len(token), n))
+    for n, most in itertools.product((1, 2, 5, 50), (None, 4, 8)):
+        parts = list(ngram_join._by_token(batches(n), most))
+        assert np.concatenate([c[1] for c, _ in parts]).tolist() == list(range(len(token)))
+        whole = [set(c[0]) for c, part in parts if not part]
+        assert not any(a & b for a, b in itertools.combinations(whole, 2))
+        if most:
+            assert all(np.bincount(c[0]).max() <= most for c, part in parts if not part and n <= most) or n > most
+
+
 def test_ngram_empty_and_lonely(spark):
     assert ngram_join.ngram_components(documents(spark, [(1, "x")]).where("false")).count() == 0
     assert [tuple(r) for r in ngram_join.ngram_components(documents(spark, [(4, None), (5, "one of a kind text")])).orderBy("doc_id").collect()] == [(4, 0, 4), (5, 3, 5)]
