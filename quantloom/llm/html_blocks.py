@@ -46,7 +46,10 @@ def zone_of(tag: str, inside: str, above: int) -> int:
         role = values.get("role", "").lower()
         if role in NOISE_ROLES or values.get("aria-hidden", "").lower() == "true":
             return NOISE
-        if tag not in ("html", "body", "article", "main", "p") and NOISE_WORDS & set(_SPLIT.split(f"{values.get('class', '')} {values.get('id', '')}".lower())):
+        words = set(_SPLIT.split(f"{values.get('class', '')} {values.get('id', '')}".lower()))
+        if above == ARTICLE:
+            words.discard("header")  # an article's own head holds its title
+        if tag not in ("html", "body", "article", "main") and NOISE_WORDS & words:
             return NOISE
         if tag == "article" and {"comment", "comments", "reply"} & set(_SPLIT.split(values.get("class", "").lower())):
             return NOISE

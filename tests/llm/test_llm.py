@@ -313,6 +313,7 @@ def test_weak_supervision_adds_secrets(spark):
 def test_blocks_and_zones():
     html = "<title>t</title><nav>menu</nav><p>a&amp;b  <b>c</b>d<br>e</p><!-- x --><article><h1>H</h1><p>one<p>two &lt; <script>var t='</p>';</script><div class='ad box'>buy</div><div id=comments><p>me too</div></article><footer>f</footer><p>tail"
     assert html_blocks.blocks(html) == [("menu", 1), ("a&b cd", 0), ("e", 0), ("H", 2), ("one", 2), ("two <", 2), ("buy", 1), ("me too", 1), ("f", 1), ("tail", 0)]
+    assert html_blocks.blocks("<div class=header>x</div><article><div class='post-header'><h1>t</h1></div><p class=ad>buy</p></article>") == [("x", 1), ("t", 2), ("buy", 1)]
     assert html_blocks.blocks("") == [] and html_blocks.blocks("a < b <p") == [("a < b", 0)]
     html_blocks.blocks("<a" * 50_000 + "<!--" * 50_000)
 
