@@ -53,7 +53,7 @@ counts as (
     coalesce(n_removed_lines, 0) as n_removed_lines, cast(len(w) - coalesce(lost, 0) as bigint) as n_left_words, lost is not null as touched
   from base left join rep using (rid) left join dup using (rid) left join lost using (rid))
 select * exclude (touched), n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  touched and (100 * n_left_words < 30 * n_words or n_left_words < 50) as depleted,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (touched and (100 * n_left_words < 30 * n_words or n_left_words < 50)) as kept
+  touched and (100 * n_left_words < 30 * n_words or n_left_words < 20) as depleted,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (touched and (100 * n_left_words < 30 * n_words or n_left_words < 20)) as kept
 from counts
 """

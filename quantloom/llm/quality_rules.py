@@ -70,11 +70,12 @@ def normal_line(line: bytes) -> bytes:
 _DIGITS = bytes(48 if 48 <= i <= 57 else i for i in range(256))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_limit: int = 20, line_share: float = 0.0005, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 30) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_limit: int = 20, line_share: float = 0.0005, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 30, min_left_words: int = 20) -> DataFrame:
     """Judge documents by base rules and by what is left of them without their host's frequent lines.
 
     A line is frequent on a host if more than line_limit and more than line_share of the host's distinct texts hold it.
-    A document is depleted if less than min_left_percent of its words is left, or fewer than min_words.
+    A document that lost lines is depleted if less than min_left_percent of its words is left, or fewer than
+    min_left_words.
 
     Result: a row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_lines,
     n_left_words (long), base_failed, depleted, kept (boolean).  A null host is a host of its own.  Null, empty and
@@ -118,5 +119,5 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
     out = scanned.drop("lines", "times", "words").join(removed, F.col("host").eqNullSafe(F.col("h")) & (F.col("of") == F.col("o")), "left")
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    depleted = F.col("lost").isNotNull() & ((100 * left < min_left_percent * F.col("n_words")) | (left < min_words))
+    depleted = F.col("lost").isNotNull() & ((100 * left < min_left_percent * F.col("n_words")) | (left < min_left_words))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed_lines"), left.cast("long").alias("n_left_words"), failed.alias("base_failed"), depleted.alias("depleted"), (~failed & ~depleted).alias("kept"))
