@@ -455,6 +455,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "mixing"] and len(out) >= len(ids)
 
 
+def test_pipeline_join_takes_five_words_at_four_fifths(spark):
+    import corpus_pipeline as cp
+
+    words = [f"w{k}" for k in range(104)]
+    spoilt = lambda *at: " ".join("zzz" if k in at else w for k, w in enumerate(words))
+    # of 100 shingles two scattered words cost ten (90 / 110 shared), three fifteen (85 / 115)
+    rows = [(1, " ".join(words), "en", "s", 1), (2, spoilt(20, 60), "en", "s", 1), (3, spoilt(10, 40, 70), "en", "s", 1)]
+    assert {r.doc_id for r in cp.join_stage(spark, documents(spark, rows[:2]), "").collect()} == {1}
+    assert {r.doc_id for r in cp.join_stage(spark, documents(spark, [rows[0], rows[2]]), "").collect()} == {1, 3}
+
+
 def test_kept_text_digest_matches(spark):
     df = QUERIES["op1_line_dedup"](spark, SMALL)
     full = line_dedup.dedup_lines(spark.read.parquet(f"{SMALL}/documents.parquet"))
