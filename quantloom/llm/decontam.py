@@ -1,7 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-A document is contaminated by an item of n words if one of its windows of n words (its whole text if that is shorter)
-is within floor((1 - similarity) * n) word edits of the item.  Words are lower-cased runs without ASCII punctuation.
+A document is contaminated by an item of n words if a run of its words is within k = floor((1 - similarity) * n) word
+edits of the item: with any_length a run of any length, else one of n words (its whole text if that is shorter).  Words
+are lower-cased runs without ASCII punctuation.
 
 For each document, in one pass and without a shuffle:
 1. Windows that cannot match are left out by the q-gram lemma: within k edits, n words share n - q + 1 - k * q word
@@ -9,7 +10,8 @@ For each document, in one pass and without a shuffle:
 2. The CGK random walk turns a window into symbols: step j writes the word under the cursor, and a random bit of (j,
    word) says whether the cursor moves on.  Few edits leave most symbols equal, whatever they shift.
 3. Each repetition samples a few symbols; equal samples make a candidate.  Repetitions are as many as `recall` asks for.
-4. Candidates are confirmed by exact word edit distance.
+4. Candidates are confirmed by exact word edit distance, with any_length of the item to any part of the window and k
+   words around it.
 
 At scale: the item set is read in blocks of `block_items`; only a block's arrays are broadcast.  Documents never move.
 """
@@ -54,11 +56,25 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def least_distances(text: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least word edit distances of the rows of b to any part of the rows of text."""
+    columns = np.arange(b.shape[1] + 1)
+    row = np.broadcast_to(columns, (len(text), len(columns))).astype(np.int32)
+    least = row[:, -1].copy()
+    for i in range(text.shape[1]):
+        new = row + 1
+        new[:, 0] = 0
+        np.minimum(new[:, 1:], row[:, :-1] + (b != text[:, i : i + 1]), out=new[:, 1:])
+        row = np.minimum.accumulate(new - columns, axis=1) + columns
+        np.minimum(least, row[:, -1], out=least)
+    return least
+
+
 class Items:
     """A block of benchmark items: vocabulary, q-grams by item length, and LSH keys."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], similarity: float, recall: float, min_words: int):
-        self.similarity = similarity
+    def __init__(self, rows: list[tuple[int | None, str | None]], similarity: float, recall: float, min_words: int, any_length: bool = False):
+        self.similarity, self.any_length = similarity, any_length
         self.vocabulary: dict[str, int] = {}
         self.ids: list[int | None] = []
         self.tokens: list[np.ndarray] = []
@@ -101,6 +117,10 @@ class Items:
         """Least number of q-grams that a matching window of an item of n words has in common with it."""
         return n - Q + 1 - Q * np.floor((1 - self.similarity) * n + 1e-9).astype(np.int64)
 
+    def slack(self, n: int) -> int:
+        """How many words longer or shorter than an item of n words its passages may be."""
+        return edits_allowed(n, self.similarity) if self.any_length else 0
+
     def sample(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, classes: np.ndarray, walk: int) -> np.ndarray:
         """LSH keys (rows, SAMPLINGS) of windows under one random walk; classes: the item lengths they stand for."""
         steps = int(WALK * classes.max())
@@ -139,23 +159,24 @@ class Items:
         found = []
         for c in np.unique(kind):
             n, p = int(self.classes[c]), where[kind == c]
+            slack = self.slack(n)
             need = max(1, int(self.need(n)))
             if len(p) < need:
                 continue
             head, tail = p[: len(p) - need + 1], p[need - 1 :]
-            near = tail - head <= n - Q
+            near = tail - head <= n + slack - Q
             head, tail = head[near], tail[near]
             d = np.searchsorted(doc_from, head, side="right") - 1
             same = tail < doc_to[d]
             head, tail, d = head[same], tail[same], d[same]
             if not len(head):
                 continue
-            low = np.maximum(tail - n + Q, doc_from[d])
-            high = np.minimum(head, np.maximum(doc_to[d] - n, doc_from[d]))
+            low = np.maximum(tail - n - slack + Q, doc_from[d])
+            high = np.minimum(head, np.maximum(doc_to[d] - n + slack, doc_from[d]))
             count = np.maximum(high - low + 1, 0)
             starts = np.unique(np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
             if len(starts):
-                ends = np.minimum(starts + n, doc_to[np.searchsorted(doc_from, starts, side="right") - 1])
+                ends = np.minimum(starts + n + slack, doc_to[np.searchsorted(doc_from, starts, side="right") - 1])
                 found.append((starts, ends - starts, np.full(len(starts), n, np.int64)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
 
@@ -181,10 +202,10 @@ class Items:
             right = self.lengths[item] == c[window]
             window, item, votes = window[right], item[right], votes[right]
             doc = np.searchsorted(doc_from, s[window], side="right") - 1
-            self._confirm(tokens, s, n, window, item, votes, doc, found)
+            self._confirm(tokens, s, n, window, item, votes, doc, doc_from, doc_to, found)
         return found
 
-    def _confirm(self, tokens, starts, lengths, window, item, votes, doc, found) -> None:
+    def _confirm(self, tokens, starts, lengths, window, item, votes, doc, doc_from, doc_to, found) -> None:
         """Adds what is within the edits allowed: first the window with most votes of each (document, item), then the rest."""
         order = np.lexsort((-votes, item, doc))
         window, item, doc = window[order], item[order], doc[order]
@@ -193,24 +214,32 @@ class Items:
         for turn in (best, ~best):
             open_ = np.flatnonzero(turn)
             open_ = open_[[(int(doc[k]), int(item[k])) not in found for k in open_]] if len(open_) else open_
-            shape = lengths[window[open_]] * 1_000_003 + self.lengths[item[open_]]
+            shape = self.lengths[item[open_]] + (0 if self.any_length else lengths[window[open_]] * 1_000_003)
             for kind in np.unique(shape):
                 mine = open_[shape == kind]
                 m, n = int(kind // 1_000_003), int(kind % 1_000_003)
+                limit = edits_allowed(n, self.similarity)
                 step = max(1, (1 << 22) // (n + 1))
                 for i in range(0, len(mine), step):
                     part = mine[i : i + step]
-                    a = tokens[starts[window[part]][:, None] + np.arange(m)]
                     b = np.stack([self.tokens[k] for k in item[part]])
-                    good = edit_distances(a, b) <= edits_allowed(n, self.similarity)
+                    if self.any_length:
+                        at = starts[window[part]][:, None] + np.arange(-limit, n + 2 * limit)
+                        inside = (at >= doc_from[doc[part]][:, None]) & (at < doc_to[doc[part]][:, None])
+                        # what lies outside the document equals no word
+                        distance = least_distances(np.where(inside, tokens[np.clip(at, 0, len(tokens) - 1)], -1), b)
+                    else:
+                        distance = edit_distances(tokens[starts[window[part]][:, None] + np.arange(m)], b)
+                    good = distance <= limit
                     found.update((int(doc[k]), int(item[k])) for k in part[good])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.999, min_words: int = 8, block_items: int = 20_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.999, min_words: int = 8, block_items: int = 20_000, any_length: bool = False) -> DataFrame:
     """Mark the documents that hold a passage of a benchmark item.
 
     similarity: 1 - edits / words of the item that still count.  recall: of the LSH step, at the limit of similarity.
     min_words: shorter items count only as a whole text that equals them, since a few words occur anywhere.
+    any_length: passages may be longer or shorter than the item, so that an added or a lost word is one edit.
 
     Result: the columns of docs and contaminated (boolean), items (sorted distinct item ids), which replace columns of
     those names.  Null and empty texts: false, no items.  Null item ids mark a document but are not listed; items
@@ -226,13 +255,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         held = spark.sparkContext.broadcast(sorted(((r["item"], r["text"]) for r in part.toLocalIterator()), key=str))
-        out = out.mapInArrow(_marker(held, text, similarity, recall, min_words), schema)
+        out = out.mapInArrow(_marker(held, text, similarity, recall, min_words, any_length), schema)
     return out
 
 
-def _marker(held, text: str, similarity: float, recall: float, min_words: int):
+def _marker(held, text: str, similarity: float, recall: float, min_words: int, any_length: bool):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(held.value, similarity, recall, min_words)
+        items = Items(held.value, similarity, recall, min_words, any_length)
         known = items.vocabulary
         for batch in batches:
             docs = [words_of(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]

@@ -193,6 +193,40 @@ def test_decontamination_recall_against_brute_force(spark):
         assert all(bool(got[d][0]) == got[d][1] for d in want) and got[3][0] == {90}
 
 
+def least_edits(item, words):
+    """Of the item to any part of the words."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def any_length_hits(text, items):
+    return {i for i, t in items if least_edits(t.split(), decontam.words_of(text)) <= len(t.split()) // 5}
+
+
+def test_decontamination_passages_of_any_length(spark):
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(400)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, " ".join(say(n))) for k, n in enumerate([9, 15, 24, 37, 37, 57, 57, 59])]
+    rows = []
+    for k in range(160):
+        words = items[k % 8][1].split()
+        spots = sorted(rng.sample(range(1, len(words) - 1), len(words) // 5), reverse=True)
+        for at in spots:
+            (words.insert(at, "yyy") if k // 8 % 3 == 0 else words.pop(at) if k // 8 % 3 == 1 else words.__setitem__(at, "zzz"))
+        rows.append((k, " ".join([*say(rng.randint(0, 40)), *words, *(say(rng.randint(0, 40)) if k % 5 else [])])))
+    rows += [(500 + k, " ".join(say(60))) for k in range(20)]
+    got = {r.doc_id: set(r["items"]) for r in decontam.decontaminate(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), any_length=True).collect()}
+    want = {d: any_length_hits(t, items) for d, t in rows}
+    assert all(k % 8 in want[k] for k in range(160)) and all(got[d] <= want[d] for d in want)
+    assert sum(map(len, got.values())) >= 0.98 * sum(map(len, want.values()))
+
+
 def test_decontamination_empty_benchmark(spark):
     out = decontam.decontaminate(documents(spark, [(1, "x")]), spark.createDataFrame([], "item_id long, text string")).collect()
     assert not out[0].contaminated and out[0]["items"] == []
