@@ -4,14 +4,17 @@ A document is contaminated by an item of n words if a run of its words is within
 edits of the item: with any_length a run of any length, else one of n words (its whole text if that is shorter).  Words
 are lower-cased runs without ASCII punctuation.
 
+CGK walks drift apart with the number of edits, so long items are looked for by pieces of about PIECE words: of a
+passage within the edits allowed, one piece at least is within its own share of them.
+
 For each document, in one pass and without a shuffle:
-1. Windows that cannot match are left out by the q-gram lemma: within k edits, n words share n - q + 1 - k * q word
-   q-grams.  This loses nothing.
+1. Windows that cannot match a piece are left out by the q-gram lemma: within k edits, n words share n - q + 1 - k * q
+   word q-grams.  This loses nothing.
 2. The CGK random walk turns a window into symbols: step j writes the word under the cursor, and a random bit of (j,
    word) says whether the cursor moves on.  Few edits leave most symbols equal, whatever they shift.
-3. Each repetition samples a few symbols; equal samples make a candidate.  Repetitions are as many as `recall` asks for.
-4. Candidates are confirmed by exact word edit distance, with any_length of the item to any part of the window and k
-   words around it.
+3. Each repetition samples a few symbols; equal samples make a candidate.  Walks are as many as `recall` asks for at
+   the limit of similarity, by simulated walks of that length.
+4. Candidates are confirmed by exact word edit distance of the whole item to any part of the words around the window.
 
 At scale: the item set is read in blocks of `block_items`; only a block's arrays are broadcast.  Documents never move.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ from .runtime import extended, small_batches, with_columns, without
 Q = 3
 SYMBOLS = 3
 SAMPLINGS = 8
+PIECE = 25
 WALK = 1.8
 POOL = 1 << 20
 _PUNCTUATION = {c: " " for c in map(ord, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")}
@@ -70,8 +75,66 @@ def least_distances(text: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces by which an item of n words is looked for."""
+    count = max(1, round(n / PIECE))
+    cuts = [n * k // count for k in range(count + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def sampled(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, classes: np.ndarray, bits: np.ndarray, spots: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """LSH keys (rows, SAMPLINGS) of windows under one random walk; classes: the piece lengths they stand for."""
+    steps = int(WALK * classes.max())
+    out = np.empty((len(starts), steps), np.int64)
+    cursor = np.zeros(len(starts), np.int64)
+    end = bits.shape[1] - 1
+    for j in range(steps):
+        inside = cursor < lengths
+        symbol = np.where(inside, tokens[starts + np.minimum(cursor, lengths - 1)], end)
+        out[:, j] = symbol
+        cursor += (bits[j // 63, symbol] >> (j % 63)) & 1
+    at = (spots[None, :] * np.floor(WALK * classes)[:, None]).astype(np.int64)
+    picked = np.take_along_axis(out, at, axis=1).reshape(len(starts), SAMPLINGS, SYMBOLS)
+    return (picked * salt).sum(axis=2) * 1_000_003 + classes[:, None]
+
+
+@lru_cache(maxsize=256)
+def walks_needed(n: int, similarity: float, recall: float) -> int:
+    """Walks that find a piece of n words at the limit of similarity with probability `recall`.
+
+    Simulated for substitutions, losses and additions; the worst counts.  The samplings of a walk are one trial.
+    """
+    pairs, rounds, edits = 64, 48, edits_allowed(n, similarity)
+    rng = np.random.default_rng(n)
+    length = n + 2 * edits
+    own = np.arange(pairs * n).reshape(pairs, n)
+    v = pairs * (n + length) + 1
+    salt = rng.integers(1, 2**62, (SYMBOLS,), dtype=np.int64) | 1
+    most = 1
+    for kind in ("other", "lost", "added"):
+        rows = []
+        for words in own:
+            at = rng.choice(n, edits, replace=False)
+            foreign = pairs * n + rng.integers(0, pairs * length, length)
+            rows.append(np.delete(words, at) if kind == "lost" else np.insert(words, at, foreign[:edits]) if kind == "added" else np.where(np.isin(np.arange(n), at), foreign[:n], words))
+            rows[-1] = np.append(rows[-1], foreign)[:length]
+        tokens = np.concatenate([own.ravel(), *rows])
+        starts = np.append(np.arange(pairs) * n, pairs * n + np.arange(pairs) * length)
+        lengths = np.repeat([n, n + edits], pairs)
+        hits = np.zeros(pairs)
+        for _ in range(rounds):
+            bits = rng.integers(0, 2**63, (math.ceil(WALK * n / 63) + 1, v), dtype=np.int64)
+            keys = sampled(tokens, starts, lengths, np.full(2 * pairs, n), bits, rng.random(SAMPLINGS * SYMBOLS), salt)
+            hits += (keys[:pairs] == keys[pairs:]).any(axis=1)
+        # pairs differ: the mean of their chances of being missed, each chance with a trial's half added
+        missed = 1 - (hits + 0.5) / (rounds + 1)
+        while most < 1000 and (missed**most).mean() > 1 - min(recall, 0.999999):
+            most += 1
+    return most
+
+
 class Items:
-    """A block of benchmark items: vocabulary, q-grams by item length, and LSH keys."""
+    """A block of benchmark items: vocabulary, q-grams by piece length, and LSH keys of the pieces."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], similarity: float, recall: float, min_words: int, any_length: bool = False):
         self.similarity, self.any_length = similarity, any_length
@@ -86,58 +149,49 @@ class Items:
             elif words:
                 self.ids.append(item)
                 self.tokens.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        cut = [(k, i, j) for k, t in enumerate(self.tokens) for i, j in pieces(len(t))]
+        parts = [self.tokens[k][i:j] for k, i, j in cut]
+        self.item_of, self.offset = (np.array([c[x] for c in cut], np.int64) for x in (0, 1))
+        self.lengths = np.array([len(t) for t in parts], np.int64)
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.classes = np.unique(self.lengths)
         v = len(self.vocabulary) + 2
-        codes = [(self.code(t[:-2], t[1:-1], t[2:]), np.searchsorted(self.classes, len(t))) for t in self.tokens if len(t) >= Q]
+        codes = [(self.code(t[:-2], t[1:-1], t[2:]), np.searchsorted(self.classes, len(t))) for t in parts if len(t) >= Q]
         pairs = np.unique(np.array([(c, k) for cs, k in codes for c in cs], np.int64).reshape(-1, 2), axis=0)
         self.gram, first = np.unique(pairs[:, 0], return_index=True)
         self.gram_from, self.gram_to = first, np.append(first[1:], len(pairs))
         self.gram_class = pairs[:, 1]
-        misses = math.log(1 - min(recall, 0.999999)) / math.log(1 - 0.5**SYMBOLS)  # half of the symbols equal at the limit
-        self.walks = math.ceil(misses / SAMPLINGS)
-        longest = int(self.classes[-1]) if len(self.classes) else 1
+        self.walks = np.array([walks_needed(int(n), similarity, recall) for n in self.classes], np.int64)
+        longest, most = (int(self.classes[-1]), int(self.walks.max())) if len(self.classes) else (1, 0)
         rng = np.random.default_rng(5)
-        self.bits = rng.integers(0, 2**63, (self.walks, math.ceil(WALK * longest / 63) + 1, v), dtype=np.int64)
-        self.spots = rng.random((self.walks, SAMPLINGS * SYMBOLS))
+        self.bits = rng.integers(0, 2**63, (most, math.ceil(WALK * longest / 63) + 1, v), dtype=np.int64)
+        self.spots = rng.random((most, SAMPLINGS * SYMBOLS))
         self.salt = rng.integers(1, 2**62, (SYMBOLS,), dtype=np.int64) | 1
         self.keys: list[list[tuple[np.ndarray, np.ndarray]]] = []
         if self.tokens:
-            flat = np.concatenate(self.tokens)
+            flat = np.concatenate(parts)
             starts = np.append(0, np.cumsum(self.lengths)[:-1])
-            for w in range(self.walks):
-                k = self.sample(flat, starts, self.lengths, self.lengths, w)
+            for w in range(most):
+                mine = np.flatnonzero(self.walks_of(self.lengths) > w)
+                k = self.sample(flat, starts[mine], self.lengths[mine], self.lengths[mine], w)
                 orders = [np.argsort(k[:, s], kind="stable") for s in range(SAMPLINGS)]
-                self.keys.append([(k[o, s], o) for s, o in enumerate(orders)])
+                self.keys.append([(k[o, s], mine[o]) for s, o in enumerate(orders)])
+
+    def walks_of(self, lengths: np.ndarray) -> np.ndarray:
+        return self.walks[np.searchsorted(self.classes, lengths)]
 
     def code(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
         return (a * 2_000_003 + b) * 2_000_003 + c  # wraps for huge vocabularies; a clash only adds a candidate
 
     def need(self, n):
-        """Least number of q-grams that a matching window of an item of n words has in common with it."""
+        """Least number of q-grams that a matching window of a piece of n words has in common with it."""
         return n - Q + 1 - Q * np.floor((1 - self.similarity) * n + 1e-9).astype(np.int64)
 
-    def slack(self, n: int) -> int:
-        """How many words longer or shorter than an item of n words its passages may be."""
-        return edits_allowed(n, self.similarity) if self.any_length else 0
-
     def sample(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, classes: np.ndarray, walk: int) -> np.ndarray:
-        """LSH keys (rows, SAMPLINGS) of windows under one random walk; classes: the item lengths they stand for."""
-        steps = int(WALK * classes.max())
-        out = np.empty((len(starts), steps), np.int64)
-        cursor = np.zeros(len(starts), np.int64)
-        end = len(self.vocabulary) + 1
-        for j in range(steps):
-            inside = cursor < lengths
-            symbol = np.where(inside, tokens[starts + np.minimum(cursor, lengths - 1)], end)
-            out[:, j] = symbol
-            cursor += (self.bits[walk, j // 63, symbol] >> (j % 63)) & 1
-        at = (self.spots[walk][None, :] * np.floor(WALK * classes)[:, None]).astype(np.int64)
-        picked = np.take_along_axis(out, at, axis=1).reshape(len(starts), SAMPLINGS, SYMBOLS)
-        return (picked * self.salt).sum(axis=2) * 1_000_003 + classes[:, None]
+        return sampled(tokens, starts, lengths, classes, self.bits[walk], self.spots[walk], self.salt)
 
     def windows(self, tokens: np.ndarray, doc_from: np.ndarray, doc_to: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(start, length, class) of the windows that share enough q-grams with items of a length."""
+        """(start, length, class) of the windows that share enough q-grams with pieces of a length."""
         empty = (np.zeros(0, np.int64),) * 3
         known = tokens > 0
         at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:]) if len(tokens) >= Q else np.zeros(0, np.int64)
@@ -159,7 +213,7 @@ class Items:
         found = []
         for c in np.unique(kind):
             n, p = int(self.classes[c]), where[kind == c]
-            slack = self.slack(n)
+            slack = edits_allowed(n, self.similarity)  # a piece's passage may be longer or shorter by so many words
             need = max(1, int(self.need(n)))
             if len(p) < need:
                 continue
@@ -188,50 +242,67 @@ class Items:
         for i in range(0, len(starts), pool):
             s, n, c = starts[i : i + pool], lengths[i : i + pool], classes[i : i + pool]
             pairs = []
-            for w in range(self.walks):
-                keys = self.sample(tokens, s, n, c, w)
+            walks = self.walks_of(c)
+            for w in range(int(walks.max())):
+                mine = np.flatnonzero(walks > w)
+                keys = self.sample(tokens, s[mine], n[mine], c[mine], w)
                 for k in range(SAMPLINGS):
                     table, order = self.keys[w][k]
                     a, b = np.searchsorted(table, keys[:, k], "left"), np.searchsorted(table, keys[:, k], "right")
                     hits = np.flatnonzero(b > a)
                     m = (b - a)[hits]
                     rank = np.repeat(a[hits], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    pairs.append(np.repeat(hits, m) * len(self.tokens) + order[rank])
+                    pairs.append(np.repeat(mine[hits], m) * len(self.lengths) + order[rank])
             both, votes = np.unique(np.concatenate(pairs), return_counts=True)
-            window, item = both // len(self.tokens), both % len(self.tokens)
-            right = self.lengths[item] == c[window]
-            window, item, votes = window[right], item[right], votes[right]
+            window, piece = both // len(self.lengths), both % len(self.lengths)
+            right = self.lengths[piece] == c[window]
+            window, piece, votes = window[right], piece[right], votes[right]
             doc = np.searchsorted(doc_from, s[window], side="right") - 1
-            self._confirm(tokens, s, n, window, item, votes, doc, doc_from, doc_to, found)
+            self._confirm(tokens, s[window] - self.offset[piece], self.item_of[piece], votes, doc, doc_from, doc_to, found)
         return found
 
-    def _confirm(self, tokens, starts, lengths, window, item, votes, doc, doc_from, doc_to, found) -> None:
-        """Adds what is within the edits allowed: first the window with most votes of each (document, item), then the rest."""
+    def _confirm(self, tokens, at, item, votes, doc, doc_from, doc_to, found) -> None:
+        """Adds what is within the edits allowed: first the place with most votes of each (document, item), then the rest.
+
+        at: where the item would start without edits before its piece.  Places go together by k + 1.
+        """
+        if not len(at):
+            return
+        limits = np.array([edits_allowed(int(n), self.similarity) for n in self.sizes], np.int64)
+        at = at // (limits[item] + 1) * (limits[item] + 1)
+        order = np.lexsort((-votes, at, item, doc))
+        at, item, doc, votes = at[order], item[order], doc[order], votes[order]
+        new = np.append(True, (at[1:] != at[:-1]) | (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]))
+        at, item, doc, votes = at[new], item[new], doc[new], votes[new]
         order = np.lexsort((-votes, item, doc))
-        window, item, doc = window[order], item[order], doc[order]
+        at, item, doc = at[order], item[order], doc[order]
         best = np.ones(len(doc), bool)
         best[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
         for turn in (best, ~best):
             open_ = np.flatnonzero(turn)
             open_ = open_[[(int(doc[k]), int(item[k])) not in found for k in open_]] if len(open_) else open_
-            shape = self.lengths[item[open_]] + (0 if self.any_length else lengths[window[open_]] * 1_000_003)
-            for kind in np.unique(shape):
-                mine = open_[shape == kind]
-                m, n = int(kind // 1_000_003), int(kind % 1_000_003)
-                limit = edits_allowed(n, self.similarity)
+            shape = self.sizes[item[open_]]
+            for n in map(int, np.unique(shape)):
+                mine, limit = open_[shape == n], edits_allowed(n, self.similarity)
                 step = max(1, (1 << 22) // (n + 1))
                 for i in range(0, len(mine), step):
                     part = mine[i : i + step]
-                    b = np.stack([self.tokens[k] for k in item[part]])
-                    if self.any_length:
-                        at = starts[window[part]][:, None] + np.arange(-limit, n + 2 * limit)
-                        inside = (at >= doc_from[doc[part]][:, None]) & (at < doc_to[doc[part]][:, None])
-                        # what lies outside the document equals no word
-                        distance = least_distances(np.where(inside, tokens[np.clip(at, 0, len(tokens) - 1)], -1), b)
-                    else:
-                        distance = edit_distances(tokens[starts[window[part]][:, None] + np.arange(m)], b)
-                    good = distance <= limit
-                    found.update((int(doc[k]), int(item[k])) for k in part[good])
+                    spots = at[part][:, None] + np.arange(-limit, n + 3 * limit)
+                    inside = (spots >= doc_from[doc[part]][:, None]) & (spots < doc_to[doc[part]][:, None])
+                    # what lies outside the document equals no word
+                    words = np.where(inside, tokens[np.clip(spots, 0, len(tokens) - 1)], -1)
+                    good = part[least_distances(words, np.stack([self.tokens[k] for k in item[part]])) <= limit]
+                    if not self.any_length:
+                        good = [k for k in good if self._in_window(tokens, int(at[k]), limit, self.tokens[item[k]], int(doc_from[doc[k]]), int(doc_to[doc[k]]))]
+                    found.update((int(doc[k]), int(item[k])) for k in good)
+
+    def _in_window(self, tokens, at: int, limit: int, item: np.ndarray, low: int, high: int) -> bool:
+        """Whether a window of as many words as the item, near `at`, is within the edits allowed."""
+        n = len(item)
+        last = max(high - n, low)
+        starts = np.arange(min(max(at - limit, low), last), min(max(at + 2 * limit, low), last) + 1)
+        windows = tokens[starts[:, None] + np.arange(min(n, high - low))]
+        return bool((edit_distances(windows, np.broadcast_to(item, (len(starts), n))) <= limit).any())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.999, min_words: int = 8, block_items: int = 20_000, any_length: bool = False) -> DataFrame:
