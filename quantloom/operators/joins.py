@@ -52,6 +52,37 @@ def fuzzy_first(left: DataFrame, names: DataFrame, name: str = "name", key: str
     return pairs.withColumn("_n", best).where("_n = 1").drop("_n")
 
 
+def event_matches(events: DataFrame, key: str = "doc_id", title: str = "title", n: int = 10) -> DataFrame:
+    """(eid, doc_id): for each key the least key whose title's first n characters its title holds, or that holds its own.
+
+    An inverted index of n-character windows (shorter ones for titles under n) stands for the theta join; what meets is
+    aggregated by window and by title, so a window that many titles hold makes no pairs.  An empty title is held by all;
+    a null title matches nothing.
+    """
+    # rows of equal title are one row of the index; its digest goes with the windows, since a copy of the title each grows with its square
+    t = events.select(F.sha2(title, 256).alias("h"), F.substring(title, 1, n).alias("k"), F.col(key).alias("id"), F.col(title).alias("t"))
+    titles = t.where("h is not null").groupBy("h", "k").agg(F.min("id").alias("id"), F.first("t").alias("t"))
+    first = titles.groupBy("k").agg(F.min("id").alias("first_id"))
+    sizes = first.agg(F.collect_set(F.length("k")).alias("sizes"))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for h, id_, t, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = list({t[i : i + m] for m in lengths for i in range(len(t) - m + 1)})
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.repeat(h, len(found)), pa.repeat(pa.scalar(id_, pa.int64()), len(found)), pa.array(found, pa.string())], names=["h", "id", "k"])
+
+    texts = titles.select("h", F.col("id").cast("long").alias("id"), "t").crossJoin(F.broadcast(sizes))
+    held = texts.mapInArrow(cut, "h string, id long, k string")
+    met = held.join(first, "k")
+    holds = met.groupBy("h").agg(F.min("first_id").alias("holds"))
+    holder = met.groupBy("k").agg(F.min("id").alias("held_by"))
+    best = titles.select("h", "k").join(holds, "h", "left").join(holder, "k", "left").select("h", F.least("holds", "held_by").alias("best"))
+    return t.select(F.col("id").alias("eid"), "h").join(best, "h", "left").groupBy("eid").agg(F.min("best").alias("doc_id"))
+
+
 def reordered(items: DataFrame, wanted: DataFrame) -> DataFrame:
     """items(code, pos, ...) in the order of wanted(code, at), then the rest in their own; unknown and repeated codes drop out."""
     first = wanted.groupBy("code").agg(F.min("at").alias("at"))

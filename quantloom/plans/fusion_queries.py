@@ -218,6 +218,12 @@ def c12(spark, sf):
     return e.join(o, F.col("t").contains(F.col("k")), "left").groupBy("eid").agg(F.min("doc_id").alias("doc_id"))
 
 
+@query("c12_event_match_all")
+def c12_all(spark, sf):
+    """All documents' whole texts, either way; c12_event_match keeps to the part that its SQL names."""
+    return joins.event_matches(fx.table(spark, sf, "documents"), title="text")
+
+
 @query("c13_c14_semi_anti", f"{P} select code, 'seen' as k from (select distinct code from model_picks) where code in (select c_custkey from customer where c_acctbal > 0) union all select c_custkey, 'omitted' from customer where c_custkey not in (select code from model_picks)")
 def c13(spark, sf):
     p, c = _picks(spark, sf).select("code").distinct(), fx.table(spark, sf, "customer")

@@ -184,3 +184,27 @@ def test_snapshot_round_trip(spark, tmp_path):
 def test_normalize_bars_aliases(spark):
     raw = spark.createDataFrame([("1", "20240105", "2.5", "x"), ("1", "2024-01-06", None, "3")], "code string, Date string, OPEN string, close string")
     assert [(str(r.d), r.o, r.c) for r in feeds.normalize_bars(raw).collect()] == [("2024-01-06", None, 3.0)]
+
+
+def test_event_matches_either_way(spark):
+    texts = ["breaking: rates cut again", "rates cut again today", "so: rates cut a third time", "oil", "crude oil up", None, "é😀é is one of them all", "well, é😀é is one of none", "nothing of that", "x" * 70 + "nothing of it", "oil", "line one\nline two"]
+    ids = [7, 3, 9, 12, 2, 1, 15, 14, 40, 41, 13, 50]
+
+    def brute(rows):
+        hit = lambda a, b: a is not None and b is not None and (a[:10] in b or b[:10] in a)
+        return {i: min((j for j, u in rows if hit(t, u)), default=None) for i, t in rows}
+
+    for more in ([], [(60, "")]):
+        rows = [*zip(ids, texts, strict=True), *more]
+        got = {r.eid: r.doc_id for r in joins.event_matches(spark.createDataFrame(rows, "doc_id long, title string")).collect()}
+        assert got == brute(rows)
+
+
+def test_event_matches_reads_all_texts(spark):
+    from quantloom.plans import QUERIES
+
+    from .conftest import SMALL
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    want = {i: min(j for j, u in rows if t[:10] in u or u[:10] in t) for i, t in rows}
+    assert {r.eid: r.doc_id for r in QUERIES["c12_event_match_all"](spark, SMALL).collect()} == want and len(want) == 200
