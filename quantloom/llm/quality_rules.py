@@ -70,10 +70,10 @@ def normal_line(line: bytes) -> bytes:
 _DIGITS = bytes(48 if 48 <= i <= 57 else i for i in range(256))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_limit: int = 20, line_share: float = 0.0005, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 30, min_left_words: int = 20) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_limit: int = 20, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 30, min_left_words: int = 20) -> DataFrame:
     """Judge documents by base rules and by what is left of them without their host's frequent lines.
 
-    A line is frequent on a host if more than line_limit and more than line_share of the host's distinct texts hold it.
+    A line is frequent on a host if more than line_limit of the host's distinct texts hold it, however many it has.
     A document that lost lines is depleted if less than min_left_percent of its words is left, or fewer than
     min_left_words.
 
@@ -110,9 +110,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
     schema = "doc_id long, host string, of long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, times array<int>, words array<int>"
     scanned = materialize(rows.mapInArrow(scan, schema))
     distinct = materialize(scanned.groupBy("host", "of").agg(F.first("lines").alias("lines"), F.first("times").alias("times"), F.first("words").alias("words")))
-    sizes = distinct.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("texts"))
     per_line = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("texts_with")).where(F.col("texts_with") > line_limit)
-    frequent = per_line.join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(F.col("texts_with") > line_share * F.col("texts")).select(F.col("host").alias("h"), F.col("line").alias("l"))
+    frequent = per_line.select(F.col("host").alias("h"), F.col("line").alias("l"))
     spread = distinct.select("host", "of", F.explode(F.arrays_zip("lines", "times", "words")).alias("x"))
     removed = spread.join(materialize(frequent), spread["host"].eqNullSafe(F.col("h")) & (F.col("x.lines") == F.col("l"))).groupBy("host", "of").agg(F.sum("x.times").alias("removed"), F.sum("x.words").alias("lost"))
     removed = removed.select(F.col("host").alias("h"), F.col("of").alias("o"), "removed", "lost")

@@ -300,6 +300,16 @@ def test_frequent_lines_deplete(spark):
     assert not got[200].depleted and all(got[300 + k].kept for k in range(40))
 
 
+def test_frequent_lines_at_any_host_size(spark):
+    menu = "home about contact login " * 15
+    held = [(k, f"{menu}\nextra{k}", "en", "h") for k in range(21)] + [(50 + k, f"{'x ' * 60}\nonly {'abcdefghijklmnopqrst'[k]}\nrare", "en", "h") for k in range(20)]
+    many = spark.range(1000, 45_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"), F.lit("h").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    for docs in (documents(spark, held), documents(spark, held).unionByName(many)):
+        got = {r.doc_id: r for r in quality_rules.judge(docs).where("doc_id < 1000").collect()}
+        assert all(got[k].n_removed_lines == 1 and got[k].depleted for k in range(21))
+        assert all(got[50 + k].n_removed_lines == 0 for k in range(20))
+
+
 # -- PII
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
