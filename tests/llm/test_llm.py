@@ -227,6 +227,23 @@ def test_decontamination_passages_of_any_length(spark):
     assert sum(map(len, got.values())) >= 0.98 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("any_length", [False, True])
+def test_decontamination_of_long_items(spark, any_length):
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(900)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, " ".join(say(n))) for k, n in enumerate([100, 140, 200, 300])]
+    rows = []
+    for k in range(160):
+        words = items[k % 4][1].split()
+        for at in rng.sample(range(len(words)), len(words) // 5):
+            words[at] = "zzz"
+        rows.append((k, " ".join([*say(rng.randint(0, 30)), *words, *say(rng.randint(0, 30))])))
+    got = {r.doc_id: r["items"] for r in decontam.decontaminate(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), any_length=any_length).collect()}
+    assert all(set(got[k]) <= {k % 4} for k in range(160))
+    assert sum(len(x) for x in got.values()) >= 0.98 * 160
+
+
 def test_decontamination_empty_benchmark(spark):
     out = decontam.decontaminate(documents(spark, [(1, "x")]), spark.createDataFrame([], "item_id long, text string")).collect()
     assert not out[0].contaminated and out[0]["items"] == []
