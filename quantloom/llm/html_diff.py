@@ -1,6 +1,7 @@
 """Main text of web pages by nearest-URL differencing, under the zones of the markup.
 
-Pages are put in order of host and path, and each is paired with the neighbour on its host whose path agrees with its
+Pages of a host with equal lines are one page here, since the difference of a page and its copy says nothing of the
+template.  Pages are put in order of host and path, and each is paired with the neighbour on its host whose path agrees with its
 own for longer.  The pair's text lines are aligned by their longest common subsequence; lines that the two share are
 template lines and go.  Lines that the markup puts in navigation, adverts, forms and the like go in any case; lines that
 it puts in the article stay even if the neighbour has them: there, a shared line is a quotation or a copied page, and
@@ -162,7 +163,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
-    """A row per row of pages: page_id, url, text (never null), n_shared (lines shared with the nearest page).
+    """A row per row of pages: page_id, url, text (never null), n_shared (lines shared with the nearest page of other lines).
 
     Null and empty html: text "".  A null url has an empty host; such pages are neighbours of each other.  Ties in the
     order of host, path and page_id are broken by url and a hash of the row, so the result doesn't depend on partitions.
@@ -175,7 +176,12 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", pa
     named = rows.select("k", "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     lines = materialize(named.mapInArrow(_hashed, _schema(_LINES)))
     order = ["host", "path", "page_id", "url", "k"]
-    paired = materialize(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_paired, _schema(_SORTED)))
+    # of pages with equal lines the first stands for all
+    same = F.xxhash64("host", "hashes").alias("same")
+    lead = lines.select(same, *order).groupBy("same").agg(F.min(F.struct(*order))["k"].alias("lead"))
+    lead_of = materialize(lines.select("k", same).distinct().join(lead, "same").select("k", "lead"))
+    leads = lines.join(lead_of.where("k = lead").select("k"), "k", "left_semi").select(*lines.columns)
+    paired = materialize(leads.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_paired, _schema(_SORTED)))
     edge = paired.where("row = 0 or last")
     # two rows a task
     line = Window.orderBy("part", "row")
@@ -183,4 +189,5 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", pa
     outer = edge.select("part", "row", F.lag(side).over(line).alias("outer_before"), F.lead(side).over(line).alias("outer_after"))
     judged = edge.join(outer, ["part", "row"]).mapInArrow(_resolved, _schema(_SHARED))
     shared = materialize(paired.where("row > 0 and not last").select("k", "shared").unionByName(judged).where("size(shared) > 0"))
+    shared = lead_of.join(shared.withColumnRenamed("k", "lead"), "lead").select("k", "shared")
     return rows.join(shared, "k", "left").mapInArrow(_extracted, _schema(_DONE))

@@ -406,6 +406,20 @@ def test_main_text(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def test_main_text_of_unmarked_copies(spark):
+    frame = "<div>Site name</div><p>{}</p><div>All rights reserved</div>"
+    first, second = frame.format("first text"), frame.format("second text")
+    pages = [(1, "http://h.com/a/1", first), (2, "http://h.com/a/1?x=1", first), (3, "http://h.com/a/2", second), (4, "http://h.com/m/a/1", first), (4, "http://h.com/m/a/1", first), (5, "http://h.com/m/a/2", second)]
+    pages += [(6, "http://copies.com/1", first), (7, "http://copies.com/2", first), (8, "http://copies.com/3", first)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole = "Site name first text All rights reserved"
+    for n in (1, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = sorted((r.page_id, r.text) for r in html_diff.extract_main_text(df).collect())
+        assert got == [(1, "first text"), (2, "first text"), (3, "second text"), (4, "first text"), (4, "first text"), (5, "second text"), (6, whole), (7, whole), (8, whole)]
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 # -- n-gram join
 
 
