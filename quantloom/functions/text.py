@@ -74,7 +74,7 @@ def market_prefix(code: Column) -> Column:
 
 def risk_fragment(text: Column, markers: tuple[str, ...], stops: str = "[.;]", least: int = 5) -> Column:
     """Up to three clauses that begin with a marker word and end at a stop; short ones and repeats are left out."""
-    parts = [F.trim(F.regexp_extract(text, rf"(?:^|.)({m}[^.;]*)", 1)) for m in markers]
+    parts = [F.trim(F.regexp_extract(text, rf"({m}[^.;]*)", 1)) for m in markers]
     return F.slice(F.array_distinct(F.filter(F.array(*parts), lambda x: F.length(x) >= least)), 1, 3)
 
 

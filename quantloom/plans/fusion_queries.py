@@ -185,6 +185,16 @@ def c6(spark, sf):
     return first_bar_from(t, b).select("code", "target", "eval_d", "eval_c")
 
 
+AT_ALL = "targets as (select code, as_of + 9 as target from as_of, (select distinct code from bars))"
+
+
+@query("c6_forward_as_of_all", f"{B}, {fx.AS_OF}, {AT_ALL} select t.code, t.target, b.d as eval_d, b.c as eval_c from targets t asof left join bars b on t.code = b.code and t.target <= b.d")
+def c6_all(spark, sf):
+    b = fx.bars_walk(spark, sf)
+    t = b.select("code").distinct().crossJoin(F.broadcast(fx.as_of(spark, sf).select(F.date_add("as_of", 9).alias("target"))))  # a dozen dates
+    return first_bar_from(t, b).select("code", "target", "eval_d", "eval_c")
+
+
 @query("c7_a3_backward_as_of", f"{B}, {fx.AS_OF} select as_of, code, d, c from as_of join bars on d <= as_of qualify row_number() over (partition by as_of, code order by d desc) <= 5")
 def c7(spark, sf):
     return slices(fx.bars_walk(spark, sf), F.broadcast(fx.as_of(spark, sf)), 5).select("as_of", "code", "d", "c")  # a dozen dates
@@ -418,6 +428,12 @@ def f16(spark, sf):
     return portfolio.scale_positions(x, 80.0).select("code", fixed("scaled").alias("scaled"))
 
 
+@query("f16_position_scaling_all", f"with {fx.BASICS}, x as (select code, mktcap / 100.0::double position from basics) select code, {fix('case when sum(position) over () > 80 then position * 80 / sum(position) over () else position end')} as scaled from x")
+def f16_all(spark, sf):
+    x = fx.basics(spark, sf).select("code", (F.col("mktcap") / 100.0).alias("position"))
+    return portfolio.scale_positions(x, 80.0).select("code", fixed("scaled").alias("scaled"))
+
+
 @query("f18_diversity", f"{P}, {WTS}, {BORDA}, {fx.SECTORS} select code, category, row_number() over (order by pos) as place from (select b.code, place pos, category from bo b join sector_map m on m.code = b.code qualify row_number() over (partition by category order by place) <= 2)")
 def f18(spark, sf):
     p = _picks(spark, sf)

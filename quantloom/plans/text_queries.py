@@ -33,6 +33,14 @@ def a8(spark, sf):
     return feeds.normalize_bars(raw).select("code", "d", "o", "c")
 
 
+@query("a8_normalize_bars_all", "select l_suppkey as code, cast(l_shipdate as date) as d, l_quantity as o, l_extendedprice as c from lineitem where l_discount > 0.05")
+def a8_all(spark, sf):
+    """All rows; a8_normalize_bars keeps to the part that its SQL names, as do the others beside a query of _all."""
+    li = fx.table(spark, sf, "lineitem")
+    raw = li.select(F.col("l_suppkey").alias("code"), F.date_format("l_shipdate", "yyyyMMdd").alias("Trade_Date"), F.col("l_quantity").cast("string").alias("open"), F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice").cast("string")).otherwise("n/a").alias("Close"))
+    return feeds.normalize_bars(raw).select("code", "d", "o", "c")
+
+
 @query("a9_a10_delimited_quotes", "select cast(o_orderkey as varchar) as code, o_totalprice as price, o_orderpriority as name from orders where o_orderstatus <> 'P'")
 def a9(spark, sf):
     o = fx.table(spark, sf, "orders")
@@ -124,6 +132,11 @@ def i3(spark, sf):
     return d.select("doc_id", F.length(tx.compacted(F.col("text"))).cast("long").alias("n"))
 
 
+@query("i3_compaction_all")
+def i3_all(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", F.length(tx.compacted(F.col("text"))).cast("long").alias("n"))
+
+
 @query("i4_claim_check", f"with {fx.BASICS} select code, coalesce(pe <> 0 and abs(code % 60 - pe) / cast(pe as double) > 0.3, false) as doubtful from basics")
 def i4(spark, sf):
     b = fx.basics(spark, sf)
@@ -204,6 +217,12 @@ def z6(spark, sf):
     return x.select("doc_id", F.element_at("f", 1).alias("f")).where("f <> ''")
 
 
+@query("z6_z9_fragments_all", "select doc_id, trim(regexp_extract(text, 'the [^.;]*')) as f from documents where length(trim(regexp_extract(text, 'the [^.;]*'))) >= 5")
+def z6_all(spark, sf):
+    x = fx.table(spark, sf, "documents").select("doc_id", tx.risk_fragment(F.col("text"), ("the ",)).alias("f")).where(F.size("f") > 0)
+    return x.select("doc_id", F.element_at("f", 1).alias("f"))
+
+
 @query("z11_message_statistics", "select conv_id, count(*) as n, cast(sum(length(text)) as bigint) as chars, arg_max(right(text, 200), turn) filter (where role = 'user') as tail from conversations group by conv_id")
 def z11(spark, sf):
     tail = F.max_by(F.when(F.col("role") == "user", F.right("text", F.lit(200))), F.when(F.col("role") == "user", F.col("turn")))
