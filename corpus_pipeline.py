@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, line dedup, n-gram Jaccard join, decontamination, mixing.
 
 Each stage reads the table that the one before wrote.  The filtering stages remove only what their method names: texts
-without a language, lines found in ten or more documents, all but the least doc_id of a group of near-duplicates, and
+without a language, lines found in ten or more documents, all but one row of a group of near-duplicates, and
 documents that hold a benchmark passage.
 """
 
@@ -33,13 +33,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays; rows with a null doc_id all stay.
+    """Of each group of near-duplicates one row stays: the one with the least doc_id, null last, then the least row hash.
 
     Near-duplicates share 0.8 of their five-word shingles; the operator's defaults are those of op10's own contract.
+    Rows without words are linked with nothing: of those with equal columns one stays.
     """
-    groups = ngram_components(docs.select("doc_id", "text"), width=5, threshold=(8, 10))
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("\0stay")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["\0stay"], "left").where(F.col("\0stay").isNotNull() | docs["doc_id"].isNull()).select(*docs.columns)
+    # written, so that a row keeps its number
+    rows = materialize(docs.withColumn("\0row", F.monotonically_increasing_id()))
+    groups = ngram_components(rows.select(F.col("\0row").alias("doc_id"), "text"), width=5, threshold=(8, 10))
+    groups = groups.select(F.col("doc_id").alias("\0row"), "component_id", "n_shingles")
+    hash_ = F.xxhash64(*docs.columns)
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
+    alike = F.when(F.col("n_shingles") == 0, F.struct("doc_id", hash_.alias("hash")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", hash_.alias("hash"), "\0row"))["\0row"]
+    stay = rows.join(groups, "\0row").groupBy(group.alias("group"), alike.alias("alike")).agg(first.alias("\0row")).select("\0row")
+    return rows.join(stay, "\0row", "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

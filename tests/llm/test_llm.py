@@ -541,6 +541,17 @@ def test_pipeline_join_takes_five_words_at_four_fifths(spark):
     assert {r.doc_id for r in cp.join_stage(spark, documents(spark, [rows[0], rows[2]]), "").collect()} == {1, 3}
 
 
+def test_pipeline_join_keeps_one_row_of_repeats_and_null_ids(spark):
+    import corpus_pipeline as cp
+
+    say = lambda c: " ".join(f"{c}{k}" for k in range(50))
+    rows = [(1, say("a"), "en", "s", 1)] * 2 + [(None, say("a"), "en", "s", 1), (2, say("a"), "en", "s", 1)]
+    rows += [(None, say("b"), "en", "s", 1)] * 2 + [(None, say("b"), "en", "t", 1), (3, say("c"), "en", "s", 1), (None, say("d"), "en", "s", 1)]
+    rows += [(4, None, "en", "s", 1), (5, "", "en", "s", 1), (5, "", "en", "s", 1)]
+    got = sorted((str(r.doc_id), (r.text or "")[:1]) for r in cp.join_stage(spark, documents(spark, rows), "").collect())
+    assert got == [("1", "a"), ("3", "c"), ("4", ""), ("5", ""), ("None", "b"), ("None", "d")]
+
+
 def test_kept_text_digest_matches(spark):
     df = QUERIES["op1_line_dedup"](spark, SMALL)
     full = line_dedup.dedup_lines(spark.read.parquet(f"{SMALL}/documents.parquet"))
