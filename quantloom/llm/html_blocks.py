@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from html import unescape
 
+import xxhash
+
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -59,20 +61,34 @@ def zone_of(tag: str, inside: str, above: int) -> int:
 
 
 def blocks(html: str) -> list[tuple[str, int]]:
-    """(text, zone) of each block in page order: references decoded, white space runs as one space, never empty.
+    """(text, zone) of each block in page order: references decoded, white space runs as one space, never empty."""
+    return [(text, zone) for text, zone, _ in placed_blocks(html)]
+
+
+def place_below(tag: str, inside: str, above: tuple[int, str]) -> tuple[int, str]:
+    """(hash of the block tags and their classes from the root, last tag); inline tags and repeats of a tag add nothing."""
+    if tag in INLINE or tag in ("html", "body"):
+        return above
+    named = next((m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(inside) if m[1].lower() == "class"), "") if "=" in inside else ""
+    own = f"{tag}.{named.lower()}"
+    return above if own == above[1] else (xxhash.xxh3_64_intdigest(f"{above[0]} {own}"), own)
+
+
+def placed_blocks(html: str) -> list[tuple[str, int, int]]:
+    """(text, zone, place) of each block; the place is a hash of the markup that it stands in.
 
     A tag that is never closed by > ends the page; an unclosed comment does too.
     """
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
     text: list[str] = []
-    stack: list[tuple[str, int]] = [("", BODY)]
+    stack: list[tuple[str, int, tuple[int, str]]] = [("", BODY, (0, ""))]
     last = html.rfind(">")
 
     def flush() -> None:
         if text:
             t = " ".join(unescape("".join(text)).split())
             if t:
-                out.append((t, stack[-1][1]))
+                out.append((t, stack[-1][1], stack[-1][2][0]))
             text.clear()
 
     at = 0
@@ -122,6 +138,6 @@ def blocks(html: str) -> list[tuple[str, int]]:
             zone = zone_of(tag, inside, stack[-1][1])
             if zone != stack[-1][1]:
                 flush()
-            stack.append((tag, zone))
+            stack.append((tag, zone, place_below(tag, inside, stack[-1][2])))
     flush()
     return out

@@ -63,7 +63,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_diff.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

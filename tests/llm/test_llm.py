@@ -420,6 +420,56 @@ def test_main_text_of_unmarked_copies(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def page_of(template, body, article):
+    head, foot = "".join(f"<div>{x}</div>" for x in template[:4]), "".join(f"<div>{x}</div>" for x in template[4:])
+    body = "".join(f"<p>{x}</p>" for x in body)
+    return f"<body>{head}<article>{body}</article>{foot}</body>" if article else f"<body>{head}{body}{foot}</body>"
+
+
+def test_unmarked_pages_by_difference(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    quote, pages, want = say(30), [], {}
+    for host in range(3):
+        template = [say(4) for _ in range(8)]
+        for k in range(60):
+            body = [say(rng.randint(20, 60)) for _ in range(rng.randint(2, 8))] + ([quote] if k in (20, 21) else [])
+            for marked in (False, True):
+                n = len(pages)
+                pages.append((n, f"http://h{host}{'m' * marked}.com/{k // 10}/{k}", page_of(template, body, marked)))
+                want[n] = " ".join(body)
+    # an article's tags around the whole page: the template inside goes by the difference alone
+    for k in range(40):
+        body = [say(30), say(40)]
+        pages.append((1000 + k, f"http://wrap.com/{k}", f"<main><div>Site name here</div><div>Home</div>{''.join(f'<p>{x}</p>' for x in body)}<div>All rights</div></main>"))
+        want[1000 + k] = " ".join(body)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_diff.extract_main_text(df.union(df.limit(3))).collect()}
+    assert len(got) == len(want) and {k: r.text for k, r in got.items()} == want
+    assert all(r.n_deleted for r in got.values() if r.page_id >= 1000)
+
+
+def test_stripped_tables_keep_their_words(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    stripped = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "</?article[^>]*>", ""), ' class="[^"]*"', ""))
+    want = {r.page_id: r.text for r in html_diff.extract_main_text(pages).collect()}
+    got = {r.page_id: r.text for r in html_diff.extract_main_text(stripped).collect()}
+    assert all(want.values())
+    split = lambda x: {k: t.split() for k, t in x.items()}
+    want, got = split(want), split(got)
+    both = sum(len(html_diff.common_subsequence(w, got[k])) for k, w in want.items())
+    assert both >= 0.95 * sum(map(len, want.values())) and both >= 0.95 * sum(map(len, got.values()))
+
+
+def test_pages_without_rows_and_very_long_ones(spark):
+    schema = "page_id long, url string, html string, Text string"
+    assert html_diff.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+    long = [f"<p>line {k % 90_000} of it</p>" for k in range(100_000)]
+    pages = [(1, "http://l.com/1", "".join(long), "x"), (2, "http://l.com/2", "".join([*long[1000:], "<p>own</p>", *long[:1000]]), "x"), (3, "http://l.com/3", None, None)]
+    got = {r.page_id: r for r in html_diff.extract_main_text(spark.createDataFrame(pages, schema)).collect()}
+    assert got[1].n_shared >= 99_000 and "own" in got[2].text and got[3].text == ""
+
+
 # -- n-gram join
 
 
