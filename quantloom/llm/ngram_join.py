@@ -1,20 +1,23 @@
 """Set-similarity join of word-shingle sets by prefix trees, and the components of its links.
 
 1. Each text becomes a set of shingle hashes in one global order: rare shingles by hash, frequent ones last by count.
-   Texts with equal sets share a node (64 bits of a cryptographic digest of the set) and are one from here on.
+   Texts with equal sets share a node and are one from here on.  A node is 64 bits of a 128-bit digest of the set;
+   where two digests share these, all but one of them take other bits, so two sets are one only if 128 bits agree.
 2. Two sets with Jaccard >= threshold share a token among the first n - ceil(threshold * n) + 1 of either.  Only these
    prefix tokens are shuffled; a node is alone unless one of them occurs at a node of fitting size and slot counts (the
    counts of a set's tokens in SLOTS classes: they differ by no more than the sets do).
-3. The other nodes' whole sets go to buckets by a shared token, twice with other tokens and other blocks.  In a block,
-   sets of a component stand in a trie along the global order.  A probe descends with the overlap so far and leaves a
-   subtree once that plus the most that can remain is too small.  A component is left at its first link: more links
-   inside it change nothing.
+3. The other nodes' whole sets go to buckets by a shared token, twice with other tokens and other blocks.  The sets of a
+   block stand in one trie along the global order, so sets that begin alike share their first runs.  A probe goes down
+   it by levels, counts its overlap with a shared run once, and leaves a subtree once the overlap so far plus the most
+   that can remain is too small, or once all below is in the probe's component: more links change nothing there.
 4. Components of the links so far; then every remaining pair of nodes in different components that shares a prefix
    token and passes the size and position bounds is compared exactly.  So no link between components is lost, and no
    pairs inside a group of copies are made.
 
-At scale: to the driver come the list of frequent shingles (at most `frequent`) and a bitmap of FILTER_BITS bits, never
-links, components or fingerprints.  Blocks are bounded in sets and in shingles.
+At scale: to the driver come the list of frequent shingles (at most `frequent`), a bitmap of 16 bits an open node (at
+most FILTER_BITS bits) and the nodes whose digests clash (of 10^10 sets some three), never links, components or
+fingerprints.  Blocks are bounded in sets and in shingles.  A token with more than HOT rows passes step 2 unchecked,
+and in step 4 its rows meet by pairs of parts, so no task gets more than two parts of one token.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ from .shingles import shingle_set
 
 SLOTS = 128
 WHOLE_GROUP = 20_000
-FILTER_BITS = 1 << 24
+HOT = 500
+FILTER_BITS = 1 << 28
 BLOCK_SETS = 2_000
 BLOCK_SHINGLES = 8_000_000
 
@@ -54,85 +58,121 @@ class Threshold:
 
 
 class Trie:
-    """A radix tree of ordered sets; each node holds a run of tokens and bounds on what is below."""
-
-    __slots__ = ("run", "children", "leaves", "longest", "shortest")
-
-    def __init__(self, run: np.ndarray):
-        self.run, self.children, self.leaves, self.longest, self.shortest = run, {}, [], 0, 1 << 62
-
-    def insert(self, tokens: np.ndarray, leaf: int) -> None:
-        """longest: most tokens after this node's run; shortest: least size of a set below."""
-        node, n = self, len(tokens)
-        while True:
-            node.longest, node.shortest = max(node.longest, len(tokens)), min(node.shortest, n)
-            if not len(tokens):
-                node.leaves.append(leaf)
-                return
-            child = node.children.get(int(tokens[0]))
-            if child is None:
-                child = Trie(tokens)
-                child.leaves, child.shortest = [leaf], n
-                node.children[int(tokens[0])] = child
-                return
-            m = min(len(child.run), len(tokens))
-            differs = np.flatnonzero(child.run[:m] != tokens[:m])
-            same = int(differs[0]) if len(differs) else m
-            if same < len(child.run):
-                upper = Trie(child.run[:same])
-                upper.longest, upper.shortest = child.longest + len(child.run) - same, child.shortest
-                child.run = child.run[same:]
-                upper.children[int(child.run[0])] = child
-                node.children[int(tokens[0])] = upper
-                child = upper
-            node, tokens = child, tokens[same:]
-
-    def find(self, probe: np.ndarray, limit: Threshold) -> int | None:
-        """A leaf linked with the probe, or none."""
-        n, stack = len(probe), [(self, 0, 0)]
-        while stack:
-            node, overlap, at = stack.pop()
-            if len(node.run):
-                spots = at + np.searchsorted(probe[at:], node.run)
-                overlap += int((probe[np.minimum(spots, n - 1)] == node.run).sum())
-                at = min(int(spots[-1]) + 1, n)
-                at -= bool(at and probe[at - 1] > node.run[-1])
-            if overlap + min(n - at, node.longest) < limit.overlap(n, max(node.shortest, limit.least(n))):
-                continue
-            if node.leaves and overlap >= limit.overlap(n, node.shortest):
-                return node.leaves[0]  # all leaves at a node hold one set, whose size is the node's depth
-            stack += [(c, overlap, at) for c in node.children.values()]
-        return None
+    """Distinct ordered sets as one radix tree, held in arrays: a run of tokens that several sets begin with stands once.
+
+    Sets are leaves in lexicographic order, so what is below a node is a range of leaves.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        keys = [s.astype(">i8").tobytes() for s in sets]
+        self.order = sorted(range(len(sets)), key=keys.__getitem__)
+        sets = [sets[k] for k in self.order]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        nodes: list[list[int]] = [[-1, 0, 0, 0, 0]]  # parent, where the run starts and ends in its first leaf's set, first leaf, last leaf
+        open_ = [0]
+        self.leaf = [-1]
+        for k, s in enumerate(sets):
+            common = 0
+            if k:
+                m = min(len(s), len(sets[k - 1]))
+                differs = np.flatnonzero(s[:m] != sets[k - 1][:m])
+                common = int(differs[0]) if len(differs) else m
+            below = None
+            while nodes[open_[-1]][2] > common:
+                below = open_.pop()
+                nodes[below][4] = k - 1
+            if nodes[open_[-1]][2] < common:  # the run below splits
+                nodes.append([open_[-1], nodes[below][1], common, nodes[below][3], k - 1])
+                self.leaf.append(-1)
+                nodes[below][0], nodes[below][1] = len(nodes) - 1, common
+                open_.append(len(nodes) - 1)
+            nodes.append([open_[-1], common, len(s), k, k])
+            self.leaf.append(k)
+            open_.append(len(nodes) - 1)
+        for node in open_:
+            nodes[node][4] = len(sets) - 1
+        parent, self.start, self.end, self.first, self.last = np.array(nodes, np.int64).T
+        self.leaf = np.array(self.leaf, np.int64)
+        self.offset = np.append(0, np.cumsum(self.end - self.start))
+        runs = np.concatenate([sets[f][a:b] for f, a, b in zip(self.first, self.start, self.end, strict=True)])
+        self.words, self.runs = np.unique(runs, return_inverse=True)
+        self.children = np.argsort(parent, kind="stable")[1:]  # the root comes first
+        self.child_from = np.searchsorted(parent[self.children], np.arange(len(nodes)))
+        self.child_to = np.append(self.child_from[1:], len(self.children))
+        self.shortest, self.longest = (np.array([f(self.sizes[a : b + 1]) for a, b in zip(self.first, self.last, strict=True)], np.int64) for f in (np.min, np.max))
+        self.sets = sets
+        self.member = np.zeros(len(self.words), bool)
+
+    def _hits(self, node: np.ndarray, skip: np.ndarray, most: int | None = None) -> np.ndarray:
+        """Tokens of the nodes' runs that the marked probe holds, from `skip` on, at most `most` of each."""
+        n = self.end[node] - self.start[node] - skip
+        if most is not None:
+            n = np.minimum(n, most)
+        n = np.maximum(n, 0)
+        to = np.cumsum(n)
+        spots = np.repeat(self.offset[node] + skip - to + n, n) + np.arange(to[-1])
+        seen = np.append(0, np.cumsum(self.member[self.runs[spots]]))
+        return seen[to] - seen[to - n]
+
+    def linked(self, k: int, limit: Threshold, group: np.ndarray) -> np.ndarray:
+        """Later leaves linked with leaf k and not of its group: overlaps are counted once for all sets below a node.
+
+        A subtree is left where it holds no such leaf, or where the overlap so far plus the most that can remain is less
+        than the least overlap of a link.
+        """
+        n = int(self.sizes[k])
+        spots = np.searchsorted(self.words, self.sets[k])
+        self.member[spots] = True
+        changes = np.append(0, np.cumsum(group[1:] != group[:-1]))
+        least, most = limit.least(n), n * limit.den // limit.num
+        front, overlap, found = self.children[self.child_from[0] : self.child_to[0]], None, []
+        overlap = np.zeros(len(front), np.int64)
+        while len(front):
+            after = np.maximum(self.first[front], k + 1)
+            open_ = (self.last[front] > k) & (self.shortest[front] <= most) & (self.longest[front] >= least)
+            open_ &= (group[np.minimum(after, len(group) - 1)] != group[k]) | (changes[self.last[front]] != changes[np.minimum(after, len(group) - 1)])
+            front, overlap = front[open_], overlap[open_]
+            if not len(front):
+                break
+            need = limit.overlap(n, np.maximum(self.shortest[front], least))
+            longest = np.minimum(self.longest[front], most)
+            # first as many tokens as may be missed and one more: most subtrees end here
+            chunk = int((longest - limit.overlap(n, longest)).max()) + 1
+            overlap = overlap + self._hits(front, np.zeros(len(front), np.int64), chunk)
+            read = np.minimum(self.end[front] - self.start[front], chunk)
+            open_ = overlap + longest - self.start[front] - read >= need
+            front, overlap, read, need, longest = (x[open_] for x in (front, overlap, read, need, longest))
+            if not len(front):
+                break
+            overlap = overlap + self._hits(front, read)
+            open_ = overlap + longest - self.end[front] >= need
+            front, overlap = front[open_], overlap[open_]
+            leaf = self.leaf[front]
+            at = np.flatnonzero(leaf > k)
+            size = self.sizes[leaf[at]]
+            at = at[(overlap[at] >= limit.overlap(n, size)) & (size >= least) & (size <= most)]
+            found.append(leaf[at])
+            count = self.child_to[front] - self.child_from[front]
+            to = np.cumsum(count)
+            overlap = np.repeat(overlap, count)
+            front = self.children[np.repeat(self.child_from[front] - to + count, count) + np.arange(int(to[-1]) if len(to) else 0)]
+        self.member[spots] = False
+        hits = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return hits[group[hits] != group[k]]
 
 
 def linked_pairs(sizes_sets: list[tuple[int, np.ndarray]], limit: Threshold) -> list[tuple[int, int]]:
-    """Links that connect each component of (id, ordered set) fully; sets are taken from short to long."""
-    groups: list[dict] = []
+    """Links that connect each component of (id, ordered set) fully: one for each two components that a probe joins."""
+    trie = Trie([s for _, s in sizes_sets])
+    names = [sizes_sets[k][0] for k in trie.order]
+    group = np.arange(len(names))
     links = []
-    for name, tokens in sorted(sizes_sets, key=lambda x: len(x[1])):
-        least = limit.least(len(tokens))
-        groups = [g for g in groups if g["most"] >= least]
-        mine = {"trie": Trie(tokens[:0]), "sets": [(name, tokens)], "most": len(tokens)}
-        rest = []
-        hits = []
-        for g in groups:
-            leaf = g["trie"].find(tokens, limit)
-            if leaf is None:
-                rest.append(g)
-            else:
-                links.append((name, leaf))
-                hits.append(g)
-        if hits:
-            big = max(hits, key=lambda g: len(g["sets"]))
-            for g in [*(h for h in hits if h is not big), mine]:
-                for x in g["sets"]:
-                    big["trie"].insert(x[1], x[0])
-                big["sets"] += g["sets"]
-                big["most"] = max(big["most"], g["most"])
-            mine = big
-        else:
-            mine["trie"].insert(tokens, name)
-        groups = [*rest, mine]
+    for k in range(len(names) - 1):
+        hits = trie.linked(k, limit, group)
+        if len(hits):
+            other, first = np.unique(group[hits], return_index=True)
+            links += [(names[k], names[j]) for j in hits[first]]
+            group[np.isin(group, other)] = group[k]
     return links
 
 
@@ -179,13 +219,14 @@ def frequent_shingles(docs: DataFrame, text: str, width: int, keep: int) -> tupl
     return h[order], (len(h) - 1 - np.arange(len(h), dtype=np.int64))[order]
 
 
-def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, threshold: tuple[int, int] = (90, 100), frequent: int = 50_000) -> DataFrame:
+def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 3, threshold: tuple[int, int] = (90, 100), frequent: int = 50_000, node_bits: int = 64) -> DataFrame:
     """Components of documents whose sets of word shingles have Jaccard >= threshold[0] / threshold[1].
 
     Result: a row per row of docs: doc_id, n_shingles, component_id (long); other columns of docs play no part.
     component_id is the least doc_id reachable by links.  Null texts and texts without words: no shingles, linked with
     nothing, component_id their own doc_id.  Texts of fewer than `width` words are one shingle.  Equal texts link.  A
     null doc_id takes its component's least doc_id, null if there is none; rows of one doc_id are judged by their texts.
+    node_bits: bits of a node's first name; fewer only make more names clash, which other bits then tell apart.
     """
     from math import gcd
 
@@ -195,31 +236,44 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     small_batches(spark)
     held = spark.sparkContext.broadcast(frequent_shingles(docs, text, width, frequent))
 
-    def one(t: bytes | None) -> tuple[np.ndarray, int]:
+    def one(t: bytes | None) -> tuple[np.ndarray, int, int]:
         tokens = ordered(shingle_set(t.lower() if t else t, width), *held.value)
-        return tokens, int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+        node, mark = (int(x) for x in np.frombuffer(blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64))
+        return tokens, node >> 64 - node_bits, mark
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            nodes, sizes, prefixes, slots = [], [], [], []
+            nodes, marks, sizes, prefixes, slots = [], [], [], [], []
             for t in texts(batch, text):
-                tokens, node = one(t)
+                tokens, node, mark = one(t)
                 n = len(tokens)
-                new = n and node not in seen
-                seen.add(node)
+                new = n and (node, mark) not in seen
+                seen.add((node, mark))
                 nodes.append(node if n else None)
+                marks.append(mark if n else None)
                 sizes.append(n)
                 prefixes.append(tokens[: n - limit.least(n) + 1] if new else None)
                 slots.append(np.minimum(np.bincount(tokens & (SLOTS - 1), minlength=SLOTS), 255).astype(np.uint8).tobytes() if new else None)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(slots, pa.binary()), batch.column(1)], names=["node", "n", "prefix", "slots", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(slots, pa.binary()), batch.column(1)], names=["node", "mark", "n", "prefix", "slots", "doc_id"])
 
     # a copy within the task has no prefix of its own
-    described = materialize(docs.select(text, F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(describe, "node long, n long, prefix array<long>, slots binary, doc_id long"))
+    described = materialize(docs.select(text, F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(describe, "node long, mark long, n long, prefix array<long>, slots binary, doc_id long"))
+    clashes = described.where("node is not null").groupBy("node").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last").select("node", "first")
+    firsts = {r["node"]: r["first"] for r in clashes.collect()}
+    if firsts:
+        clash = F.broadcast(spark.createDataFrame(list(firsts.items()), "node long, first long"))  # some three of 10^10
+        own = F.when(F.col("mark") != F.col("first"), F.col("node").bitwiseXOR(F.col("mark"))).otherwise(F.col("node"))
+        described = described.join(clash, "node", "left").withColumn("node", own).drop("first")
+
+    def named(t: bytes | None) -> tuple[np.ndarray, int]:
+        tokens, node, mark = one(t)
+        return tokens, node ^ mark if firsts.get(node, mark) != mark else node
+
     active = materialize(_active(described, limit))
     found = described.select("node", "doc_id")
     if not active.isEmpty():
-        labels = _labels(docs, text, active, limit, one)
+        labels = _labels(docs, text, active, limit, named)
         least = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         by_label = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         components = by_label.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -274,10 +328,12 @@ def _narrow(spark, df: DataFrame) -> DataFrame:
 def _active(described: DataFrame, limit: Threshold) -> DataFrame:
     """(token, node, n, pos) where another node with the token in its prefix passes the bounds on sizes, positions and slots.
 
-    A group of more than WHOLE_GROUP nodes passes unchecked: more rows than needed change nothing but the work.
+    A token with more than HOT rows passes unchecked, its rows spread by node: more rows than needed change nothing but
+    the work.
     """
     first = described.where("prefix is not null")
-    rows = first.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    rows = first.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "node", F.col("pos").cast("long").alias("pos"))
+    hot = materialize(rows.groupBy("token").count().where(F.col("count") > HOT).select("token"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows next to one of the same token and a fitting size; only the last row waits for the next batch."""
@@ -334,36 +390,42 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"token": token[hit], "n": n[hit], "node": node[hit], "pos": pos[hit]})
 
     spark = described.sparkSession
-    parts = rows.select("token", "n", "node", F.col("pos").cast("long").alias("pos")).repartition("token").sortWithinPartitions("token", "n", "node")
+    parts = rows.join(hot, "token", "left_anti").repartition("token").sortWithinPartitions("token", "n", "node")
     shared = _narrow(spark, parts.mapInArrow(near, "token long, n long, node long, pos long"))
     slots = shared.select("node").distinct().join(first.select("node", "slots"), "node").groupBy("node").agg(F.first("slots").alias("slots"))
     wide = shared.join(slots, "node").select("token", "n", "node", "pos", "slots").repartition("token").sortWithinPartitions("token", "n", "node")
-    return materialize(wide.mapInArrow(alike, "token long, n long, node long, pos long"))
+    passed = rows.join(hot, "token", "left_semi").dropDuplicates(["token", "node"])
+    return materialize(wide.mapInArrow(alike, "token long, n long, node long, pos long").unionByName(passed))
+
 
+def _bitmap(names: DataFrame) -> tuple[bytes, int]:
+    """A filter with the bit of every node set, and its number of bits: 16 a node up to FILTER_BITS.
 
-def _bitmap(names: DataFrame) -> bytes:
-    """A filter of FILTER_BITS bits with the bit of every node set: its size doesn't follow the corpus."""
-    bit = F.pmod("node", F.lit(FILTER_BITS))
-    rows = names.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 64 as int))")).alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    Beyond that it lets more whole sets pass to the semi-join behind it, and none is missed.
+    """
+    size = min(FILTER_BITS, 1 << max(12, (16 * names.count()).bit_length()))
+    bit = F.pmod("node", F.lit(size))
+    rows = names.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {size}) % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.tobytes()
+    return out.tobytes(), size
 
 
-def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, one) -> DataFrame:
+def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, named) -> DataFrame:
     """(node, label) of the active nodes that have links."""
     spark = docs.sparkSession
-    names = active.select("node").distinct()
+    names = materialize(active.select("node").distinct())
     held = spark.sparkContext.broadcast(_bitmap(names))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        bits = np.frombuffer(held.value, np.int64)
+        size = held.value[1]
+        bits = np.frombuffer(held.value[0], np.int64)
         for batch in batches:
             out = []
             for t in texts(batch, text):
-                tokens, node = one(t)
-                bit = node % FILTER_BITS
+                tokens, node = named(t)
+                bit = node % size
                 if not len(tokens) or node in seen or not int(bits[bit // 64]) >> (bit % 64) & 1:
                     continue
                 seen.add(node)
@@ -411,6 +473,12 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, one
     mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     labelled = labelled.join(mixed, "token", "left_semi")
 
+    # rows of a token in parts of HOT, every two parts together once
+    parts = labelled.groupBy("token").agg(F.ceil(F.count("*") / HOT).alias("parts")).where("parts > 1")
+    labelled = labelled.join(parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
+    met = labelled.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    cell = F.xxhash64("token", F.least("part", "with"), F.greatest("part", "with")).alias("cell")
+
     def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, _ in _by_token(batches):
             token = columns[0]
@@ -418,7 +486,7 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, one
             for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
                 yield from _across(*(c[i:j] for c in columns[1:]), limit)
 
-    pairs = labelled.select("token", "n", "node", "pos", "label").repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(differing, "a long, b long")
+    pairs = met.select(cell, "n", "node", "pos", "label", F.col("part").cast("long").alias("part")).repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(differing, "a long, b long")
     pairs = materialize(pairs.distinct())
     body = sets.select("node", "tokens")
 
@@ -427,7 +495,7 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, one
             out = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                if linked_pairs([(a, x), (b, y)], limit):
+                if len(np.intersect1d(x, y, assume_unique=True)) >= limit.overlap(len(x), len(y)):
                     out.append((a, b))
             if out:
                 yield _edges(out)
@@ -442,15 +510,18 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _across(n: np.ndarray, node: np.ndarray, pos: np.ndarray, label: np.ndarray, limit: Threshold) -> Iterator[pa.RecordBatch]:
-    """Pairs of a token's rows in different components that pass the size and position bounds."""
+def _across(n: np.ndarray, node: np.ndarray, pos: np.ndarray, label: np.ndarray, part: np.ndarray, limit: Threshold) -> Iterator[pa.RecordBatch]:
+    """Pairs of a token's rows in different components that pass the size and position bounds; of two parts, across them."""
     kinds, counts = np.unique(label, return_counts=True)
     if len(kinds) < 2:
         return
+    two = part.min() != part.max()
     for i in np.flatnonzero(label != kinds[counts.argmax()]):
         # each such row against all others; two of them meet once
         ok = (label != label[i]) & (np.minimum(n, n[i]) >= limit.least(np.maximum(n, n[i])))
         ok &= 1 + np.minimum(n - 1 - pos, n[i] - 1 - pos[i]) >= limit.overlap(n, n[i])
+        if two:
+            ok &= part != part[i]
         if ok.any():
             other = node[ok]
             yield pa.RecordBatch.from_pydict({"a": np.minimum(other, node[i]), "b": np.maximum(other, node[i])})

@@ -514,6 +514,50 @@ def test_ngram_components_brute_force(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
 
 
+def test_ngram_components_with_hot_tokens_and_clashing_names(spark, monkeypatch):
+    rows = near_copies(3, 150)
+    want = brute_components(rows)
+    for hot, bits in ((4, 64), (500, 3), (3, 2)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        got = ngram_join.ngram_components(documents(spark, rows), node_bits=bits).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+
+
+def test_trie_against_all_pairs():
+    rng = random.Random(7)
+    for t in range(60):
+        limit = ngram_join.Threshold(*[(9, 10), (4, 5), (1, 2)][t % 3])
+        base = [sorted(rng.sample(range(300), rng.randint(1, 50))) for _ in range(4)]
+        sets = set()
+        for _ in range(rng.randint(1, 40)):
+            s = set(rng.choice(base))
+            for _ in range(rng.randrange(4)):
+                s ^= {rng.randrange(300)}
+            sets.add(tuple(sorted(s)) or (0,))
+        sets = [np.array(s, np.int64) for s in sorted(sets)]
+        group = list(range(len(sets)))
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if limit.den * both >= limit.num * (len(sets[i]) + len(sets[j]) - both):
+                group = [group[i] if g == group[j] else g for g in group]
+        links = ngram_join.linked_pairs(list(enumerate(sets)), limit)
+        mine = list(range(len(sets)))
+        for i, j in links:
+            mine = [mine[i] if g == mine[j] else g for g in mine]
+        assert all((group[i] == group[j]) == (mine[i] == mine[j]) for i, j in itertools.combinations(range(len(sets)), 2))
+        assert len(links) == len(sets) - len(set(group))
+
+
+def test_unlinked_sets_end_at_their_first_tokens():
+    import time
+
+    rng = np.random.default_rng(0)
+    sets = [(k, np.unique(rng.integers(0, 1 << 60, 200))) for k in range(2000)]
+    began = time.time()
+    assert ngram_join.linked_pairs(sets, ngram_join.Threshold(9, 10)) == []
+    assert time.time() - began < 10
+
+
 def test_groups_in_parts():
     import pyarrow as pa
 
