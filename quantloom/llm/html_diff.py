@@ -252,5 +252,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", pa
     outer = edge.select("part", "row", F.lag(side).over(line).alias("outer_before"), F.lead(side).over(line).alias("outer_after"))
     at_edges = edge.join(outer, ["part", "row"]).mapInArrow(_resolved, _schema(_SHARED))
     judged = materialize(paired.where("row > 0 and not last").select("k", "host", "by_place").unionByName(at_edges))
-    found = lead_of.join(materialize(deletions(judged)).withColumnRenamed("k", "lead"), "lead").select("k", "n_shared", "deleted")
+    of_lead = materialize(deletions(judged)).withColumnRenamed("k", "lead")
+    # written, so that its size is known before the pages are read
+    found = materialize(lead_of.join(of_lead, "lead").select("k", "n_shared", "deleted"))
     return rows.join(found, "k", "left").mapInArrow(_extracted, _schema(_DONE))
