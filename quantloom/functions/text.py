@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def json_text(text: Column) -> Column:
     """The first JSON object or array of an answer: a fenced block, the whole text, or the outermost braces; else null."""
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*[\[{]"), F.trim(c))
-    fenced = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    braces = F.nullif(F.regexp_extract(text, r"(\{[\s\S]*\})", 1), F.lit(""))
-    return F.coalesce(valid(fenced(r"```json\s*([\s\S]*?)\s*```")), valid(fenced(r"```\s*([\s\S]*?)\s*```")), valid(text), valid(braces))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull() & c.rlike(r"^\s*[\[{]"), F.regexp_replace(c, r"^\s+|\s+$", ""))
+    block = F.regexp_extract(text, r"(?s)```(?:json)?(.*?)```", 1)
+    # from the first opening brace to the last closing one
+    braces = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    return F.coalesce(valid(block), valid(text), valid(braces))
 
 
 def compacted(text: Column) -> Column:
@@ -31,11 +32,11 @@ def deviates(claimed: Column, real: Column, limit: float) -> Column:
 
 
 def position_percent(text: Column) -> Column:
-    """"a-b%" is the middle, "a%" is a, anything else 5."""
-    number = r"([0-9]+(?:\.[0-9]+)?)"
-    span = rf"{number}\s*-\s*{number}\s*%?"
-    low, high = (F.regexp_extract(text, span, k).try_cast("double") for k in (1, 2))
-    return F.coalesce((low + high) / 2, F.regexp_extract(text, number, 1).try_cast("double"), F.lit(5.0))
+    """"a-b%" is the middle, "a%" is a, anything else 5: the mean of the first number and one joined to it by a dash."""
+    digits = r"[0-9]+(?:\.[0-9]+)?"
+    ends = F.split(F.regexp_extract(text, rf"{digits}(?:\s*-\s*{digits})?", 0), "-")
+    low, high = F.trim(F.get(ends, F.lit(0))).try_cast("double"), F.trim(F.get(ends, F.lit(1))).try_cast("double")
+    return F.coalesce((low + high) / 2, low, F.lit(5.0))
 
 
 def market_cap(text: Column) -> Column:
@@ -72,6 +73,11 @@ def market_prefix(code: Column) -> Column:
     return F.concat(F.when(head.isin("6", "5"), "sh").when(head.isin("4", "8"), "bj").otherwise("sz"), code)
 
 
+def without_prefix(symbol: Column) -> Column:
+    """A symbol's code without the two letters of its exchange."""
+    return F.substring(symbol, 3, 1000)
+
+
 def risk_fragment(text: Column, markers: tuple[str, ...], stops: str = "[.;]", least: int = 5) -> Column:
     """Up to three clauses that begin with a marker word and end at a stop; short ones and repeats are left out."""
     parts = [F.trim(F.regexp_extract(text, rf"({m}[^.;]*)", 1)) for m in markers]

@@ -99,12 +99,12 @@ def last_bars(bars: DataFrame) -> DataFrame:
 
 def closes(bars: DataFrame, most: int | None = None) -> DataFrame:
     """(code, cs, n): a code's closes in date order, the last `most` of them."""
+    if most is not None:
+        n = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("d")))
+        bars = bars.select("code", "d", "c", n.alias("_n")).where(F.col("_n") <= most)
     pairs = F.array_sort(F.collect_list(F.struct("d", "c")))
     cs = F.transform(pairs, lambda x: x["c"].cast("double"))
-    out = bars.groupBy("code").agg(cs.alias("cs"))
-    if most is not None:
-        out = out.withColumn("cs", F.slice("cs", F.greatest(F.size("cs") - most + 1, F.lit(1)), F.lit(most)))
-    return out.withColumn("n", F.size("cs"))
+    return bars.groupBy("code").agg(cs.alias("cs")).withColumn("n", F.size("cs"))
 
 
 def with_features(bars: DataFrame, profile: str = "live") -> DataFrame:

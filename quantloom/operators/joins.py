@@ -83,6 +83,23 @@ def event_matches(events: DataFrame, key: str = "doc_id", title: str = "title",
     return t.select(F.col("id").alias("eid"), "h").join(best, "h", "left").groupBy("eid").agg(F.min("best").alias("doc_id"))
 
 
+def enhanced_events(original: DataFrame, enhanced: DataFrame, n: int = 10, certain: int = 50) -> DataFrame:
+    """enhanced(eid, title, verified, certainty) with oid, the least original(oid, title) whose first n characters its title
+    holds or that holds its own; without one, only verified events of `certain` or more stay.
+
+    Titles are short: each gives its parts of up to n characters once, and parts meet by equality.
+    """
+    parts = lambda t, m: F.when(F.length(t) >= m, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - m + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(m))))
+    windows = lambda t: F.array_distinct(F.flatten(F.filter(F.array(*[parts(t, m) for m in range(1, n + 1)]), lambda x: x.isNotNull())))
+    o = original.where("title is not null").groupBy("title").agg(F.min("oid").alias("oid"))
+    e = enhanced.where("title is not null").select("title").distinct()
+    held = e.select("title", F.explode(windows(F.col("title"))).alias("k")).join(o.groupBy(F.substring("title", 1, n).alias("k")).agg(F.min("oid").alias("oid")), "k").select("title", "oid")
+    holds = o.select("oid", F.explode(windows(F.col("title"))).alias("k")).groupBy("k").agg(F.min("oid").alias("oid"))
+    holder = e.select("title", F.substring("title", 1, n).alias("k")).join(holds, "k").select("title", "oid")
+    best = held.unionByName(holder).groupBy("title").agg(F.min("oid").alias("oid"))
+    return enhanced.join(best, "title", "left").where(F.col("oid").isNotNull() | (F.col("verified") & (F.col("certainty") >= certain)))
+
+
 def reordered(items: DataFrame, wanted: DataFrame) -> DataFrame:
     """items(code, pos, ...) in the order of wanted(code, at), then the rest in their own; unknown and repeated codes drop out."""
     first = wanted.groupBy("code").agg(F.min("at").alias("at"))

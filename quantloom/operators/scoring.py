@@ -78,7 +78,7 @@ SIGNAL_RSI = "case when rsi6 < 30 then 10 when rsi6 >= 60 and rsi6 < 70 then 8 w
 SIGNAL_LABEL = """case when total >= 75 and ma5 > ma10 and ma10 > ma20 and ma20 > ma60 then 'STRONG_BUY' when total >= 60 and ma5 > ma10 then 'BUY' when total >= 45 then 'HOLD' when total >= 30 then 'WAIT' else 'SELL' end"""
 
 # -- the older strategy, kept as the baseline of comparisons
-OLD_GATES = """coalesce(ma5 < ma10 and ma10 < ma20, false) or coalesce(c < o and p_c1 < p_o1 and p_c2 < p_o2, false) or coalesce(c < p_c1 and p_c1 < p_c2 and v < p_v1 and v < p_v1 and p_v1 < p_v2, false)"""
+OLD_GATES = """coalesce(ma5 < ma10 and ma10 < ma20, false) or coalesce(c < o and p_c1 < p_o1 and p_c2 < p_o2, false) or coalesce(c < p_c1 and p_c1 < p_c2 and v < p_v1 and p_v1 < p_v2, false)"""
 
 
 def top_count(rows: Column, share: Column | float, low: int, high: int) -> Column:

@@ -69,7 +69,8 @@ def health(bars: DataFrame, window: int = 310) -> DataFrame:
 def second_layer(chosen: DataFrame, bars: DataFrame) -> DataFrame:
     """chosen(code, regime, quant, pattern_score, source) scored again: vetoes, health, volume; the best 5 to 30 stay."""
     use = chosen.select("code", "regime", "quant", "pattern_score", "source")
-    last = use.join(latest_features(bars), "code").join(health(bars), "code")
+    few = bars.join(use.select("code"), "code", "left_semi")  # features and histories of the chosen codes alone
+    last = use.join(latest_features(few), "code").join(health(few), "code")
     last = last.where(f"not ({scoring.FIVE_FALLS}) and not ({scoring.CRASH})")
     last = last.withColumns({"health": F.expr(scoring.HEALTH_L2), "volume": F.expr(scoring.VOLUME_L2)})
     whole = Window.partitionBy()

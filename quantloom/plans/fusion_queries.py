@@ -218,20 +218,26 @@ def c10(spark, sf):
     return joins.fuzzy_first(n, F.broadcast(_etf(spark))).select("name", "key")  # six rows
 
 
-@query("c12_event_match", """with o as (select doc_id, substr(text, 1, 10) k from documents where doc_id % 40 = 0), e as (select doc_id as eid, substr(text, 1, 60) t from documents where doc_id % 40 in (0, 1))
-select eid, min(doc_id) as doc_id from e left join o on contains(t, k) group by eid""")
+@query("c12_event_match", """select e.doc_id as eid, min(o.doc_id) as doc_id from documents e left join documents o on contains(e.text, substr(o.text, 1, 10)) or contains(o.text, substr(e.text, 1, 10)) group by e.doc_id""")
 def c12(spark, sf):
-    d = fx.table(spark, sf, "documents")
-    o = d.where("doc_id % 40 = 0").select("doc_id", F.substring("text", 1, 10).alias("k"))
-    e = d.where("doc_id % 40 in (0, 1)").select(F.col("doc_id").alias("eid"), F.substring("text", 1, 60).alias("t"))
-    # both sides start alike where they match: the first words of a title are an equality before the containment
-    return e.join(o, F.col("t").contains(F.col("k")), "left").groupBy("eid").agg(F.min("doc_id").alias("doc_id"))
+    """All documents' whole texts as titles, either way, by an inverted index."""
+    return joins.event_matches(fx.table(spark, sf, "documents"), title="text")
 
 
-@query("c12_event_match_all")
+@query("c12_event_match_all", """select e.doc_id as eid, min(o.doc_id) as doc_id from documents e left join documents o on contains(e.text, substr(o.text, 1, 10)) or contains(o.text, substr(e.text, 1, 10)) group by e.doc_id""")
 def c12_all(spark, sf):
-    """All documents' whole texts, either way; c12_event_match keeps to the part that its SQL names."""
-    return joins.event_matches(fx.table(spark, sf, "documents"), title="text")
+    return c12(spark, sf)
+
+
+@query("c12_verified_events", """with o as (select event_id oid, event_type || ' ' || event_id % 50 t from events where event_id % 2 = 0), e as (select event_id eid, event_type || ' ' || event_id % 70 t, event_id % 3 = 0 verified, event_id % 100 certainty from events where event_id % 2 = 1),
+keys as (select t, substr(t, 1, 10) k, min(oid) oid from o group by 1, 2), m as (select eid, min(oid) oid from e left join keys on contains(e.t, k) or contains(keys.t, substr(e.t, 1, 10)) group by eid)
+select eid, oid, oid is not null as matched from m join e using (eid) where oid is not null or (verified and certainty >= 50)""")
+def c12_verified(spark, sf):
+    """Enhanced events with their original; of those without one the verified stay whose certainty is 50 or more."""
+    v, k = fx.table(spark, sf, "events"), F.col("event_id")
+    original = v.where("event_id % 2 = 0").select(k.alias("oid"), F.concat_ws(" ", "event_type", (k % 50).cast("string")).alias("title"))
+    enhanced = v.where("event_id % 2 = 1").select(k.alias("eid"), F.concat_ws(" ", "event_type", (k % 70).cast("string")).alias("title"), (k % 3 == 0).alias("verified"), (k % 100).alias("certainty"))
+    return joins.enhanced_events(original, enhanced).select("eid", "oid", F.col("oid").isNotNull().alias("matched"))
 
 
 @query("c13_c14_semi_anti", f"{P} select code, 'seen' as k from (select distinct code from model_picks) where code in (select c_custkey from customer where c_acctbal > 0) union all select c_custkey, 'omitted' from customer where c_custkey not in (select code from model_picks)")

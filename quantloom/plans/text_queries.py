@@ -76,10 +76,7 @@ def a15(spark, sf):
 @query("a16_a18_snapshot_round_trip", "select n_nationkey, n_name, n_regionkey from nation")
 def a16(spark, sf):
     """A dated snapshot written to the shared folder and read back; Spark's committer makes it all or nothing."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    path = feeds.shared_path(spark, "snapshot")
     n = fx.table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     feeds.write_snapshot(n, path, kind="json")
     return spark.read.schema(n.schema).json(path)
@@ -197,7 +194,7 @@ def i17(spark, sf):
     return g.select("code", fixed("slope").alias("slope"), fixed(F.col("a") - F.col("slope") * 2).alias("intercept"))
 
 
-@query("z2_z3_z4_regroup_opinions", f"with {fx.PICKS} select code, count(*) as n, string_agg(model || '#' || rank, ',' order by model) as models from model_picks group by code")
+@query("z2_z3_z4_regroup_opinions", f"with {fx.PICKS} select code, count(*) as n, string_agg(model || '#' || rank, ',' order by model, rank) as models from model_picks group by code")
 def z2(spark, sf):
     p = fx.model_picks(spark, sf).groupBy("model").agg(F.collect_list(F.struct("code", "rank")).alias("picks"))
     x = p.select("model", F.explode("picks").alias("p")).select("model", "p.*")
@@ -273,20 +270,53 @@ def g12(spark, sf):
     return patterns.pattern_scores(spark, patterns.chart_patterns(fx.bars_walk(spark, sf)))
 
 
-def merged_events(rows: DataFrame, title: str = "title", by: str = "kind") -> DataFrame:
-    """Order-dependent clustering by kind: a title joins the first cluster with one of whose first three words it shares."""
+def event_clusters(rows: DataFrame, title: str = "title", by: str = "kind") -> DataFrame:
+    """(kind, t, cluster): titles' first 20 characters, in the order of pos, by the first cluster with one of whose first
+    three words they contain; one that fits none begins a cluster.
+
+    Order decides, so each kind is one group; but it holds each title once, whatever the number of its events.
+    """
     import pandas as pd
 
+    first = rows.select(F.col(by).alias("kind"), F.coalesce(F.substring(title, 1, 20), F.lit("")).alias("t"), "pos").groupBy("kind", "t").agg(F.min("pos").alias("pos"))
+
     def cluster(f: pd.DataFrame) -> pd.DataFrame:
-        keys: dict[str, int] = {}
-        for t in f.sort_values("pos")[title]:
-            t = (t or "")[:20]
-            hit = next((k for k in keys if any(len(w) > 1 and w in t for w in k.split()[:3])), t)
-            keys[hit] = keys.get(hit, 0) + 1
-        out = [(f[by].iloc[0], k, n) for k, n in keys.items()]
-        return pd.DataFrame(out, columns=["kind", "cluster", "n"])
+        names: list[str] = []
+        of_word: dict[str, int] = {}  # the first cluster that has the word
+        out = []
+        for t in f.sort_values("pos")["t"]:
+            parts = (t[i:j] for i in range(len(t)) for j in range(i + 2, len(t) + 1))
+            at = min((of_word[x] for x in parts if x in of_word), default=len(names))
+            if at == len(names):
+                names.append(t)
+                for w in t.split()[:3]:
+                    if len(w) > 1:
+                        of_word.setdefault(w, at)
+            out.append((f["kind"].iloc[0], t, names[at]))
+        return pd.DataFrame(out, columns=["kind", "t", "cluster"])
+
+    return first.groupBy("kind").applyInPandas(cluster, "kind string, t string, cluster string")
+
+
+def merged_events(rows: DataFrame, title: str = "title", by: str = "kind") -> DataFrame:
+    """(kind, cluster, n): the events of each cluster of a kind."""
+    t = rows.select(F.col(by).alias("kind"), F.coalesce(F.substring(title, 1, 20), F.lit("")).alias("t"))
+    return t.join(event_clusters(rows, title, by), ["kind", "t"]).groupBy("kind", "cluster").agg(F.count("*").alias("n"))
+
+
+def top_events(rows: DataFrame, most: int = 5, beneficiaries: int = 10) -> DataFrame:
+    """(kind, cluster, votes, certainty, beneficiaries) of the `most` clusters of a kind by votes and certainty.
 
-    return rows.groupBy(by).applyInPandas(cluster, "kind string, cluster string, n long")
+    rows: kind, title, pos, certainty, code, score.  A cluster's beneficiaries are its codes by votes, then best score.
+    """
+    t = rows.withColumn("t", F.coalesce(F.substring("title", 1, 20), F.lit(""))).join(event_clusters(rows), ["kind", "t"])
+    c = t.groupBy("kind", "cluster").agg(F.count("*").alias("votes"), F.max("certainty").alias("certainty"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("votes"), F.desc("certainty"), "cluster"))
+    c = c.withColumn("place", place).where(F.col("place") <= most)
+    b = t.where("code is not null").groupBy("kind", "cluster", "code").agg(F.count("*").alias("n"), F.max("score").alias("score"))
+    b = b.withColumn("at", F.row_number().over(Window.partitionBy("kind", "cluster").orderBy(F.desc("n"), F.desc("score"), "code"))).where(F.col("at") <= beneficiaries)
+    b = b.groupBy("kind", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("beneficiaries"))
+    return c.join(b, ["kind", "cluster"], "left")
 
 
 @query("h10_event_merge")
@@ -295,16 +325,19 @@ def h10(spark, sf):
     return merged_events(d)
 
 
+@query("h10_top_events")
+def h10_top(spark, sf):
+    k = F.col("doc_id")
+    d = fx.table(spark, sf, "documents").select(F.col("source").alias("kind"), F.substring("text", 1, 40).alias("title"), k.alias("pos"), (k % 100).alias("certainty"), (k % 7).cast("string").alias("code"), (k % 50).alias("score"))
+    return top_events(d)
+
+
 @query("j1_streaming_bars", f"with {fx.TICKS} select code, d, o, h, l, c, v from bars_tick")
 def j1(spark, sf):
     """The streaming extension over the events file: a run to the end of what is there."""
-    import uuid
-
     from quantloom.streaming.bars import run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    tag = uuid.uuid4().hex
-    t = run_available(spark, sf, "events.parquet", f"bars_{tag}", f"{base}/stream-{tag}")
+    t = run_available(spark, sf, "events.parquet", feeds.shared_path(spark, "stream"))
     return t.select("code", F.to_date("start").alias("d"), "o", "h", "l", "c", "v")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Column aliases of bars, in order of preference.
@@ -62,6 +64,29 @@ def write_snapshot(df: DataFrame, path: str, by: str | None = None, kind: str =
     w.save(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a local one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_partitions(spark: SparkSession, path: str, by: str, before: str) -> list[str]:
+    """Delete the partitions of a dated store whose value is less than `before`; their values. The names alone are read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for folder in files.listStatus(root):
+        key, _, value = folder.getPath().getName().partition("=")
+        if key == by and value < before:
+            files.delete(folder.getPath(), True)
+            gone.append(value)
+    return sorted(gone)
+
+
 def fresh(stored: DataFrame, now: Column, hours: float, at: str = "stored_at") -> DataFrame:
     """Rows not older than so many hours."""
     return stored.where(F.col(at) >= now - F.make_dt_interval(hours=F.lit(int(hours))))
@@ -69,5 +94,7 @@ def fresh(stored: DataFrame, now: Column, hours: float, at: str = "stored_at") -
 
 def last_n_per_code(bars: DataFrame, n: int, least: int) -> DataFrame:
     """(code, bars): the last n bars of each code with at least `least` of them, in date order."""
-    g = bars.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("d", "c"))).alias("bars")).where(F.size("bars") >= least)
-    return g.select("code", F.slice("bars", F.greatest(F.size("bars") - n + 1, F.lit(1)), F.lit(n)).alias("bars"))
+    by = Window.partitionBy("code")
+    x = bars.select("code", "d", "c", F.row_number().over(by.orderBy(F.desc("d"))).alias("_n"), F.count("*").over(by).alias("_k"))
+    x = x.where((F.col("_n") <= n) & (F.col("_k") >= least))
+    return x.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("d", "c"))).alias("bars"))
