@@ -16,8 +16,8 @@
 
 At scale: to the driver come the list of frequent shingles (at most `frequent`), a bitmap of 16 bits an open node (at
 most FILTER_BITS bits) and the nodes whose digests clash (of 10^10 sets some three), never links, components or
-fingerprints.  Blocks are bounded in sets and in shingles.  A token with more than HOT rows passes step 2 unchecked,
-and in step 4 its rows meet by pairs of parts, so no task gets more than two parts of one token.
+fingerprints.  Blocks are bounded in sets and in shingles.  The rows of a token with more than HOT of them meet by pairs
+of parts in steps 2 and 4, so no task gets more than two parts of one token.
 """
 
 from __future__ import annotations
@@ -328,8 +328,8 @@ def _narrow(spark, df: DataFrame) -> DataFrame:
 def _active(described: DataFrame, limit: Threshold) -> DataFrame:
     """(token, node, n, pos) where another node with the token in its prefix passes the bounds on sizes, positions and slots.
 
-    A token with more than HOT rows passes unchecked, its rows spread by node: more rows than needed change nothing but
-    the work.
+    A token with more than HOT rows is checked by pairs of parts of its rows; one with more than WHOLE_GROUP passes
+    unchecked, its rows spread by node: more rows than needed change nothing but the work.
     """
     first = described.where("prefix is not null")
     rows = first.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "node", F.col("pos").cast("long").alias("pos"))
@@ -361,13 +361,10 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
             yield pa.RecordBatch.from_pydict(dict(zip(("token", "n", "node", "pos"), held, strict=True)))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, n, node, pos, slots), whole in _by_token(batches, WHOLE_GROUP):
-            if whole:
-                yield pa.RecordBatch.from_pydict({"token": token, "n": n, "node": node, "pos": pos})
-                continue
-            ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
+        for (cell, n, node, pos, slots, token), _ in _by_token(batches):
+            ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
             starts = np.append(0, ends[:-1])
-            hit = np.zeros(len(token), bool)
+            hit = np.zeros(len(cell), bool)
             counts = np.frombuffer(b"".join(slots), np.uint8).reshape(len(slots), SLOTS)
             for size in np.unique(ends - starts):
                 if size == 1:
@@ -391,11 +388,16 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
 
     spark = described.sparkSession
     parts = rows.join(hot, "token", "left_anti").repartition("token").sortWithinPartitions("token", "n", "node")
-    shared = _narrow(spark, parts.mapInArrow(near, "token long, n long, node long, pos long"))
-    slots = shared.select("node").distinct().join(first.select("node", "slots"), "node").groupBy("node").agg(F.first("slots").alias("slots"))
-    wide = shared.join(slots, "node").select("token", "n", "node", "pos", "slots").repartition("token").sortWithinPartitions("token", "n", "node")
-    passed = rows.join(hot, "token", "left_semi").dropDuplicates(["token", "node"])
-    return materialize(wide.mapInArrow(alike, "token long, n long, node long, pos long").unionByName(passed))
+    shared = _narrow(spark, parts.mapInArrow(near, "token long, n long, node long, pos long").unionByName(rows.join(hot, "token", "left_semi").dropDuplicates(["token", "node"])))
+    big = materialize(shared.groupBy("token").count().where(F.col("count") > HOT).select("token", F.when(F.col("count") <= WHOLE_GROUP, F.ceil(F.col("count") / HOT)).alias("parts")))
+    checked = shared.join(big.where("parts is null"), "token", "left_anti").join(big.where("parts is not null"), "token", "left")
+    slots = checked.select("node").distinct().join(first.select("node", "slots"), "node").groupBy("node").agg(F.first("slots").alias("slots"))
+    part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
+    spread = checked.withColumn("with", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")))
+    cell = F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.least(part, "with"), F.greatest(part, "with")))
+    wide = spread.withColumn("cell", cell).join(slots, "node").select("cell", "n", "node", "pos", "slots", "token").repartition("cell").sortWithinPartitions("cell", "n", "node")
+    found = wide.mapInArrow(alike, "token long, n long, node long, pos long").distinct()
+    return materialize(found.unionByName(shared.join(big.where("parts is null"), "token", "left_semi").select("token", "n", "node", "pos")))
 
 
 def _bitmap(names: DataFrame) -> tuple[bytes, int]:
@@ -473,11 +475,19 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, nam
     mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     labelled = labelled.join(mixed, "token", "left_semi")
 
-    # rows of a token in parts of HOT, every two parts together once
-    parts = labelled.groupBy("token").agg(F.ceil(F.count("*") / HOT).alias("parts")).where("parts > 1")
-    labelled = labelled.join(parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")))
-    met = labelled.withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
-    cell = F.xxhash64("token", F.least("part", "with"), F.greatest("part", "with")).alias("cell")
+    # where a token has many rows, those outside its largest component meet the others by parts of both
+    sides = labelled.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", "count").alias("major"), F.max("count").alias("most"), F.sum("count").alias("all"))
+    big = materialize(sides.where(F.col("all") > HOT).select("token", "major", F.ceil(F.col("most") / HOT).alias("majors"), F.ceil((F.col("all") - F.col("most")) / HOT).alias("minors")))
+    few = labelled.join(big, "token", "left_anti").select(F.col("token").alias("cell"), "n", "node", "pos", "label", F.lit(0).cast("long").alias("part"))
+    many = labelled.join(big, "token").withColumn("major", F.col("label") == F.col("major"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))))
+    meet = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
+    named_cell = lambda kind, x, y: F.xxhash64("token", F.lit(kind), x, y).alias("cell")
+    body_ = ["n", "node", "pos", "label"]
+    across = many.where("major").withColumn("other", meet("minors")).select(named_cell("across", "other", "own"), *body_, F.lit(0).cast("long").alias("part"))
+    across = across.unionByName(many.where("not major").withColumn("other", meet("majors")).select(named_cell("across", "own", "other"), *body_, F.lit(1).cast("long").alias("part")))
+    among = many.where("not major").withColumn("other", meet("minors")).select(named_cell("among", F.least("own", "other"), F.greatest("own", "other")), *body_, F.col("own").cast("long").alias("part"))
+    met = few.unionByName(across).unionByName(among)
 
     def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, _ in _by_token(batches):
@@ -486,7 +496,7 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, nam
             for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
                 yield from _across(*(c[i:j] for c in columns[1:]), limit)
 
-    pairs = met.select(cell, "n", "node", "pos", "label", F.col("part").cast("long").alias("part")).repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(differing, "a long, b long")
+    pairs = met.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(differing, "a long, b long")
     pairs = materialize(pairs.distinct())
     body = sets.select("node", "tokens")
 
