@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, release, tables
 
 MAX_ROUNDS = 60
 
@@ -26,9 +26,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): label is the least node of the component of edges (a, b); nodes without edges are absent."""
     edges = edges.select("a", "b").where("a <> b")
-    before = None
+    before, mark, spark = None, tables(), edges.sparkSession
     for _ in range(MAX_ROUNDS):
         edges = materialize(_small_star(_large_star(edges)))
+        release(spark, mark, keep=1)  # the round before is read no more
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == now:
             break

@@ -9,7 +9,7 @@ passage within the edits allowed, one piece at least is within its own share of
 
 For each document, in one pass and without a shuffle:
 1. Windows that cannot match a piece are left out by the q-gram lemma: within k edits, n words share n - q + 1 - k * q
-   word q-grams.  This loses nothing.
+   word q-grams.  This loses nothing: where that number is not above 0, all windows are looked at.
 2. The CGK random walk turns a window into symbols: step j writes the word under the cursor, and a random bit of (j,
    word) says whether the cursor moves on.  Few edits leave most symbols equal, whatever they shift.
 3. Each repetition samples a few symbols; equal samples make a candidate.  Walks are as many as `recall` asks for at
@@ -136,16 +136,19 @@ def walks_needed(n: int, similarity: float, recall: float) -> int:
 class Items:
     """A block of benchmark items: vocabulary, q-grams by piece length, and LSH keys of the pieces."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], similarity: float, recall: float, min_words: int, any_length: bool = False):
+    def __init__(self, rows: list[tuple[int | None, str | None]], similarity: float, recall: float, min_words: int, any_length: bool = False, run_words: int = 4):
         self.similarity, self.any_length = similarity, any_length
         self.vocabulary: dict[str, int] = {}
         self.ids: list[int | None] = []
         self.tokens: list[np.ndarray] = []
         self.whole: dict[tuple[str, ...], list[int | None]] = {}
+        self.runs: dict[int, dict[tuple[str, ...], list[int | None]]] = {}
         for item, text in rows:
             words = words_of(text)
-            if words and len(words) < min_words:
+            if words and len(words) < min(min_words, run_words):
                 self.whole.setdefault(tuple(words), []).append(item)
+            elif words and len(words) < min_words:
+                self.runs.setdefault(len(words), {}).setdefault(tuple(words), []).append(item)
             elif words:
                 self.ids.append(item)
                 self.tokens.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
@@ -187,16 +190,34 @@ class Items:
         """Least number of q-grams that a matching window of a piece of n words has in common with it."""
         return n - Q + 1 - Q * np.floor((1 - self.similarity) * n + 1e-9).astype(np.int64)
 
+    def quoted(self, words: list[str]) -> list[int | None]:
+        """Items of less than min_words words that the document holds as they are."""
+        found = list(self.whole.get(tuple(words), ()))
+        for n, runs in self.runs.items():
+            starts = {r[0] for r in runs}
+            for i in [i for i in range(len(words) - n + 1) if words[i] in starts]:
+                found += runs.get(tuple(words[i : i + n]), ())
+        return found
+
     def sample(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, classes: np.ndarray, walk: int) -> np.ndarray:
         return sampled(tokens, starts, lengths, classes, self.bits[walk], self.spots[walk], self.salt)
 
     def windows(self, tokens: np.ndarray, doc_from: np.ndarray, doc_to: np.ndarray) -> tuple[np.ndarray, ...]:
         """(start, length, class) of the windows that share enough q-grams with pieces of a length."""
         empty = (np.zeros(0, np.int64),) * 3
+        found = []
+        for n in map(int, self.classes[self.need(self.classes) <= 0]):
+            # so many edits may leave no q-gram whole: every window is looked at
+            slack = edits_allowed(n, self.similarity)
+            last = np.maximum(doc_to - max(1, n - slack), doc_from)
+            starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(doc_from, last, strict=True)])
+            ends = np.minimum(starts + n + slack, doc_to[np.searchsorted(doc_from, starts, side="right") - 1])
+            found.append((starts, ends - starts, np.full(len(starts), n, np.int64)))
+        gathered = lambda: tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
         known = tokens > 0
         at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:]) if len(tokens) >= Q else np.zeros(0, np.int64)
         if not len(at) or not len(self.gram):
-            return empty
+            return gathered()
         codes = self.code(tokens[at], tokens[at + 1], tokens[at + 2])
         spot = np.minimum(np.searchsorted(self.gram, codes), len(self.gram) - 1)
         hit = self.gram[spot] == codes
@@ -205,17 +226,16 @@ class Items:
         inside = at + Q <= doc_to[doc]
         at, spot = at[inside], spot[inside]
         if not len(at):
-            return empty
+            return gathered()
         n_of = self.gram_to[spot] - self.gram_from[spot]
         where = np.repeat(at, n_of)
         offset = np.arange(n_of.sum()) - np.repeat(np.cumsum(n_of) - n_of, n_of)
         kind = self.gram_class[np.repeat(self.gram_from[spot], n_of) + offset]
-        found = []
         for c in np.unique(kind):
             n, p = int(self.classes[c]), where[kind == c]
             slack = edits_allowed(n, self.similarity)  # a piece's passage may be longer or shorter by so many words
-            need = max(1, int(self.need(n)))
-            if len(p) < need:
+            need = int(self.need(n))
+            if need <= 0 or len(p) < need:
                 continue
             head, tail = p[: len(p) - need + 1], p[need - 1 :]
             near = tail - head <= n + slack - Q
@@ -232,7 +252,7 @@ class Items:
             if len(starts):
                 ends = np.minimum(starts + n + slack, doc_to[np.searchsorted(doc_from, starts, side="right") - 1])
                 found.append((starts, ends - starts, np.full(len(starts), n, np.int64)))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else empty
+        return gathered()
 
     def matches(self, tokens: np.ndarray, doc_from: np.ndarray, doc_to: np.ndarray) -> set[tuple[int, int]]:
         """Confirmed (document, item) of documents that lie one after another in tokens; 0 stands for unknown words."""
@@ -305,15 +325,17 @@ class Items:
         return bool((edit_distances(windows, np.broadcast_to(item, (len(starts), n))) <= limit).any())
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.999, min_words: int = 8, block_items: int = 20_000, any_length: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8, recall: float = 0.999, min_words: int = 8, block_items: int = 20_000, any_length: bool = False, run_words: int = 4) -> DataFrame:
     """Mark the documents that hold a passage of a benchmark item.
 
     similarity: 1 - edits / words of the item that still count.  recall: of the LSH step, at the limit of similarity.
-    min_words: shorter items count only as a whole text that equals them, since a few words occur anywhere.
+    min_words: shorter items count only where a run of the document's words equals them; those of fewer than run_words
+    only where the whole text does, since a few words occur anywhere.
     any_length: passages may be longer or shorter than the item, so that an added or a lost word is one edit.
 
     Result: the columns of docs and contaminated (boolean), items (sorted distinct item ids), which replace columns of
-    those names.  Null and empty texts: false, no items.  Null item ids mark a document but are not listed; items
+    those names.  Null and empty texts: false, no items; texts of any length are read whole.  Repeated rows are judged
+    alike, an empty table gives an empty table.  Null item ids mark a document but are not listed; items
     without words match nothing; repeated items are all listed.  An empty benchmark marks nothing.
     """
     spark = docs.sparkSession
@@ -326,13 +348,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         held = spark.sparkContext.broadcast(sorted(((r["item"], r["text"]) for r in part.toLocalIterator()), key=str))
-        out = out.mapInArrow(_marker(held, text, similarity, recall, min_words, any_length), schema)
+        out = out.mapInArrow(_marker(held, text, similarity, recall, min_words, any_length, run_words), schema)
     return out
 
 
-def _marker(held, text: str, similarity: float, recall: float, min_words: int, any_length: bool):
+def _marker(held, text: str, similarity: float, recall: float, min_words: int, any_length: bool, run_words: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(held.value, similarity, recall, min_words, any_length)
+        items = Items(held.value, similarity, recall, min_words, any_length, run_words)
         known = items.vocabulary
         for batch in batches:
             docs = [words_of(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
@@ -343,9 +365,9 @@ def _marker(held, text: str, similarity: float, recall: float, min_words: int, a
             hits: dict[int, set] = {}
             for d, i in items.matches(tokens, of[filled], to[filled]):
                 hits.setdefault(int(filled[d]), set()).add(items.ids[i])
-            if items.whole:
+            if items.whole or items.runs:
                 for k, d in enumerate(docs):
-                    for i in items.whole.get(tuple(d), ()) if d else ():
+                    for i in items.quoted(d) if d else ():
                         hits.setdefault(k, set()).add(i)
             before = batch.column(batch.schema.get_field_index("items")).to_pylist()
             was = batch.column(batch.schema.get_field_index("contaminated")).to_pylist()

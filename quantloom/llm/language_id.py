@@ -93,9 +93,9 @@ def held_out(doc_id: str, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _sample(docs: DataFrame, text: str, lang: str, doc_id: str, sample_docs: int, per_language: int) -> tuple[list[str], list]:
+def _sample(docs: DataFrame, text: str, lang: str, doc_id: str, sample_docs: int, per_language: int, most_languages: int) -> tuple[list[str], list]:
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("h"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not counts:
         return [], []
     each = max(2, min(per_language, sample_docs // len(counts)))
@@ -128,15 +128,18 @@ def _sample(docs: DataFrame, text: str, lang: str, doc_id: str, sample_docs: int
     return sorted(counts), kept
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 2000, per_language: int = 300, epochs: int = 6, reject_rate: float = 0.001, above_chance: float = 0.15) -> LanguageModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = 2000, per_language: int = 300, most_languages: int = 1000, epochs: int = 6, reject_rate: float = 0.001, above_chance: float = 0.15) -> LanguageModel:
     """Learn from at most per_language documents of a language and about sample_docs in all, none of them held out.
 
+    most_languages: bound of the sample of labelled rows in languages; the commonest are learnt, others never predicted.
+    Documents with a null text or language teach nothing; repeated rows are one document; an empty table gives a model
+    that knows no language.  Ties in a language's sample go by a hash of id and text.
     reject_rate: share of correctly predicted calibration documents that the rejection threshold may lose.
     above_chance: part of the way from chance to certainty that the threshold never passes, so that short texts and
     texts in two languages, whose best language is still likelier than chance, are not rejected.
     """
     small_batches(docs.sparkSession)
-    languages, rows = _sample(docs, text, lang, doc_id, sample_docs, per_language)
+    languages, rows = _sample(docs, text, lang, doc_id, sample_docs, per_language, most_languages)
     number = {x: k for k, x in enumerate(languages)}
     data = [(np.array(r["buckets"], np.int64), np.array(r["shares"], np.float32), number[r["lang"]], r["piece"], r["h"] % 4 == 0) for r in rows]
     rng = np.random.default_rng(11)
@@ -183,7 +186,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """The columns of docs and lang_pred (string), score (double), rejected (boolean), which replace columns of those names.
 
     Null, empty and letterless texts: "und", 0, rejected.  Ties go to the first language by code point.  The whole text
-    is read, whatever its length.
+    is read, whatever its length.  Repeated rows are judged alike; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)

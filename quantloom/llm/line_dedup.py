@@ -7,12 +7,14 @@ Pass 2 shuffles only keys that the twice-seen filter suspects, as (digest, docum
 beforehand, and confirms them by SHA-256 digest.  Pass 3 rewrites the texts against the confirmed set, which is
 broadcast when it is small enough and otherwise joined by digest.
 
-At scale: the filters have a fixed size (`filter_bits`), whatever the corpus; a full filter only lets more keys reach
-the exact pass.  A key that a third of all documents hold reaches the shuffle once per task.
+At scale: the filters have 16 bits for each line of the corpus, up to 2^30 bits (128 MB, which a task holds twice while it
+fills them and once while it looks up); beyond some 10^8 lines a fuller filter lets more keys reach the exact pass, which
+stays exact.  How full they are is logged.  A key that a third of all documents hold reaches the shuffle once per task.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 from hashlib import sha256
@@ -29,6 +31,7 @@ from .runtime import extended, materialize, small_batches, texts, with_columns,
 SPACE = b" \t\n\x0b\x0c\r"
 PROBES = 4
 SEGMENTS = 8
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 
 
 def line_key(line: bytes) -> bytes:
@@ -80,6 +83,12 @@ class TwoBlooms:
         return self.has(self.twice, bit_positions(hashes, self.bits)) if len(hashes) else np.zeros(0, bool)
 
 
+def bits_for(docs: DataFrame, text: str) -> int:
+    """16 bits for each line of the corpus, as a power of two within bounds."""
+    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * int(lines)).bit_length()))
+
+
 def twice_filter(docs: DataFrame, text: str, bits: int) -> bytes:
     """The twice-seen filter over all documents: bits / 8 bytes, however large the corpus."""
 
@@ -119,6 +128,8 @@ def twice_filter(docs: DataFrame, text: str, bits: int) -> bytes:
     for r in rows:
         piece = zlib.decompress(r["twice"])
         out[r["segment"] * len(piece) : (r["segment"] + 1) * len(piece)] = piece
+    full = int(np.bitwise_count(np.frombuffer(out, np.uint8)).sum()) / bits
+    logging.getLogger(__name__).info("twice-seen filter: %d bits, %.2f %% set", bits, 100 * full)
     return bytes(out)
 
 
@@ -168,12 +179,13 @@ def _rewrite(text: bytes | None, drop, keep_first: bool) -> tuple[bytes, int, in
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", min_docs: int = 10, keep: str = "none", filter_bits: int = 1 << 26, broadcast_keys: int = 1_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", min_docs: int = 10, keep: str = "none", filter_bits: int | None = None, broadcast_keys: int = 100_000) -> DataFrame:
     """Remove lines whose key is found in min_docs or more documents.
 
     keep: "none" removes every occurrence; "first" leaves the first one in the document with the least `order`.
-    filter_bits: bits of each Bloom filter.  broadcast_keys: confirmed keys (32 bytes each) to broadcast at most;
-    beyond it they are joined by digest.
+    filter_bits: bits of each Bloom filter; by default from the number of lines.  broadcast_keys: confirmed keys to
+    broadcast at most (100,000 are 3 MB to the driver and some 15 MB in a worker); beyond it they are joined by digest,
+    where Spark splits the partitions of a digest or a text that very many rows share.
 
     Result: the columns of docs with `text` rewritten, and n_lines, n_dropped (long), which replace columns of those
     names.  Null or empty text: one empty line, nothing dropped, text "".  Empty lines have no key and stay.  Repeated
@@ -185,7 +197,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", min_
     spark = docs.sparkSession
     small_batches(spark)
     docs = without(docs, "n_lines", "n_dropped")
-    keys = materialize(repeated_lines(docs, text, order, min_docs, filter_bits))
+    keys = materialize(repeated_lines(docs, text, order, min_docs, filter_bits or bits_for(docs, text)))
     schema = extended(docs.schema, ("n_lines", T.LongType()), ("n_dropped", T.LongType()))
     first = keep == "first"
     if keys.count() <= broadcast_keys:

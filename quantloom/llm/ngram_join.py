@@ -473,7 +473,7 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, nam
     # what is left: pairs in different components that share a prefix token
     labelled = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    labelled = labelled.join(mixed, "token", "left_semi")
+    labelled = labelled.join(materialize(mixed), "token", "left_semi")
 
     # where a token has many rows, those outside its largest component meet the others by parts of both
     sides = labelled.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", "count").alias("major"), F.max("count").alias("most"), F.sum("count").alias("all"))

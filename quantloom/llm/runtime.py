@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch; with texts of 100 KB a batch stays near 25 MB.
-BATCH_ROWS = 256
+#: Most rows and bytes of an Arrow batch; a batch holds one row at least, however long.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 #: Used where the session names no shared folder, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
@@ -39,15 +39,25 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Prepare for Arrow functions: ship the code, and bound a batch's rows, so that long texts don't fill a worker."""
+    """Prepare for Arrow functions: ship the code, and bound a batch's rows and bytes, so that long texts don't fill a worker.
+
+    The session's settings are lowered for good, since Spark reads them when a plan runs, not when it is built.
+    """
     ship_code(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """A new folder under spark.checkpoint.dir, which all executors see; a local one only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = LOCAL_CHECKPOINTS
     return f"{base.rstrip('/')}/quantloom-{uuid.uuid4().hex}"
 
 
@@ -65,16 +75,34 @@ def _forget(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    Cuts the lineage and survives the loss of any executor; the files go when the driver's process ends.
+    Cuts the lineage and survives the loss of any executor; the files go by release(), or when the driver's process ends.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_forget, spark, path)
+    _tables.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Tables of this process that are not released.
+_tables: list[str] = []
+
+
+def tables() -> int:
+    """How many tables there are: a mark for release()."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Delete the tables written since the mark, but the last `keep` of them; nothing may read the others any more."""
+    last = len(_tables) - keep
+    for path in _tables[mark:last]:
+        _forget(spark, path)
+    del _tables[mark:last]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df less the columns (in any case) that an operator is about to add: the operator's win."""
     taken = {n.lower() for n in names}

@@ -52,15 +52,24 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float, iterations: int) -> DataFrame:
-    """(host, rank) with rank = (1 - damping) * seed + damping * what comes over edges (src, dst, share)."""
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float, iterations: int, tolerance: float = 1e-9) -> DataFrame:
+    """(host, rank) with rank = (1 - damping) * seed + damping * what comes over edges (src, dst, share).
+
+    No rank ever falls from one iteration to the next, so their sum tells when they have settled: every CUT iterations
+    it is compared, and the rank is done where it grew by less than the tolerance.
+    """
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("own"))
     rank = start.select("host", F.col("own").alias("rank"))
+    total = None
     for k in range(iterations):
         flow = edges.join(rank, edges["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("own"))
         rank = start.unionByName(flow).groupBy("host").agg(F.sum("own").alias("rank"))
         if k % CUT == CUT - 1 and k + 1 < iterations:
             rank = materialize(rank)
+            now = rank.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+            if total is not None and now - total <= tolerance * now:
+                break
+            total = now
     return rank
 
 
@@ -72,12 +81,9 @@ def blocked_hosts(pages: DataFrame, edges: DataFrame, damping: float, iterations
     bad = seeds.where("bad > 0").select("host", F.col("bad").alias("seed"))
     out_n = edges.groupBy("src").agg(F.sum("n").alias("all"))
     forward = materialize(edges.join(out_n, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    if forward.isEmpty():
-        trust, distrust = (s.select("host", (F.col("seed") * (1 - damping)).alias("rank")) for s in (good, bad))
-    else:
-        trust = personalised_rank(forward, good, damping, iterations)
-        # who links to a blocked host is distrusted by the share of links that go there
-        distrust = personalised_rank(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share"), bad, damping, iterations)
+    trust = personalised_rank(forward, good, damping, iterations)
+    # who links to a blocked host is distrusted by the share of links that go there
+    distrust = personalised_rank(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share"), bad, damping, iterations)
     scores = distrust.withColumnRenamed("rank", "distrust").join(trust.withColumnRenamed("rank", "trust"), "host", "left")
     d, t = F.col("distrust"), F.coalesce("trust", F.lit(0.0))
     return scores.where((d >= least * (1 - damping)) & (d >= ratio * (d + t))).select("host")

@@ -62,6 +62,13 @@ def test_line_dedup_first_stays(spark, limit):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "q\nX", 2: "", 3: "y"}
 
 
+def test_line_dedup_filter_follows_the_lines(spark):
+    assert line_dedup.bits_for(documents(spark, [(1, None), (2, "")]), "text") == line_dedup.LEAST_BITS
+    many = spark.range(1000).select(F.repeat(F.lit("x\n"), 999).alias("text"))
+    assert line_dedup.bits_for(many, "text") == 1 << 24
+    assert line_dedup.dedup_lines(documents(spark, [(1, "x")]).where("false")).count() == 0
+
+
 def test_two_blooms_never_miss():
     blooms = line_dedup.TwoBlooms(1 << 10)
     h = np.random.default_rng(0).integers(0, 2**63, 300).astype(np.uint64)
@@ -91,6 +98,47 @@ def test_language_awkward_rows(spark):
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_bound_and_repeats(spark):
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("der Hund und die Katze", "de"), ("der Hund und die Katze", "de"), ("le chat est ici", "fr")] * 8)]
+    docs = documents(spark, rows).withColumn("LANG_PRED", F.lit("clash"))
+    few = language_id.train(docs, most_languages=2)
+    assert "de" in few.languages and len(few.languages) == 2
+    model = language_id.train(docs)
+    assert model.languages == ["de", "en", "fr"]
+    out = language_id.identify(docs, model)
+    assert "LANG_PRED" not in out.columns and len({(r.text, r.lang_pred, r.score) for r in out.collect()}) == 3
+    assert language_id.identify(docs.where("false"), model).count() == 0
+
+
+# -- shared tables
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from quantloom.llm import runtime
+
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="checkpoint"):
+            runtime.shared_folder(Elsewhere)
+
+
+def test_tables_are_released(spark):
+    from quantloom.llm import runtime
+
+    mark = runtime.tables()
+    a, b = (runtime.materialize(spark.range(k)) for k in (3, 4))
+    runtime.release(spark, mark, keep=1)
+    assert b.count() == 4 and runtime.tables() == mark + 1
+    with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+        a.count()
+    runtime.release(spark, mark)
+
+
 # -- quality classifier
 
 
@@ -134,6 +182,17 @@ def test_url_verdicts(spark):
     assert got[20] == ("a.example.org:8", "/en/12", None, "allow") and got[21] == ("example.org", "", None, "allow")
 
 
+def test_rank_settles_early_and_without_edges(spark):
+    s = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    none = spark.createDataFrame([], "src string, dst string, share double")
+    assert [tuple(r) for r in url_filters.personalised_rank(none, s, 0.85, 200).collect()] == [("a", pytest.approx(0.15))]
+    loop = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, share double")
+    got = {r.host: r["rank"] for r in url_filters.personalised_rank(loop, s, 0.5, 60).collect()}
+    assert got == pytest.approx({"a": 2 / 3, "b": 1 / 3}, abs=1e-6)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filters.filter_urls(pages, URL_RULES).count() == 0
+
+
 def test_rank_against_brute_force(spark):
     edges = {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "c"): 1.0, ("c", "a"): 1.0}
     e = spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, dst string, share double")
@@ -244,6 +303,33 @@ def test_decontamination_of_long_items(spark, any_length):
     assert sum(len(x) for x in got.values()) >= 0.98 * 160
 
 
+def test_decontamination_at_low_similarity(spark):
+    """Where so many edits are allowed that no q-gram need be left whole."""
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(300)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, " ".join(say(12))) for k in range(6)]
+    rows = []
+    for k in range(60):
+        words = items[k % 6][1].split()
+        for at in (1, 4, 7, 10)[: 3 + k % 2]:
+            words[at] = "zzz"
+        rows.append((k, " ".join([*say(k % 9), *words, *say(9)])))
+    got = {r.doc_id: r["items"] for r in decontam.decontaminate(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), similarity=0.6).collect()}
+    assert all(set(got[k]) <= {k % 6} for k in range(60)) and sum(map(len, got.values())) >= 0.98 * 60
+
+
+def test_decontamination_of_short_items(spark):
+    items = [(1, "what is the answer now"), (2, "yes it is"), (3, "one two three four"), (4, "Is the answer now, yes it")]
+    rows = [(1, "so What is THE answer, now?"), (2, "oh yes it is"), (3, "Yes, it is"), (4, "one two four three"), (5, "what is the answer now yes it is one two three four"), (5, "what is the answer now yes it is one two three four"), (6, "x " * 50_000 + "one two three four"), (7, None), (8, "")]
+    docs = documents(spark, rows).withColumn("Items", F.lit("clash"))
+    out = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "contaminated", "items"]
+    got = sorted((r.doc_id, tuple(r["items"])) for r in out.collect())
+    assert got == [(1, (1,)), (2, ()), (3, (2,)), (4, ()), (5, (1, 3, 4)), (5, (1, 3, 4)), (6, (3,)), (7, ()), (8, ())]
+    assert decontam.decontaminate(docs.where("false"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_decontamination_empty_benchmark(spark):
     out = decontam.decontaminate(documents(spark, [(1, "x")]), spark.createDataFrame([], "item_id long, text string")).collect()
     assert not out[0].contaminated and out[0]["items"] == []
@@ -287,6 +373,54 @@ def test_mixing_targets_and_rounding(spark):
     assert mixing.mix_sources(documents(spark, rows).where("false")).count() == 0
 
 
+def brute_rates(rows, want, cap=3):
+    """The dual by gradient steps on all documents: rates, and mu."""
+    size = np.array([len(WORD.findall(r[1] or "")) for r in rows], float)
+    names = list(want)
+    of = np.array([names.index(r[3]) for r in rows])
+    x = np.log(np.maximum(size, 1))
+    mean = (size * x).sum() / size.sum()
+    sd = ((size * x * x).sum() / size.sum() - mean**2) ** 0.5
+    z, total = (x - mean) / sd, size.sum()
+    targets = np.array([want[n] for n in names])
+    own = np.bincount(of, size, len(names))
+    mu, lam = 0.0, np.full(len(names), 0.0)
+
+    def settle(mu):
+        for k in range(len(names)):  # each source's lambda by bisection
+            low, high = -40.0, 40.0
+            for _ in range(90):
+                mid = (low + high) / 2
+                r = np.minimum(cap, np.exp(mid + mu * z[of == k]))
+                low, high = (mid, high) if (r * size[of == k]).sum() < targets[k] else (low, mid)
+            lam[k] = low if own[k] else 0.0
+        r = np.minimum(cap, np.exp(lam[of] + mu * z))
+        return r, (r * size * z).sum() + mixing.RIDGE * total * mu
+
+    low, high = -5.0, 5.0
+    for _ in range(60):
+        mu = (low + high) / 2
+        r, g = settle(mu)
+        low, high = (mu, high) if g < 0 else (low, mu)
+    return r, mu
+
+
+def test_mixing_dual_against_brute_force(spark):
+    rng = random.Random(15)
+    rows = [(k, " ".join(["w"] * max(1, int(rng.lognormvariate({"a": 1, "b": 3, "c": 4}[s], 1)))), "en", s) for k, s in enumerate(rng.choices("abc", (6, 3, 1), k=600))]
+    rows += [(1000, "x " * 60_000, "en", "b"), (1001, "", "en", "none")]
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(WORD.findall(r[1] or ""))
+    want = brute_targets(sizes)
+    rates, mu = brute_rates(rows, want)
+    got = {r.doc_id: r for r in mixing.mix_sources(documents(spark, rows).withColumn("Copies", F.lit("clash"))).collect()}
+    assert abs(mu) > 0.01 and all(got[r[0]].rate == pytest.approx(x, rel=1e-3, abs=1e-6) for r, x in zip(rows, rates, strict=True) if r[3] != "none")
+    for s in sizes:
+        due = sum(got[r[0]].rate * got[r[0]].size for r in rows if r[3] == s)
+        assert due == pytest.approx(want[s], rel=1e-5, abs=1e-6)
+
+
 # -- quality rules
 
 
