@@ -17,7 +17,7 @@ from quantloom.llm.language_id import identify, train
 from quantloom.llm.line_dedup import dedup_lines
 from quantloom.llm.mixing import mixed
 from quantloom.llm.ngram_join import ngram_components
-from quantloom.llm.runtime import materialize
+from quantloom.llm.runtime import materialize, release, tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -72,10 +72,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each reads the table that the one before wrote to the shared folder."""
+    """All stages over `documents`; each reads the table that the one before wrote to the shared folder.
+
+    A stage's own tables and the one that it read are deleted once its result is written.  A missing or empty benchmark
+    text marks nothing, an empty table of documents gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = tables()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs)
+            release(spark, first, keep=1)
     return docs
