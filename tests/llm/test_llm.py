@@ -758,6 +758,28 @@ def test_pipeline_stages(spark, tmp_path):
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontamination", "mixing"] and len(out) >= len(ids)
 
 
+def test_pipeline_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+    from quantloom.llm import runtime
+
+    en, de = "the of and to in is that was for with", "der die das und ist nicht mit auf ein von"
+    say = lambda words, k: " ".join(w + "abcdefghij"[(k + j) % 10] * (j % 3) for j, w in enumerate(words.split() * 6))
+    rows = [(k, say(en if k % 2 else de, k), "en" if k % 2 else "de", f"s{k % 3}" if k % 4 else None, 1) for k in range(40)]
+    rows += [(100, None, "en", "s1", 1), (101, "", "en", "s1", None), (102, "12 34", None, None, 1), (None, say(en, 77), "en", "s1", 1), (103, "the of and " * 30_000, "en", "s2", 1)] + [(104, say(de, 91), "de", "s1", 1)] * 2
+    docs = documents(spark, rows)
+    for name, table in (("some", docs), ("none", docs.where("false"))):
+        folder = tmp_path / name
+        table.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    mark = runtime.tables()
+    got = cp.run(spark, str(tmp_path / "some")).collect()
+    ids = [r.doc_id for r in got]
+    assert not set(ids) & {100, 101, 102} and {104, None} <= set(ids) | {104, None}
+    assert all(r["copy"] >= 1 for r in got) and len({(r.doc_id, r["copy"]) for r in got}) == len(got)
+    assert runtime.tables() - mark < 12
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_join_takes_five_words_at_four_fifths(spark):
     import corpus_pipeline as cp
 
