@@ -151,6 +151,50 @@ def test_quality_and_toxicity(spark):
     assert x[0] > 0.97 and x[1] > 0.95 and x[2] < 0.25
 
 
+def test_quality_on_held_out_labels(spark):
+    """A third of the labels is never seen; rounds=1 is the supervised baseline."""
+    d = SMALL.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(d + "/documents.parquet"), spark.read.parquet(d + "/labels.parquet")
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    right = {}
+    for rounds in (1, 4):
+        model = cotraining.train(docs, labels.where(~unseen), rounds=rounds)
+        got = cotraining.score_documents(docs, model).join(labels.where(unseen), "doc_id")
+        right[rounds] = got.select(F.avg(((F.col("quality_score") >= 0.5) == (F.col("quality") == 1)).cast("double"))).first()[0]
+    assert right[1] > 0.95 and right[4] >= right[1] - 0.01
+
+
+def test_quality_of_words_alone(spark):
+    """Documents that look alike and differ in their words; the metadata says the same as the words for most."""
+    rng = random.Random(3)
+    good, bad, common = (["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)] for _ in range(3))
+    say = lambda own: " ".join(rng.choice(own if rng.random() < 0.3 else common) for _ in range(60))
+    rows = [(k, say(good if k % 2 else bad), "en", ("g" if k % 2 else "b") if k % 10 < 8 else "x", 360) for k in range(600)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 300)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows).withColumn("KEPT", F.lit("clash"))
+    model = cotraining.train(docs, labels)
+    out = cotraining.score_documents(docs, model)
+    got = {r.doc_id: r.quality_score for r in out.collect()}
+    assert out.columns[-3:] == ["quality_score", "toxic_score", "kept"] and "KEPT" not in out.columns
+    assert sum((got[k] >= 0.5) == bool(k % 2) for k in range(300, 600)) >= 290 and max(model.handed_over) > 0
+    assert cotraining.score_documents(docs.where("false"), model).count() == 0
+
+
+def brute_odds(words, labels, bucket):
+    n = {c: sum(y == c for y in labels) for c in (0, 1)}
+    k = {c: sum(bucket in w for w, y in zip(words, labels, strict=True) if y == c) for c in (0, 1)}
+    odds = np.log((k[1] + 1) / (n[1] + 2)) - np.log((k[0] + 1) / (n[0] + 2))
+    return max(-3, min(3, odds)) if k[0] + k[1] >= 2 else 0
+
+
+def test_word_odds_against_brute_force():
+    rng = np.random.default_rng(0)
+    words = [np.unique(rng.integers(0, 30, 8)) for _ in range(40)]
+    labels = rng.integers(0, 2, 40)
+    odds = cotraining.word_odds(words, labels)
+    assert all(odds[b] == pytest.approx(brute_odds(words, labels, b), abs=1e-5) for b in range(40))
+
+
 def test_quality_without_labels(spark):
     docs = documents(spark, [(1, None), (2, ""), (3, "text " * 30_000, "en", "s", 5)])
     model = cotraining.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
@@ -193,6 +237,48 @@ def test_rank_settles_early_and_without_edges(spark):
     assert url_filters.filter_urls(pages, URL_RULES).count() == 0
 
 
+def brute_verdicts(pages, rules, damping=0.85, iterations=20, ratio=0.6, least=0.3):
+    parts, judged, links = {}, {}, {}
+    for p, url, html in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.lower()
+        fits = [(len(h) + len(q), h + q, v) for h, q, v in rules if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        parts[p] = (host, max(fits)[2] if fits else None)
+        if host:
+            judged.setdefault(host, []).append(parts[p][1])
+        for other in {x.lower() for x in re.findall(r'href="https?://([^/"]+)', html or "")} - {host}:
+            links[host, other] = links.get((host, other), 0) + 1
+    out = {}
+    for (a, _), n in links.items():
+        out[a] = out.get(a, 0) + n
+    share = {e: n / out[e[0]] for e, n in links.items()}
+    seeds = {v: {h: sum(x == v for x in xs) / (len(xs) + 2) for h, xs in judged.items()} for v in ("allow", "block")}
+    trust = brute_rank(share, {h: s for h, s in seeds["allow"].items() if s}, damping, iterations)
+    distrust = brute_rank({(b, a): s for (a, b), s in share.items()}, {h: s for h, s in seeds["block"].items() if s}, damping, iterations)
+    bad = {h for h, x in distrust.items() if x >= least * (1 - damping) and x >= ratio * (x + trust.get(h, 0))}
+    return {p: v or ("block" if h in bad else "allow") for p, (h, v) in parts.items()}
+
+
+def test_verdicts_against_brute_force(spark):
+    """Hosts that link to each other: farms that point at blocked hosts, friends of allowed ones, and both."""
+    rng = random.Random(23)
+    hosts = [f"good{k}.org" for k in range(4)] + [f"bad{k}.com" for k in range(4)] + [f"site{k}.net" for k in range(30)]
+    pages = []
+    for k, host in enumerate(hosts):
+        liked = rng.choice([hosts[:4], hosts[4:8], hosts[8:], hosts])
+        for n in range(rng.randint(1, 6)):
+            path = f"/de/{n}" if host.endswith(".com") and n % 4 else f"/p{n}"
+            html = "".join(f'<a href="http://{rng.choice(liked)}/x">' for _ in range(rng.randint(0, 4)))
+            pages.append((100 * k + n, f"http://{host}{path}", html + '<a href="/inside">' + "text " * (40_000 if k + n == 0 else 3)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.filter_urls(df.union(df.limit(5)), URL_RULES).collect()}
+    want = brute_verdicts(pages, URL_RULES)
+    ruled = brute_verdicts([(p, u, "") for p, u, _ in pages], URL_RULES)
+    assert got == want and sum(ruled[p] != want[p] for p in want) >= 3  # links change verdicts
+
+
 def test_rank_against_brute_force(spark):
     edges = {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "c"): 1.0, ("c", "a"): 1.0}
     e = spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, dst string, share double")
