@@ -43,9 +43,7 @@ lines as (
   select rid, host, text, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as k
   from (select rid, host, text, unnest(ls) as line from base)),
 keyed as (select *, len(k) - len(replace(k, ' ', '')) + 1 as n from lines where k <> ''),
-texts as (select host, count(distinct text) as texts from base group by host),
-often as (
-  select x.host, k from (select host, k, count(distinct text) as c from keyed group by all) x join texts t on t.host is not distinct from x.host where c > 20 and c > 0.0005 * texts),
+often as (select host, k from keyed group by all having count(distinct text) > 20),
 lost as (select rid, count(*) as n_removed_lines, sum(n) as lost from keyed x join often o on o.k = x.k and o.host is not distinct from x.host group by rid),
 counts as (
   select doc_id, len(w) as n_words, coalesce(len(array_to_string(w, '')), 0) as word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,

@@ -1,18 +1,21 @@
 """Personal data: exact base patterns, and further spans by weak supervision.
 
-Base spans (email, ip, card, phone) follow fixed patterns and checks.  Further candidates, long tokens with digits
-outside base spans, get votes of five labelers: the token's form, a gazetteer of words before it, the context around it,
-its entropy, and its mixture of character classes.  Expectation maximisation over the votes of all documents estimates
-how reliable each labeler is; its posteriors train a logistic span classifier, which then decides on every candidate.
-
-At scale: one pass over the texts writes spans and candidates; what EM and the classifier learn from is the histogram of
-vote patterns by length and digit share, at most CELLS rows whatever the corpus.
+Base spans (email, ip, card, phone) follow fixed patterns and checks.  Further candidates outside of them are secrets
+(long tokens with digits), passwords, ids (grouped numbers, account numbers), addresses and names.
+Each gets votes of five labelers, by kind: its form, gazetteers, the context around it, and two of shape (entropy and
+mixture of character classes for secrets and ids, place in the sentence and length for addresses and names).
+Expectation maximisation over the votes of all documents estimates how reliable each labeler is for each kind; its
+posteriors train a logistic span classifier of the kind, which then decides on every candidate.
+
+At scale: one pass over the texts writes spans and candidates; what EM and the classifiers learn from is the histogram of
+vote patterns by kind, length and digit share, at most 5 * CELLS rows whatever the corpus.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .runtime import materialize, small_batches
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "password", "id", "address", "name")
+ADDED = KINDS[4:]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match always takes whole digit runs, so possessive runs and a look-behind change nothing but the time
@@ -77,12 +81,45 @@ DIGIT_BINS = (0.15, 0.35, 0.6, 0.95)
 CELLS = 3**LABELERS * (len(LENGTH_BINS) + 1) * (len(DIGIT_BINS) + 1)
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/.-]{8,}")
 _FORM = re.compile(r"[A-Z]{4}[A-Z0-9]{16}|(?:[0-9a-f]{16,}|[0-9A-F]{16,})|(?:gh[pousr]_|sk-|xox[abp]-)[A-Za-z0-9_-]{10,}")
+_NUMBERED_NAME = re.compile(r"[A-Za-z]*(?:[-._/][0-9]+)+")
 _CREDENTIAL = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|auth|bearer|login|pin)\b", re.I)
 _PLAIN = re.compile(r"(?:https?|www|page|version|chapter|isbn|figure|year|file|doi)\b", re.I)
 _OPERATOR = re.compile(r"[:=]\s*[\"']?$")
 _PROSE = re.compile(r"[a-z,.]\s$")
 
 
+_PASSWORD = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase|wort)|pwd|contraseña|mot de passe|kennwort)\s{0,3}(?:[:=]|is|ist|est|es)\s{0,3}[\"']?([^\s\"',;]{6,64})")
+_ID = re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|[A-Z]{1,2} ?[0-9]{6,9}|[0-9]{2,4}(?: [0-9]{2,4}){2,4})(?![\w-])")
+_ADDRESS = re.compile(
+    r"(?<!\w)(?:[0-9]{1,5}[a-z]?,? (?:[A-ZÀ-Þ][a-zß-ÿ]{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)"
+    r"|[A-ZÄÖÜ][a-zäöüß]{1,20}(?:straße|strasse|weg|platz|allee|gasse) [0-9]{1,4}[a-z]?"
+    r"|[0-9]{1,4},? (?:rue|avenue|boulevard|place|allée) (?:(?:de|du|des|la|le|les) ){0,2}[A-ZÀ-Þ][a-zß-ÿ-]{1,20}"
+    r"|(?:Calle|Avenida|Plaza|Paseo) (?:(?:de|del|la|las|los) ){0,2}[A-ZÀ-Þ][a-zß-ÿ]{1,20},? [0-9]{1,4})(?!\w)"
+)
+_NAME = re.compile(r"(?<![\w'-])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]{1,20}(?: (?:(?:van|von|de|del|la|der) ){0,2}(?:[A-Z]\.|[A-ZÀ-ÖØ-Þ](?:'[A-Z])?[a-zß-öø-ÿ-]{1,20})){0,3}(?![\w'])")
+_TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme)\.?|\b(?:Miss|Herr|Herrn|Frau|Señor|Señora|Monsieur|Madame|Mister|Doctor|Professor)) $")
+_NAMED = re.compile(r"(?i)(?:\b(?:name(?:d| is|:)?|called|contact:?|signed(?: by)?|author:?|patient:?|customer:?|heißt|heiße|nombre:?|llamo|llama|nom:?|m'appelle|s'appelle|dear|sincerely,?|regards,?)) $")
+_LIVES = re.compile(r"(?i)\b(?:address:?|lives? (?:at|in)|living at|ship(?:ped)? to:?|resid\w+ (?:at|in)|home:?|wohnt (?:in|an)(?: der)?|adresse:?|anschrift:?|habite(?: au)?|dirección:?|vive en(?: la)?|domicilio:?) $")
+_NUMBERED = re.compile(r"(?i)\b(?:ssn|social security(?: number| no\.?)?|passport(?: number| no\.?)?|iban|account(?: number| no\.?)?|id(?: number| no\.?)?|licen[cs]e(?: number| no\.?)?|tax(?: id| number)?|ausweis(?:nummer)?|steuer-?id|dni|nif|numéro|reisepass|pasaporte|passeport)(?: is| ist| es| est)?[:#]? $")
+_NOT_NUMBERED = re.compile(r"(?i)\b(?:page|pages|years?|table|figure|chapter|line|lines|version|score|results?|of|and|from|to|between|isbn|order|invoice|model) $")
+#: Gazetteers of the labelers: given names; words that begin with a capital and are no names.
+GIVEN_NAMES = frozenset(
+    "Adam Alan Alice Amy Andrea Andrew Angela Ann Anna Anne Antonio Barbara Ben Brian Carlos Carmen Carol Charles Chris Christine Claire Daniel David Deborah Dennis Donna Edward Elena Elizabeth Emily Emma Eric "
+    "Eva Francisco Frank George Hans Heather Helen Henry Isabel Jack James Jane Javier Jean Jennifer Jessica Joan John Jorge José Joseph Juan Julia Julie Karen Karl Kate Kevin Klaus Laura Lisa Louis Lucas "
+    "Lucía Luis Manuel Marc Margaret Maria María Marie Mark Martin Mary Matthew Michael Michelle Miguel Monika Nancy Nicolas Olivia Pablo Patricia Paul Pedro Peter Petra Philippe Pierre Rachel Richard Robert "
+    "Rosa Ruth Samuel Sandra Sarah Sophie Stefan Stephen Steven Susan Thomas Ursula Victor William Wolfgang".split()
+)
+TITLES = frozenset("Mr Mrs Ms Dr Prof Sr Sra Mme Miss Herr Herrn Frau Señor Señora Monsieur Madame Mister Doctor Professor Dear".split())
+NO_NAMES = frozenset(
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December The This That These Those There Here And But For With From "
+    "When Where What Who Why How Street Avenue Road Park River Lake University College School Company Bank Hotel Museum Street North South East West New Saint Chapter Figure Table Page Section Version".split()
+)
+
+
+#: What is said of passwords.
+NO_PASSWORDS = frozenset("required incorrect expired invalid changed protected needed missing wrong correct stored encrypted hashed optional secret unknown".split())
+
+
 def entropy(token: str) -> float:
     n = len(token)
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
@@ -91,7 +128,7 @@ def entropy(token: str) -> float:
 def votes(text: str, start: int, end: int) -> tuple[int, ...]:
     token, before = text[start:end], text[max(0, start - 24) : start]
     digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
-    form = 2 if _FORM.fullmatch(token) and digits and letters else 1 if not letters or token.count(".") > 1 else 0
+    form = 2 if _FORM.fullmatch(token) and digits and letters else 1 if not letters or token.count(".") > 1 or _NUMBERED_NAME.fullmatch(token) else 0
     gazetteer = 2 if _CREDENTIAL.search(before) else 1 if _PLAIN.search(before) or "/" in token else 0
     context = 2 if _OPERATOR.search(before) else 1 if _PROSE.search(before) else 0
     h = entropy(token)
@@ -101,10 +138,59 @@ def votes(text: str, start: int, end: int) -> tuple[int, ...]:
     return form, gazetteer, context, chaos, mixture
 
 
-def cell(text: str, start: int, end: int) -> int:
-    """The candidate's votes and features as one number below CELLS."""
-    code = 0
-    for v in votes(text, start, end):
+def account_checks(token: str) -> bool:
+    """The remainder test of international account numbers."""
+    t = token.replace(" ", "")
+    return 15 <= len(t) <= 34 and t[:2].isalpha() and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def id_votes(text: str, start: int, end: int) -> tuple[int, ...]:
+    token, before = text[start:end], text[max(0, start - 40) : start]
+    grouped = len(token) == 11 and token[3] == token[6] == "-"
+    form = 2 if grouped and token[:3] not in ("000", "666") and token[0] != "9" and token[4:6] != "00" or account_checks(token) else 1 if token.replace(" ", "").isdigit() else 0
+    gazetteer = 2 if _NUMBERED.search(before) else 1 if _NOT_NUMBERED.search(before) else 0
+    context = 2 if _OPERATOR.search(before) or before[-2:] in (": ", "# ") else 1 if _PROSE.search(before) and not _NUMBERED.search(before) else 0
+    digits = sum(c.isdigit() for c in token)
+    return form, gazetteer, context, 2 if digits >= 8 else 1 if digits < 7 else 0, 2 if grouped or token[0].isalpha() else 1
+
+
+def address_votes(text: str, start: int, end: int) -> tuple[int, ...]:
+    token, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 24]
+    form = 2 if re.match(r",? (?:[A-Z]{2} )?[0-9]{4,5}\b|,? [A-ZÀ-Þ][a-zß-ÿ]+,? [A-Z]{2} [0-9]{5}", after) else 0
+    words = token.replace(",", "").split()
+    gazetteer = 1 if NO_NAMES & set(words[1:-1]) or re.match(r" (?:Books?|Journal|Band|Films?|station|bridge)\b", after) else 2 if words[-1] in ("Street", "Avenue", "Road", "Lane", "Drive", "Boulevard") or not token[0].isdigit() else 0
+    context = 2 if _LIVES.search(before) else 1 if re.search(r"(?i)\b(?:page|chapter|in|since|year|of|figure|route) $", before) else 0
+    number = re.search(r"[0-9]+", token)
+    place = 1 if number and 1500 <= int(number[0]) <= 2100 and token[0].isdigit() else 2
+    return form, gazetteer, context, place, 2 if 2 <= len(words) <= 5 else 1
+
+
+def name_votes(text: str, start: int, end: int) -> tuple[int, ...]:
+    token, before = text[start:end], text[max(0, start - 24) : start]
+    words = token.split()
+    form = 2 if 2 <= len(words) <= 4 else 0
+    gazetteer = 1 if NO_NAMES & set(words) else 2 if words[0] in GIVEN_NAMES else 0
+    context = 2 if _TITLE.search(before) or _NAMED.search(before) else 0
+    inside = re.search(r"[a-zß-ÿ,] $", before)
+    return form, gazetteer, context, 2 if inside else 1 if not before or re.search(r"[.!?\n]\s*$", before) else 0, 1 if len(words) == 1 and context != 2 else 2 if len(words) > 1 else 0
+
+
+def password_votes(text: str, start: int, end: int) -> tuple[int, ...]:
+    token, before = text[start:end].rstrip(".!?"), text[max(0, start - 24) : start]
+    mixed = sum(any(f(c) for c in token) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
+    form = 2 if mixed > 1 else 0
+    gazetteer = 1 if token.lower() in NO_PASSWORDS else 0
+    context = 2 if _OPERATOR.search(before) else 0
+    return form, gazetteer, context, 2 if entropy(token) >= 2.8 and token.lower() not in NO_PASSWORDS else 1, 2 if len(token) >= 8 else 0
+
+
+VOTES = {"secret": votes, "password": password_votes, "id": id_votes, "address": address_votes, "name": name_votes}
+
+
+def cell(text: str, start: int, end: int, kind: str = "secret") -> int:
+    """The candidate's kind, votes and features as one number below 5 * CELLS."""
+    code = ADDED.index(kind)
+    for v in VOTES[kind](text, start, end):
         code = code * 3 + v
     token = text[start:end]
     share = sum(c.isdigit() for c in token) / len(token)
@@ -112,24 +198,43 @@ def cell(text: str, start: int, end: int) -> int:
     return code * (len(DIGIT_BINS) + 1) + sum(share >= x for x in DIGIT_BINS)
 
 
+def _found(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, start, end) of what may be personal data, the kinds that win an overlap first."""
+    digits = bool(_DIGIT.search(text))
+    for m in _PASSWORD.finditer(text):
+        if len(m[1]) < 8 or not _DIGIT.search(m[1]):  # others are secrets
+            yield "password", m.start(1), m.end(1)
+    if digits:
+        for m in _ID.finditer(text):
+            yield "id", m.start(), m.end()
+        for m in _ADDRESS.finditer(text):
+            yield "address", m.start(), m.end()
+        for m in _CANDIDATE.finditer(text):
+            start, end = m.start(), m.end()
+            while end > start and text[end - 1] in ".-/+_":
+                end -= 1
+            if end - start >= 8 and _DIGIT.search(text, start, end):
+                yield "secret", start, end
+    for m in _NAME.finditer(text):
+        start, words = m.start(), m[0].split()
+        while words and words[0] in TITLES:  # belongs to what comes before the name
+            start += len(words.pop(0)) + 1
+        before = text[max(0, start - 24) : start]
+        if words and (words[0] in GIVEN_NAMES or _TITLE.search(before) or _NAMED.search(before)):
+            yield "name", start, m.end()
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, cell) of the tokens with a digit outside the spans taken."""
-    out, k = [], 0
-    if not _DIGIT.search(text):
-        return out
+    """(start, end, cell) of the candidates outside the spans taken, none in another one, by start."""
     spans = sorted((s, e) for _, s, e in taken)
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.start(), m.end()
-        while end > start and text[end - 1] in ".-/+_":
-            end -= 1
-        if end - start < 8 or not _DIGIT.search(text, start, end):
-            continue
-        while k < len(spans) and spans[k][1] <= start:
-            k += 1
-        if any(s < end and e > start for s, e in spans[k : k + 8]):
+    out = []
+    for kind, start, end in _found(text):
+        k = bisect_left(spans, (start, start))
+        if k and spans[k - 1][1] > start or k < len(spans) and spans[k][0] < end:
             continue
-        out.append((start, end, cell(text, start, end)))
-    return out
+        insort(spans, (start, end))
+        out.append((start, end, cell(text, start, end, kind)))
+    return sorted(out)
 
 
 def _unpack(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,6 +261,12 @@ def posteriors(v: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarr
     return p, table
 
 
+def fit_kinds(codes: np.ndarray, n: np.ndarray, threshold: float = 0.5) -> np.ndarray:
+    """For each cell of each kind whether the kind's classifier accepts it."""
+    kind = codes // CELLS
+    return np.concatenate([fit(codes[kind == k] % CELLS, n[kind == k], threshold) for k in range(len(ADDED))])
+
+
 def fit(codes: np.ndarray, n: np.ndarray, threshold: float = 0.5) -> np.ndarray:
     """For each of CELLS cells whether the span classifier accepts it; learned from cells seen n times."""
     accept = np.zeros(CELLS, bool)
@@ -182,8 +293,10 @@ def fit(codes: np.ndarray, n: np.ndarray, threshold: float = 0.5) -> np.ndarray:
 def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """A row per row of docs: doc_id, base and added (arrays of (kind, start, end), by start and kind).
 
-    Offsets are code points, the end exclusive.  Null and empty texts have no spans.  `added` never overlaps `base`.
-    Without candidates nothing is added.  Repeated rows get equal spans; other columns of docs play no part.
+    Offsets are code points, the end exclusive.  Null and empty texts have no spans; texts of any length are read whole.
+    `added` never overlaps `base`; of candidates that overlap one stays, passwords before ids, addresses, other secrets
+    and names, then the first.  Without candidates nothing is added; an empty table gives no rows.  Repeated rows get
+    equal spans, and count as often as they are there; other columns of docs play no part.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -202,10 +315,11 @@ def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
     scanned = materialize(rows.mapInArrow(scan, f"doc_id long, base {span}, more array<struct<start:long,end:long,cell:int>>"))
     cells = scanned.select(F.explode("more.cell").alias("cell")).groupBy("cell").count().orderBy("cell").toArrow()
-    accept = fit(cells["cell"].to_numpy().astype(np.int64), cells["count"].to_numpy(), threshold)
+    accept = fit_kinds(cells["cell"].to_numpy().astype(np.int64), cells["count"].to_numpy(), threshold)
     good = [int(c) for c in np.flatnonzero(accept)[np.isin(np.flatnonzero(accept), cells["cell"].to_numpy())]]
     chosen = F.filter("more", lambda x: x["cell"].isin(good)) if good else F.filter("more", lambda x: F.lit(False))
-    added = F.transform(chosen, lambda x: F.struct(F.lit("secret").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    name = F.array(*[F.lit(k) for k in ADDED])
+    added = F.transform(chosen, lambda x: F.struct(F.get(name, F.floor(x["cell"] / CELLS).cast("int")).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return scanned.select("doc_id", "base", added.cast(span).alias("added"))
 
 

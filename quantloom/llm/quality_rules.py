@@ -70,18 +70,21 @@ def normal_line(line: bytes) -> bytes:
 _DIGITS = bytes(48 if 48 <= i <= 57 else i for i in range(256))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_limit: int = 20, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 30, min_left_words: int = 20) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id", line_limit: int = 20, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 30, min_left_words: int = 20, count: str = "texts") -> DataFrame:
     """Judge documents by base rules and by what is left of them without their host's frequent lines.
 
-    A line is frequent on a host if more than line_limit of the host's distinct texts hold it, however many it has.
+    A line is frequent on a host if more than line_limit of the host's distinct texts hold it, however many it has; with
+    count="documents" copies of a text count one by one, so that the lines of a text copied often are frequent.
     A document that lost lines is depleted if less than min_left_percent of its words is left, or fewer than
     min_left_words.
 
     Result: a row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_lines,
     n_left_words (long), base_failed, depleted, kept (boolean).  A null host is a host of its own.  Null, empty and
     wordless texts: all counts of words 0, base_failed.  Repeated rows are judged alike.  Lines without words have no
-    key.  Other columns of docs play no part; an empty table gives no rows.
+    key.  Texts of any length are read whole.  Other columns of docs play no part; an empty table gives no rows.
     """
+    if count not in ("texts", "documents"):
+        raise ValueError("count: texts or documents")
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -109,12 +112,14 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"))
     schema = "doc_id long, host string, of long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, times array<int>, words array<int>"
     scanned = materialize(rows.mapInArrow(scan, schema))
-    distinct = materialize(scanned.groupBy("host", "of").agg(F.first("lines").alias("lines"), F.first("times").alias("times"), F.first("words").alias("words")))
-    per_line = distinct.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("texts_with")).where(F.col("texts_with") > line_limit)
+    distinct = materialize(scanned.groupBy("host", "of").agg(F.count("*").alias("copies"), F.first("lines").alias("lines"), F.first("times").alias("times"), F.first("words").alias("words")))
+    held_by = F.count("*") if count == "texts" else F.sum("copies")
+    per_line = distinct.select("host", "copies", F.explode("lines").alias("line")).groupBy("host", "line").agg(held_by.alias("texts_with")).where(F.col("texts_with") > line_limit)
     frequent = per_line.select(F.col("host").alias("h"), F.col("line").alias("l"))
     spread = distinct.select("host", "of", F.explode(F.arrays_zip("lines", "times", "words")).alias("x"))
+    # few lines are frequent: Spark broadcasts them, else it splits the partitions of a host's or a line's many rows
     removed = spread.join(materialize(frequent), spread["host"].eqNullSafe(F.col("h")) & (F.col("x.lines") == F.col("l"))).groupBy("host", "of").agg(F.sum("x.times").alias("removed"), F.sum("x.words").alias("lost"))
-    removed = removed.select(F.col("host").alias("h"), F.col("of").alias("o"), "removed", "lost")
+    removed = materialize(removed.select(F.col("host").alias("h"), F.col("of").alias("o"), "removed", "lost"))
     out = scanned.drop("lines", "times", "words").join(removed, F.col("host").eqNullSafe(F.col("h")) & (F.col("of") == F.col("o")), "left")
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

@@ -537,6 +537,17 @@ def test_frequent_lines_deplete(spark):
     assert not got[200].depleted and all(got[300 + k].kept for k in range(40))
 
 
+def test_frequent_lines_by_documents_or_texts(spark):
+    body = " ".join(f"w{j}" for j in range(80))
+    rows = [(k, f"{body}\ncopied line", "en", "h") for k in range(30)] + [(100, f"{'x ' * 60}\ncopied line", "en", "h"), (101, None, "en", "h"), (102, "long " * 60_000 + "\ncopied line", "en", None)]
+    docs = documents(spark, rows).withColumn("Kept", F.lit("clash")).withColumn("OF", F.lit(1))
+    texts = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    each = {r.doc_id: r for r in quality_rules.judge(docs, count="documents").collect()}
+    assert all(r.n_removed_lines == 0 for r in texts.values())
+    assert each[0].n_removed_lines == 2 and each[0].depleted and each[100].n_removed_lines == 1 and not each[100].depleted and each[102].n_removed_lines == 0
+    assert quality_rules.judge(docs.where("false")).count() == 0
+
+
 def test_frequent_lines_at_any_host_size(spark):
     menu = "home about contact login " * 15
     held = [(k, f"{menu}\nextra{k}", "en", "h") for k in range(21)] + [(50 + k, f"{'x ' * 60}\nonly {'abcdefghijklmnopqrst'[k]}\nrare", "en", "h") for k in range(20)]
@@ -588,6 +599,54 @@ def test_weak_supervision_adds_secrets(spark):
     assert pii_weak.find_personal_data(documents(spark, rows).where("false")).count() == 0
 
 
+def planted(rng):
+    """(text, spans by kind) with personal data, and with what only looks like it."""
+    pick = rng.choice
+    given, family = ["Anna", "Peter", "Maria", "Carlos", "Sophie", "Zbigniew", "Oluchi"], ["Miller", "Schmidt", "García", "Dubois", "Kowalski", "O'Brien"]
+    number = lambda n: "".join(pick("0123456789") for _ in range(n))
+    prose = ["the weather was fine", "we met at noon", "nothing of note happened", "prices rose again"]
+    name = f"{pick(given)} {pick(family)}"
+    kind, lead, body = pick(
+        [("name", pick(["my name is ", "please contact Mr. ", "signed by ", "dear ", "a letter from Frau "]), name)] * 2
+        + [("address", pick(["she lives at ", "ship to: ", "address: "]), f"{rng.randint(1, 999)} {pick(['Oak', 'Maple Hill', 'Green'])} {pick(['Street', 'Road', 'Avenue'])}"), ("address", "er wohnt in ", f"{pick(['Linden', 'Garten', 'Berg'])}straße {rng.randint(1, 99)}")]
+        + [("id", pick(["SSN: ", "social security number ", "ssn is "]), f"{rng.randint(100, 650)}-{rng.randint(10, 99)}-{number(4)}"), ("id", "passport number ", f"{pick('CFG')}{number(8)}")]
+        + [("password", pick(["password: ", "password is ", "pwd="]), "".join(pick("abcdefghijkmnop") for _ in range(10))), ("", "the password is ", pick(["required", "expired", "incorrect", "changed"])), ("secret", "token = ", "".join(pick("0123456789abcdef") for _ in range(32)))]
+        + [("", "see pages ", f"{number(3)} {number(3)} {number(3)}"), ("", "", "Monday Morning News"), ("", "as shown in 1984 ", "Green Park Road Books"), ("", "file-", f"{number(5)}.000-{number(4)}"), ("", "on May ", "Street East")]
+    )
+    before, after = f"{pick(prose)}, and ", f" {pick(prose)}."
+    at = len(before) + len(lead)
+    return before + lead + body + after, [(kind, at, at + len(body))] if kind else []
+
+
+def test_weak_supervision_recall_and_precision_by_kind(spark):
+    rng = random.Random(31)
+    cases = [planted(rng) for _ in range(1500)]
+    rows = [(k, t) for k, (t, _) in enumerate(cases)] + [(5000, None), (5001, ""), (5002, "plain words " * 40_000)] + [(0, cases[0][0])]
+    docs = documents(spark, rows).withColumn("Base", F.lit("clash"))
+    out = pii_weak.find_personal_data(docs).collect()
+    assert len(out) == len(rows) and all(not r.added for r in out if r.doc_id >= 5000)
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.added} for r in out}
+    for kind in pii_weak.ADDED:
+        want = {(k, *s) for k, (_, spans) in enumerate(cases) for s in spans if s[0] == kind}
+        found = {(k, *s) for k in range(len(cases)) for s in got[k] if s[0] == kind}
+        right = len(want & found)
+        assert right >= 0.9 * len(want) and right >= 0.9 * len(found), (kind, len(want), len(found), right)
+
+
+def test_reliabilities_against_brute_force():
+    """EM on votes of labelers with known error rates finds them."""
+    rng = np.random.default_rng(4)
+    truth = rng.random(20_000) < 0.4
+    quality = (0.95, 0.9, 0.85, 0.8, 0.6)
+    v = np.stack([np.where(rng.random(len(truth)) < 0.3, 0, np.where(rng.random(len(truth)) < q, truth, ~truth) + 1) for q in quality], axis=1)
+    patterns, n = np.unique(v, axis=0, return_counts=True)
+    p, table = pii_weak.posteriors(patterns, n.astype(float))
+    each = {tuple(x): y for x, y in zip(patterns, p, strict=True)}
+    assert np.mean([(each[tuple(x)] > 0.5) == y for x, y in zip(v, truth, strict=True)]) > 0.93
+    for k, q in enumerate(quality):
+        assert table[1, k, 2] / (table[1, k, 1] + table[1, k, 2]) == pytest.approx(q, abs=0.03)
+
+
 # -- HTML
 
 
