@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.expr import fixed, series
 from quantloom.operators import indicators as ind
-from quantloom.operators import labels, scoring
+from quantloom.operators import scoring
 from quantloom.operators.aggregates import special_trades
 from quantloom.operators.crosssec import market_regime
 from quantloom.operators.joins import contains_any, merge_tracks
-from quantloom.plans import funnel
+from quantloom.plans import funnel, rule_sql
 from quantloom.plans.indicator_queries import BF, FEATURES, LASTBARS, OSC, B, W, fix
 from quantloom.sources import fixtures as fx
 
@@ -43,15 +43,15 @@ def _lhb(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LHBX = f"{fx.LHB}, lhbx as (select code, count(*) lhb_count, cast(sum(net) as double) / 1e8 net from lhb group by code)"
-GATED = " and ".join(f"not ({g})" for g in scoring.gates(SCALED).values())
-REGIME = f"breadth as (select avg(case when c > ma20 then 1.0 else 0.0 end) breadth, avg(ret20) mean_ret, count(*) n from last where nbar >= 60), regime as (select *, {labels.REGIME} regime from breadth)"
+GATED = " and ".join(f"not ({g})" for g in rule_sql.GATES_SCALED.values())
+REGIME = f"breadth as (select avg(case when c > ma20 then 1.0 else 0.0 end) breadth, avg(ret20) mean_ret, count(*) n from last where nbar >= 60), regime as (select *, {rule_sql.REGIME} regime from breadth)"
 PRE = f"""{BF}, {LASTBARS}, {fx.BASICS}, {LHBX}, {REGIME}, gated as (select last.*, pe, mktcap from last left join basics using (code) where {GATED}),
 pre0 as (select g.*, lhb_count, net, regime, (rank() over (order by ret20) + (count(*) over (partition by ret20) - 1) / 2.0) / cast(count(*) over () as double) * 100 rps20, (rank() over (order by ret60) + (count(*) over (partition by ret60) - 1) / 2.0) / cast(count(*) over () as double) * 100 rps60,
-  {scoring.CHIP} chip, {scoring.LHB_BONUS} lhb_bonus from gated g left join lhbx using (code), regime),
-pre as (select *, {fix(f"case when regime = 'bear' then {scoring.QUANT_BEAR} else {scoring.QUANT_BULL} end", 1)} quant from pre0)"""
+  {rule_sql.CHIP} chip, {rule_sql.LHB_BONUS} lhb_bonus from gated g left join lhbx using (code), regime),
+pre as (select *, {fix(f"case when regime = 'bear' then {rule_sql.QUANT_BEAR} else {rule_sql.QUANT_BULL} end", 1)} quant from pre0)"""
 
 
-@query("b1_b7_gates", f"""{BF}, {LASTBARS}, {fx.BASICS} select code, {", ".join(f"{g} as {n}" for n, g in scoring.gates(SCALED).items())}, {scoring.FIVE_FALLS} as five_falls, {scoring.CRASH} as crash from last left join basics using (code)""")
+@query("b1_b7_gates", f"""{BF}, {LASTBARS}, {fx.BASICS} select code, {", ".join(f"{g} as {n}" for n, g in rule_sql.GATES_SCALED.items())}, {rule_sql.FIVE_FALLS} as five_falls, {rule_sql.CRASH} as crash from last left join basics using (code)""")
 def gates(spark, sf):
     x = funnel.latest_features(_bars(spark, sf)).join(fx.basics(spark, sf), "code", "left")
     return x.select("code", *(F.expr(g).alias(n) for n, g in scoring.gates(SCALED).items()), F.expr(scoring.FIVE_FALLS).alias("five_falls"), F.expr(scoring.CRASH).alias("crash"))
@@ -109,22 +109,22 @@ macd as (select code, cs, n300, list_reduce(list_transform(cs, lambda x: {{'a':
 hl as (select code, n300, m.a - m.b dif, m.dea dea, ema60, ema60_10 from macd)"""
 
 
-@query("f8_f9_health_and_volume", f"{BF}, {LASTBARS}, {L2} select code, {scoring.HEALTH_L2} as health, {fix(scoring.VOLUME_L2)} as volume from last join hl using (code)")
+@query("f8_f9_health_and_volume", f"{BF}, {LASTBARS}, {L2} select code, {rule_sql.HEALTH_L2} as health, {fix(rule_sql.VOLUME_L2)} as volume from last join hl using (code)")
 def health_volume(spark, sf):
     b = _bars(spark, sf)
     x = funnel.latest_features(b).join(funnel.health(b), "code")
     return x.select("code", F.expr(scoring.HEALTH_L2).alias("health"), fixed(F.expr(scoring.VOLUME_L2)).alias("volume"))
 
 
-@query("f10_second_layer", f"""{TRACKS}, {L2}, sc as (select last.*, t.quant, t.pattern_score, t.source, t.regime, hl.* exclude (code) from tracks t join last using (code) join hl using (code) where not ({scoring.FIVE_FALLS}) and not ({scoring.CRASH})),
-sd as (select *, {scoring.HEALTH_L2} health, {scoring.VOLUME_L2} volume from sc),
+@query("f10_second_layer", f"""{TRACKS}, {L2}, sc as (select last.*, t.quant, t.pattern_score, t.source, t.regime, hl.* exclude (code) from tracks t join last using (code) join hl using (code) where not ({rule_sql.FIVE_FALLS}) and not ({rule_sql.CRASH})),
+sd as (select *, {rule_sql.HEALTH_L2} health, {rule_sql.VOLUME_L2} volume from sc),
 tot as (select code, regime, {fix("quant / greatest(max(quant) over (), 1e-9) * 100 * 0.4 + case when max(pattern_score) over () > 0 then pattern_score / cast(max(pattern_score) over () as double) * 100 else 0.0 end * 0.3 + health * 0.2 + volume * 0.1 + case when source = 'dual' then 5 else 0 end", 1)} l2 from sd)
 select code, l2, row_number() over (order by l2 desc, code) as rank from tot qualify rank <= greatest(5, least(30, floor(count(*) over () * case when regime = 'bear' then 0.05 else 0.15 end)))""")
 def second_layer(spark, sf):
     return funnel.second_layer(_tracks(spark, sf), _bars(spark, sf)).select("code", "l2", "rank")
 
 
-@query("f11_backtest_profile", f"""{B}, {FEATURES}, {LASTBARS} select code, {fix("(ma20 - ma20_6) / greatest(abs(ma20_6), 0.01)")} as slope, {" or ".join(f"({g})" for g in scoring.gates(scoring.BACKTEST).values())} as dropped from last where nbar >= 60""")
+@query("f11_backtest_profile", f"""{B}, {FEATURES}, {LASTBARS} select code, {fix("(ma20 - ma20_6) / greatest(abs(ma20_6), 0.01)")} as slope, {rule_sql.GATES_BACKTEST} as dropped from last where nbar >= 60""")
 def backtest_profile(spark, sf):
     x = funnel.latest_features(_bars(spark, sf), "backtest").where("nbar >= 60")
     return x.select("code", fixed("slope").alias("slope"), F.expr(" or ".join(f"({g})" for g in scoring.gates(scoring.BACKTEST).values())).alias("dropped"))
@@ -133,7 +133,7 @@ def backtest_profile(spark, sf):
 OLD_PREV = ", ".join(f"lag({c}, {k}) over {W} p_{c}{k}" for k in (1, 2) for c in ("c", "o", "v"))
 
 
-@query("b12_f12_old_strategy", f"""{BF}, g as (select *, {OLD_PREV} from f), last as (select * from g qualify row_number() over (partition by code order by d desc) = 1), ok as (select *, {scoring.OLD_GATES} dropped from last)
+@query("b12_f12_old_strategy", f"""{BF}, g as (select *, {OLD_PREV} from f), last as (select * from g qualify row_number() over (partition by code order by d desc) = 1), ok as (select *, {rule_sql.OLD_GATES} dropped from last)
 select code, dropped, {fix("case when c > ma20 then 40 else 0 end + least(30, greatest(0, amount_ratio * 15)) + least(30, greatest(0, ret20 * 300))")} as old_score from ok""")
 def old_strategy(spark, sf):
     x = ind.with_features(_bars(spark, sf)).withColumns({f"p_{c}{k}": F.lag(c, k).over(series()) for k in (1, 2) for c in ("c", "o", "v")})
@@ -146,8 +146,8 @@ PARTS = {"trend": scoring.SIGNAL_TREND, "bias_score": scoring.SIGNAL_BIAS, "volu
 
 
 @query("f1_signal_score", f"""{BF}, {OSC}, o as (select code, d, dif, dea, hist, rsi6, lag(hist) over {W} p_hist from osc), x as (select f.*, o.* exclude (code, d), (f.c - ma5) / ma5 * 100 bias, f.v / greatest(v5, 1e-9) vr from f join o on o.code = f.code and o.d = f.d),
-last as (select * from x qualify row_number() over (partition by code order by d desc) = 1), y as (select *, {", ".join(f"{v} {k}" for k, v in PARTS.items())} from last), z as (select *, {" + ".join(PARTS)} total from y)
-select code, {", ".join(PARTS)}, total, {scoring.SIGNAL_LABEL} as signal from z""")
+last as (select * from x qualify row_number() over (partition by code order by d desc) = 1), y as (select *, {", ".join(f"{v} {k}" for k, v in rule_sql.SIGNAL.items())} from last), z as (select *, {" + ".join(PARTS)} total from y)
+select code, {", ".join(PARTS)}, total, {rule_sql.SIGNAL_LABEL} as signal from z""")
 def signal_score(spark, sf):
     b = _bars(spark, sf)
     o = ind.oscillators(b).select("code", "d", "dif", "dea", "hist", "rsi6")

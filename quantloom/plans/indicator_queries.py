@@ -10,6 +10,7 @@ from quantloom.operators import indicators as ind
 from quantloom.operators import labels
 from quantloom.operators.crosssec import percentile_rank, position_rank, share_below
 from quantloom.operators.pivots import with_pivots
+from quantloom.plans import rule_sql
 from quantloom.sources import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -155,21 +156,21 @@ def e20(spark, sf):
     return with_pivots(_bars(spark, sf), 5, 5).select("code", "d", "is_high", "is_low")
 
 
-@query("e23_ma_alignment", f"{BF}, {LASTBARS} select code, {labels.ALIGNMENT} as alignment, ma5 > ma20 and ma20 > ma60 as bullish, ma5 < ma20 and ma20 < ma60 as bearish from last")
+@query("e23_ma_alignment", f"{BF}, {LASTBARS} select code, {rule_sql.ALIGNMENT} as alignment, ma5 > ma20 and ma20 > ma60 as bullish, ma5 < ma20 and ma20 < ma60 as bearish from last")
 def e23(spark, sf):
     last = ind.last_bars(ind.with_features(_bars(spark, sf)))
     return last.select("code", F.expr(labels.ALIGNMENT).alias("alignment"), F.expr("ma5 > ma20 and ma20 > ma60").alias("bullish"), F.expr("ma5 < ma20 and ma20 < ma60").alias("bearish"))
 
 
 @query("e24_macd_status", f"""{B}, {OSC}, p as (select *, lag(dif) over {W} p_dif, lag(dea) over {W} p_dea, lag(hist) over {W} p_hist from osc)
-select code, {labels.MACD_STATUS} as status, {fix("dif", 2)} as dif from p qualify row_number() over (partition by code order by d desc) = 1""")
+select code, {rule_sql.MACD_STATUS} as status, {fix("dif", 2)} as dif from p qualify row_number() over (partition by code order by d desc) = 1""")
 def e24(spark, sf):
     o = ind.oscillators(_bars(spark, sf))
     x = o.withColumns({f"p_{n}": F.lag(n).over(series()) for n in ("dif", "dea", "hist")})
     return ind.last_bars(x).select("code", F.expr(labels.MACD_STATUS).alias("status"), fixed("dif", 2).alias("dif"))
 
 
-@query("e25_index_trend", f"""{BF}, {LASTBARS} select code, case when c > ma5 and ma5 > ma10 and ma10 > ma20 then 'up' when c < ma5 and ma5 < ma10 and ma10 < ma20 then 'down' else 'mixed' end as trend,
+@query("e25_index_trend", f"""{BF}, {LASTBARS} select code, {rule_sql.TREND} as trend,
 {fix("(c - prev_c) / cast(prev_c as double) * 100")} as chg1, {fix("v5 / v20")} as v5_20 from last""")
 def e25(spark, sf):
     last = ind.last_bars(ind.with_features(_bars(spark, sf)))
