@@ -220,7 +220,9 @@ def deletions(judged: DataFrame) -> DataFrame:
     shares = spread.groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum(F.size("shared")).alias("hits")).where("hits > 0")
     article = F.col("hits") > ARTICLE_SHARE * (F.col("n") + ARTICLE_DOUBT)
     template = shares.where(F.when(F.pmod("place", F.lit(4)) == ARTICLE, article).otherwise(F.col("hits") >= BODY_SHARE * F.col("n"))).select("host", "place")
-    known = spread.where("size(shared) > 0").join(template.withColumn("template", F.lit(True)), ["host", "place"], "left")
+    # written, so that Spark broadcasts it where it is small: else the rows of a host's template places would meet in one task
+    template = materialize(template.withColumn("template", F.lit(True)))
+    known = spread.where("size(shared) > 0").join(template, ["host", "place"], "left")
     return known.groupBy("k").agg(F.sum(F.size("shared")).alias("n_shared"), F.flatten(F.collect_list(F.when(F.col("template"), F.col("shared")))).alias("deleted"))
 
 
