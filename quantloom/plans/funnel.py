@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.expr import fixed
+from quantloom.functions.expr import fixed, series
 from quantloom.operators import scoring
-from quantloom.operators.crosssec import percentile_rank, with_regime
+from quantloom.operators.crosssec import percentile_rank, share_below, with_regime
 from quantloom.operators.indicators import closes, ewm_last, last_bars, with_features
+from quantloom.operators.joins import merge_tracks
+from quantloom.operators.patterns import chart_patterns, pattern_scores
 from quantloom.operators.scoring import LIVE, Profile
 
 
@@ -79,3 +81,56 @@ def second_layer(chosen: DataFrame, bars: DataFrame) -> DataFrame:
     total = q * 0.4 + p * 0.3 + F.col("health") * 0.2 + F.col("volume") * 0.1 + F.when(F.col("source") == "dual", 5).otherwise(0)
     scored = last.withColumn("l2", fixed(total, 1))
     return scoring.keep_top(scored, "l2", F.when(F.col("regime") == "bear", 0.05).otherwise(0.15), 5, 30)
+
+
+def dual_tracks(spark: SparkSession, bars: DataFrame, basics: DataFrame | None, lhb: DataFrame | None, profile: Profile = LIVE) -> DataFrame:
+    """(code, quant_score, pattern_score, source, regime, candidates): both tracks over the codes that pass the gates.
+
+    The pattern track keeps codes with bullish points that no bearish pattern excludes; candidates is how many passed.
+    """
+    pre = prefiltered(bars, basics, lhb, profile)
+    codes = pre.select("code")
+    found = pattern_scores(spark, chart_patterns(bars.join(codes, "code", "left_semi")))
+    pattern = found.where("bull > 0 and not excluded").select("code", F.col("bull").alias("pattern_score"))
+    counted = quant_scores(pre).withColumn("candidates", F.count("*").over(Window.partitionBy()))
+    quant = scoring.keep_top(counted, "quant", F.when(F.col("regime") == "bear", 0.05).otherwise(0.10), 20, 200)
+    return merge_tracks(quant.select("code", F.col("quant").alias("quant_score"), "regime", "candidates"), pattern, ("regime", "candidates"))
+
+
+def first_layer(tracks: DataFrame) -> DataFrame:
+    """The best of both tracks by merged score; how many follows from the number of codes that passed the gates."""
+    x = tracks.withColumn("score", fixed(merged_score("quant_score"), 1))
+    share = F.when(F.col("regime") == "bear", 0.05).otherwise(0.10)
+    return scoring.keep_top(x, "score", share, 20, 200, rows=F.col("candidates"))
+
+
+def old_first_layer(bars: DataFrame, amount: float = 2.5, most: int = 150) -> DataFrame:
+    """The older strategy's first layer: its gates, fixed points, the best `most` by score (0.1 points as whole numbers)."""
+    before = {f"p_{c}{k}": F.lag(c, k).over(series()) for k in (1, 2) for c in ("c", "o", "v")}
+    last = last_bars(with_features(bars, "backtest").withColumns(before)).where("nbar >= 20")
+    last = last.where(f"not ({scoring.OLD_GATES}) and not coalesce(amount20 / {Profile.amount_unit} < {amount}, false)")
+    points = [(F.col("slope") > 0, 20), (F.col("atr5") < F.col("atr20"), 15), (F.col("near_high") > 0.8, 15), (F.col("yang"), 15), (F.col("amount_ratio") > 1.2, 10)]
+    score = percentile_rank("ret20") * 0.25
+    for hit, worth in points:
+        score = score + F.when(hit, worth).otherwise(0)
+    return scoring.keep_top(last.withColumn("score", fixed(score, 1)), "score", 1.0, 0, most)
+
+
+def old_second_layer(chosen: DataFrame, bars: DataFrame, most: int = 30) -> DataFrame:
+    """The older strategy's second layer over old_first_layer's rows: 40 % form, 30 % volume, 30 % momentum.
+
+    Form: means stacked, ranges shrinking, the close above its means, MACD; momentum: share of the chosen with a smaller
+    20-bar return, and the 5-bar return.
+    """
+    few = bars.join(chosen.select("code"), "code", "left_semi")
+    week = few.withColumn("c5", F.lag("c", 4).over(series()))
+    x = chosen.join(health(few, 300), "code").join(last_bars(week).select("code", "c5"), "code").where("n300 >= 60")
+    x = x.withColumn("below", share_below("ret20"))  # before the vetoes
+    x = x.where(f"not ({scoring.FIVE_FALLS}) and not ({scoring.CRASH})")
+    stacked = F.when((F.col("ma5") > F.col("ma10")) & (F.col("ma10") > F.col("ma20")), 30).when(F.col("ma5") > F.col("ma10"), 15).otherwise(0)
+    calm = F.greatest(F.lit(0.0), F.least(F.lit(30.0), (1 - F.col("atr5") / F.greatest(F.col("atr20"), F.lit(0.001))) * 60))
+    above = lambda m: F.when(F.col("c") > F.col(m), 15).otherwise(0)
+    form = F.least(F.lit(100.0), stacked + calm + above("ma20") + above("ma60") + F.when(F.col("dif") > F.col("dea"), 10).otherwise(0))
+    gain = F.least(F.lit(50.0), F.greatest(F.lit(0.0), (F.col("c") - F.col("c5")) / F.col("c5") * 500))
+    total = form * 0.4 + F.expr(scoring.VOLUME_L2) * 0.3 + (F.col("below") * 50 + gain) * 0.3
+    return scoring.keep_top(x.drop("score", "rank").withColumn("score", fixed(total, 1)), "score", 1.0, 0, most)

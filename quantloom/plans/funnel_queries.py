@@ -142,6 +142,39 @@ def old_strategy(spark, sf):
     return last.select("code", F.expr(scoring.OLD_GATES).alias("dropped"), fixed(F.expr(score)).alias("old_score"))
 
 
+@query("f7_dual_track")
+def dual_track(spark, sf):
+    """The quant track and the track of real chart patterns, merged."""
+    t = funnel.first_layer(funnel.dual_tracks(spark, _bars(spark, sf), fx.basics(spark, sf), _lhb(spark, sf), SCALED))
+    return t.select("rank", "code", "source", "quant_score", "pattern_score", "score")
+
+
+@query("f10_dual_track")
+def dual_track_second(spark, sf):
+    first = funnel.first_layer(funnel.dual_tracks(spark, _bars(spark, sf), fx.basics(spark, sf), _lhb(spark, sf), SCALED))
+    return funnel.second_layer(first.withColumnRenamed("quant_score", "quant"), _bars(spark, sf)).select("code", "l2", "rank")
+
+
+OLD_FIRST = f"""{B}, {FEATURES}, g as (select *, {OLD_PREV} from f), last as (select * from g qualify row_number() over (partition by code order by d desc) = 1),
+passed as (select * from last where nbar >= 20 and not {rule_sql.OLD_GATES} and not coalesce(amount20 < 600, false)),
+points as (select *, (rank() over (order by ret20) + (count(*) over (partition by ret20) - 1) / 2.0) / cast(count(*) over () as double) * 100 * 0.25 + if(slope > 0, 20, 0) + if(atr5 < atr20, 15, 0) + if(near_high > 0.8, 15, 0) + if(yang, 15, 0) + if(amount_ratio > 1.2, 10, 0) p from passed),
+old1 as (select *, {fix("p", 1)} score, row_number() over (order by {fix("p", 1)} desc, code) rank from points qualify rank <= 150)"""
+
+
+@query("f12_old_first_layer", f"{OLD_FIRST} select code, score, rank from old1")
+def old_first(spark, sf):
+    return funnel.old_first_layer(_bars(spark, sf), 0.0006).select("code", "score", "rank")
+
+
+@query("f12_old_second_layer", f"""{OLD_FIRST}, {L2.replace("310", "300")}, w as (select code, c, lag(c, 4) over (partition by code order by d) c5, row_number() over (partition by code order by d desc) n from bars),
+x as (select old1.*, hl.* exclude (code), c5, (rank() over (order by ret20) - 1) / cast(count(*) over () as double) below from old1 join hl using (code) join (select code, c5 from w where n = 1) using (code) where n300 >= 60),
+y as (select code, least(100, if(ma5 > ma10, if(ma10 > ma20, 30, 15), 0) + least(30, greatest(0, (1 - atr5 / greatest(atr20, 0.001)) * 60)) + if(c > ma20, 15, 0) + if(c > ma60, 15, 0) + if(dif > dea, 10, 0)) * 0.4 + {rule_sql.VOLUME_L2} * 0.3 + (below * 50 + least(50, greatest(0, (c - c5) / cast(c5 as double) * 500))) * 0.3 t from x where not {rule_sql.FIVE_FALLS} and not {rule_sql.CRASH})
+select code, {fix("t", 1)} as score, row_number() over (order by {fix("t", 1)} desc, code) as rank from y qualify rank <= 30""")
+def old_second(spark, sf):
+    b = _bars(spark, sf)
+    return funnel.old_second_layer(funnel.old_first_layer(b, 0.0006), b).select("code", "score", "rank")
+
+
 PARTS = {"trend": scoring.SIGNAL_TREND, "bias_score": scoring.SIGNAL_BIAS, "volume": scoring.SIGNAL_VOLUME, "support": scoring.SIGNAL_SUPPORT, "macd": scoring.SIGNAL_MACD, "rsi": scoring.SIGNAL_RSI}
 
 
