@@ -14,7 +14,7 @@
    token and passes the size and position bounds is compared exactly.  So no link between components is lost, and no
    pairs inside a group of copies are made.
 
-At scale: to the driver come the list of frequent shingles (at most `frequent`), a bitmap of 16 bits an open node (at
+At scale: to the driver come the list of frequent shingles (at most `frequent`), a bitmap of 256 bits an open node (at
 most FILTER_BITS bits) and the nodes whose digests clash (of 10^10 sets some three), never links, components or
 fingerprints.  Blocks are bounded in sets and in shingles.  The rows of a token with more than HOT of them meet by pairs
 of parts in steps 2 and 4, so no task gets more than two parts of one token.
@@ -34,7 +34,7 @@ from .components import connected
 from .runtime import materialize, small_batches, texts
 from .shingles import shingle_set
 
-SLOTS = 128
+SLOTS, FINE_SLOTS = 128, 1024
 WHOLE_GROUP = 20_000
 HOT = 500
 FILTER_BITS = 1 << 28
@@ -393,19 +393,28 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
     checked = shared.join(big.where("parts is null"), "token", "left_anti").join(big.where("parts is not null"), "token", "left")
     slots = checked.select("node").distinct().join(first.select("node", "slots"), "node").groupBy("node").agg(F.first("slots").alias("slots"))
     part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
-    spread = checked.withColumn("with", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")))
-    cell = F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.least(part, "with"), F.greatest(part, "with")))
-    wide = spread.withColumn("cell", cell).join(slots, "node").select("cell", "n", "node", "pos", "slots", "token").repartition("cell").sortWithinPartitions("cell", "n", "node")
-    found = wide.mapInArrow(alike, "token long, n long, node long, pos long").distinct()
+    wide = checked.join(slots, "node").withColumn("part", part)
+
+    def compared(rows_: DataFrame, cell) -> DataFrame:
+        cells = rows_.select(cell.alias("cell"), "n", "node", "pos", "slots", "token").repartition("cell").sortWithinPartitions("cell", "n", "node")
+        return cells.mapInArrow(alike, "token long, n long, node long, pos long")
+
+    found = compared(wide.where("parts is null"), F.col("token"))
+    # rows of a token in parts: most find another one in their own; only the others are compared with all parts
+    many = materialize(wide.where("parts is not null"))
+    own = materialize(compared(many, F.xxhash64("token", "part")))
+    left = many.join(own.select("token", "node"), ["token", "node"], "left_anti").withColumn("with", F.explode(F.expr("sequence(0, parts - 1)"))).where("with <> part")
+    again = compared(many.withColumn("with", F.col("part")).unionByName(left), F.xxhash64("token", "with"))
+    found = found.unionByName(own).unionByName(again).distinct()
     return materialize(found.unionByName(shared.join(big.where("parts is null"), "token", "left_semi").select("token", "n", "node", "pos")))
 
 
 def _bitmap(names: DataFrame) -> tuple[bytes, int]:
-    """A filter with the bit of every node set, and its number of bits: 16 a node up to FILTER_BITS.
+    """A filter with the bit of every node set, and its number of bits: 256 a node up to FILTER_BITS.
 
     Beyond that it lets more whole sets pass to the semi-join behind it, and none is missed.
     """
-    size = min(FILTER_BITS, 1 << max(12, (16 * names.count()).bit_length()))
+    size = min(FILTER_BITS, 1 << max(12, (256 * names.count()).bit_length()))
     bit = F.pmod("node", F.lit(size))
     rows = names.groupBy(F.floor(bit / 64).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(node, {size}) % 64 as int))")).alias("bits")).toArrow()
     out = np.zeros(size // 64, np.int64)
@@ -431,11 +440,12 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, nam
                 if not len(tokens) or node in seen or not int(bits[bit // 64]) >> (bit % 64) & 1:
                     continue
                 seen.add(node)
-                out.append((node, len(tokens), tokens.tobytes()))
+                fine = np.minimum(np.bincount(tokens & (FINE_SLOTS - 1), minlength=FINE_SLOTS), 255).astype(np.uint8).tobytes()
+                out.append((node, len(tokens), tokens.tobytes(), fine))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["node", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "tokens", "fine"])
 
-    sets = docs.select(text).mapInArrow(whole, "node long, n long, tokens binary").join(names, "node", "left_semi")
+    sets = docs.select(text).mapInArrow(whole, "node long, n long, tokens binary, fine binary").join(names, "node", "left_semi")
     sets = materialize(sets.dropDuplicates(["node"]))
 
     # two rounds of buckets: the first shared token, then the one that another hash puts first, each in random blocks
@@ -500,6 +510,18 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, nam
     pairs = materialize(pairs.distinct())
     body = sets.select("node", "tokens")
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose finer slot counts allow a link: whole sets, which may be long, are moved for these alone."""
+        for batch in batches:
+            a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FINE_SLOTS).astype(np.int16) for k in (4, 5))
+            good = np.abs(x - y).sum(axis=1) <= n + m - 2 * limit.overlap(n, m)
+            yield pa.RecordBatch.from_pydict({"a": a[good], "b": b[good]})
+
+    fine = sets.select("node", "n", "fine")
+    pairs = pairs.join(fine.toDF("a", "n", "x"), "a").join(fine.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    pairs = materialize(pairs.mapInArrow(close, "a long, b long"))
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
