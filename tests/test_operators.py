@@ -219,3 +219,77 @@ def test_fragments_of_later_lines_and_json_in_prose(spark, tmp_path):
     assert {r.doc_id: r.f for r in QUERIES["z6_z9_fragments_all"](spark, str(tmp_path)).collect()} == {1: "the second line\ngoes on"}
     want = {i: len(t) for i, t, _ in rows} | {3: len(inner), 4: len(inner), 5: 800 + 9}
     assert {r.doc_id: r.n for r in QUERIES["i3_compaction_all"](spark, str(tmp_path)).collect()} == want
+
+
+# -- clusters, reads as of a date, review
+
+
+def brute_clusters(titles):
+    groups = {}
+    for t in titles:
+        t = (t or "")[:20]
+        hit = next((k for k in groups if any(len(w) > 1 and t.find(w) >= 0 for w in k.split()[:3])), t)
+        groups.setdefault(hit, []).append(t)
+    return {(k, len(v)) for k, v in groups.items()}
+
+
+def test_event_clusters_against_brute_force(spark):
+    import random
+
+    from quantloom.plans.text_queries import merged_events, top_events
+
+    rng = random.Random(2)
+    words = ["rate", "cut", "oil", "a", "bank", "ban", "of", "x", "gas", "banking"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(300)]
+    rows = [("k", t, i, i % 90, str(i % 7), i % 40) for i, t in enumerate(titles)] + [("other", None, 900, 1, None, 1)]
+    df = spark.createDataFrame(rows, "kind string, title string, pos long, certainty long, code string, score long")
+    got = merged_events(df).collect()
+    assert {(r.cluster, r.n) for r in got if r.kind == "k"} == brute_clusters(titles)
+    top = [r for r in top_events(df).collect() if r.kind == "k"]
+    best = sorted(brute_clusters(titles), key=lambda x: -x[1])
+    assert [r.votes for r in sorted(top, key=lambda r: r.place)] == [n for _, n in best[:5]] and all(len(r.beneficiaries) <= 10 for r in top)
+
+
+def test_as_of_reads_have_no_wide_frames(spark):
+    from pyspark.sql import functions as F
+
+    from quantloom.operators.asof import first_bar_from, slices
+
+    bars = spark.range(400).select((F.col("id") % 4).alias("code"), F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("id") / 4 * 3).cast("int")).alias("d"), F.col("id").alias("c"))
+    targets = spark.range(4).select(F.col("id").alias("code")).crossJoin(spark.range(320).select(F.date_add(F.lit("2023-12-20").cast("date"), F.col("id").cast("int")).alias("target")))
+    targets = spark.createDataFrame(targets.collect(), targets.schema)
+    found = first_bar_from(targets, bars)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "unboundedfollowing" not in plan.lower()
+    by = {}
+    for r in bars.collect():
+        by.setdefault(r.code, []).append((r.d, r.c))
+    for r in found.collect():
+        want = min((x for x in by[r.code] if x[0] >= r.target), default=(None, None))
+        assert (r.eval_d, r.eval_c) == want
+    dates = targets.select(F.col("target").alias("as_of")).distinct().limit(40)
+    got = {}
+    for r in slices(bars, dates, 3).collect():
+        got.setdefault((r.as_of, r.code), []).append(r.d)
+    for a in (r.as_of for r in dates.collect()):
+        for code, xs in by.items():
+            assert sorted(got.get((a, code), [])) == sorted(d for d, _ in xs if d <= a)[-3:]
+
+
+def test_claims_read_from_text(spark):
+    from quantloom.operators.review import verified
+
+    rows = [(1, "PE0 then pe: 12, 目标价500元 股价20元"), (2, "市盈率为30，市值800亿 近20日涨幅约+18%"), (3, "收盘 99999 元"), (4, "")]
+    real = [(1, 10.0, None, None, None, 19.0), (2, 20.0, 1000.0, 10.0, None, None), (3, None, None, None, None, 50.0), (4, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    x = verified(spark.createDataFrame(rows, "code long, text string"), spark.createDataFrame(real, "code long, pe double, cap double, ret20 double, ret60 double, price double"))
+    assert {r.code: [d.kind for d in r.doubts] for r in x.collect()} == {1: [], 2: ["pe", "ret20"], 3: [], 4: []}
+
+
+def test_timing_cut_and_risk_flags(spark):
+    from quantloom.operators.review import risk_checked, timing_cut
+
+    rows = [(k, "tech" if k < 4 else " " if k < 6 else "oil", None if k == 5 else 10.0 - k, 30.0, k) for k in range(8)]
+    x = risk_checked(spark.createDataFrame(rows, "code long, sector string, final_score double, position double, pos long"), "weak")
+    got = {r.code: r for r in timing_cut(x, 3, "weak").collect()}
+    assert [got[k].state for k in range(8)] == ["approved", "approved", "sector", "sector", "approved", "timing", "timing", "timing"]
+    assert got[4].sector == "unknown" and got[0].scaled == 20 * 30 / 180 and got[2].scaled is None and len(got[5].flags) == 2
