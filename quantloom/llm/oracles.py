@@ -55,3 +55,36 @@ select * exclude (touched), n_words < 50 or 100 * n_repeat_words > 50 * n_words
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (touched and (100 * n_left_words < 30 * n_words or n_left_words < 20)) as kept
 from counts
 """
+
+
+def _nearest(centroids: str) -> str:
+    return f"""select vec_id, c, dist from (
+    select vec_id, c, dist, row_number() over (partition by vec_id order by dist, c) as place
+    from (select vec_id, c, sum((x.q - m.q) * (x.q - m.q)) as dist from long_vectors x join {centroids} m on m.d = x.d group by vec_id, c)) where place = 1"""
+
+
+def _rounds(n: int) -> str:
+    return "".join(
+        f"""
+a{k} as materialized ({_nearest(f"c{k}")}),
+m{k} as (select c, d, sum(q) as s, count(*) as n from a{k} join long_vectors using (vec_id) group by c, d),
+c{k + 1} as materialized (select o.c, o.d, case when n is null then o.q else cast((s - ((s % n) + n) % n) // n as bigint) end as q from c{k} o left join m{k} m on m.c = o.c and m.d = o.d),"""
+        for k in range(n)
+    )
+
+
+ORACLES["op11_centroid_clustering"] = f"""
+with kept as (
+  select vec_id, embedding from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+long_vectors as materialized (
+  select vec_id, d, cast(floor(cast(x as double) * 256) as bigint) as q
+  from (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as d from kept)),
+first as (select vec_id, row_number() over (order by sha256('2:' || vec_id)) - 1 as c from kept order by c limit 40),
+c0 as materialized (select c, d, q from first join long_vectors using (vec_id)),{_rounds(5)}
+final as materialized ({_nearest("c5")}),
+digests as (select c, sha256(string_agg(cast(q as varchar), ',' order by d)) as centroid_sha256 from c5 group by c)
+select vec_id, cast(f.c as int) as cluster, cast(dist as bigint) as distance, cast(sum(dist) over (partition by f.c) as bigint) as cluster_inertia,
+  cast(sum(dist) over () as bigint) as inertia, centroid_sha256
+from final f join digests g on g.c = f.c
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontam, html_diff, language_id, line_dedup, mixing, ngram_join, pii_weak, quality_rules, url_filters
+from . import cotraining, decontam, hadamard_clusters, html_diff, language_id, line_dedup, mixing, ngram_join, periodic_runs, pii_weak, quality_rules, secret_models, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hadamard_clusters.cluster_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=40, rounds=5)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", hadamard_clusters.centroid_digest().alias("centroid_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.planted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periodic_runs.longest_run()
+    return periodic_runs.find_runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        periodic_runs.runs_digest().alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = secret_models.find_secrets(docs, secret_models.train(secret_models.label_samples(docs)))
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, F.sha2(secret_models.joined_spans("base"), 256).alias("base_sha256"), secret_models.joined_spans(F.concat("base", "added")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -81,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
     "op10_ngram_join": op10_ngram_join,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_secrets": op13_secrets,
 }

@@ -109,6 +109,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def with_text_last(df: DataFrame, text: str) -> DataFrame:
+    """df and, as a last column whose name is longer than all others, its text as a string: for operators that keep all columns."""
+    return df.select("*", df[f"`{text}`"].cast("string").alias("_" * (1 + max(map(len, df.columns)))))
+
+
 def extended(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in fields]])
 
