@@ -30,16 +30,6 @@ def fill_missing(first: DataFrame, second: DataFrame, key: str = "code") -> Data
     return first.unionByName(second.join(first.select(key), key, "left_anti"))
 
 
-def merge_tracks(quant: DataFrame, pattern: DataFrame, common: tuple[str, ...] = ()) -> DataFrame:
-    """Full outer merge of (code, quant_score) and (code, pattern_score); source says which had it.
-
-    common: columns of quant that hold one value for all rows.
-    """
-    j = quant.join(pattern, "code", "full")
-    source = F.when(F.col("quant_score").isNotNull() & F.col("pattern_score").isNotNull(), "dual").when(F.col("quant_score").isNotNull(), "quant").otherwise("pattern")
-    return j.select("code", F.coalesce("quant_score", F.lit(0)).alias("quant_score"), F.coalesce("pattern_score", F.lit(0)).alias("pattern_score"), source.alias("source"), *(F.max(c).over(Window.partitionBy()).alias(c) for c in common))
-
-
 def fuzzy_first(left: DataFrame, names: DataFrame, name: str = "name", key: str = "key", order: str = "ord") -> DataFrame:
     """left with the first key, exact before contained, that equals or contains its name or is contained in it.
 

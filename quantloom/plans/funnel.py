@@ -9,9 +9,9 @@ from quantloom.functions.expr import fixed, series
 from quantloom.operators import scoring
 from quantloom.operators.crosssec import percentile_rank, share_below, with_regime
 from quantloom.operators.indicators import closes, ewm_last, last_bars, with_features
-from quantloom.operators.joins import merge_tracks
 from quantloom.operators.patterns import chart_patterns, pattern_scores
 from quantloom.operators.scoring import LIVE, Profile
+from quantloom.sources.feeds import stored
 
 
 def latest_features(bars: DataFrame, profile: str = "live") -> DataFrame:
@@ -70,7 +70,7 @@ def health(bars: DataFrame, window: int = 310) -> DataFrame:
 
 def second_layer(chosen: DataFrame, bars: DataFrame) -> DataFrame:
     """chosen(code, regime, quant, pattern_score, source) scored again: vetoes, health, volume; the best 5 to 30 stay."""
-    use = chosen.select("code", "regime", "quant", "pattern_score", "source")
+    use = stored(chosen.select("code", "regime", "quant", "pattern_score", "source"))  # some 200 rows, read three times
     few = bars.join(use.select("code"), "code", "left_semi")  # features and histories of the chosen codes alone
     last = use.join(latest_features(few), "code").join(health(few), "code")
     last = last.where(f"not ({scoring.FIVE_FALLS}) and not ({scoring.CRASH})")
@@ -83,18 +83,31 @@ def second_layer(chosen: DataFrame, bars: DataFrame) -> DataFrame:
     return scoring.keep_top(scored, "l2", F.when(F.col("regime") == "bear", 0.05).otherwise(0.15), 5, 30)
 
 
+def merged_tracks(scored: DataFrame, pattern: DataFrame) -> DataFrame:
+    """(code, quant_score, pattern_score, source, regime, candidates) from all codes that pass the gates.
+
+    scored: code, quant, regime; pattern: code, bull, excluded (codes that it lacks have no pattern).  The quant track takes
+    the best by quant, the pattern track the codes with bullish points; both keep their scores of both kinds.  A code that
+    the patterns exclude leaves both tracks, also where it was among the best by quant; candidates counts all of scored.
+    """
+    share = F.when(F.col("regime") == "bear", 0.05).otherwise(0.10)
+    n = F.count("*").over(Window.partitionBy())
+    best = F.row_number().over(Window.orderBy(F.desc("quant"), "code")) <= scoring.top_count(n, share, 20, 200)
+    x = scored.select("code", "quant", "regime").withColumns({"candidates": n, "in_quant": best}).join(pattern.select("code", "bull", "excluded"), "code", "left")
+    bull = F.coalesce("bull", F.lit(0))
+    x = x.where(~F.coalesce("excluded", F.lit(False)) & (F.col("in_quant") | (bull > 0)))
+    source = F.when(F.col("in_quant") & (bull > 0), "dual").when(F.col("in_quant"), "quant").otherwise("pattern")
+    return x.select("code", F.col("quant").alias("quant_score"), bull.alias("pattern_score"), source.alias("source"), "regime", "candidates")
+
+
 def dual_tracks(spark: SparkSession, bars: DataFrame, basics: DataFrame | None, lhb: DataFrame | None, profile: Profile = LIVE) -> DataFrame:
-    """(code, quant_score, pattern_score, source, regime, candidates): both tracks over the codes that pass the gates.
+    """merged_tracks with the chart patterns of all codes that pass the gates.
 
-    The pattern track keeps codes with bullish points that no bearish pattern excludes; candidates is how many passed.
+    The scored codes, one row each, are stored, since scores and patterns both start from them.
     """
-    pre = prefiltered(bars, basics, lhb, profile)
-    codes = pre.select("code")
-    found = pattern_scores(spark, chart_patterns(bars.join(codes, "code", "left_semi")))
-    pattern = found.where("bull > 0 and not excluded").select("code", F.col("bull").alias("pattern_score"))
-    counted = quant_scores(pre).withColumn("candidates", F.count("*").over(Window.partitionBy()))
-    quant = scoring.keep_top(counted, "quant", F.when(F.col("regime") == "bear", 0.05).otherwise(0.10), 20, 200)
-    return merge_tracks(quant.select("code", F.col("quant").alias("quant_score"), "regime", "candidates"), pattern, ("regime", "candidates"))
+    scored = stored(quant_scores(prefiltered(bars, basics, lhb, profile)).select("code", "quant", "regime"))
+    found = pattern_scores(spark, chart_patterns(bars.join(scored.select("code"), "code", "left_semi")))
+    return merged_tracks(scored, found)
 
 
 def first_layer(tracks: DataFrame) -> DataFrame:

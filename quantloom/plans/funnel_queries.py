@@ -10,7 +10,7 @@ from quantloom.operators import indicators as ind
 from quantloom.operators import scoring
 from quantloom.operators.aggregates import special_trades
 from quantloom.operators.crosssec import market_regime
-from quantloom.operators.joins import contains_any, merge_tracks
+from quantloom.operators.joins import contains_any
 from quantloom.plans import funnel, rule_sql
 from quantloom.plans.indicator_queries import BF, FEATURES, LASTBARS, OSC, B, W, fix
 from quantloom.sources import fixtures as fx
@@ -83,22 +83,23 @@ def quant_funnel(spark, sf):
 
 
 def _tracks(spark, sf) -> DataFrame:
-    """The quant track merged with a stand-in pattern track (every third code)."""
-    q = funnel.quant_funnel(_bars(spark, sf), fx.basics(spark, sf), _lhb(spark, sf), SCALED)
-    p = fx.basics(spark, sf).where("code % 3 = 0").select("code", (F.col("code") % 50 + 10).alias("pattern_score"))
-    return merge_tracks(q.select("code", F.col("quant").alias("quant_score"), "regime"), p, ("regime",)).withColumnRenamed("quant_score", "quant")
+    """Both tracks with a pattern table that SQL can follow: points for every third code, every seventh excluded."""
+    scored = funnel.quant_scores(funnel.prefiltered(_bars(spark, sf), fx.basics(spark, sf), _lhb(spark, sf), SCALED))
+    k = F.col("code")
+    p = fx.basics(spark, sf).where("code % 3 = 0 or code % 7 = 0").select("code", F.when(k % 3 == 0, k % 50 + 10).otherwise(0).alias("bull"), (k % 7 == 0).alias("excluded"))
+    return funnel.merged_tracks(scored, p)
 
 
-TRACKS = f"""{PRE}, {TOP}, pat as (select code, code % 50 + 10 pattern_score from basics where code % 3 = 0),
-tracks as (select coalesce(q.code, p.code) code, coalesce(quant, 0) quant, coalesce(pattern_score, 0) pattern_score, case when q.code is not null and p.code is not null then 'dual' when q.code is not null then 'quant' else 'pattern' end as source, (select regime from regime) regime from topn q full join pat p on p.code = q.code)"""
+TRACKS = f"""{PRE}, {TOP}, pat as (select code, case when code % 3 = 0 then code % 50 + 10 else 0 end bull, code % 7 = 0 excluded from basics where code % 3 = 0 or code % 7 = 0),
+both_ as (select code from topn union select code from pat where bull > 0),
+tracks as (select pre.code, pre.quant, coalesce(bull, 0) pattern_score, case when t.code is not null and coalesce(bull, 0) > 0 then 'dual' when t.code is not null then 'quant' else 'pattern' end as source, pre.regime, (select count(*) from pre) candidates
+  from pre join both_ using (code) left join topn t on t.code = pre.code left join pat on pat.code = pre.code where pre.code not in (select code from pat where excluded))"""
 
 
 @query("c4_f7_merged_tracks", f"""{TRACKS}, m as (select *, quant / greatest(max(quant) over (), 1e-9) * 100 * 0.6 + least(100.0, pattern_score * 100 / cast(70 as double)) * 0.4 + case when source = 'dual' then 10 else 0 end s from tracks)
-select code, source, {fix("s", 1)} as score, row_number() over (order by {fix("s", 1)} desc, code) as rank from m qualify rank <= greatest(20, least(200, floor(count(*) over () * 0.10)))""")
+select code, source, quant as quant_score, pattern_score, {fix("s", 1)} as score, row_number() over (order by {fix("s", 1)} desc, code) as rank from m qualify rank <= greatest(20, least(200, floor(candidates * case when regime = 'bear' then 0.05 else 0.10 end)))""")
 def merged(spark, sf):
-    t = _tracks(spark, sf)
-    x = t.withColumn("score", fixed(funnel.merged_score(), 1))
-    return scoring.keep_top(x, "score", 0.10, 20, 200).select("code", "source", "score", "rank")
+    return funnel.first_layer(_tracks(spark, sf)).select("code", "source", "quant_score", "pattern_score", "score", "rank")
 
 
 L2 = f"""tail as (select code, d, cast(c as double) c, row_number() over (partition by code order by d desc) back from bars qualify back <= 310),
@@ -121,7 +122,7 @@ sd as (select *, {rule_sql.HEALTH_L2} health, {rule_sql.VOLUME_L2} volume from s
 tot as (select code, regime, {fix("quant / greatest(max(quant) over (), 1e-9) * 100 * 0.4 + case when max(pattern_score) over () > 0 then pattern_score / cast(max(pattern_score) over () as double) * 100 else 0.0 end * 0.3 + health * 0.2 + volume * 0.1 + case when source = 'dual' then 5 else 0 end", 1)} l2 from sd)
 select code, l2, row_number() over (order by l2 desc, code) as rank from tot qualify rank <= greatest(5, least(30, floor(count(*) over () * case when regime = 'bear' then 0.05 else 0.15 end)))""")
 def second_layer(spark, sf):
-    return funnel.second_layer(_tracks(spark, sf), _bars(spark, sf)).select("code", "l2", "rank")
+    return funnel.second_layer(_tracks(spark, sf).withColumnRenamed("quant_score", "quant"), _bars(spark, sf)).select("code", "l2", "rank")
 
 
 @query("f11_backtest_profile", f"""{B}, {FEATURES}, {LASTBARS} select code, {fix("(ma20 - ma20_6) / greatest(abs(ma20_6), 0.01)")} as slope, {rule_sql.GATES_BACKTEST} as dropped from last where nbar >= 60""")

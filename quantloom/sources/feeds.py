@@ -74,6 +74,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what is read several times, or after rounds, is computed once."""
+    path = shared_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_partitions(spark: SparkSession, path: str, by: str, before: str) -> list[str]:
     """Delete the partitions of a dated store whose value is less than `before`; their values. The names alone are read."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
