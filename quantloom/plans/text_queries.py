@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import text as tx
 from quantloom.functions.expr import fixed, trailing
-from quantloom.operators import patterns
+from quantloom.operators import events, patterns
 from quantloom.operators.indicators import last_bars
 from quantloom.plans.indicator_queries import B, fix, rows
 from quantloom.sources import feeds
@@ -270,66 +270,36 @@ def g12(spark, sf):
     return patterns.pattern_scores(spark, patterns.chart_patterns(fx.bars_walk(spark, sf)))
 
 
-def event_clusters(rows: DataFrame, title: str = "title", by: str = "kind") -> DataFrame:
-    """(kind, t, cluster): titles' first 20 characters, in the order of pos, by the first cluster with one of whose first
-    three words they contain; one that fits none begins a cluster.
+REPORTS = """ev as (select source kind, doc_id pos, substr(text, 1, 40) title, substr(coalesce(text, ''), 1, 20) t, doc_id % 100 certainty, 'm' || (doc_id % 4) model from documents)"""
+#: One title after the other, with the list of clusters so far: the rule as it is told.
+ONE_BY_ONE = rf"""{REPORTS}, tt as (select kind, t, p0, row_number() over (partition by kind order by p0) k, list_filter(list_distinct(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')[1:3]), lambda w: length(w) > 1) w from (select kind, t, min(pos) p0 from ev group by all)),
+walk as (select kind, k, t, p0, p0 place, [{{'place': p0, 'w': w}}] cs from tt where k = 1
+  union all select kind, k, t, p0, coalesce(hit, p0), case when hit is null then list_append(cs, {{'place': p0, 'w': w}}) else cs end from (
+    select x.kind, x.k, x.t, x.p0, x.w, y.cs, list_filter(y.cs, lambda c: len(list_filter(c.w, lambda v: contains(x.t, v))) > 0)[1].place hit from walk y join tt x on x.kind is not distinct from y.kind and x.k = y.k + 1))"""
 
-    Order decides, so each kind is one group; but it holds each title once, whatever the number of its events.
-    """
-    import pandas as pd
 
-    first = rows.select(F.col(by).alias("kind"), F.coalesce(F.substring(title, 1, 20), F.lit("")).alias("t"), "pos").groupBy("kind", "t").agg(F.min("pos").alias("pos"))
-
-    def cluster(f: pd.DataFrame) -> pd.DataFrame:
-        names: list[str] = []
-        of_word: dict[str, int] = {}  # the first cluster that has the word
-        out = []
-        for t in f.sort_values("pos")["t"]:
-            parts = (t[i:j] for i in range(len(t)) for j in range(i + 2, len(t) + 1))
-            at = min((of_word[x] for x in parts if x in of_word), default=len(names))
-            if at == len(names):
-                names.append(t)
-                for w in t.split()[:3]:
-                    if len(w) > 1:
-                        of_word.setdefault(w, at)
-            out.append((f["kind"].iloc[0], t, names[at]))
-        return pd.DataFrame(out, columns=["kind", "t", "cluster"])
-
-    return first.groupBy("kind").applyInPandas(cluster, "kind string, t string, cluster string")
-
-
-def merged_events(rows: DataFrame, title: str = "title", by: str = "kind") -> DataFrame:
-    """(kind, cluster, n): the events of each cluster of a kind."""
-    t = rows.select(F.col(by).alias("kind"), F.coalesce(F.substring(title, 1, 20), F.lit("")).alias("t"))
-    return t.join(event_clusters(rows, title, by), ["kind", "t"]).groupBy("kind", "cluster").agg(F.count("*").alias("n"))
-
-
-def top_events(rows: DataFrame, most: int = 5, beneficiaries: int = 10) -> DataFrame:
-    """(kind, cluster, votes, certainty, beneficiaries) of the `most` clusters of a kind by votes and certainty.
-
-    rows: kind, title, pos, certainty, code, score.  A cluster's beneficiaries are its codes by votes, then best score.
-    """
-    t = rows.withColumn("t", F.coalesce(F.substring("title", 1, 20), F.lit(""))).join(event_clusters(rows), ["kind", "t"])
-    c = t.groupBy("kind", "cluster").agg(F.count("*").alias("votes"), F.max("certainty").alias("certainty"))
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("votes"), F.desc("certainty"), "cluster"))
-    c = c.withColumn("place", place).where(F.col("place") <= most)
-    b = t.where("code is not null").groupBy("kind", "cluster", "code").agg(F.count("*").alias("n"), F.max("score").alias("score"))
-    b = b.withColumn("at", F.row_number().over(Window.partitionBy("kind", "cluster").orderBy(F.desc("n"), F.desc("score"), "code"))).where(F.col("at") <= beneficiaries)
-    b = b.groupBy("kind", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("beneficiaries"))
-    return c.join(b, ["kind", "cluster"], "left")
+def _reports(spark, sf) -> DataFrame:
+    k = F.col("doc_id")
+    gains = F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), lambda i: F.struct(((k + i * 5) % 11).cast("string").alias("code"), ((k * (i + 1)) % 50).cast("double").alias("score"), F.concat(F.lit("l"), k % 9).alias("logic")))
+    return fx.table(spark, sf, "documents").select(F.col("source").alias("kind"), k.alias("pos"), F.substring("text", 1, 40).alias("title"), (k % 100).alias("certainty"), F.concat(F.lit("m"), k % 4).alias("model"), gains.alias("beneficiaries"))
 
 
-@query("h10_event_merge")
+@query("h10_event_merge", f"with recursive {ONE_BY_ONE} select kind, t, p0 as first_at, place from walk")
 def h10(spark, sf):
-    d = fx.table(spark, sf, "documents").select(F.col("source").alias("kind"), F.substring("text", 1, 40).alias("title"), F.col("doc_id").alias("pos"))
-    return merged_events(d)
-
-
-@query("h10_top_events")
-def h10_top(spark, sf):
-    k = F.col("doc_id")
-    d = fx.table(spark, sf, "documents").select(F.col("source").alias("kind"), F.substring("text", 1, 40).alias("title"), k.alias("pos"), (k % 100).alias("certainty"), (k % 7).cast("string").alias("code"), (k % 50).alias("score"))
-    return top_events(d)
+    return events.event_clusters(_reports(spark, sf)).select("kind", "t", F.col("at").alias("first_at"), "place")
+
+
+@query("h10_top_events", f"""with recursive {ONE_BY_ONE}, x as (select ev.*, place, len(list_filter(string_split_regex(ev.t, '\s+'), lambda w: length(w) > 1)[1:3]) as words, max(pos) over (partition by ev.kind, ev.t) last from ev join walk on walk.kind is not distinct from ev.kind and walk.t = ev.t),
+y as (select * from x where len(list_filter(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')[1:3], lambda w: length(w) > 1)) > 0 or pos = last),
+c as (select kind, place, count(*) model_votes, max(certainty) certainty, arg_min(title, (99 - certainty) * 10000000 + pos) event from y group by all), top as (select *, row_number() over (partition by kind order by model_votes desc, certainty desc, place) rank from c qualify rank <= 5),
+g as (select kind, place, pos, i, (pos + i * 5) % 11 code, cast((pos * (i + 1)) % 50 as double) score, pos % 9 logic from (select *, unnest(range(0, pos % 3 + 1)) i from y)),
+h as (select kind, place, code, count(*) votes, max(score) score, arg_min(logic, (50 - score) * 1e9 + pos * 10 + i) logic, min(pos * 10 + i) seen from g group by all),
+r as (select *, row_number() over (partition by kind, place order by votes desc, score desc, seen) n from h qualify n <= 10)
+select top.kind, rank, model_votes, certainty, event, (select string_agg(code || ':' || votes || ':' || cast(score as bigint) || ':l' || logic, ',' order by n) from r where r.kind is not distinct from top.kind and r.place = top.place) as beneficiaries from top""")
+def h10_merged(spark, sf):
+    e = events.merged_events(_reports(spark, sf))
+    line = F.array_join(F.transform("beneficiaries", lambda b: F.concat_ws(":", b["code"], b["votes"].cast("string"), b["score"].cast("long").cast("string"), b["logic"])), ",")
+    return e.select("kind", "rank", "model_votes", "certainty", "event", line.alias("beneficiaries"))
 
 
 @query("j1_streaming_bars", f"with {fx.TICKS} select code, d, o, h, l, c, v from bars_tick")

@@ -224,32 +224,6 @@ def test_fragments_of_later_lines_and_json_in_prose(spark, tmp_path):
 # -- clusters, reads as of a date, review
 
 
-def brute_clusters(titles):
-    groups = {}
-    for t in titles:
-        t = (t or "")[:20]
-        hit = next((k for k in groups if any(len(w) > 1 and t.find(w) >= 0 for w in k.split()[:3])), t)
-        groups.setdefault(hit, []).append(t)
-    return {(k, len(v)) for k, v in groups.items()}
-
-
-def test_event_clusters_against_brute_force(spark):
-    import random
-
-    from quantloom.plans.text_queries import merged_events, top_events
-
-    rng = random.Random(2)
-    words = ["rate", "cut", "oil", "a", "bank", "ban", "of", "x", "gas", "banking"]
-    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) for _ in range(300)]
-    rows = [("k", t, i, i % 90, str(i % 7), i % 40) for i, t in enumerate(titles)] + [("other", None, 900, 1, None, 1)]
-    df = spark.createDataFrame(rows, "kind string, title string, pos long, certainty long, code string, score long")
-    got = merged_events(df).collect()
-    assert {(r.cluster, r.n) for r in got if r.kind == "k"} == brute_clusters(titles)
-    top = [r for r in top_events(df).collect() if r.kind == "k"]
-    best = sorted(brute_clusters(titles), key=lambda x: -x[1])
-    assert [r.votes for r in sorted(top, key=lambda r: r.place)] == [n for _, n in best[:5]] and all(len(r.beneficiaries) <= 10 for r in top)
-
-
 def test_as_of_reads_have_no_wide_frames(spark):
     from pyspark.sql import functions as F
 
