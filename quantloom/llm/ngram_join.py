@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .runtime import materialize, small_batches, texts
+from .runtime import materialize, release, small_batches, tables, texts
 from .shingles import shingle_set
 
 SLOTS, FINE_SLOTS = 128, 1024
@@ -270,7 +270,7 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         tokens, node, mark = one(t)
         return tokens, node ^ mark if firsts.get(node, mark) != mark else node
 
-    active = materialize(_active(described, limit))
+    active = _active(described, limit)
     found = described.select("node", "doc_id")
     if not active.isEmpty():
         labels = _labels(docs, text, active, limit, named)
@@ -331,6 +331,7 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
     A token with more than HOT rows is checked by pairs of parts of its rows; one with more than WHOLE_GROUP passes
     unchecked, its rows spread by node: more rows than needed change nothing but the work.
     """
+    spark, mark = described.sparkSession, tables()
     first = described.where("prefix is not null")
     rows = first.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "node", F.col("pos").cast("long").alias("pos"))
     hot = materialize(rows.groupBy("token").count().where(F.col("count") > HOT).select("token"))
@@ -386,7 +387,6 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
                         hit[y[good]] = True
             yield pa.RecordBatch.from_pydict({"token": token[hit], "n": n[hit], "node": node[hit], "pos": pos[hit]})
 
-    spark = described.sparkSession
     parts = rows.join(hot, "token", "left_anti").repartition("token").sortWithinPartitions("token", "n", "node")
     shared = _narrow(spark, parts.mapInArrow(near, "token long, n long, node long, pos long").unionByName(rows.join(hot, "token", "left_semi").dropDuplicates(["token", "node"])))
     big = materialize(shared.groupBy("token").count().where(F.col("count") > HOT).select("token", F.when(F.col("count") <= WHOLE_GROUP, F.ceil(F.col("count") / HOT)).alias("parts")))
@@ -406,7 +406,9 @@ def _active(described: DataFrame, limit: Threshold) -> DataFrame:
     left = many.join(own.select("token", "node"), ["token", "node"], "left_anti").withColumn("with", F.explode(F.expr("sequence(0, parts - 1)"))).where("with <> part")
     again = compared(many.withColumn("with", F.col("part")).unionByName(left), F.xxhash64("token", "with"))
     found = found.unionByName(own).unionByName(again).distinct()
-    return materialize(found.unionByName(shared.join(big.where("parts is null"), "token", "left_semi").select("token", "n", "node", "pos")))
+    active = materialize(found.unionByName(shared.join(big.where("parts is null"), "token", "left_semi").select("token", "n", "node", "pos")))
+    release(spark, mark, keep=1)
+    return active
 
 
 def _bitmap(names: DataFrame) -> tuple[bytes, int]:

@@ -19,6 +19,8 @@ BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 #: Used where the session names no shared folder, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
+#: Spark's setting that deletes the shuffle files of a query at its end.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
 
@@ -76,11 +78,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts the lineage and survives the loss of any executor; the files go by release(), or when the driver's process ends.
+    Its exchanges' files go once the table is written, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
     schema = df.schema
-    df.write.parquet(path)
+    was = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, was)
     atexit.register(_forget, spark, path)
     _tables.append(path)
     return spark.read.schema(schema).parquet(path)
