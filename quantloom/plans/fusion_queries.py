@@ -207,9 +207,10 @@ def _etf(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("ALGERIA", "E1", 0), ("AN", "E2", 1), ("UNITED", "E3", 2), ("NATION_1", "E4", 3), ("NATION", "E5", 4), ("IN", "E1", 5)], "key string, etf string, ord int")
 
 
-@query("c9_reverse_map", f"with {ETF} select etf, arg_max(key, ord) as key from etf group by etf")
+@query("c9_reverse_map", "select p_brand as etf, arg_max(p_name, p_partkey) as key from part group by p_brand")
 def c9(spark, sf):
-    return _etf(spark).groupBy("etf").agg(F.max_by("key", "ord").alias("key"))
+    """The last key that stands for a value, over the part table."""
+    return fx.table(spark, sf, "part").groupBy(F.col("p_brand").alias("etf")).agg(F.max_by("p_name", "p_partkey").alias("key"))
 
 
 @query("c10_c11_z8_z19_fuzzy_join", f"with {ETF} select n_name as name, key from nation left join etf on n_name = key or contains(n_name, key) or contains(key, n_name) qualify row_number() over (partition by n_name order by case when n_name = key then 0 else 1 end, ord) = 1")
@@ -224,11 +225,6 @@ def c12(spark, sf):
     return joins.event_matches(fx.table(spark, sf, "documents"), title="text")
 
 
-@query("c12_event_match_all", """select e.doc_id as eid, min(o.doc_id) as doc_id from documents e left join documents o on contains(e.text, substr(o.text, 1, 10)) or contains(o.text, substr(e.text, 1, 10)) group by e.doc_id""")
-def c12_all(spark, sf):
-    return c12(spark, sf)
-
-
 @query("c12_verified_events", """with o as (select event_id oid, event_type || ' ' || event_id % 50 t from events where event_id % 2 = 0), e as (select event_id eid, event_type || ' ' || event_id % 70 t, event_id % 3 = 0 verified, event_id % 100 certainty from events where event_id % 2 = 1),
 keys as (select t, substr(t, 1, 10) k, min(oid) oid from o group by 1, 2), m as (select eid, min(oid) oid from e left join keys on contains(e.t, k) or contains(keys.t, substr(e.t, 1, 10)) group by eid)
 select eid, oid, oid is not null as matched from m join e using (eid) where oid is not null or (verified and certainty >= 50)""")

@@ -255,9 +255,11 @@ def z16(spark, sf):
     return fx.table(spark, sf, "events").select("event_id", tx.stars(F.col("value") / 40).alias("stars"), tx.signed_percent((F.col("event_id") % 200 - 100) / 7).alias("pct"))
 
 
-@query("z17_code_universe", "select lpad(cast(i as varchar), 6, '0') as code from range(1, 1000) t(i) union all select cast(i as varchar) from range(600000, 600500) t(i)")
+@query("z17_code_universe", """with u as (select lpad(cast(i as varchar), 6, '0') code from (select unnest(range(1, 1000)) i union all select unnest(range(600000, 600500)))) select u.code, s_suppkey is not null as listed from u left join supplier on lpad(cast(s_suppkey as varchar), 6, '0') = u.code""")
 def z17(spark, sf):
-    return feeds.code_universe(spark, ((1, 999), (600000, 600499)))
+    """The codes of fixed ranges, and which of them are listed."""
+    listed = fx.table(spark, sf, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("code"), F.lit(True).alias("listed"))
+    return feeds.code_universe(spark, ((1, 999), (600000, 600499))).join(listed, "code", "left").select("code", F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
 @query("g1_g11_chart_patterns")
