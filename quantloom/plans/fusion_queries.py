@@ -259,7 +259,7 @@ RET = f"""{B}, {fx.AS_OF}, {RECS}, top as (select * from recs where rank <= 20),
 ret as (select tg.d, tg.code, tg.price, rank, tg.h horizon, (b.c - price) / cast(price as double) * 100 ret from tg asof left join bars b on tg.code = b.code and tg.target <= b.d)"""
 
 
-def _recommended(spark: SparkSession, sf: str) -> DataFrame:
+def recommended(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 best 20-bar returns at each as-of date."""
     b, dates = fx.bars_walk(spark, sf), fx.as_of(spark, sf)
     x = b.join(F.broadcast(dates), (F.col("d") <= F.col("as_of")) & (F.col("d") > F.date_sub("as_of", 150)))  # a dozen dates
@@ -271,7 +271,7 @@ def _recommended(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _returns(spark: SparkSession, sf: str) -> DataFrame:
-    return performance.forward_returns(_recommended(spark, sf), fx.bars_walk(spark, sf))
+    return performance.forward_returns(recommended(spark, sf), fx.bars_walk(spark, sf))
 
 
 @query("i11_forward_returns", f"{RET} select d, code, rank, horizon, {fix('ret')} as ret from ret")
@@ -337,12 +337,12 @@ HIST = f"{B}, {fx.AS_OF}, {RECS}, hist as (select d, code from recs where rank <
 
 @query("e21_h16_streaks", f"{HIST}, i as (select code, n - row_number() over (partition by code order by n) island from hist join dn using (d)) select code, count(*) as days from i where island = 0 group by code")
 def e21(spark, sf):
-    return performance.streaks(_recommended(spark, sf).select("d", "code"))
+    return performance.streaks(recommended(spark, sf).select("d", "code"))
 
 
 @query("e22_j5_retention", f"{HIST} select d, code from hist join dn using (d) where n <= 7")
 def e22(spark, sf):
-    return performance.retained(_recommended(spark, sf).select("d", "code"), 7)
+    return performance.retained(recommended(spark, sf).select("d", "code"), 7)
 
 
 # -- aggregates

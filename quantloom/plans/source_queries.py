@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.operators import naming
+from quantloom.operators import adjust, cascade, naming, performance
+from quantloom.operators.aggregates import resample
+from quantloom.plans.fusion_queries import RET, recommended
+from quantloom.plans.indicator_queries import B, fix
+from quantloom.sources import feeds, quotes, results
 from quantloom.sources import fixtures as fx
 
 QUERIES, ORACLES = {}, {}
@@ -92,3 +96,130 @@ def board_members(spark, sf):
     s = fx.table(spark, sf, "supplier")
     code = F.concat(F.repeat(F.lit("0"), (5 - F.col("s_suppkey") % 3).cast("int")), F.col("s_suppkey").cast("string"))
     return found.join(s, F.col("value") == F.col("s_nationkey")).select("name", code.alias("code")).where(F.length("code") == 6)
+
+
+# -- quote feeds
+
+
+def _tilde_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A line for each supplier: a full quote, or one of the faults by its number; blank statements between."""
+    k, text = F.col("s_suppkey"), lambda c: c.cast("string")
+    code = F.lpad(text(k), 6, "0")
+    at = {1: F.col("s_name"), 2: code, 3: text(F.col("s_acctbal")), 4: text(k % 50), 5: F.when(k % 4 == 0, "n/a").otherwise(text(k + 0.5)), 33: text(k + 2), 34: text(k - 2), 36: text(k * 10), 37: text(k * 11), 38: text(k % 9 / 4), 39: F.when(k % 11 == 0, "-").otherwise(text(k % 4000)),
+          41: F.when(k % 2 == 0, "").otherwise(text(k + 3)), 42: F.when(k % 3 == 0, "").otherwise(text(k - 3)), 43: text(k % 7), 44: text(k * 0.5), 45: text(k * 1.0), 46: F.lit("1.5")}
+    fields = F.concat_ws("~", *[at.get(i, F.lit("")) for i in range(49)])
+    body = F.when(k % 7 == 1, "").when(k % 7 == 2, F.concat_ws("~", F.lit("1"), F.col("s_name"), code)).otherwise(fields)
+    line = F.when(k % 7 == 0, F.concat(F.lit("pv_none_match "), code)).otherwise(F.concat(F.lit(" v_sz"), code, F.lit('="'), body, F.lit('"; ;')))
+    return fx.table(spark, sf, "supplier").select(k.alias("k"), line.alias("value"))
+
+
+def _comma_lines(spark: SparkSession, sf: str) -> DataFrame:
+    k, text = F.col("s_suppkey"), lambda c: c.cast("string")
+    body = F.concat_ws(",", F.col("s_name"), text(k + 0.25), text(k % 40), text(F.col("s_acctbal")), text(k + 1), text(k - 1), F.lit(""), F.lit(""), text(k * 9), F.when(k % 5 != 3, text(k * 8)))
+    line = F.concat(F.lit("var hq_str_sh"), F.lpad(text(k), 6, "0"), F.lit('="'), F.when(k % 5 == 4, "").otherwise(body), F.lit('";'))
+    return fx.table(spark, sf, "supplier").select(k.alias("k"), line.alias("value"))
+
+
+TILDE = """tq as (select s_suppkey k, lpad(cast(s_suppkey as varchar), 6, '0') code, s_name as name, s_acctbal as last, s_suppkey % 50 as previous, case when s_suppkey % 4 = 0 then 0 else s_suppkey + 0.5 end as open, case when s_suppkey % 2 = 0 then s_suppkey + 2 else s_suppkey + 3 end as high,
+  case when s_suppkey % 3 = 0 then s_suppkey - 2 else s_suppkey - 3 end as low, s_suppkey * 10 as volume, case when s_suppkey % 11 = 0 then 0 else s_suppkey % 4000 end as pe, 1.5 as pb, s_suppkey * 1e8 as cap from supplier where s_suppkey % 7 > 2)"""
+COMMA = """cq as (select s_suppkey k, lpad(cast(s_suppkey as varchar), 6, '0') code, s_name as name, s_acctbal as last, s_suppkey % 40 as previous, s_suppkey + 0.25 as open, s_suppkey + 1 as high, s_suppkey - 1 as low, s_suppkey * 9 as volume from supplier where s_suppkey % 5 < 3)"""
+CHANGE = "case when previous > 0 then " + fix("round((last - previous) / cast(previous as double) * 100, 2)", 2) + " end"
+
+
+@query("a9_a10_quotes", f"""with {TILDE}, {COMMA} select 'tilde' as feed, code, name, cast(last as double) as last, cast(previous as double) as previous, cast(open as double) as open, cast(high as double) as high, cast(low as double) as low, cast(volume as double) as volume, cast(pe as double) as pe, cast(cap as double) as cap, {CHANGE} as change from tq
+union all select 'comma', code, name, last, previous, open, high, low, volume, null, null, {CHANGE} from cq""")
+def quote_feeds(spark, sf):
+    out = None
+    for feed, lines, layout in (("tilde", _tilde_lines(spark, sf), quotes.TILDE), ("comma", _comma_lines(spark, sf), quotes.COMMA)):
+        good, _ = quotes.split_rejects(quotes.parse_quotes(lines, layout))
+        more = [F.col(c) if c in good.columns else F.lit(None).cast("double").alias(c) for c in ("pe", "cap")]
+        part = good.select(F.lit(feed).alias("feed"), "code", "name", "last", "previous", "open", "high", "low", "volume", *more, F.floor(F.col("change") * 100 + 0.5).alias("change"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("a9_a10_rejects", """with t as (select 'tilde' feed, case s_suppkey % 7 when 0 then 'no variable' when 1 then 'no value' when 2 then 'too few fields' end reason from supplier union all select 'comma', case s_suppkey % 5 when 4 then 'no value' when 3 then 'too few fields' end from supplier)
+select feed, reason, count(*) as n from t where reason is not null group by feed, reason""")
+def quote_rejects(spark, sf):
+    t, c = quotes.parse_quotes(_tilde_lines(spark, sf), quotes.TILDE), quotes.parse_quotes(_comma_lines(spark, sf), quotes.COMMA)
+    both = quotes.split_rejects(t)[1].withColumn("feed", F.lit("tilde")).unionByName(quotes.split_rejects(c)[1].withColumn("feed", F.lit("comma")))
+    return both.groupBy("feed", "reason").agg(F.count("*").alias("n"))
+
+
+FIELDS = ("last", "pe", "pb", "cap")
+
+
+def _sources(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
+    k = F.col("s_suppkey")
+    own = fx.table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.lpad(k.cast("string"), 6, "0").alias("code"), (F.col("s_acctbal") + 1).alias("last"), F.when(k % 2 == 0, k % 30 / 2).alias("pe"), F.lit(2.5).alias("pb"), (k * 3e8).alias("cap"))
+    parsed = [quotes.split_rejects(quotes.parse_quotes(lines(spark, sf), layout))[0] for lines, layout in ((_tilde_lines, quotes.TILDE), (_comma_lines, quotes.COMMA))]
+    return [("own", own), ("tilde", parsed[0]), ("comma", parsed[1])]
+
+
+SOURCES = f"""{TILDE}, {COMMA}, own as (select lpad(cast(s_suppkey as varchar), 6, '0') code, s_acctbal + 1 as last, case when s_suppkey % 2 = 0 then s_suppkey % 30 / 2.0::double end as pe, 2.5::double as pb, s_suppkey * 3e8 as cap from supplier where s_suppkey % 3 = 0),
+three as (select 'own' as source, code, last, pe, pb, cap from own union all select 'tilde', code, last, pe, pb, cap from tq where code not in (select code from own)
+  union all select 'comma', code, last, null, null, null from cq where code not in (select code from own) and code not in (select code from tq)),
+au as (select lpad(cast(s_suppkey as varchar), 6, '0') code, nullif(s_suppkey % 70, 3) + 0.125::double as ape, case when s_suppkey % 6 = 0 then 0 else 1.75::double end as apb, s_suppkey * 2.0::double as acap from supplier where s_suppkey % 4 > 0)"""
+
+
+@query("a6_quote_cascade", f"""with {SOURCES}, j as (select three.*, round(ape, 2) ape, apb, acap * 1e4 acap, coalesce(pe, 0) = 0 or pe > 2000 as wrong from three left join au using (code))
+select code, cast(last as double) as last, cast(case when wrong and ape <> 0 then ape else pe end as double) as pe, cast(case when wrong and apb <> 0 then apb else pb end as double) as pb, cast(case when wrong and acap <> 0 then acap else cap end as double) as cap, source,
+  concat_ws(',', case when wrong and ape <> 0 then 'pe' end, case when wrong and apb <> 0 then 'pb' end, case when wrong and acap <> 0 then 'cap' end) as patched from j""")
+def quote_cascade(spark, sf):
+    k = F.col("s_suppkey")
+    authority = fx.table(spark, sf, "supplier").where("s_suppkey % 4 > 0").select(F.lpad(k.cast("string"), 6, "0").alias("code"), (F.nullif(k % 70, F.lit(3)) + 0.125).alias("pe"), F.when(k % 6 == 0, 0.0).otherwise(1.75).alias("pb"), (k * 2.0).alias("cap"))
+    return cascade.quote_cascade(_sources(spark, sf), authority, FIELDS).withColumn("patched", F.array_join("patched", ","))
+
+
+@query("a6_first_fields", f"""with {SOURCES}, f as (select coalesce(own.code, tq.code, cq.code) code, own.last a, tq.last b, cq.last c, own.pe ap, tq.pe bp, own.pb ab, tq.pb bb from own full join tq on tq.code = own.code full join cq on cq.code = coalesce(own.code, tq.code))
+select code, coalesce(a, b, c) as last, case when a is not null then 'own' when b is not null then 'tilde' when c is not null then 'comma' end as last_source, cast(coalesce(ap, bp) as double) as pe, case when ap is not null then 'own' when bp is not null then 'tilde' end as pe_source from f""")
+def first_fields(spark, sf):
+    return cascade.first_fields(_sources(spark, sf), ("last", "pe")).select("code", "last", "last_source", "pe", "pe_source")
+
+
+# -- adjusted bars
+
+EVENTS = "ev as (select code, d, case when code % 2 = 0 then 0.5::double else 0.75::double end as factor from bars where day(d) = 15 and code % 3 <> 1 union all select code, d + 1, 0.5 from bars where day(d) = 27 and code % 3 = 0)"
+ADJUSTED = f"{B}, {EVENTS}, ad as (select b.code, b.d, b.c * coalesce(product(factor), 1) as c, b.h * coalesce(product(factor), 1) as h, b.v from bars b left join ev on ev.code = b.code and ev.d > b.d group by b.code, b.d, b.c, b.h, b.v)"
+
+
+def _adjusted(spark, sf, last: int | None = None) -> DataFrame:
+    b = fx.bars_walk(spark, sf)
+    k = F.col("code")
+    days = b.where((F.day("d") == 15) & (k % 3 != 1)).select("code", "d", F.when(k % 2 == 0, 0.5).otherwise(0.75).alias("factor"))
+    days = days.unionByName(b.where((F.day("d") == 27) & (k % 3 == 0)).select("code", F.date_add("d", 1).alias("d"), F.lit(0.5).alias("factor")))
+    return adjust.forward_adjusted(b, days, last=last)
+
+
+@query("a1_adjusted_bars", f"{ADJUSTED} select code, d, {fix('c', 3)} as c, {fix('h', 3)} as h, v from ad qualify row_number() over (partition by code order by d desc) <= 120 and count(*) over (partition by code) >= 5")
+def adjusted_bars(spark, sf):
+    return _adjusted(spark, sf, 120).select("code", "d", F.floor(F.col("c") * 1000 + 0.5).alias("c"), F.floor(F.col("h") * 1000 + 0.5).alias("h"), "v")
+
+
+@query("a1_adjusted_weeks", f"{ADJUSTED}, w as (select code, cast(date_trunc('week', d) as date) + 6 as w, max(h) h, arg_max(c, d) c, cast(sum(v) as bigint) v from ad group by all) select code, w, {fix('h', 3)} as h, {fix('c', 3)} as c, v from w qualify row_number() over (partition by code order by w desc) <= 30")
+def adjusted_weeks(spark, sf):
+    """Weeks that end on Sunday, of adjusted bars: the last thirty of each code."""
+    w = resample(_adjusted(spark, sf), "week_sunday")
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("w")))
+    return w.withColumn("n", n).where("n <= 30").select("code", "w", F.floor(F.col("h") * 1000 + 0.5).alias("h"), F.floor(F.col("c") * 1000 + 0.5).alias("c"), "v")
+
+
+# -- results that grow
+
+
+@query("j3_j4_incremental_results", f"{RET} select d, code, horizon, {fix('ret')} as ret from ret where horizon in (3, 5, 8)")
+def incremental_results(spark, sf):
+    """A back-test in three runs: some dates at two horizons, all dates at three, and one that finds nothing to do."""
+    path = feeds.shared_path(spark, "results")
+    picks, bars = feeds.stored(recommended(spark, sf)), fx.bars_walk(spark, sf)
+    dates = picks.select("d").distinct()
+
+    def evaluate(open_: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+        return performance.forward_returns(picks.join(open_, "d", "left_semi"), bars, horizons).select("d", "code", "horizon", "ret")
+
+    results.update_results(spark, path, dates.orderBy("d").limit(7), (3, 5), evaluate)
+    for _ in range(2):
+        results.update_results(spark, path, dates, (3, 5, 8), evaluate)
+    return spark.read.parquet(path).select("d", "code", "horizon", F.floor(F.col("ret") * 10000 + 0.5).alias("ret"))
