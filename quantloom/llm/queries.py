@@ -87,7 +87,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = secret_models.find_secrets(docs, secret_models.train(secret_models.label_samples(docs)))
-    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return out.select("doc_id", *counts, F.sha2(secret_models.joined_spans("base"), 256).alias("base_sha256"), secret_models.joined_spans(F.concat("base", "added")).alias("spans"))
 
 
