@@ -143,6 +143,7 @@ def compounds(words: list[str], n: int, seed: int = 0) -> list[str]:
 
 
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9]*+(?:[_-][A-Za-z0-9]++)*+")
+_PIECE = re.compile(r"[_-]")
 #: Of so many words a task remembers that it has offered them.
 REMEMBERED = 500_000
 
@@ -182,7 +183,8 @@ def offered(texts: Iterator[str | None], sample: int) -> list[tuple[str, bool, i
         seen |= new
         for w in new:
             w = w.strip(".,;:!?()[]\"'")
-            if len(w) <= 40 and _WORD.fullmatch(w):
+            # long pieces of mixed characters may be secrets themselves, so they are no samples of ordinary ones
+            if len(w) <= 40 and _WORD.fullmatch(w) and all(len(x) < MIN_LENGTH or x[1:].islower() for x in _PIECE.split(w)):
                 offer(w, False)
     for label in kept:
         trim(label)

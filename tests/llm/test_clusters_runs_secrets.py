@@ -296,9 +296,9 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert secret_models.train([]).held_out[0] > 0.9 and secret_models.train([(None, True), ("abcdefgh", None)]).least >= 12
 
 
-def test_op13_base_and_clean_texts(spark):
-    rows = QUERIES["op13_secrets"](spark, SMALL).collect()
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+def check_op13(spark, folder):
+    rows = QUERIES["op13_secrets"](spark, folder).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert len(rows) == len(texts)
     for r in rows:
         want = plain_base(texts[r.doc_id])
@@ -306,3 +306,26 @@ def test_op13_base_and_clean_texts(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
         assert [x for x in r.spans.split(",") if x and not x.startswith("random")] == joined
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in want) for kind in ("assign", "access", "hex"))
+    return {r.doc_id: r.spans for r in rows}
+
+
+def test_op13_base_and_clean_texts(spark):
+    assert not any("random" in s for s in check_op13(spark, SMALL).values())
+
+
+def test_op13_planted_secrets(spark, tmp_path):
+    from pydoc_data.topics import topics
+
+    r, key = random.Random(5), lambda n: "".join(random.Random(n).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32))
+    rows = [(i, t) for i, t in enumerate(topics.values())]
+    for n in range(40):
+        i, t = rows[n]
+        at = t.index(" ", r.randrange(len(t) // 2))
+        secret = (f"é {key(n)}", f'password: "{key(n)}"', f"AKIA{key(n).upper()[:16]}", f"{zlib.crc32(key(n).encode()):08x}" * 5)[n % 4]
+        rows[n] = (i, f"{t[:at]} {secret} {t[at:]}")
+    spark.createDataFrame([*rows, (10**6, None), (10**6 + 1, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = check_op13(spark, str(tmp_path))
+    kinds = [{x.split(":")[0] for x in spans[n].split(",") if x} for n in range(40)]
+    assert [n for n in range(40) if ("random", "assign", "access", "hex")[n % 4] not in kinds[n]] == []
+    assert all("random" in kinds[n] for n in range(0, 40, 4))
+    assert sum("random" in s for i, s in spans.items() if i >= 40) <= 1
