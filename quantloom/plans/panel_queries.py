@@ -9,6 +9,7 @@ from quantloom.functions.expr import fixed
 from quantloom.operators import picks, radar, ratios
 from quantloom.plans.indicator_queries import fix
 from quantloom.sources import fixtures as fx
+from quantloom.sources.feeds import stored
 
 QUERIES, ORACLES = {}, {}
 
@@ -138,7 +139,7 @@ p as (select *, case n % 4 when 0 then n % 30 when 2 then n % 25 else 99 end ran
 select conv_id, turn, row_number() over (partition by conv_id, turn order by rank, i) as place, rank, lpad(cast(n % 1000 as varchar), 6, '0') as code, {fix("score", 1)} as score, least(300, n % 200 * 2) as chars,
   case n % 5 when 0 then null when 1 then 0 else n % 11 * 10 end as conservative, case n % 5 when 0 then null when 1 then n % 40 * 10 else 15 end as baseline, case n % 5 when 0 then null else 0 end as optimistic from p""")
 def whole_picks(spark, sf):
-    p = picks.typed_picks(_pick_answers(spark, sf), 20)
+    p = picks.typed_picks(stored(_pick_answers(spark, sf)), 20)  # the answers are made here; a feed has them in a column
     target = lambda k: fixed(F.try_element_at("targets", F.lit(k)), 1)
     return p.select("conv_id", "turn", "place", F.col("rank").cast("long").alias("rank"), "code", fixed("score", 1).alias("score"), F.length("reasoning").cast("long").alias("chars"), *(target(k).alias(k) for k in picks.TARGETS))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import text as tx
 from quantloom.functions.expr import fixed, trailing
-from quantloom.operators import events, patterns
+from quantloom.operators import events, patterns, sequences
+from quantloom.operators.asof import last_bars_before
 from quantloom.operators.indicators import last_bars
 from quantloom.plans.indicator_queries import B, fix, rows
 from quantloom.sources import feeds
@@ -267,6 +268,47 @@ def g1(spark, sf):
     return patterns.chart_patterns(fx.bars_walk(spark, sf))
 
 
+def _pivot(column: str, edge: str, sign: str, k: int) -> str:
+    span = "over (partition by code, timeframe order by d rows between {} and {})"
+    before, after = span.format(f"{k} preceding", "1 preceding"), span.format("1 following", f"{k} following")
+    return f"(pos >= {k} and pos < n - {k} and {column} {sign} {edge}({column}) {before} and {column} {sign} {edge}({column}) {after})"
+
+
+def _dif(bar: str) -> str:
+    return f"""(select m.a - m.b from (select list_reduce(list_transform(cs[1:{bar} + 1], lambda x: {{'a': x, 'b': x}}), lambda s, y: {{'a': s.a + (y.a - s.a) * (2 / 13::double), 'b': s.b + (y.b - s.b) * (2 / 27::double)}}) m))"""
+
+
+SEQUENCES = f"""{B}, days as (select code, d, h, l, c, v, count(*) over (partition by code) k from bars qualify row_number() over (partition by code order by d desc) <= 500),
+cut as (select *, count(*) over (partition by code) kk from days),
+fr as (select code, 'daily' timeframe, d, cast(h as double) h, cast(l as double) l, cast(c as double) c, cast(v as double) v from cut
+  union all select code, 'weekly', cast(d + cast((12 - isodow(d)) % 7 as int) as date) w, max(h), min(l), arg_max(c, d), sum(v) from cut where kk >= 100 group by code, w),
+p0 as (select *, row_number() over (partition by code, timeframe order by d) - 1 pos, count(*) over (partition by code, timeframe) n from fr),
+p1 as (select *, n - 1 - pos back, coalesce(case when timeframe = 'daily' then {_pivot("h", "max", ">", 5)} else {_pivot("h", "max", ">", 2)} end, false) hi, coalesce(case when timeframe = 'daily' then {_pivot("l", "min", "<", 5)} else {_pivot("l", "min", "<", 2)} end, false) lo from p0),
+q as (select code, timeframe, max(n) n, count(*) filter (where hi) + count(*) filter (where lo) pivots, quantile_cont(h, 0.7) qh, quantile_cont(l, 0.3) ql, median(v) vm, max(pos) filter (where hi or lo) lastp,
+  arg_min(pos, pos - h * 1e6) filter (where back < 7) top, arg_min(pos, pos + l * 1e6) filter (where back < 7) bot, avg(c) filter (where back < 5) m5, avg(c) filter (where back < 20) m20, avg(c) filter (where back < 50) m50, avg(c) filter (where back < 60) m60,
+  max(h) filter (where back < 30) mh, max(h) filter (where back < 90) qhh, min(l) filter (where back < 30) ml, min(l) filter (where back < 90) qll, avg(v) filter (where back < 20) av, list(c order by pos) cs from p1 group by code, timeframe having max(n) >= 30 and pivots >= 3),
+pv as (select code, timeframe, pos, 0 side, h p, v from p1 where hi union all select code, timeframe, pos, 1, l, v from p1 where lo),
+strong as (select pv.*, row_number() over (partition by code, timeframe order by pos desc, side desc) r from pv join q using (code, timeframe) where p >= qh),
+sup as (select code, timeframe, arg_max(pos, pos * 2 + side) pos, arg_max(p, pos * 2 + side) p from pv join q using (code, timeframe) where p <= ql and pv.v > vm group by all),
+x as (select q.*, (select max(p) from pv where pv.code = q.code and pv.timeframe = q.timeframe and pv.pos = lastp) pmax, (select min(p) from pv where pv.code = q.code and pv.timeframe = q.timeframe and pv.pos = lastp) pmin,
+  (select h from p1 where p1.code = q.code and p1.timeframe = q.timeframe and p1.pos = top) th, (select l from p1 where p1.code = q.code and p1.timeframe = q.timeframe and p1.pos = bot) bl,
+  (select min(l) from p1 where p1.code = q.code and p1.timeframe = q.timeframe and p1.pos >= top) sl, (select max(h) from p1 where p1.code = q.code and p1.timeframe = q.timeframe and p1.pos >= bot) sh from q),
+mo as (select q.code, q.timeframe, b.p bp, a.p ap, {_dif("b.pos")} bd, {_dif("a.pos")} ad from q join strong a on a.code = q.code and a.timeframe = q.timeframe and a.r = 1 join strong b on b.code = q.code and b.timeframe = q.timeframe and b.r = 2 where q.n >= 60)
+select code, timeframe, 'FLAGU' as pattern, lastp as a_bar, top as b_bar from x where n >= 50 and top < n - 1 and th >= mh and th >= case when n >= 90 then qhh else mh end and m20 >= m50 * 1.08 and sl >= (pmax + th) / 2
+union all select code, timeframe, 'FLAGD', lastp, bot from x where n >= 50 and bot < n - 1 and bl <= ml and bl <= case when n >= 90 then qll else ml end and m20 <= m50 * 0.92 and sh <= (pmin + bl) / 2
+union all select code, timeframe, 'MACD_DIV', null, null from mo where ap >= bp * 0.97 and ad < bd and ad < 0
+union all select distinct q.code, q.timeframe, 'BREAK_SUPPORT', null, null from q join sup using (code, timeframe) join p1 on p1.code = q.code and p1.timeframe = q.timeframe where back < 5 and p1.pos > sup.pos and p1.c < sup.p and p1.v > av
+union all select code, timeframe, case when m5 > m20 then 'MA_BULL' else 'MA_BEAR' end, null, null from q where n >= 60 and (m5 > m20 and m20 > m60 or m5 < m20 and m20 < m60)"""
+
+
+@query("g7_g10_sequences", SEQUENCES)
+def g7(spark, sf):
+    bars = fx.bars_walk(spark, sf)
+    found = sequences.sequence_patterns(sequences.frames(last_bars_before(bars, bars.agg(F.max("d").alias("cutoff")), 500)))
+    bar = lambda k: F.try_element_at("points", F.lit(k))["bar"]
+    return found.select("code", "timeframe", "pattern", bar("A").alias("a_bar"), bar("B").alias("b_bar"))
+
+
 @query("g12_pattern_scores")
 def g12(spark, sf):
     return patterns.pattern_scores(spark, patterns.chart_patterns(fx.bars_walk(spark, sf)))
@@ -291,7 +333,7 @@ def h10(spark, sf):
     return events.event_clusters(_reports(spark, sf)).select("kind", "t", F.col("at").alias("first_at"), "place")
 
 
-@query("h10_top_events", f"""with recursive {ONE_BY_ONE}, x as (select ev.*, place, len(list_filter(string_split_regex(ev.t, '\s+'), lambda w: length(w) > 1)[1:3]) as words, max(pos) over (partition by ev.kind, ev.t) last from ev join walk on walk.kind is not distinct from ev.kind and walk.t = ev.t),
+@query("h10_top_events", rf"""with recursive {ONE_BY_ONE}, x as (select ev.*, place, len(list_filter(string_split_regex(ev.t, '\s+'), lambda w: length(w) > 1)[1:3]) as words, max(pos) over (partition by ev.kind, ev.t) last from ev join walk on walk.kind is not distinct from ev.kind and walk.t = ev.t),
 y as (select * from x where len(list_filter(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')[1:3], lambda w: length(w) > 1)) > 0 or pos = last),
 c as (select kind, place, count(*) model_votes, max(certainty) certainty, arg_min(title, (99 - certainty) * 10000000 + pos) event from y group by all), top as (select *, row_number() over (partition by kind order by model_votes desc, certainty desc, place) rank from c qualify rank <= 5),
 g as (select kind, place, pos, i, (pos + i * 5) % 11 code, cast((pos * (i + 1)) % 50 as double) score, pos % 9 logic from (select *, unnest(range(0, pos % 3 + 1)) i from y)),

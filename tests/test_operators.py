@@ -155,14 +155,6 @@ def test_double_bottom_and_its_mirror():
     assert patterns.double_bottom(make([(0, 110), (20, 100), (30, 108), (40, 93), (47, 100)])) is None
 
 
-def test_flag_and_too_flat():
-    up = np.concatenate([np.linspace(50, 60, 60), np.linspace(60, 100, 35), [99.5, 99.0, 98.5]])
-    s = patterns.Series(up + 0.5, up - 0.5, up, np.ones(len(up)), np.array([60, 70]), np.array([60.0, 75.0]), np.ones(2))
-    assert patterns.flag(s) is not None
-    flat = np.concatenate([np.full(95, 100.0), [101, 100.5, 100.4]])
-    assert patterns.flag(patterns.Series(flat, flat, flat, np.ones(98), np.array([60, 70]), np.array([100.0, 100.0]), np.ones(2))) is None
-
-
 def test_doubled_pivot_skips_one_more():
     s = patterns.Series(np.zeros(9), np.zeros(9), np.zeros(9), np.ones(9), np.array([2, 4, 4, 6, 8]), np.arange(5.0), np.ones(5))
     assert (s.after(2), s.after(4), s.after(6)) == (1, 4, 4)
