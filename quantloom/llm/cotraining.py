@@ -9,7 +9,7 @@ documents kept aside; there the two are calibrated and combined in the end.  Tox
 that are far commoner in toxic documents.
 
 At scale: training is on at most `sample_rows` labelled and `pool_rows` other documents; their features (24 numbers and
-at most WORDS_KEPT word buckets a document, those of least hash) come to the driver, never their texts.  Scoring is one pass without a shuffle.
+at most `sample_words` word buckets a document, those of least hash and so a fair sample of its words) come to the driver, never their texts.  Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ from .shingles import word_hashes
 META_BUCKETS = 512
 WORD_BUCKETS = 1 << 18
 STEMS = (4, 5, 6)
-#: Word buckets that a training document gives at most; scoring sees all words of a text.
-WORDS_KEPT = 4000
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:'\"()-?", b"!", b"|<>{}[]\\^~`", b"#*$%&@=+_/")):
     _CLASS[list(_chars)] = _k + 1
@@ -136,7 +134,7 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(a * min(12.0, float(self.toxic[buckets].sum())) + b, -30, 30))))
 
 
-def _features(rows: DataFrame) -> list[dict]:
+def _features(rows: DataFrame, sample_words: int) -> list[dict]:
     """Features of rows (h, text, source, lang, n_chars, quality, toxic), in the order of h; words as arrays."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +142,7 @@ def _features(rows: DataFrame) -> list[dict]:
             t = texts(batch, "text")
             cols = {n: batch.column(batch.schema.get_field_index(n)) for n in ("h", "source", "lang", "n_chars", "quality", "toxic")}
             meta = [meta_features(*x) for x in zip(*(cols[n].to_pylist() for n in ("source", "lang", "n_chars")), strict=True)]
-            yield pa.RecordBatch.from_arrays([cols["h"], pa.array([text_features(x) for x in t], pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32())), pa.array([word_buckets(x)[:WORDS_KEPT] for x in t], pa.list_(pa.int32())), cols["quality"], cols["toxic"]], names=["h", "x", "meta", "words", "quality", "toxic"])
+            yield pa.RecordBatch.from_arrays([cols["h"], pa.array([text_features(x) for x in t], pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int32())), pa.array([word_buckets(x)[:sample_words] for x in t], pa.list_(pa.int32())), cols["quality"], cols["toxic"]], names=["h", "x", "meta", "words", "quality", "toxic"])
 
     table = rows.mapInArrow(take, "h long, x array<double>, meta array<int>, words array<int>, quality int, toxic int").toArrow()
     words = []
@@ -157,11 +155,12 @@ def _features(rows: DataFrame) -> list[dict]:
     return sorted(out, key=lambda r: (r["h"], str(r["meta"]), r["x"]))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", doc_id: str = "doc_id", sample_rows: int = 6000, pool_rows: int = 4000, rounds: int = 4, sure: float = 0.95, hand_over: int = 200) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars", doc_id: str = "doc_id", sample_rows: int = 6000, pool_rows: int = 4000, rounds: int = 4, sure: float = 0.95, hand_over: int = 200, sample_words: int = 4000) -> QualityModel:
     """Learn from at most about sample_rows labelled documents and pool_rows others; every fourth labelled one calibrates.
 
     sure: probability from which a view's opinion is handed over; hand_over: how many of each class in a round;
-    rounds=1 is training on labels alone.  Labels of unknown documents and null ids teach nothing; a repeated row counts
+    rounds=1 is training on labels alone; sample_words: word buckets of a training document, those of least hash, while scoring
+    takes all words of a text.  Labels of unknown documents and null ids teach nothing; a repeated row counts
     as often as it is there; ties in certainty go by the order of a hash of the id.
     """
     spark = docs.sparkSession
@@ -172,8 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", source: str =
     n = marks.count()
     chosen = marks.where(part(F.xxhash64("\0d"), sample_rows / max(1, n)))
     d = docs.select(F.col(doc_id).alias("\0e"), F.xxhash64(F.col(doc_id), F.lit("h")).alias("h"), F.col(text).cast("string").alias("text"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), F.col(n_chars).cast("long").alias("n_chars"))
-    known = _features(d.join(F.broadcast(chosen), F.col("\0e") == F.col("\0d")).drop("\0d", "\0e"))  # bounded by sample_rows
-    pool = _features(d.where(part(F.xxhash64("\0e", F.lit("p")), pool_rows / max(1, docs.count()))).drop("\0e").withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")}))
+    known = _features(d.join(F.broadcast(chosen), F.col("\0e") == F.col("\0d")).drop("\0d", "\0e"), sample_words)  # bounded by sample_rows
+    pool = _features(d.where(part(F.xxhash64("\0e", F.lit("p")), pool_rows / max(1, docs.count()))).drop("\0e").withColumns({"quality": F.lit(None).cast("int"), "toxic": F.lit(None).cast("int")}), sample_words)
     good = [r for r in known if r["quality"] is not None]
     fold = [r["h"] % 4 == 0 for r in good]
     learn, aside = [r for r, f in zip(good, fold, strict=True) if not f], [r for r, f in zip(good, fold, strict=True) if f]

@@ -98,6 +98,10 @@ def sampled(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, classes
     return (picked * salt).sum(axis=2) * 1_000_003 + classes[:, None]
 
 
+#: Walks beyond which a similarity is refused, rather than searched with less recall than asked for.
+MOST_WALKS = 1000
+
+
 @lru_cache(maxsize=256)
 def walks_needed(n: int, similarity: float, recall: float) -> int:
     """Walks that find a piece of n words at the limit of similarity with probability `recall`.
@@ -128,11 +132,23 @@ def walks_needed(n: int, similarity: float, recall: float) -> int:
             hits += (keys[:pairs] == keys[pairs:]).any(axis=1)
         # pairs differ: the mean of their chances of being missed, each chance with a trial's half added
         missed = 1 - (hits + 0.5) / (rounds + 1)
-        while most < 1000 and (missed**most).mean() > 1 - min(recall, 0.999999):
+        while (missed**most).mean() > 1 - min(recall, 0.999999):
             most += 1
+            if most > MOST_WALKS:
+                raise ValueError(f"recall {recall} of items of {n} words at similarity {similarity} takes more than {MOST_WALKS} walks")
     return most
 
 
+def word_edits(a: list[str], b: list[str]) -> int:
+    """Edit distance of two short lists of words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 class Items:
     """A block of benchmark items: vocabulary, q-grams by piece length, and LSH keys of the pieces."""
 
@@ -142,13 +158,19 @@ class Items:
         self.ids: list[int | None] = []
         self.tokens: list[np.ndarray] = []
         self.whole: dict[tuple[str, ...], list[int | None]] = {}
-        self.runs: dict[int, dict[tuple[str, ...], list[int | None]]] = {}
+        self.short: list[tuple[int | None, list[str], int]] = []
+        self.parts: dict[int, dict[tuple[str, ...], list[tuple[int, int]]]] = {}
         for item, text in rows:
             words = words_of(text)
             if words and len(words) < min(min_words, run_words):
                 self.whole.setdefault(tuple(words), []).append(item)
             elif words and len(words) < min_words:
-                self.runs.setdefault(len(words), {}).setdefault(tuple(words), []).append(item)
+                # of edits + 1 parts of a passage within the edits allowed one is as it is in the item
+                edits = edits_allowed(len(words), similarity)
+                for k in range(edits + 1):
+                    a, b = k * len(words) // (edits + 1), (k + 1) * len(words) // (edits + 1)
+                    self.parts.setdefault(b - a, {}).setdefault(tuple(words[a:b]), []).append((len(self.short), a))
+                self.short.append((item, words, edits))
             elif words:
                 self.ids.append(item)
                 self.tokens.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
@@ -191,13 +213,24 @@ class Items:
         return n - Q + 1 - Q * np.floor((1 - self.similarity) * n + 1e-9).astype(np.int64)
 
     def quoted(self, words: list[str]) -> list[int | None]:
-        """Items of less than min_words words that the document holds as they are."""
-        found = list(self.whole.get(tuple(words), ()))
-        for n, runs in self.runs.items():
-            starts = {r[0] for r in runs}
+        """Items of less than min_words words that the document holds within the edits allowed, or is as a whole."""
+        found, seen = list(self.whole.get(tuple(words), ())), set()
+        for n, table in self.parts.items():
+            starts = {p[0] for p in table}
             for i in [i for i in range(len(words) - n + 1) if words[i] in starts]:
-                found += runs.get(tuple(words[i : i + n]), ())
-        return found
+                for k, offset in table.get(tuple(words[i : i + n]), ()):
+                    if k not in seen and self._short_match(words, i - offset, k):
+                        seen.add(k)
+        return found + [self.short[k][0] for k in seen]
+
+    def _short_match(self, words: list[str], at: int, k: int) -> bool:
+        """Whether a passage that begins within the edits of `at` is within them of short item k."""
+        _, own, edits = self.short[k]
+        for start in range(max(0, at - edits), min(max(0, len(words) - 1), at + edits) + 1):
+            lengths = range(max(1, len(own) - edits), len(own) + edits + 1) if self.any_length else (len(own),)
+            if any(word_edits(own, words[start : start + m]) <= edits for m in lengths):
+                return True
+        return False
 
     def sample(self, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, classes: np.ndarray, walk: int) -> np.ndarray:
         return sampled(tokens, starts, lengths, classes, self.bits[walk], self.spots[walk], self.salt)
@@ -329,8 +362,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """Mark the documents that hold a passage of a benchmark item.
 
     similarity: 1 - edits / words of the item that still count.  recall: of the LSH step, at the limit of similarity.
-    min_words: shorter items count only where a run of the document's words equals them; those of fewer than run_words
-    only where the whole text does, since a few words occur anywhere.
+    min_words: shorter items are looked up by exact parts instead of LSH, by the same definition and with no loss.
+    run_words: items of fewer words count only where the whole text equals them, since a few words occur anywhere.
     any_length: passages may be longer or shorter than the item, so that an added or a lost word is one edit.
 
     Result: the columns of docs and contaminated (boolean), items (sorted distinct item ids), which replace columns of
@@ -365,7 +398,7 @@ def _marker(held, text: str, similarity: float, recall: float, min_words: int, a
             hits: dict[int, set] = {}
             for d, i in items.matches(tokens, of[filled], to[filled]):
                 hits.setdefault(int(filled[d]), set()).add(items.ids[i])
-            if items.whole or items.runs:
+            if items.whole or items.short:
                 for k, d in enumerate(docs):
                     for i in items.quoted(d) if d else ():
                         hits.setdefault(k, set()).add(i)

@@ -133,13 +133,21 @@ def twice_filter(docs: DataFrame, text: str, bits: int) -> bytes:
     return bytes(out)
 
 
-def repeated_lines(docs: DataFrame, text: str, order: str, min_docs: int, bits: int) -> DataFrame:
-    """(digest, docs, first) of the line keys that min_docs or more documents hold; first: the least `order` among them."""
-    twice = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, text, bits))
+def _held_filter(twice, bits: int) -> TwoBlooms:
+    """A look at the broadcast twice-seen filter, without a copy of its own."""
+    seen = TwoBlooms.__new__(TwoBlooms)
+    seen.bits, seen.twice = bits, np.frombuffer(twice.value, np.uint8)
+    return seen
+
+
+def repeated_lines(docs: DataFrame, text: str, order: str, min_docs: int, bits: int, twice) -> DataFrame:
+    """(digest, docs, first) of the line keys that min_docs or more documents hold; first: the least `order` among them.
+
+    twice: the broadcast twice-seen filter.
+    """
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = TwoBlooms.__new__(TwoBlooms)
-        seen.bits, seen.twice = bits, np.frombuffer(twice.value, np.uint8)
+        seen = _held_filter(twice, bits)
         counts: dict[bytes, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
@@ -188,7 +196,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", min_
     where Spark splits the partitions of a digest or a text that very many rows share.
 
     Result: the columns of docs with `text` rewritten, and n_lines, n_dropped (long), which replace columns of those
-    names.  Null or empty text: one empty line, nothing dropped, text "".  Empty lines have no key and stay.  Repeated
+    names.  Null or empty text: one empty line, nothing dropped, text "".  Empty lines have no key and stay.  Texts of any
+    length are read whole.  Repeated
     rows count as documents.  With keep="first", a null or repeated `order` counts as the largest or as one document.
     An empty table gives an empty table.
     """
@@ -197,7 +206,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", min_
     spark = docs.sparkSession
     small_batches(spark)
     docs = without(docs, "n_lines", "n_dropped")
-    keys = materialize(repeated_lines(docs, text, order, min_docs, filter_bits or bits_for(docs, text)))
+    bits = filter_bits or bits_for(docs, text)
+    twice = spark.sparkContext.broadcast(twice_filter(docs, text, bits))
+    keys = materialize(repeated_lines(docs, text, order, min_docs, bits, twice))
     schema = extended(docs.schema, ("n_lines", T.LongType()), ("n_dropped", T.LongType()))
     first = keep == "first"
     if keys.count() <= broadcast_keys:
@@ -211,7 +222,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", order: str = "doc_id", min_
                 yield _result(batch, text, out)
 
         return docs.mapInArrow(rewrite, schema)
-    return _rewrite_joined(docs, keys, text, order, first, schema)
+    return _rewrite_joined(docs, keys, text, order, first, schema, bits, twice)
 
 
 def _result(batch: pa.RecordBatch, text: str, out: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
@@ -220,15 +231,27 @@ def _result(batch: pa.RecordBatch, text: str, out: list[tuple[bytes, int, int]])
     return with_columns(batch, **{text: body, "n_lines": pa.array([x[1] for x in out], pa.int64()), "n_dropped": pa.array([x[2] for x in out], pa.int64())})
 
 
-def _rewrite_joined(docs: DataFrame, keys: DataFrame, text: str, order: str, first: bool, schema: T.StructType) -> DataFrame:
-    """The path beyond broadcast_keys: a text's digest stands for it, so the lists of lines to drop need no row id."""
+def suspected_pairs(docs: DataFrame, text: str, bits: int, twice) -> DataFrame:
+    """(of, digest): for each text, by its digest, the lines that the twice-seen filter suspects; few of a corpus' lines."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _held_filter(twice, bits)
         for batch in batches:
-            pairs = {(sha256(t).digest(), sha256(k).digest()) for t in texts(batch, text) if t for k in keys_of(t)}
+            pairs = set()
+            for t in texts(batch, text):
+                keys = list(keys_of(t))
+                hits = np.flatnonzero(seen.suspects(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)))
+                if len(hits):
+                    of = sha256(t).digest()
+                    pairs |= {(of, sha256(keys[k]).digest()) for k in hits}
             yield pa.RecordBatch.from_pydict({"of": pa.array([p[0] for p in pairs], pa.binary()), "digest": pa.array([p[1] for p in pairs], pa.binary())})
 
-    drops = docs.select(text).mapInArrow(lines, "of binary, digest binary").distinct().join(keys.select("digest", "first"), "digest").groupBy("of").agg(F.collect_list(F.struct("digest", "first")).alias("drops"))
+    return docs.select(text).mapInArrow(lines, "of binary, digest binary").distinct()
+
+
+def _rewrite_joined(docs: DataFrame, keys: DataFrame, text: str, order: str, first: bool, schema: T.StructType, bits: int, twice) -> DataFrame:
+    """The path beyond broadcast_keys: a text's digest stands for it, so the lists of lines to drop need no row id."""
+    drops = suspected_pairs(docs, text, bits, twice).join(keys.select("digest", "first"), "digest").groupBy("of").agg(F.collect_list(F.struct("digest", "first")).alias("drops"))
     joined = docs.withColumn("\0of", F.unhex(F.sha2(F.col(text).cast("binary"), 256))).join(drops.withColumnRenamed("of", "\0of").withColumnRenamed("drops", "\0drops"), "\0of", "left").drop("\0of")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,8 +83,8 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, cap: float) -> tuple[DataFr
     first = F.when(F.col("source_size") == 0, 0.0).when(F.col("target") >= cap * F.col("source_size"), 50.0).otherwise(F.coalesce(F.ln(F.col("target") / F.col("source_size")), F.lit(-50.0)))
     dual = targets.select(F.col("source").alias("of"), "target", first.alias("lambda"))
     mu, taken = 0.0, words.cast("double") * F.col("r")
+    mark = tables()
     for _ in range(NEWTON_STEPS):
-        mark = tables()
         at = counts.join(dual, F.col("source").eqNullSafe(F.col("of"))).withColumns({"z": z, "r": rate_of(z, mu, cap)})
         free = F.when(F.col("r") < cap, taken).otherwise(0.0)
         sums = at.groupBy("of").agg(F.first("target").alias("target"), F.first("lambda").alias("lambda"), _exact(taken).cast("double").alias("t"), _exact(free).cast("double").alias("a"), _exact(free * F.col("z")).cast("double").alias("b"), _exact(free * F.col("z") * F.col("z")).cast("double").alias("c"), _exact(taken * F.col("z")).cast("double").alias("q"))
@@ -101,6 +101,8 @@ def solve_dual(sizes: DataFrame, targets: DataFrame, cap: float) -> tuple[DataFr
         mu += step
         if worst < TOLERANCE and abs(step) < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the dual has not settled in {NEWTON_STEPS} steps: a target is off by {worst:.2g} of itself")
     return dual.select("of", "lambda"), mu, mean, deviation
 
 

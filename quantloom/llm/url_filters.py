@@ -4,8 +4,8 @@ Rules decide where they fit.  Elsewhere two personalised PageRanks over host edg
 hosts whose pages the rules allow, distrust flows against links from hosts whose pages they block.  A host whose
 distrust is high in itself and against its trust is blocked.
 
-At scale: edges are host pairs, summed in each task before the shuffle; a rank is one join and one sum per iteration,
-cut from its lineage by a table in the shared folder every CUT iterations.  Verdicts reach the pages by a join with the
+At scale: edges are host pairs, summed in each task before the shuffle; a rank is one join and one sum for each link
+that it has come over, written to the shared folder every CUT links, until more add nothing that counts.  Verdicts reach the pages by a join with the
 blocked hosts alone, which Spark broadcasts only when their files are small.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize, without
+from .runtime import materialize, release, tables, without
 
 #: (host, path, verdict); the longest that fits wins.
 Rule = tuple[str, str, str]
@@ -52,28 +52,29 @@ def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float, iterations: int, tolerance: float = 1e-9) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float = 1e-6) -> DataFrame:
     """(host, rank) with rank = (1 - damping) * seed + damping * what comes over edges (src, dst, share).
 
-    No rank ever falls from one iteration to the next, so their sum tells when they have settled: every CUT iterations
-    it is compared, and the rank is done where it grew by less than the tolerance.
+    A further link adds to a rank and never takes from it, and each costs a factor of damping.  So the ranks' sum grows by
+    less and less, and they are done where CUT links more add less than the tolerance's part of it: there is no other end.
+    Every CUT links the ranks are written, which cuts their lineage.
     """
+    spark, mark = edges.sparkSession, tables()
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("own"))
-    rank = start.select("host", F.col("own").alias("rank"))
-    total = None
-    for k in range(iterations):
-        flow = edges.join(rank, edges["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("own"))
-        rank = start.unionByName(flow).groupBy("host").agg(F.sum("own").alias("rank"))
-        if k % CUT == CUT - 1 and k + 1 < iterations:
-            rank = materialize(rank)
-            now = rank.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-            if total is not None and now - total <= tolerance * now:
-                break
-            total = now
-    return rank
-
-
-def blocked_hosts(pages: DataFrame, edges: DataFrame, damping: float, iterations: int, ratio: float, least: float) -> DataFrame:
+    rank, total = start.select("host", F.col("own").alias("rank")), None
+    while True:
+        for _ in range(CUT):
+            flow = edges.join(rank, edges["src"] == rank["host"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("own"))
+            rank = start.unionByName(flow).groupBy("host").agg(F.sum("own").alias("rank"))
+        rank = materialize(rank)
+        release(spark, mark, keep=1)
+        now = rank.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        if total is not None and now - total <= tolerance * (1 - damping) * now:
+            return rank
+        total = now
+
+
+def blocked_hosts(pages: DataFrame, edges: DataFrame, damping: float, ratio: float, least: float) -> DataFrame:
     """Hosts that the link graph condemns; pages: (host, verdict of the rules or null, n pages), edges: (src, dst, n)."""
     share = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)) / (F.sum("n") + 2)  # noqa: E731  two pages of doubt: one bad page says little of a small host
     seeds = pages.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
@@ -81,15 +82,15 @@ def blocked_hosts(pages: DataFrame, edges: DataFrame, damping: float, iterations
     bad = seeds.where("bad > 0").select("host", F.col("bad").alias("seed"))
     out_n = edges.groupBy("src").agg(F.sum("n").alias("all"))
     forward = materialize(edges.join(out_n, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")))
-    trust = personalised_rank(forward, good, damping, iterations)
+    trust = personalised_rank(forward, good, damping)
     # who links to a blocked host is distrusted by the share of links that go there
-    distrust = personalised_rank(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share"), bad, damping, iterations)
+    distrust = personalised_rank(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share"), bad, damping)
     scores = distrust.withColumnRenamed("rank", "distrust").join(trust.withColumnRenamed("rank", "trust"), "host", "left")
     d, t = F.col("distrust"), F.coalesce("trust", F.lit(0.0))
     return scores.where((d >= least * (1 - damping)) & (d >= ratio * (d + t))).select("host")
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html", damping: float = 0.85, iterations: int = 20, ratio: float = 0.6, least: float = 0.3) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str = "html", damping: float = 0.85, ratio: float = 0.6, least: float = 0.3) -> DataFrame:
     """Judge each page's url.
 
     ratio: share of distrust in distrust + trust that condemns a host.  least: the distrust it needs besides, as a part
@@ -97,14 +98,15 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url: str = "url", html: str
 
     Result: the columns of pages and host, path, rule, verdict (string), which replace columns of those names.  A null
     url, or one without "://", has an empty host and path, no rule and verdict allow, unless a rule with an empty host
-    fits.  Null html has no links.  Repeated rows are judged alike; an empty table gives an empty table.
+    fits.  Rules of one length: the last by code points wins.  Null html has no links; relative ones name no host and
+    count as none; html of any length is read whole.  Repeated rows are judged alike; an empty table gives an empty table.
     """
     pages = without(pages, "host", "path", "rule", "verdict")
     named = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     ruled = named.withColumn("\0rule", rule_of(F.col("host"), F.col("path"), rules))
     edges = materialize(host_edges(named, "host", html))
     judged = materialize(ruled.groupBy("host", F.col("\0rule.verdict").alias("verdict")).agg(F.count("*").alias("n")))
-    bad = materialize(blocked_hosts(judged, edges, damping, iterations, ratio, least)).select(F.col("host").alias("\0bad"))
+    bad = materialize(blocked_hosts(judged, edges, damping, ratio, least)).select(F.col("host").alias("\0bad"))
     joined = ruled.join(bad, F.col("host") == F.col("\0bad"), "left")
     verdict = F.coalesce(F.col("\0rule.verdict"), F.when(F.col("\0bad").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return joined.withColumns({"rule": F.col("\0rule.rule"), "verdict": verdict}).select(*pages.columns, "host", "path", "rule", "verdict")

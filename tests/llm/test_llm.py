@@ -229,15 +229,17 @@ def test_url_verdicts(spark):
 def test_rank_settles_early_and_without_edges(spark):
     s = spark.createDataFrame([("a", 1.0)], "host string, seed double")
     none = spark.createDataFrame([], "src string, dst string, share double")
-    assert [tuple(r) for r in url_filters.personalised_rank(none, s, 0.85, 200).collect()] == [("a", pytest.approx(0.15))]
+    assert [tuple(r) for r in url_filters.personalised_rank(none, s, 0.85).collect()] == [("a", pytest.approx(0.15))]
     loop = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "src string, dst string, share double")
-    got = {r.host: r["rank"] for r in url_filters.personalised_rank(loop, s, 0.5, 60).collect()}
+    got = {r.host: r["rank"] for r in url_filters.personalised_rank(loop, s, 0.5).collect()}
     assert got == pytest.approx({"a": 2 / 3, "b": 1 / 3}, abs=1e-6)
+    slow = {r.host: r["rank"] for r in url_filters.personalised_rank(loop, s, 0.9).collect()}
+    assert sum(slow.values()) == pytest.approx(1, abs=1e-5)  # no end but that it has settled
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filters.filter_urls(pages, URL_RULES).count() == 0
 
 
-def brute_verdicts(pages, rules, damping=0.85, iterations=20, ratio=0.6, least=0.3):
+def brute_verdicts(pages, rules, damping=0.85, iterations=300, ratio=0.6, least=0.3):
     parts, judged, links = {}, {}, {}
     for p, url, html in pages:
         rest = url.split("://", 1)[1] if url and "://" in url else ""
@@ -283,8 +285,8 @@ def test_rank_against_brute_force(spark):
     edges = {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "c"): 1.0, ("c", "a"): 1.0}
     e = spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, dst string, share double")
     s = spark.createDataFrame([("a", 1.0), ("z", 0.5)], "host string, seed double")
-    got = {r.host: r["rank"] for r in url_filters.personalised_rank(e, s, 0.85, 7).collect()}
-    assert got == pytest.approx(brute_rank(edges, {"a": 1.0, "z": 0.5}, 0.85, 7))
+    got = {r.host: r["rank"] for r in url_filters.personalised_rank(e, s, 0.85).collect()}
+    assert got == pytest.approx(brute_rank(edges, {"a": 1.0, "z": 0.5}, 0.85, 300), rel=1e-5)
 
 
 # -- decontamination
@@ -919,7 +921,12 @@ def test_pipeline_awkward_rows(spark, tmp_path):
     mark = runtime.tables()
     got = cp.run(spark, str(tmp_path / "some")).collect()
     ids = [r.doc_id for r in got]
-    assert not set(ids) & {100, 101, 102} and {104, None} <= set(ids) | {104, None}
+    assert not set(ids) & {100, 101, 102}
+    docs = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+    kept = [r.doc_id for r in docs.collect()]
+    assert kept.count(104) == 1 and kept.count(None) == 1 and set(ids) <= set(kept)
     assert all(r["copy"] >= 1 for r in got) and len({(r.doc_id, r["copy"]) for r in got}) == len(got)
     assert runtime.tables() - mark < 12
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
