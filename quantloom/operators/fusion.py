@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .opinions import first_known
+
 
 def ranked(rows: DataFrame, *order: Column | str, most: int | None = None, name: str = "place") -> DataFrame:
     """rows with their place in the order; the first `most` of them."""
@@ -17,10 +19,12 @@ def ranked(rows: DataFrame, *order: Column | str, most: int | None = None, name:
 
 
 def borda(picks: DataFrame, weights: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """Borda fusion of picks(model, rank, code, score[, sector, pos]).
+    """Borda fusion of picks(model, rank, code, score[, pos, name, sector, reasoning]).
 
     A pick is worth max(0, 21 - rank) times its model's weight (1 if none); rank defaults to 99, score to 70.  The sum is
     divided by the number of models that picked at all.  Order: that mean, ballots, mean score, code, all descending.
+    With pos, the order of the picks, there are also name and sector, the first that are not empty, and reasonings, the first
+    three that are not, each with its model's name; they are gathered for the chosen codes only.
     """
     p = picks.withColumns({"rank": F.coalesce("rank", F.lit(99)), "score": F.coalesce("score", F.lit(70)).cast("double")}).where(F.trim(F.col("code").cast("string")) != "")
     p = p.join(weights, "model", "left") if weights is not None else p.withColumn("weight", F.lit(1.0))
@@ -29,7 +33,15 @@ def borda(picks: DataFrame, weights: DataFrame | None = None, most: int | None =
     by = p.groupBy("code").agg(F.sum(points).alias("borda"), F.avg("score").alias("mean_score"), F.count("*").alias("ballots"))
     by = by.crossJoin(F.broadcast(models))  # one row
     by = by.withColumns({"mean_score": F.round("mean_score", 1), "borda_mean": F.round(F.col("borda") / F.col("models"), 2)}).drop("models")
-    return ranked(by, F.desc("borda_mean"), F.desc("ballots"), F.desc("mean_score"), F.desc("code"), most=most)
+    best = ranked(by, F.desc("borda_mean"), F.desc("ballots"), F.desc("mean_score"), F.desc("code"), most=most)
+    if "pos" not in picks.columns:
+        return best
+    own = p.join(best.select("code"), "code", "left_semi")
+    known = own.groupBy("code").agg(first_known("name", "pos").alias("name"), first_known("sector", "pos").alias("sector"))
+    said = own.where("reasoning <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("code").orderBy("pos"))).where("_n <= 3")
+    line = F.struct("_n", F.concat(F.lit("["), "model", F.lit("] "), "reasoning").alias("line"))
+    said = said.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["line"]).alias("reasonings"))
+    return best.join(known, "code", "left").join(said, "code", "left").withColumn("reasonings", F.coalesce("reasonings", F.array().cast("array<string>")))
 
 
 def star_arbitration(opinions: DataFrame, weights: dict[str, float], other: float = 0.15) -> DataFrame:

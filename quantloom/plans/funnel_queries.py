@@ -134,13 +134,10 @@ def backtest_profile(spark, sf):
 OLD_PREV = ", ".join(f"lag({c}, {k}) over {W} p_{c}{k}" for k in (1, 2) for c in ("c", "o", "v"))
 
 
-@query("b12_f12_old_strategy", f"""{BF}, g as (select *, {OLD_PREV} from f), last as (select * from g qualify row_number() over (partition by code order by d desc) = 1), ok as (select *, {rule_sql.OLD_GATES} dropped from last)
-select code, dropped, {fix("case when c > ma20 then 40 else 0 end + least(30, greatest(0, amount_ratio * 15)) + least(30, greatest(0, ret20 * 300))")} as old_score from ok""")
-def old_strategy(spark, sf):
+@query("b12_old_gates", f"""{BF}, g as (select *, {OLD_PREV} from f), last as (select * from g qualify row_number() over (partition by code order by d desc) = 1) select code, {rule_sql.OLD_GATES} as dropped from last""")
+def old_gates(spark, sf):
     x = ind.with_features(_bars(spark, sf)).withColumns({f"p_{c}{k}": F.lag(c, k).over(series()) for k in (1, 2) for c in ("c", "o", "v")})
-    last = ind.last_bars(x)
-    score = "case when c > ma20 then 40 else 0 end + least(30, greatest(0, amount_ratio * 15)) + least(30, greatest(0, ret20 * 300))"
-    return last.select("code", F.expr(scoring.OLD_GATES).alias("dropped"), fixed(F.expr(score)).alias("old_score"))
+    return ind.last_bars(x).select("code", F.expr(scoring.OLD_GATES).alias("dropped"))
 
 
 @query("f7_dual_track")

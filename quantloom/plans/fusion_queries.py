@@ -175,21 +175,11 @@ def a4(spark, sf):
     return joins.first_source([(a, 12), (t.where("code <> 'click'"), 5)]).select("code", "d", "c", "source")
 
 
-AT = "targets as (select code, as_of + 9 as target from as_of, (select distinct code from bars where code % 3 = 0))"
+AT = "targets as (select code, as_of + 9 as target from as_of, (select distinct code from bars))"
 
 
 @query("c6_forward_as_of", f"{B}, {fx.AS_OF}, {AT} select t.code, t.target, b.d as eval_d, b.c as eval_c from targets t asof left join bars b on t.code = b.code and t.target <= b.d")
 def c6(spark, sf):
-    b = fx.bars_walk(spark, sf)
-    t = b.where("code % 3 = 0").select("code").distinct().crossJoin(F.broadcast(fx.as_of(spark, sf).select(F.date_add("as_of", 9).alias("target"))))  # a dozen dates
-    return first_bar_from(t, b).select("code", "target", "eval_d", "eval_c")
-
-
-AT_ALL = "targets as (select code, as_of + 9 as target from as_of, (select distinct code from bars))"
-
-
-@query("c6_forward_as_of_all", f"{B}, {fx.AS_OF}, {AT_ALL} select t.code, t.target, b.d as eval_d, b.c as eval_c from targets t asof left join bars b on t.code = b.code and t.target <= b.d")
-def c6_all(spark, sf):
     b = fx.bars_walk(spark, sf)
     t = b.select("code").distinct().crossJoin(F.broadcast(fx.as_of(spark, sf).select(F.date_add("as_of", 9).alias("target"))))  # a dozen dates
     return first_bar_from(t, b).select("code", "target", "eval_d", "eval_c")
@@ -352,14 +342,16 @@ def e22(spark, sf):
 select sector, count(*) as n, {fix("avg(ret20)")} as ret20, {fix("avg(vr)")} as vr, array_to_string(list(cast(code as varchar) order by mktcap desc, code)[1:2], ',') as leaders from x group by sector""")
 def d13(spark, sf):
     x = ind.last_bars(ind.with_features(fx.bars_walk(spark, sf))).join(fx.sector_map(spark, sf), "code").join(fx.basics(spark, sf), "code")
-    lead = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("mktcap")).alias("k"), "code"))), 1, 2)
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("mktcap"), "code")))
+    lead = F.array_sort(F.collect_list(F.when(F.col("place") <= 2, F.struct("place", "code"))))
     return x.groupBy("sector").agg(F.count("*").alias("n"), fixed(F.avg("ret20")).alias("ret20"), fixed(F.avg(F.col("v5") / F.col("v20"))).alias("vr"), F.array_join(F.transform(lead, lambda s: s["code"].cast("string")), ",").alias("leaders"))
 
 
 @query("d14_clustering", f"with {fx.SECTORS} select sector, count(*) as n, array_to_string(list(cast(code as varchar) order by code)[1:5], ',') as first5 from sector_map group by sector order by n desc, sector limit 15")
 def d14(spark, sf):
-    g = fx.sector_map(spark, sf).groupBy("sector").agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.sort_array(F.collect_list("code")), 1, 5), lambda c: c.cast("string")), ",").alias("first5"))
-    return g.orderBy(F.desc("n"), "sector").limit(15)
+    x = fx.sector_map(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("sector").orderBy("code")))
+    first = F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.col("code"))))
+    return x.groupBy("sector").agg(F.count("*").alias("n"), F.array_join(F.transform(first, lambda c: c.cast("string")), ",").alias("first5")).orderBy(F.desc("n"), "sector").limit(15)
 
 
 @query("d15_d16_distribution", "select o_orderpriority as board, count(*) as n, cast(floor(count(*) filter (where o_orderstatus = 'F') / cast(count(*) as double) * 1000 + 0.5) as bigint) as rate from orders group by 1")
@@ -424,14 +416,8 @@ def f15(spark, sf):
     return portfolio.group_cap(x, "category", 2, "final_score", "place").select("code", "category", "kept")
 
 
-@query("f16_position_scaling", f"with {fx.BASICS}, x as (select code, mktcap / 100.0::double position from basics where code <= 20) select code, {fix('case when sum(position) over () > 80 then position * 80 / sum(position) over () else position end')} as scaled from x")
+@query("f16_position_scaling", f"with {fx.BASICS}, x as (select code, mktcap / 100.0::double position from basics) select code, {fix('case when sum(position) over () > 80 then position * 80 / sum(position) over () else position end')} as scaled from x")
 def f16(spark, sf):
-    x = fx.basics(spark, sf).where("code <= 20").select("code", (F.col("mktcap") / 100.0).alias("position"))
-    return portfolio.scale_positions(x, 80.0).select("code", fixed("scaled").alias("scaled"))
-
-
-@query("f16_position_scaling_all", f"with {fx.BASICS}, x as (select code, mktcap / 100.0::double position from basics) select code, {fix('case when sum(position) over () > 80 then position * 80 / sum(position) over () else position end')} as scaled from x")
-def f16_all(spark, sf):
     x = fx.basics(spark, sf).select("code", (F.col("mktcap") / 100.0).alias("position"))
     return portfolio.scale_positions(x, 80.0).select("code", fixed("scaled").alias("scaled"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import fixed
-from quantloom.operators import picks, radar, ratios
-from quantloom.plans.indicator_queries import fix
+from quantloom.operators import fusion, opinions, picks, profiles, radar, ratios
+from quantloom.operators.aggregates import resample
+from quantloom.plans.indicator_queries import B, fix
 from quantloom.sources import fixtures as fx
 from quantloom.sources.feeds import stored
 
@@ -174,3 +175,177 @@ def sheets_and_trades(spark, sf):
     trades = li.select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("d"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_linenumber") != 3, F.col("l_discount") * 100 - 5).alias("discount"))
     j = ratios.goodwill_ratio(sheets).join(ratios.recent_trades(trades), "code", "full")
     return j.select("code", fixed("goodwill_ratio", 1).alias("goodwill_ratio"), F.col("count").alias("trades"), fixed("mean_discount", 2).alias("mean_discount"))
+
+
+# -- single securities
+
+
+def _said_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """Ballots with texts: names, sectors and reasonings that are sometimes missing."""
+    c, r, m = F.col("code"), F.col("rank"), F.substring("model", 1, 1)
+    return fx.model_picks(spark, sf).select(
+        "model", "rank", "code", "score", (r * 10 + m.cast("long")).alias("pos"), F.when((c + r) % 3 != 0, F.concat(F.lit("n"), c)).otherwise("").alias("name"), F.when((c % 4 != 0) | (r % 2 != 0), F.concat(F.lit("s"), c % 7, F.lit("-"), m)).alias("sector"),
+        F.when(r % 5 != 0, F.concat(F.lit("because "), r)).otherwise("").alias("reasoning"), F.when(r % 4 != 0, r % 5 + 1).alias("stars"),
+    )
+
+
+SAID = f"""{fx.PICKS}, said as (select model, rank, code, score, rank * 10 + cast(substr(model, 1, 1) as bigint) pos, case when (code + rank) % 3 <> 0 then 'n' || code else '' end as name, case when code % 4 <> 0 or rank % 2 <> 0 then 's' || code % 7 || '-' || substr(model, 1, 1) end as sector,
+  case when rank % 5 <> 0 then 'because ' || rank else '' end as reasoning, case when rank % 4 <> 0 then rank % 5 + 1 end as stars from model_picks),
+known as (select code, coalesce(arg_min(name, pos) filter (where name <> ''), '') as name, coalesce(arg_min(sector, pos) filter (where sector <> ''), '') as sector from said group by code),
+reasons as (select code, string_agg('[' || model || '] ' || reasoning, ';' order by pos) as reasonings from (select * from said where reasoning <> '' qualify row_number() over (partition by code order by pos) <= 3) group by code)"""
+
+
+@query("h1_borda_rows", f"""with {SAID}, bd as (select code, sum(greatest(0, 21 - rank)) borda, round(avg(cast(score as double)), 1) mean_score, count(*) ballots, round(sum(greatest(0, 21 - rank)) / cast((select count(distinct model) from said) as double), 2) borda_mean from said group by code),
+bo as (select *, row_number() over (order by borda_mean desc, ballots desc, mean_score desc, code desc) place from bd)
+select place, code, {fix("borda_mean", 2)} as borda_mean, ballots, {fix("mean_score", 1)} as mean_score, name, sector, coalesce(reasonings, '') as reasonings from bo join known using (code) left join reasons using (code) where place <= 30""")
+def borda_rows(spark, sf):
+    b = fusion.borda(_said_picks(spark, sf), most=30)
+    return b.select("place", "code", fixed("borda_mean", 2).alias("borda_mean"), "ballots", fixed("mean_score", 1).alias("mean_score"), "name", "sector", F.array_join("reasonings", ";").alias("reasonings"))
+
+
+@query("h4_panel_picks", f"""with {SAID} select cast(code as varchar) as code, name, sector, votes, {fix("mean_score", 1)} as mean_score, {fix("mean_stars", 1)} as mean_stars, {fix("mean_score + 5 * (votes - 1)", 1)} as consensus
+from (select code, count(*) votes, round(avg(cast(score as double)), 1) mean_score, round(avg(cast(coalesce(stars, 3) as double)), 1) mean_stars from said group by code) join known using (code)""")
+def panel_picks(spark, sf):
+    p = opinions.panel_picks(_said_picks(spark, sf).withColumn("code", F.concat(F.lit(" "), F.col("code").cast("string"))))
+    return p.withColumns({"mean_score": fixed("mean_score", 1), "mean_stars": fixed("mean_stars", 1), "consensus": fixed("consensus", 1)})
+
+
+@query("h12_breakout_votes", f"""with {SAID}, b as (select code, count(*) votes, max(score) score, arg_max(name, score * 100000 - pos) as name, arg_max(reasoning, score * 100000 - pos) reasoning, min(pos) f from said group by code)
+select row_number() over (order by votes desc, score desc, f) as place, cast(code as varchar) as code, votes, cast(score as double) as score, name, reasoning from b qualify row_number() over (order by votes desc, score desc, f) <= 15""")
+def breakout_votes(spark, sf):
+    return opinions.breakout_votes(_said_picks(spark, sf).withColumn("code", F.col("code").cast("string")))
+
+
+@query("z2_expert_rows", f"""with {SAID} select 'E' || code % 7 as expert, cast(code as varchar) as code, name, 3.0::double as stars, cast(case when rank % 6 = 0 then 70 else score end as double) as score, model as voter from said""")
+def expert_rows(spark, sf):
+    """Models' logs by expert, nested as they answer, regrouped."""
+    p = _said_picks(spark, sf).withColumns({"expert": F.concat(F.lit("E"), F.col("code") % 7), "score": F.when(F.col("rank") % 6 != 0, F.col("score"))})
+    logs = p.groupBy("model", "expert").agg(F.collect_list(F.struct(F.col("code").cast("string").alias("code"), "name", "score")).alias("picks")).groupBy("model").agg(F.collect_list(F.struct("expert", "picks")).alias("logs"))
+    return opinions.by_expert(logs.withColumn("pos", F.lit(0))).select("expert", "code", "name", "stars", "score", "voter")
+
+
+def _debates(spark: SparkSession, sf: str) -> DataFrame:
+    """Opinions of the models on a security, with turns to its risks in some texts."""
+    c, r = F.col("code"), F.col("rank")
+    pick = lambda x, *w: F.get(F.array(*[F.lit(v) for v in w]), (x % len(w)).cast("int"))
+    text = F.concat(pick(r, "但开头就不好了。", "看好", "", "虽强"), pick(c + r, "但估值已经偏高；其余尚可", "，不过短。", "，需注意量能流出明显", "。", "风险在于业绩承压。完"), pick(c * 3 + r, "警惕获利了结压力", "", "但估值已经偏高。"))
+    experts = F.when(r % 3 == 0, F.array(F.lit("E1"), F.concat(F.lit("E"), c % 9))).when(r % 3 == 1, F.array().cast("array<string>"))
+    return fx.model_picks(spark, sf).select("code", "model", F.substring("model", 1, 1).cast("long").alias("pos"), F.when(r % 7 != 0, F.col("score") % 10).alias("score"), text.alias("reasoning"), experts.alias("experts"), F.when(r % 4 == 0, c % 90).alias("baseline"), F.when(r % 4 == 1, c % 80 + 0.5).alias("conservative"), (r % 3 * 4).alias("stop_loss_pct"), "rank")
+
+
+def _sql_fragments(turns: tuple[str, ...], least: int) -> str:
+    each = [f"case when instr(t, '{m}') > {least} and length(trim(regexp_extract(substr(t, instr(t, '{m}')), '^[^。；]*'))) >= 5 then trim(regexp_extract(substr(t, instr(t, '{m}')), '^[^。；]*')) end" for m in turns]
+    return f"list_filter([{', '.join(each)}], lambda x: x is not null)"
+
+
+DEBATES = f"""{fx.PICKS}, dd as (select code, model, cast(substr(model, 1, 1) as bigint) pos, rank, coalesce(case when rank % 7 <> 0 then score % 10 end, 0) sc, ['但开头就不好了。', '看好', '', '虽强'][rank % 4 + 1] || ['但估值已经偏高；其余尚可', '，不过短。', '，需注意量能流出明显', '。', '风险在于业绩承压。完'][(code + rank) % 5 + 1] || ['警惕获利了结压力', '', '但估值已经偏高。'][(code * 3 + rank) % 3 + 1] t,
+  case when rank % 3 = 0 then 'E1+E' || code % 9 || '推荐' end ex, case when rank % 4 = 0 then nullif(code % 90, 0) when rank % 4 = 1 then code % 80 + 0.5 end target, rank % 3 * 4 sl from one_each),
+fr as (select *, {_sql_fragments(opinions.OWN_TURNS, 1)} own, {_sql_fragments(opinions.OTHER_TURNS, 0)} oth, row_number() over (partition by code order by sc desc, pos) b from dd),
+bst as (select * from fr where b = 1), rest as (select fr.code, list(fr.oth order by fr.pos) os from fr join bst on bst.code = fr.code and bst.model <> fr.model group by fr.code)""".replace("from one_each", "from (select * from model_picks qualify row_number() over (partition by code, model order by rank) = 1)")
+# the own clauses, each once in their order, then of each other model's the first that is new
+RISK = """list_reduce(list_concat([list_filter(own, lambda x, i: list_position(own, x) = i)], coalesce(os, [])), lambda s, c: case when len(list_filter(c, lambda x: not list_contains(s, x))) > 0 then list_append(s, list_filter(c, lambda x: not list_contains(s, x))[1]) else s end)"""
+
+
+@query("z5_z6_debated", f"""with {DEBATES} select code, model, cast(sc as double) as score, t || case when ex is not null or target is not null then ' (' || concat_ws(', ', ex, case when target is not null then '目标' || cast(round_even(target, 0) as bigint) end) || ')' else '' end as reason,
+  array_to_string(list_concat({RISK}, case when sl <> 0 then ['止损' || sl || '%'] else [] end)[1:3], '；') as risk from bst left join rest using (code)""")
+def debated(spark, sf):
+    d = _debates(spark, sf)
+    d = d.withColumn("_n", F.row_number().over(Window.partitionBy("code", "model").orderBy("rank"))).where("_n = 1")
+    return opinions.debated(d).select("code", "model", "score", "reason", "risk")
+
+
+@query("z10_debate_context", f"""with {SAID}, l as (select model, string_agg('  • ' || code || case when name <> '' then ' ' || name else '' end || '（' || coalesce(cast(stars as varchar), '?') || '星/' || score || '分）: ' || substr(repeat(reasoning || ' ', 12), 1, 80), chr(10) order by rank) x from said where rank <= 3 and model like '1%' group by model)
+select model, '【' || model || '】的选择：' || chr(10) || x as line from l union all select distinct model, '【' || model || '】未给出有效选择' from said where model like '2%' union all select distinct model, '【' || model || '】: ' || replace(substr(repeat('line' || chr(10), 100), 1, 300), chr(10), ' ') || '...' from said where model > '3'""")
+def debate_context(spark, sf):
+    p = _said_picks(spark, sf)
+    one = F.struct("rank", F.col("code").cast("string").alias("code"), "name", "score", "stars", F.repeat(F.concat("reasoning", F.lit(" ")), 12).alias("reasoning"))
+    g = p.groupBy("model").agg(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, one))).alias("picks"))
+    head = F.substring("model", 1, 1)
+    empty = F.slice("picks", 1, 0)
+    a = g.select("model", F.lit(0).alias("pos"), F.lit("line\n" * 100).alias("text"), F.when(head == "1", F.col("picks")).when(head == "2", empty).alias("picks"))
+    return opinions.debate_context(a).select("model", "line")
+
+
+# -- universes and fields
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of sectors that share codes: each nation's suppliers, and those whose number ends like the nation's."""
+    n, s = fx.table(spark, sf, "nation"), fx.table(spark, sf, "supplier")
+    hit = (F.col("s_nationkey") == F.col("n_nationkey")) | (F.col("s_suppkey") % 25 == F.col("n_nationkey"))
+    m = s.join(F.broadcast(n), hit)  # twenty-five rows
+    return m.select(F.col("n_name").alias("sector"), F.col("n_nationkey").alias("sector_pos"), ((F.col("s_suppkey") * 7) % 100003).alias("pos"), F.when(F.col("s_suppkey") % 19 != 0, F.concat(F.lit(" "), F.col("s_suppkey").cast("string"))).otherwise(" ").alias("code"))
+
+
+MEMBERS = "m0 as (select n_name sector, n_nationkey sp, s_suppkey * 7 % 100003 pos, s_suppkey code from supplier join nation on s_nationkey = n_nationkey or s_suppkey % 25 = n_nationkey where s_suppkey % 19 <> 0), home as (select code, arg_min(sector, sp * 1000000 + pos) sector from m0 group by code)"
+
+
+def _sampled(most: int) -> str:
+    return f"""with {MEMBERS}, k as (select *, row_number() over (partition by sp order by pos) n from m0), few as (select code, min(sp * 1000000 + pos) o from k where (select count(*) from home) <= 25 * {most} or n <= {most} group by code)
+select cast(few.code as varchar) as code, sector, row_number() over (order by o) as place from few join home using (code)"""
+
+
+@query("b15_sampled_members", _sampled(1))
+def sampled_members(spark, sf):
+    return opinions.sampled_members(_members(spark, sf), 25, 1)
+
+
+@query("b15_all_members", _sampled(1000))
+def all_members(spark, sf):
+    """The same lists under a limit that they don't reach: nothing is left out."""
+    return opinions.sampled_members(_members(spark, sf), 25, 1000)
+
+
+@query("b17_filled_fields", f"""with {fx.PICKS}, {fx.SECTORS}, lk as (select code, max(score) as bs, count(*) as mc, case when code % 4 = 0 then 'own' when code % 4 = 1 then '' end cl, case when code % 3 = 0 then 'l' || code end se from model_picks where rank <= 150 group by code),
+r as (select c_custkey code, case c_custkey % 4 when 0 then 1.5 when 1 then 0 end bs, case c_custkey % 5 when 0 then 4 when 1 then 0 end mc, case c_custkey % 6 when 0 then 'kept' when 1 then '' end cl, case c_custkey % 7 when 0 then 'mine' when 1 then '' end se from customer),
+f as (select r.code, coalesce(nullif(r.bs, 0), lk.bs, 0) bs, coalesce(nullif(r.mc, 0), lk.mc, 0) mc, r.cl, lk.cl lcl, coalesce(nullif(r.se, ''), nullif(lk.se, ''), s.sector, '') se from r left join lk using (code) left join sector_map s on s.code = r.code)
+select code, cast(bs as double) as borda_score, mc as model_count, coalesce(nullif(cl, ''), nullif(lcl, ''), case when mc >= 3 then 'strong' when mc >= 2 then 'medium' else 'single' end) as consensus_level, se as sector from f""")
+def filled_fields(spark, sf):
+    k, c = F.col("c_custkey"), F.col("code")
+    rows = fx.table(spark, sf, "customer").select(k.alias("code"), F.when(k % 4 == 0, 1.5).when(k % 4 == 1, 0.0).alias("borda_score"), F.when(k % 5 == 0, 4).when(k % 5 == 1, 0).alias("model_count"), F.when(k % 6 == 0, "kept").when(k % 6 == 1, "").alias("consensus_level"), F.when(k % 7 == 0, "mine").when(k % 7 == 1, "").alias("sector"))
+    lookup = fx.model_picks(spark, sf).where("rank <= 150").groupBy("code").agg(F.max("score").alias("borda_score"), F.count("*").alias("model_count"))
+    lookup = lookup.withColumns({"consensus_level": F.when(c % 4 == 0, "own").when(c % 4 == 1, ""), "sector": F.when(c % 3 == 0, F.concat(F.lit("l"), c))})
+    return opinions.filled_fields(rows, lookup, fx.sector_map(spark, sf).select("code", F.col("sector").alias("industry")))
+
+
+def _funds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    quote = fx.table(spark, sf, "part").select(F.concat(F.lit(" "), k.cast("string")).alias("code"), F.col("p_name").alias("name"), ((k * 37) % 900 / 100 - 4).alias("change"), F.when(k % 23 != 0, (k * 7919) % 1300 * 1e6).alias("amount"))
+    gainers = quote.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("change"), F.trim("code").cast("long"))).cast("long")).where("pos <= 20")
+    listed = quote.withColumn("pos", F.row_number().over(Window.orderBy(F.desc_nulls_last("amount"), F.trim("code").cast("long"))).cast("long")).where("pos <= 50")
+    funds = fx.table(spark, sf, "part").where("p_partkey % 3 > 0").select(k.cast("string").alias("code"), F.concat("p_brand", F.lit("/"), (k % 4).cast("string")).alias("sector"))
+    return gainers, listed, funds
+
+
+@query("f19_fund_signals", f"""with qt as (select p_partkey k, p_name as name, p_brand || '/' || p_partkey % 4 sector, p_partkey % 3 > 0 mapped, p_partkey * 37 % 900 / 100.0::double - 4 chg, case when p_partkey % 23 <> 0 then p_partkey * 7919 % 1300 * 1e6 end amt from part),
+g0 as (select *, row_number() over (order by chg desc, k) pos from qt qualify pos <= 20), l0 as (select *, row_number() over (order by amt desc nulls last, k) pos, coalesce(amt, 0) / 1e8 u from qt qualify pos <= 50),
+g as (select sector, arg_max(k, chg * 1e6 - pos) k, min(pos) f from g0 where mapped group by sector), l as (select *, min(pos) filter (where u > 10) over (partition by sector) busy from l0 where mapped),
+o as (select sector, any_value(l.k) filter (where g.k is null and pos = busy) k, min(busy) f, count(*) filter (where u > 5 and (g.k is not null or pos > busy)) marks, arg_max(u, pos) filter (where u > 5 and (g.k is not null or pos > busy)) mu from l left join g using (sector) group by sector),
+j as (select coalesce(g.sector, o.sector) sector, g.k gk, coalesce(g.k, o.k) k, coalesce(marks, 0) marks, mu, coalesce(g.f, o.f) f from g full join o on o.sector = g.sector where g.k is not null or o.k is not null)
+select row_number() over (order by round(chg, 2) desc, gk is null, f) as place, j.sector, cast(j.k as varchar) as fund, name, {fix("round(chg, 2)", 2)} as change, {fix("round(coalesce(mu, coalesce(amt, 0) / 1e8), 2)", 2)} as amount, case when gk is not null then 'gainer' else 'volume' end || repeat('+active', marks) as signal from j join qt on qt.k = j.k""")
+def fund_signals(spark, sf):
+    a = opinions.active_sectors(*_funds(spark, sf))
+    return a.withColumns({"change": fixed("change", 2), "amount": fixed("amount", 2)})
+
+
+# -- profiles
+
+
+def _changes(unit: str, lags: tuple[int, ...], means: tuple[int, ...], recent: int) -> tuple[str, str]:
+    w = "over (partition by code order by w)"
+    inner = [f"lag(c, {k}) {w} l{k}" for k in lags] + [f"avg(c) over (partition by code order by w rows between {m - 1} preceding and current row) m{m}" for m in means]
+    inner += ["count(*) over (partition by code) n", "row_number() over (partition by code order by w desc) back", f"avg(v) over (partition by code order by w rows between {recent - 1} preceding and current row) / greatest(avg(v) over (partition by code), 1) vr"]
+    longest = max(means)
+    outer = [f"{fix(f'round((c - l{k}) / cast(l{k} as double) * 100, 2)', 2)} as {unit}{k}" for k in lags] + [fix(f"m{m}", 2) + f" as {unit}_ma{m}" if m < longest else f"case when n >= {m} then {fix(f'm{m}', 2)} end as {unit}_ma{m}" for m in means]
+    return ", ".join(inner), ", ".join([*outer, f"{fix('vr', 2)} as {unit}_volume"])
+
+
+_MONTH, _WEEK = _changes("m", (1, 3, 6, 12), (6, 12, 24), 3), _changes("w", (4, 8, 13), (5, 10, 20), 4)
+
+
+@query("e28_profile", f"""{B}, mo as (select code, last_day(d) w, arg_max(c, d) c, sum(v) v from bars group by 1, 2), we as (select code, cast(date_trunc('week', d) as date) + 6 w, arg_max(c, d) c, sum(v) v from bars group by 1, 2),
+m1 as (select code, c, {_MONTH[0]} from mo), w1 as (select code, c, {_WEEK[0]} from we), m2 as (select code, {_MONTH[1]} from m1 where back = 1 and n >= 3), w2 as (select code, {_WEEK[1]} from w1 where back = 1 and n >= 5)
+select * from m2 full join w2 using (code)""")
+def profile(spark, sf):
+    b = fx.bars_walk(spark, sf)
+    return profiles.period_profile(resample(b, "month"), "m", (1, 3, 6, 12), (6, 12, 24), 3, 3).join(profiles.period_profile(resample(b, "week_sunday"), "w", (4, 8, 13), (5, 10, 20), 4, 5), "code", "full")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.expr import fixed
 from quantloom.operators import performance, rollups
 from quantloom.plans.indicator_queries import B, fix
 from quantloom.sources import fixtures as fx
@@ -107,3 +108,16 @@ def strategies(spark, sf):
 select strategy, layer, period, {fix("avg(k)", 2)} as mean_picks from grid group by grouping sets ((strategy, layer), (strategy, layer, period))""")
 def pick_counts(spark, sf):
     return rollups.fixed_columns(rollups.pick_counts(_picks(spark, sf), _dates(spark, sf)), mean_picks=2)
+
+
+@query("z13_overall_performance", f"""{RETURNS}, r5 as (select * from rets where horizon = 5 and ret is not null and layer = 'l2'), dm as (select strategy model, d, count(*) k, count(*) filter (where ret > 0) wins, round(avg(ret), 2) m from r5 group by all)
+select 'all' as model, count(*) as n, {fix("count(*) filter (where ret > 0) / cast(count(*) as double) * 100", 1)} as win_rate, {fix("avg(ret)", 2)} as mean, {fix("max(ret)", 2)} as best, {fix("min(ret)", 2)} as worst from r5
+union all select model, cast(sum(k) as bigint), {fix("sum(wins) / cast(sum(k) as double) * 100", 1)}, {fix("sum(m * k) / sum(k)", 2)}, null, null from dm group by model""")
+def overall_performance(spark, sf):
+    """All recommendations' 5-day returns, and each model's by its daily figures: rates from counts, means weighted by them."""
+    r = _returns(spark, sf).where("horizon = 5 and ret is not null and layer = 'l2'")
+    rate = lambda w, n: fixed(F.sum(w) / F.sum(n) * 100, 1).alias("win_rate")
+    daily = r.groupBy("strategy", "d").agg(F.count("*").alias("n"), F.count_if(F.col("ret") > 0).alias("wins"), F.round(F.avg("ret"), 2).alias("mean"))
+    whole = r.agg(F.lit("all").alias("model"), F.count("*").alias("n"), fixed(F.count_if(F.col("ret") > 0) / F.count("*") * 100, 1).alias("win_rate"), fixed(F.avg("ret"), 2).alias("mean"), fixed(F.max("ret"), 2).alias("best"), fixed(F.min("ret"), 2).alias("worst"))
+    each = daily.groupBy(F.col("strategy").alias("model")).agg(F.sum("n").alias("n"), rate("wins", "n"), fixed(F.sum(F.col("mean") * F.col("n")) / F.sum("n"), 2).alias("mean"))
+    return whole.unionByName(each, allowMissingColumns=True)

@@ -199,7 +199,7 @@ def test_event_matches_reads_all_texts(spark):
 
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     want = {i: min(j for j, u in rows if t[:10] in u or u[:10] in t) for i, t in rows}
-    assert {r.eid: r.doc_id for r in QUERIES["c12_event_match_all"](spark, SMALL).collect()} == want and len(want) == 200
+    assert {r.eid: r.doc_id for r in QUERIES["c12_event_match"](spark, SMALL).collect()} == want and len(want) == 200
 
 
 def test_fragments_of_later_lines_and_json_in_prose(spark, tmp_path):
@@ -208,9 +208,9 @@ def test_fragments_of_later_lines_and_json_in_prose(spark, tmp_path):
     prose, inner = "word " * 200, '{"a": [1, 2]}'
     rows = [(1, "first\nthe second line\ngoes on. end", "de"), (2, "no such word", "en"), (3, f"{prose}{inner} {prose}", "en"), (4, f"{prose}```json\n{inner}\n``` {prose}", "fr"), (5, f"{prose}{{broken {prose}", "en"), (6, inner, "en")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.f for r in QUERIES["z6_z9_fragments_all"](spark, str(tmp_path)).collect()} == {1: "the second line\ngoes on"}
+    assert {r.doc_id: r.f for r in QUERIES["z6_z9_fragments"](spark, str(tmp_path)).collect()} == {1: "the second line\ngoes on"}
     want = {i: len(t) for i, t, _ in rows} | {3: len(inner), 4: len(inner), 5: 800 + 9}
-    assert {r.doc_id: r.n for r in QUERIES["i3_compaction_all"](spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.n for r in QUERIES["i3_compaction"](spark, str(tmp_path)).collect()} == want
 
 
 # -- clusters, reads as of a date, review
