@@ -349,3 +349,36 @@ select * from m2 full join w2 using (code)""")
 def profile(spark, sf):
     b = fx.bars_walk(spark, sf)
     return profiles.period_profile(resample(b, "month"), "m", (1, 3, 6, 12), (6, 12, 24), 3, 3).join(profiles.period_profile(resample(b, "week_sunday"), "w", (4, 8, 13), (5, 10, 20), 4, 5), "code", "full")
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is known of each supplier's security, with gaps."""
+    k = F.col("code")
+    some = lambda n, v: F.when(k % n != 0, v)
+    x = fx.basics(spark, sf).join(fx.sector_map(spark, sf).select("code", "sector"), "code").join(profiles.recent_change(fx.bars_walk(spark, sf)), "code", "left")
+    return x.select(
+        "code", "name", some(6, F.col("sector")).alias("sector"), "pe", some(5, k % 9).alias("pb"), F.col("mktcap").alias("cap"), some(4, k * 3).alias("price"), some(9, F.round("change", 3)).alias("change"), "days", F.when(k % 3 == 0, F.when(k % 2 == 0, "up").otherwise("")).alias("forecast"), F.lit("10-20").alias("forecast_range"),
+        some(2, k % 7 - 3).alias("holder_change"), some(3, k % 100).alias("rps"), some(4, k % 30).alias("goodwill_ratio"), some(3, k % 50 + 0.25).alias("pledge_ratio"), (k % 4).alias("trades"), some(2, k % 3).alias("discount"), some(5, k % 11 - 5).alias("margin_change"), (k % 90).alias("score"), F.lit("HOLD").alias("signal"),
+        (k % 13 - 6).alias("bias"), some(2, k % 77).alias("avg_cost"), some(3, k % 8 / 8).alias("profit_ratio"), some(4, k % 16 / 16).alias("concentration"), some(5, k * 2 - 90).alias("inflow"), (k % 8 == 0).alias("virtual"),
+    )
+
+
+@query("i7_slim_profile", f"""{B}, {fx.BASICS}, {fx.SECTORS}, bk as (select code, c, first_value(c) over (partition by code order by d rows between 20 preceding and current row) b, row_number() over (partition by code order by d desc) r, count(*) over (partition by code) n from bars),
+ch as (select code, round((c - b) / greatest(cast(b as double), 0.01) * 100, 3) chg, least(20, n - 1) dys from bk where r = 1 and n >= 2), z as (select basics.*, sector, chg, dys, code % 7 - 3 h, code % 11 - 5 m from basics join sector_map using (code) left join ch using (code)),
+parts as (select *, concat_ws(' ', case when code % 4 <> 0 then '商誉率=' || code % 30 || '%' end, case when code % 3 <> 0 then '质押率=' || printf('%.1f', round_even(code % 50 + 0.25, 1)) || '%' end) gp,
+  concat_ws(' ', case when code % 2 <> 0 then '均成本=' || code % 77 end, case when code % 3 <> 0 then '获利比=' || printf('%.0f', round_even(code % 8 / 8.0::double * 100, 0)) || '%' end, case when code % 4 <> 0 then '集中度=' || printf('%.3f', round_even(code % 16 / 16.0::double, 3)) end, case when code % 5 <> 0 then '5日主力净流入=' || (code * 2 - 90) || '万' end) cp from z)
+select code, concat_ws(' | ', code || ' ' || name, '板块:' || case when code % 6 <> 0 then sector else '未知' end, 'PE=' || coalesce(cast(pe as varchar), 'N/A') || ' PB=' || case when code % 5 <> 0 then cast(code % 9 as varchar) else 'N/A' end || ' 市值=' || mktcap || ' 现价=' || case when code % 4 <> 0 then cast(code * 3 as varchar) else 'N/A' end || ' 近20日=' || case when code % 9 <> 0 and chg is not null then printf('%+.1f', round_even(chg, 1)) || '%(' || dys || '日)' else 'N/A' end,
+  case when code % 6 = 0 then '业绩预告:up10-20' end, case when code % 2 <> 0 then '股东户数:' || case when h < 0 then '减少' else '增加' end || printf('%.1f', abs(h)::double) || '%' end, case when code % 3 <> 0 then '板块RPS=' || code % 100 end, nullif(gp, ''),
+  case when code % 4 > 0 then '大宗交易:' || code % 4 || '笔' || case when code % 2 <> 0 and code % 3 <> 0 then '折价' || code % 3 || '%' else '' end end, case when code % 5 <> 0 then '融资余额5日:' || case when m > 0 then '增' else '减' end || printf('%.1f', abs(m)::double) || '%' end, '筹码: ' || nullif(cp, ''),
+  case when code % 90 > 0 then '量化评分=' || code % 90 || '分(HOLD) 乖离率(MA5)=' || printf('%+.1f', (code % 13 - 6)::double) || '%' end) || case when code % 8 = 0 then ' [盘中实时]' else '' end as profile from parts""")
+def slim_profile(spark, sf):
+    return profiles.slim_profile(_facts(spark, sf))
+
+
+@query("z9_profile_fields", f"""{B}, {fx.BASICS}, bk as (select code, c, first_value(c) over (partition by code order by d rows between 20 preceding and current row) b, row_number() over (partition by code order by d desc) r, count(*) over (partition by code) n from bars),
+ch as (select code, round((c - b) / greatest(cast(b as double), 0.01) * 100, 3) chg from bk where r = 1 and n >= 2)
+select code, case when code % 9 <> 0 and chg is not null then '20日' || printf('%+.1f', round_even(chg, 1)) || '%' else '' end as position, coalesce(cast(pe as varchar), '') as pe from basics left join ch using (code)""")
+def profile_fields(spark, sf):
+    p = profiles.slim_profile(_facts(spark, sf))
+    change = profiles.profile_field("profile", "近20日", r"[+\-]?[\d.]+%")
+    return p.select("code", F.when(change != "", F.concat(F.lit("20日"), change)).otherwise("").alias("position"), profiles.profile_field("profile", "PE", r"[\d.]+").alias("pe"))

@@ -117,3 +117,18 @@ def test_fund_signals(spark):
         q = "pos int, code string, name string, change double, amount double"
         got = opinions.active_sectors(spark.createDataFrame(gainers, q), spark.createDataFrame(listed, q), spark.createDataFrame(list(sector.items()), "code string, sector string"))
         assert [tuple(x)[1:] for x in got.orderBy("place").collect()] == want
+
+
+def test_slim_profile(spark):
+    from quantloom.operators import profiles
+
+    names = "sector pe pb cap price change days forecast forecast_range holder_change rps goodwill_ratio pledge_ratio trades discount margin_change score signal bias avg_cost profit_ratio concentration inflow virtual".split()
+    kinds = dict.fromkeys(names, "double") | dict.fromkeys(("sector", "forecast", "forecast_range", "signal"), "string") | dict.fromkeys(("days", "trades", "score", "rps"), "int") | {"virtual": "boolean"}
+    full = dict(sector="s", pe=10.5, pb=1.0, cap=20.0, price=3.0, change=-2.25, days=7, forecast="up", forecast_range="1-2", holder_change=-3.0, rps=80, goodwill_ratio=1.5, pledge_ratio=2.25, trades=2, discount=0.0, margin_change=0.0, score=70, signal="BUY", bias=1.0, avg_cost=9.5, profit_ratio=0.625, concentration=0.0625, inflow=-10.5, virtual=True)
+    rows = [("1", "n", *[full[k] for k in names]), ("2", None, *[None] * len(names)), ("3", "", *[0 if kinds[k] == "int" else None for k in names])]
+    df = spark.createDataFrame(rows, "code string, name string, " + ", ".join(f"{k} {kinds[k]}" for k in names))
+    got = {x.code: x.profile for x in profiles.slim_profile(df).collect()}
+    assert got["1"] == "1 n | 板块:s | PE=10.5 PB=1.0 市值=20.0 现价=3.0 近20日=-2.2%(7日) | 业绩预告:up1-2 | 股东户数:减少3.0% | 板块RPS=80 | 商誉率=1.5% 质押率=2.2% | 大宗交易:2笔 | 融资余额5日:减0.0% | 筹码: 均成本=9.5 获利比=62% 集中度=0.062 5日主力净流入=-10万 | 量化评分=70分(BUY) 乖离率(MA5)=+1.0% [盘中实时]"
+    assert got["2"] == "2  | 板块:未知 | PE=N/A PB=N/A 市值=N/A 现价=N/A 近20日=N/A" and got["3"].endswith("近20日=N/A | 板块RPS=0")
+    fields = {x.code: (x.a, x.b) for x in profiles.slim_profile(df).select("code", profiles.profile_field("profile", "近20日", r"[+\-]?[\d.]+%").alias("a"), profiles.profile_field("profile", "PE", r"[\d.]+").alias("b")).collect()}
+    assert fields == {"1": ("-2.2%", "10.5"), "2": ("", ""), "3": ("", "")}
