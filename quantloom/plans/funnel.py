@@ -68,11 +68,15 @@ def health(bars: DataFrame, window: int = 310) -> DataFrame:
     return cs.select("code", F.col("n").alias("n300"), fold.alias("m"), ewm_last(F.col("cs"), 2 / 61).alias("ema60"), ewm_last(earlier, 2 / 61).alias("ema60_10")).select("code", "n300", (F.col("m.a") - F.col("m.b")).alias("dif"), F.col("m.dea").alias("dea"), "ema60", "ema60_10")
 
 
-def second_layer(chosen: DataFrame, bars: DataFrame) -> DataFrame:
-    """chosen(code, regime, quant, pattern_score, source) scored again: vetoes, health, volume; the best 5 to 30 stay."""
+def second_layer(chosen: DataFrame, bars: DataFrame, profile: Profile = LIVE) -> DataFrame:
+    """chosen(code, regime, quant, pattern_score, source) scored again: vetoes, health, volume; the best 5 to 30 stay.
+
+    A back-test looks at 300 bars where the live run has 310, and at its own features.
+    """
     use = stored(chosen.select("code", "regime", "quant", "pattern_score", "source"))  # some 200 rows, read three times
     few = bars.join(use.select("code"), "code", "left_semi")  # features and histories of the chosen codes alone
-    last = use.join(latest_features(few), "code").join(health(few), "code")
+    features, window = ("live", 310) if profile.valuation else ("backtest", 300)
+    last = use.join(latest_features(few, features), "code").join(health(few, window), "code")
     last = last.where(f"not ({scoring.FIVE_FALLS}) and not ({scoring.CRASH})")
     last = last.withColumns({"health": F.expr(scoring.HEALTH_L2), "volume": F.expr(scoring.VOLUME_L2)})
     whole = Window.partitionBy()

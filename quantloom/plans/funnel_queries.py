@@ -82,12 +82,15 @@ def quant_funnel(spark, sf):
     return funnel.quant_funnel(_bars(spark, sf), fx.basics(spark, sf), _lhb(spark, sf), SCALED).select("rank", "code", "quant", "regime")
 
 
+def _pattern_table(spark, sf) -> DataFrame:
+    """A pattern table that SQL can follow: points for every third code, every seventh excluded."""
+    k = F.col("code")
+    return fx.basics(spark, sf).where("code % 3 = 0 or code % 7 = 0").select("code", F.when(k % 3 == 0, k % 50 + 10).otherwise(0).alias("bull"), (k % 7 == 0).alias("excluded"))
+
+
 def _tracks(spark, sf) -> DataFrame:
-    """Both tracks with a pattern table that SQL can follow: points for every third code, every seventh excluded."""
     scored = funnel.quant_scores(funnel.prefiltered(_bars(spark, sf), fx.basics(spark, sf), _lhb(spark, sf), SCALED))
-    k = F.col("code")
-    p = fx.basics(spark, sf).where("code % 3 = 0 or code % 7 = 0").select("code", F.when(k % 3 == 0, k % 50 + 10).otherwise(0).alias("bull"), (k % 7 == 0).alias("excluded"))
-    return funnel.merged_tracks(scored, p)
+    return funnel.merged_tracks(scored, _pattern_table(spark, sf))
 
 
 TRACKS = f"""{PRE}, {TOP}, pat as (select code, case when code % 3 = 0 then code % 50 + 10 else 0 end bull, code % 7 = 0 excluded from basics where code % 3 = 0 or code % 7 = 0),
@@ -131,6 +134,35 @@ def backtest_profile(spark, sf):
     return x.select("code", fixed("slope").alias("slope"), F.expr(" or ".join(f"({g})" for g in scoring.gates(scoring.BACKTEST).values())).alias("dropped"))
 
 
+#: The back-test's profile with thresholds that fit the fixture.
+SCALED_BACKTEST = scoring.Profile(drop=SCALED.drop, amount=SCALED.amount, valuation=False, limit_up=False)
+GATED_BACKTEST = " and ".join(f"not ({g})" for n, g in rule_sql.GATES_SCALED.items() if n not in ("valuation", "limit_up"))
+#: The same funnel over the back-test's features, without valuation and special trades.
+BACKTEST_TRACKS = TRACKS.replace(PRE, f"""{B}, {FEATURES}, {LASTBARS}, {fx.BASICS}, {REGIME}, gated as (select * from last where {GATED_BACKTEST}),
+pre0 as (select g.*, regime, (rank() over (order by ret20) + (count(*) over (partition by ret20) - 1) / 2.0) / cast(count(*) over () as double) * 100 rps20, (rank() over (order by ret60) + (count(*) over (partition by ret60) - 1) / 2.0) / cast(count(*) over () as double) * 100 rps60, {rule_sql.CHIP} chip, 0 lhb_bonus from gated g, regime),
+pre as (select *, {fix(f"case when regime = 'bear' then {rule_sql.QUANT_BEAR} else {rule_sql.QUANT_BULL} end", 1)} quant from pre0)""")
+
+
+def _backtest_tracks(spark, sf) -> DataFrame:
+    scored = funnel.quant_scores(funnel.prefiltered(_bars(spark, sf), None, None, SCALED_BACKTEST))
+    return funnel.merged_tracks(scored, _pattern_table(spark, sf))
+
+
+@query("f11_backtest_first_layer", f"""{BACKTEST_TRACKS}, m as (select *, quant / greatest(max(quant) over (), 1e-9) * 100 * 0.6 + least(100.0, pattern_score * 100 / cast(70 as double)) * 0.4 + case when source = 'dual' then 10 else 0 end s from tracks)
+select code, source, quant as quant_score, pattern_score, {fix("s", 1)} as score, row_number() over (order by {fix("s", 1)} desc, code) as rank from m qualify rank <= greatest(20, least(200, floor(candidates * case when regime = 'bear' then 0.05 else 0.10 end)))""")
+def backtest_first(spark, sf):
+    return funnel.first_layer(_backtest_tracks(spark, sf)).select("code", "source", "quant_score", "pattern_score", "score", "rank")
+
+
+@query("f11_backtest_second_layer", f"""{BACKTEST_TRACKS}, {L2.replace("310", "300")}, sc as (select last.*, t.quant, t.pattern_score, t.source, t.regime, hl.* exclude (code) from tracks t join last using (code) join hl using (code) where n300 >= 60 and not ({rule_sql.FIVE_FALLS}) and not ({rule_sql.CRASH})),
+sd as (select *, {rule_sql.HEALTH_L2} health, {rule_sql.VOLUME_L2} volume from sc),
+tot as (select code, regime, {fix("quant / greatest(max(quant) over (), 1e-9) * 100 * 0.4 + case when max(pattern_score) over () > 0 then pattern_score / cast(max(pattern_score) over () as double) * 100 else 0.0 end * 0.3 + health * 0.2 + volume * 0.1 + case when source = 'dual' then 5 else 0 end", 1)} l2 from sd)
+select code, l2, row_number() over (order by l2 desc, code) as rank from tot qualify rank <= greatest(5, least(30, floor(count(*) over () * case when regime = 'bear' then 0.05 else 0.15 end)))""")
+def backtest_second(spark, sf):
+    chosen = _backtest_tracks(spark, sf).withColumnRenamed("quant_score", "quant")
+    return funnel.second_layer(chosen, _bars(spark, sf), SCALED_BACKTEST).select("code", "l2", "rank")
+
+
 OLD_PREV = ", ".join(f"lag({c}, {k}) over {W} p_{c}{k}" for k in (1, 2) for c in ("c", "o", "v"))
 
 
