@@ -226,6 +226,7 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     component_id is the least doc_id reachable by links.  Null texts and texts without words: no shingles, linked with
     nothing, component_id their own doc_id.  Texts of fewer than `width` words are one shingle.  Equal texts link.  A
     null doc_id takes its component's least doc_id, null if there is none; rows of one doc_id are judged by their texts.
+    Texts of any length count whole; an empty table gives no rows.
     node_bits: bits of a node's first name; fewer only make more names clash, which other bits then tell apart.
     """
     from math import gcd
@@ -257,6 +258,7 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
                 slots.append(np.minimum(np.bincount(tokens & (SLOTS - 1), minlength=SLOTS), 255).astype(np.uint8).tobytes() if new else None)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(slots, pa.binary()), batch.column(1)], names=["node", "mark", "n", "prefix", "slots", "doc_id"])
 
+    mark = tables()
     # a copy within the task has no prefix of its own
     described = materialize(docs.select(text, F.col(doc_id).cast("long").alias("doc_id")).mapInArrow(describe, "node long, mark long, n long, prefix array<long>, slots binary, doc_id long"))
     clashes = described.where("node is not null").groupBy("node").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last").select("node", "first")
@@ -271,6 +273,9 @@ def ngram_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         return tokens, node ^ mark if firsts.get(node, mark) != mark else node
 
     active = _active(described, limit)
+    # prefixes and slots are read no more
+    described = materialize(described.select("node", "n", "doc_id"))
+    release(spark, mark, keep=2)
     found = described.select("node", "doc_id")
     if not active.isEmpty():
         labels = _labels(docs, text, active, limit, named)
