@@ -116,7 +116,12 @@ def _sample(docs: DataFrame, text: str, lang: str, doc_id: str, sample_docs: int
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.list_(pa.float32()))], names=["lang", "h", "piece", "buckets", "shares"])
 
-    rows = chosen.mapInArrow(count, "lang string, h long, piece int, buckets array<int>, shares array<float>").toArrow().to_pylist()
+    table = chosen.mapInArrow(count, "lang string, h long, piece int, buckets array<int>, shares array<float>").toArrow()
+    rows = table.select(["lang", "h", "piece"]).to_pylist()
+    for name in ("buckets", "shares"):  # as slices of the table: as lists of numbers they would take ten times its memory
+        slices = (c.values.to_numpy()[i:j] for c in table[name].chunks for i, j in zip(c.offsets.to_numpy(), c.offsets.to_numpy()[1:], strict=False))
+        for row, x in zip(rows, slices, strict=True):
+            row[name] = x
     rows.sort(key=lambda r: (r["lang"], r["h"], r["piece"]))
     taken: dict[str, set] = {}
     kept = []
