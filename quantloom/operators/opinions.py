@@ -169,3 +169,34 @@ def active_sectors(gainers: DataFrame, listed: DataFrame, funds: DataFrame) -> D
     order = [F.round(who["change"], 2).desc(), F.col("t").isNull(), F.coalesce("first", F.col("own.pos"))]
     g = g.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return g.select("place", "sector", who["code"].alias("fund"), who["name"].alias("name"), F.round(who["change"], 2).alias("change"), F.round(amount / 1e8, 2).alias("amount"), signal.alias("signal"))
+
+
+def panel_members(providers: DataFrame, priority: tuple[str, ...], most: int, chosen: tuple[str, ...] = ()) -> DataFrame:
+    """(place, provider): the first `most` of providers(pos, provider), those of the priority list first, the rest by pos.
+
+    chosen: a user's own list, which stands in for all of that, in its order, whether the providers are there or not.
+    """
+    spark = providers.sparkSession
+    if chosen:
+        rows = spark.createDataFrame(list(enumerate(chosen)), "at int, provider string").select(F.col("at").cast("long").alias("at"), F.lit(0).cast("long").alias("pos"), "provider")
+    else:
+        order = F.coalesce(F.create_map(*[x for k, name in enumerate(priority) for x in (F.lit(name), F.lit(k))])[F.col("provider")], F.lit(len(priority))) if priority else F.lit(0)
+        rows = providers.groupBy("provider").agg(F.min("pos").alias("pos")).select(order.cast("long").alias("at"), "pos", "provider")
+    place = F.row_number().over(Window.orderBy("at", "pos")).cast("long")
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("place", "provider")
+
+
+#: Marks in the details of a buy signal and of a rising wave.
+FIRST_POINT, RISING_BOTH = "1p", "量价齐升"
+
+
+def report_order(rows: DataFrame, pos: str = "pos") -> DataFrame:
+    """rows with priority and place: both signals, a first point, rising price and volume, a buy alone, others; by pos within.
+
+    rows: chan_buy, wave_bull (boolean), chan_buy_detail, wave_bull_detail; null is false or ''.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    says = lambda c, mark: F.coalesce(F.col(c).contains(mark), F.lit(False))
+    priority = F.when(yes("chan_buy") & yes("wave_bull"), 0).when(says("chan_buy_detail", FIRST_POINT), 1).when(says("wave_bull_detail", RISING_BOTH), 2).when(yes("chan_buy"), 3).otherwise(4)
+    x = rows.withColumn("priority", priority)
+    return x.withColumn("place", F.row_number().over(Window.orderBy("priority", pos)).cast("long"))

@@ -382,3 +382,17 @@ def profile_fields(spark, sf):
     p = profiles.slim_profile(_facts(spark, sf))
     change = profiles.profile_field("profile", "近20日", r"[+\-]?[\d.]+%")
     return p.select("code", F.when(change != "", F.concat(F.lit("20日"), change)).otherwise("").alias("position"), profiles.profile_field("profile", "PE", r"[\d.]+").alias("pe"))
+
+
+@query("h18_report_order", """with r as (select o_orderkey pos, o_orderkey % 3 = 0 b, case when o_orderkey % 5 <> 0 then o_orderkey % 4 = 0 end w, case o_orderkey % 7 when 0 then 'x1p' when 1 then 'p1' end bd, case when o_orderkey % 6 = 0 then '量价齐升!' else '' end wd from orders),
+p as (select pos, case when b and coalesce(w, false) then 0 when coalesce(contains(bd, '1p'), false) then 1 when contains(wd, '量价齐升') then 2 when b then 3 else 4 end as priority from r) select pos, priority, row_number() over (order by priority, pos) as place from p""")
+def report_order(spark, sf):
+    k = F.col("o_orderkey")
+    rows = fx.table(spark, sf, "orders").select(k.alias("pos"), (k % 3 == 0).alias("chan_buy"), F.when(k % 5 != 0, k % 4 == 0).alias("wave_bull"), F.when(k % 7 == 0, "x1p").when(k % 7 == 1, "p1").alias("chan_buy_detail"), F.when(k % 6 == 0, "量价齐升!").otherwise("").alias("wave_bull_detail"))
+    return opinions.report_order(rows).select("pos", "priority", "place")
+
+
+@query("h20_panel_members", """with p as (select n_name provider, min(n_nationkey) pos from nation group by 1) select row_number() over (order by case provider when 'NATION_7' then 0 when 'NATION_2' then 1 when 'NATION_11' then 3 else 4 end, pos) as place, provider from p qualify place <= 6""")
+def panel_members(spark, sf):
+    providers = fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("provider"))
+    return opinions.panel_members(providers, ("NATION_7", "NATION_2", "none", "NATION_11"), 6)

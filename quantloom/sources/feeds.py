@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -74,10 +75,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # the session may have ended first; the folder is then the cluster's to clean
+        pass
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: what is read several times, or after rounds, is computed once."""
+    """df written to the shared folder and read back: what is read several times, or after rounds, is computed once.
+
+    The files go when the driver's process ends.
+    """
     path = shared_path(df.sparkSession, "stored")
     df.write.parquet(path)
+    atexit.register(_forget, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

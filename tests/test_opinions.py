@@ -132,3 +132,13 @@ def test_slim_profile(spark):
     assert got["2"] == "2  | 板块:未知 | PE=N/A PB=N/A 市值=N/A 现价=N/A 近20日=N/A" and got["3"].endswith("近20日=N/A | 板块RPS=0")
     fields = {x.code: (x.a, x.b) for x in profiles.slim_profile(df).select("code", profiles.profile_field("profile", "近20日", r"[+\-]?[\d.]+%").alias("a"), profiles.profile_field("profile", "PE", r"[\d.]+").alias("b")).collect()}
     assert fields == {"1": ("-2.2%", "10.5"), "2": ("", ""), "3": ("", "")}
+
+
+def test_orders_by_priority(spark):
+    p = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b"), (4, "c")], "pos int, provider string")
+    names = lambda df: [x.provider for x in df.orderBy("place").collect()]
+    assert names(opinions.panel_members(p, ("c", "x"), 2)) == ["c", "a"] and names(opinions.panel_members(p, (), 9)) == ["a", "b", "c"]
+    assert names(opinions.panel_members(p, ("c",), 2, chosen=("z", "b", "a"))) == ["z", "b"]
+    rows = [(1, True, True, None, None), (2, False, None, "a1p", None), (3, None, False, "", "量价齐升"), (4, True, False, "p", None), (5, None, None, None, None), (6, True, True, "1p", "")]
+    df = spark.createDataFrame(rows, "pos int, chan_buy boolean, wave_bull boolean, chan_buy_detail string, wave_bull_detail string")
+    assert [(x.pos, x.priority) for x in opinions.report_order(df).orderBy("place").collect()] == [(1, 0), (6, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
