@@ -912,7 +912,7 @@ def test_pipeline_awkward_rows(spark, tmp_path):
     en, de = "the of and to in is that was for with", "der die das und ist nicht mit auf ein von"
     say = lambda words, k: " ".join(w + "abcdefghij"[(k + j) % 10] * (j % 3) for j, w in enumerate(words.split() * 6))
     rows = [(k, say(en if k % 2 else de, k), "en" if k % 2 else "de", f"s{k % 3}" if k % 4 else None, 1) for k in range(40)]
-    rows += [(100, None, "en", "s1", 1), (101, "", "en", "s1", None), (102, "12 34", None, None, 1), (None, say(en, 77), "en", "s1", 1), (103, "the of and " * 30_000, "en", "s2", 1)] + [(104, say(de, 91), "de", "s1", 1)] * 2
+    rows += [(100, None, "en", "s1", 1), (101, "", "en", "s1", None), (102, "12 34", None, None, 1), (None, " ".join(say(en, 77).split()[::-1]), "en", "s1", 1), (103, "the of and " * 30_000, "en", "s2", 1)] + [(104, say(de, 91), "de", "s1", 1)] * 2
     docs = documents(spark, rows)
     for name, table in (("some", docs), ("none", docs.where("false"))):
         folder = tmp_path / name
