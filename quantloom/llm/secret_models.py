@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import extended, small_batches, with_columns, with_text_last, without
+from .runtime import extended, materialize, small_batches, with_columns, with_text_last, without
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -199,7 +199,8 @@ def label_samples(docs: DataFrame, text: str = "text", sample: int = 4000) -> Da
         found = offered((t for b in batches for t in b.column(0).to_pylist()), sample)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.int64()))], names=["token", "random", "hash"])
 
-    offers = docs.select(F.col(text).cast("string")).mapInArrow(take, "token string, random boolean, hash long").groupBy("random", "token").agg(F.min("hash").alias("hash"))
+    # written, so that the texts are read once for both labels
+    offers = materialize(docs.select(F.col(text).cast("string")).mapInArrow(take, "token string, random boolean, hash long").groupBy("random", "token").agg(F.min("hash").alias("hash")))
     best = [offers.where("random" if label else "not random").orderBy("hash", "token").limit(sample) for label in (True, False)]
     return best[0].unionByName(best[1])
 
