@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.sources.feeds import stored
+
 
 def append_virtual_bars(bars: DataFrame, quotes: DataFrame) -> DataFrame:
     """bars and, where a code has no bar of that day, a bar from a valid quote (open, close and volume above 0)."""
@@ -42,35 +45,86 @@ def fuzzy_first(left: DataFrame, names: DataFrame, name: str = "name", key: str
     return pairs.withColumn("_n", best).where("_n = 1").drop("_n")
 
 
+#: Bits of the filter of title beginnings: so many for each (two are set), within bounds; 2^28 bits are 32 MB.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 256, 2**16, 2**28
+
+
 def event_matches(events: DataFrame, key: str = "doc_id", title: str = "title", n: int = 10) -> DataFrame:
     """(eid, doc_id): for each key the least key whose title's first n characters its title holds, or that holds its own.
 
     An inverted index of n-character windows (shorter ones for titles under n) stands for the theta join; what meets is
-    aggregated by window and by title, so a window that many titles hold makes no pairs.  An empty title is held by all;
-    a null title matches nothing.
+    aggregated by window and by title, so a window that many titles hold makes no pairs.  A bit table of the titles' beginnings
+    goes to the tasks, and only windows with a set bit are shuffled; an equality join decides about these.  An empty title is
+    held by all; a null title matches nothing.
     """
-    # rows of equal title are one row of the index; its digest goes with the windows, since a copy of the title each grows with its square
-    t = events.select(F.sha2(title, 256).alias("h"), F.substring(title, 1, n).alias("k"), F.col(key).alias("id"), F.col(title).alias("t"))
-    titles = t.where("h is not null").groupBy("h", "k").agg(F.min("id").alias("id"), F.first("t").alias("t"))
-    first = titles.groupBy("k").agg(F.min("id").alias("first_id"))
-    sizes = first.agg(F.collect_set(F.length("k")).alias("sizes"))
+    t = events.select(F.unhex(F.sha2(title, 256)).alias("h"), F.substring(title, 1, n).alias("k"), F.col(key).cast("long").alias("id"), F.col(title).alias("t")).where("t is not null")
+    first = t.groupBy("k").agg(F.min("id").alias("first_id"))
+    met = held_windows(t.select("h", "id", "t"), first).groupBy("h", "k").agg(F.min("id").alias("id")).join(first, "k")
+    holds = met.groupBy("h").agg(F.min("first_id").alias("holds"))
+    holder = met.groupBy("k").agg(F.min("id").alias("held_by"))
+    best = t.select("h", "k").distinct().join(holds, "h", "left").join(holder, "k", "left").select("h", F.least("holds", "held_by").alias("best"))
+    ids = events.select(F.col(key).alias("eid"), F.unhex(F.sha2(title, 256)).alias("h"))
+    return ids.join(best, "h", "left").groupBy("eid").agg(F.min("best").alias("doc_id"))
+
+
+def held_windows(titles: DataFrame, first: DataFrame) -> DataFrame:
+    """(h, id, k): the windows of titles(h, id, t) that are a k of first(k, ...), and few others, each once a row."""
+
+    def window_hashes(t: str, m: int):
+        """64-bit hashes of all windows of m code points of a text."""
+        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(points) - m + 1
+        h = np.zeros(max(n, 0), np.uint64)
+        if n > 0:
+            for i in range(m):
+                h = (h ^ points[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        return h
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            k = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([int(window_hashes(x, len(x)).view("int64")[0]) for x in k], pa.int64())], names=["hash"])
+
+    hashes = stored(first.where("k <> ''").select("k").mapInArrow(hashed, "hash long").distinct())
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, FILTER_BITS * hashes.count()):
+        bits *= 2
+    # two bits a hash; words of 64 bits, packed into rows of 1,024 words, at most 4,096 rows
+    bit = hashes.select(F.explode(F.array("hash", F.shiftright("hash", 32))).alias("bit")).select(F.col("bit").bitwiseAND(bits - 1).alias("bit"))
+    words = bit.select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
+    words = words.groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    packed = words.groupBy(F.shiftright("word", 10).alias("row")).agg(F.collect_list(F.struct("word", "mask")).alias("words"))
+    table = np.zeros(bits // 64, np.int64)
+    for row in packed.toLocalIterator():
+        for word, mask in row.words:
+            table[word] = mask
+    lengths = [m for (m,) in first.select(F.length("k")).distinct().collect()]  # at most n + 1
+    shared = titles.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def cut(batches):
         import pyarrow as pa
 
+        set_ = np.frombuffer(shared.value, np.int64)
         for batch in batches:
-            for h, id_, t, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = list({t[i : i + m] for m in lengths for i in range(len(t) - m + 1)})
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.repeat(h, len(found)), pa.repeat(pa.scalar(id_, pa.int64()), len(found)), pa.array(found, pa.string())], names=["h", "id", "k"])
-
-    texts = titles.select("h", F.col("id").cast("long").alias("id"), "t").crossJoin(F.broadcast(sizes))
-    held = texts.mapInArrow(cut, "h string, id long, k string")
-    met = held.join(first, "k")
-    holds = met.groupBy("h").agg(F.min("first_id").alias("holds"))
-    holder = met.groupBy("k").agg(F.min("id").alias("held_by"))
-    best = titles.select("h", "k").join(holds, "h", "left").join(holder, "k", "left").select("h", F.least("holds", "held_by").alias("best"))
-    return t.select(F.col("id").alias("eid"), "h").join(best, "h", "left").groupBy("eid").agg(F.min("best").alias("doc_id"))
+            rows = ([], [], [])
+            for h, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = set()
+                for m in lengths:
+                    if m == 0:
+                        found.add("")
+                        continue
+                    hash_ = window_hashes(text, m).view(np.int64)
+                    bit, other = hash_ & (bits - 1), (hash_ >> 32) & (bits - 1)
+                    found.update(text[i : i + m] for i in np.flatnonzero(set_[bit >> 6] >> (bit & 63) & set_[other >> 6] >> (other & 63) & 1))
+                rows[0].extend([h] * len(found))
+                rows[1].extend([id_] * len(found))
+                rows[2].extend(found)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=["h", "id", "k"])
+
+    return titles.mapInArrow(cut, "h binary, id long, k string")
 
 
 def enhanced_events(original: DataFrame, enhanced: DataFrame, n: int = 10, certain: int = 50) -> DataFrame:

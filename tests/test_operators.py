@@ -192,6 +192,18 @@ def test_event_matches_either_way(spark):
         assert got == brute(rows)
 
 
+def test_event_matches_shuffle_only_windows_that_are_beginnings(spark):
+    from .conftest import SMALL
+
+    t = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("unhex(sha2(text, 256)) as h", "doc_id as id", "text as t").where("t is not null")
+    first = t.selectExpr("substring(t, 1, 10) as k").distinct()
+    held = joins.held_windows(t, first)
+    beginnings = {r.k for r in first.collect()}
+    texts = [r.t for r in t.collect()]
+    want = sum(len({x[i : i + m] for m in {len(k) for k in beginnings} for i in range(len(x) - m + 1)} & beginnings) for x in texts)
+    assert want <= held.count() <= want * 1.1 and held.where(F.col("k").isin(*beginnings)).count() == want
+
+
 def test_event_matches_reads_all_texts(spark):
     from quantloom.plans import QUERIES
 
