@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.expr import fixed, series
+from quantloom.functions.expr import fixed, rounded, rounded_even, series
 
 
 def period_profile(periods: DataFrame, unit: str, lags: tuple[int, ...], means: tuple[int, ...], recent: int, least: int) -> DataFrame:
@@ -16,7 +16,7 @@ def period_profile(periods: DataFrame, unit: str, lags: tuple[int, ...], means:
     of the `recent` last periods against that of all (1 at least).  Codes of fewer than `least` periods have no row.
     """
     w, by = series("w"), Window.partitionBy("code")
-    change = lambda k: F.round((F.col("c") - F.lag("c", k).over(w)) / F.lag("c", k).over(w) * 100, 2)
+    change = lambda k: rounded((F.col("c") - F.lag("c", k).over(w)) / F.lag("c", k).over(w) * 100, 2)
     mean = lambda m: F.avg("c").over(w.rowsBetween(-(m - 1), 0))
     n = F.count("*").over(by)
     columns = {f"{unit}{k}": fixed(change(k), 2) for k in lags} | {f"{unit}_ma{m}": fixed(mean(m) if m < max(means) else F.when(n >= m, mean(m)), 2) for m in means}
@@ -41,7 +41,7 @@ def _number(c: Column | str, form: str) -> Column:
     """The number as a text, null for null; halves go to the even digit, as a decimal print does."""
     c = (F.col(c) if isinstance(c, str) else c).cast("double")
     places = int(form[-2])
-    return F.when(c.isNotNull(), F.format_string(form, F.bround(c, places)))
+    return F.when(c.isNotNull(), F.format_string(form, rounded_even(c, places)))
 
 
 def slim_profile(facts: DataFrame) -> DataFrame:

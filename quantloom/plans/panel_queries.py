@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.expr import fixed
+from quantloom.functions.expr import fixed, rounded
 from quantloom.operators import fusion, opinions, picks, profiles, radar, ratios
 from quantloom.operators.aggregates import resample
 from quantloom.plans.indicator_queries import B, fix
@@ -357,7 +357,7 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     some = lambda n, v: F.when(k % n != 0, v)
     x = fx.basics(spark, sf).join(fx.sector_map(spark, sf).select("code", "sector"), "code").join(profiles.recent_change(fx.bars_walk(spark, sf)), "code", "left")
     return x.select(
-        "code", "name", some(6, F.col("sector")).alias("sector"), "pe", some(5, k % 9).alias("pb"), F.col("mktcap").alias("cap"), some(4, k * 3).alias("price"), some(9, F.round("change", 3)).alias("change"), "days", F.when(k % 3 == 0, F.when(k % 2 == 0, "up").otherwise("")).alias("forecast"), F.lit("10-20").alias("forecast_range"),
+        "code", "name", some(6, F.col("sector")).alias("sector"), "pe", some(5, k % 9).alias("pb"), F.col("mktcap").alias("cap"), some(4, k * 3).alias("price"), some(9, rounded("change", 3)).alias("change"), "days", F.when(k % 3 == 0, F.when(k % 2 == 0, "up").otherwise("")).alias("forecast"), F.lit("10-20").alias("forecast_range"),
         some(2, k % 7 - 3).alias("holder_change"), some(3, k % 100).alias("rps"), some(4, k % 30).alias("goodwill_ratio"), some(3, k % 50 + 0.25).alias("pledge_ratio"), (k % 4).alias("trades"), some(2, k % 3).alias("discount"), some(5, k % 11 - 5).alias("margin_change"), (k % 90).alias("score"), F.lit("HOLD").alias("signal"),
         (k % 13 - 6).alias("bias"), some(2, k % 77).alias("avg_cost"), some(3, k % 8 / 8).alias("profit_ratio"), some(4, k % 16 / 16).alias("concentration"), some(5, k * 2 - 90).alias("inflow"), (k % 8 == 0).alias("virtual"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import text as tx
-from quantloom.functions.expr import fixed, trailing
+from quantloom.functions.expr import fixed, printed, trailing
 from quantloom.operators import events, patterns, sequences
 from quantloom.operators.asof import last_bars_before
 from quantloom.operators.indicators import last_bars
@@ -219,7 +219,7 @@ def z15(spark, sf):
     b = fx.bars_walk(spark, sf)
     x = b.withColumns({"c60": F.first("c").over(trailing(60)), "ma5": F.avg("c").over(trailing(5))})
     gain, bias = (F.col("c") - F.col("c60")) / F.col("c60") * 100, (F.col("c") - F.col("ma5")) / F.col("ma5") * 100
-    return last_bars(x).select("code", F.format_string("60-bar %+.1f%%, bias %+.2f%%", gain, bias).alias("line"))
+    return last_bars(x).select("code", F.concat(F.lit("60-bar "), printed(gain, 1), F.lit("%, bias "), printed(bias, 2), F.lit("%")).alias("line"))
 
 
 @query("i18_report_order", f"with {fx.PICKS} select code, src, row_number() over (order by score desc, code, src) as place from (select code, 'approved' as src, max(score) score from model_picks where rank <= 20 group by code union all select code, 'soft', max(score) from model_picks where rank between 21 and 40 group by code)")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.functions.expr import safe_number
+from quantloom.functions.expr import rounded, safe_number
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def parse_quotes(lines: DataFrame, layout: Layout, column: str = "value") -> Dat
         code = F.substr(variable, F.lit(3))
     good = lambda c: F.when(F.col("reason").isNull(), c)
     x = x.select("raw", "reason", good(code).alias("code"), good(field(layout.name)).alias("name"), *(good(number(places, factor)).alias(n) for n, places, factor in layout.numbers))
-    change = F.round((F.col("last") - F.col("previous")) / F.col("previous") * 100, 2)
+    change = rounded((F.col("last") - F.col("previous")) / F.col("previous") * 100, 2)
     return x.withColumn("change", F.when(F.col("previous") > 0, change))
 
 
