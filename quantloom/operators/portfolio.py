@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.expr import rounded
+
 
 def bias_warning(severe: float = 7.5, mild: float = 5.0) -> Column:
     """Distance of the close from its 5-bar mean in percent: severe unless the means are stacked upwards."""
@@ -41,12 +43,12 @@ def timing_limits(markets: DataFrame) -> DataFrame:
 
 def trade_levels(last: DataFrame) -> DataFrame:
     """Entries, stop, targets at 1, 2 and 3 risks, and position by volatility; last: c, ma20, atr14, low20 in price units."""
-    x = last.withColumns({"aggressive": F.round("c", 2), "moderate": F.round(F.least(F.col("c"), F.col("ma20") * 1.01), 2), "conservative": F.round(F.greatest(F.col("ma20"), F.col("low20") * 1.02), 2)})
-    stop = F.round(F.greatest(F.col("ma20") * 0.98, F.col("c") - 2 * F.col("atr14"), F.col("low20").cast("double")), 2)
-    x = x.withColumn("stop", F.when(stop >= F.col("moderate"), F.round(F.col("moderate") * 0.95, 2)).otherwise(stop))
+    x = last.withColumns({"aggressive": rounded("c", 2), "moderate": rounded(F.least(F.col("c"), F.col("ma20") * 1.01), 2), "conservative": rounded(F.greatest(F.col("ma20"), F.col("low20") * 1.02), 2)})
+    stop = rounded(F.greatest(F.col("ma20") * 0.98, F.col("c") - 2 * F.col("atr14"), F.col("low20").cast("double")), 2)
+    x = x.withColumn("stop", F.when(stop >= F.col("moderate"), rounded(F.col("moderate") * 0.95, 2)).otherwise(stop))
     risk = F.col("moderate") - F.col("stop")
     vol = F.col("atr14") / F.col("c") * 100
-    x = x.withColumns({f"t{k}": F.round(F.col("moderate") + risk * k, 2) for k in (1, 2, 3)})
+    x = x.withColumns({f"t{k}": rounded(F.col("moderate") + risk * k, 2) for k in (1, 2, 3)})
     return x.withColumns({"volatility": vol, "position": F.when(vol < 2, 8.0).when(vol < 3.5, 6.0).when(vol < 5, 4.0).otherwise(2.5)}).where(risk > 0)
 
 

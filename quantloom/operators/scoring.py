@@ -63,7 +63,7 @@ QUANT_BEAR = """(case when slope > 0 then 15 + least(10, slope * 300) else 0 end
 + case when near_high > 0.75 then 10 + least(5, (near_high - 0.75) / 0.25 * 5) when near_high > 0.6 then (near_high - 0.6) / 0.15 * 10 else 0 end
 + case when amount_ratio between 0.5 and 1.2 then 15 else 0 end + case when c > ma20 and ma20 > 0 then 5 else 0 end + chip / 10.0 * 1.5 + lhb_bonus * 0.8)"""
 
-VOLUME_L2 = """least(100, case when v5 < v20 * 0.8 then 40 when v5 < v20 then 20 else 0 end + greatest(0, least(30, (1 - vsd5 / greatest(v5, 1)) * 40)) + case when c > o and v < v20 * 1.5 then 30 else 0 end)"""
+VOLUME_L2 = """least(100, case when v5 * 10 < v20 * 8 then 40 when v5 < v20 then 20 else 0 end + greatest(0, least(30, 40 - 40 * vsd5 / greatest(v5, 1))) + case when c > o and v * 2 < v20 * 3 then 30 else 0 end)"""
 
 HEALTH_L2 = """least(100, case when dif > dea then 20 + case when dif > 0 then 10 else 0 end else 0 end + case when c > ema60 then 15 else 0 end + case when n300 >= 71 and ema60 > ema60_10 then 15 else 0 end
 + case when c > ma60 * 0.95 then 15 else 0 end + case when n300 >= 100 and c >= max100 * 0.95 then 25 else 0 end)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.expr import fixed, series
 from quantloom.operators import scoring
 from quantloom.operators.crosssec import percentile_rank, share_below, with_regime
-from quantloom.operators.indicators import closes, ewm_last, last_bars, with_features
+from quantloom.operators.indicators import closes, ewm_last, last_bars, last_features
 from quantloom.operators.patterns import chart_patterns, pattern_scores
 from quantloom.operators.scoring import LIVE, Profile
 from quantloom.sources.feeds import stored
@@ -16,7 +16,7 @@ from quantloom.sources.feeds import stored
 
 def latest_features(bars: DataFrame, profile: str = "live") -> DataFrame:
     """One row a code: the features at its last bar."""
-    return last_bars(with_features(bars, profile))
+    return last_features(bars, profile)
 
 
 def prefiltered(bars: DataFrame, basics: DataFrame | None, lhb: DataFrame | None, profile: Profile = LIVE) -> DataFrame:
@@ -124,7 +124,7 @@ def first_layer(tracks: DataFrame) -> DataFrame:
 def old_first_layer(bars: DataFrame, amount: float = 2.5, most: int = 150) -> DataFrame:
     """The older strategy's first layer: its gates, fixed points, the best `most` by score (0.1 points as whole numbers)."""
     before = {f"p_{c}{k}": F.lag(c, k).over(series()) for k in (1, 2) for c in ("c", "o", "v")}
-    last = last_bars(with_features(bars, "backtest").withColumns(before)).where("nbar >= 20")
+    last = last_features(bars, "backtest", before).where("nbar >= 20")
     last = last.where(f"not ({scoring.OLD_GATES}) and not coalesce(amount20 / {Profile.amount_unit} < {amount}, false)")
     points = [(F.col("slope") > 0, 20), (F.col("atr5") < F.col("atr20"), 15), (F.col("near_high") > 0.8, 15), (F.col("yang"), 15), (F.col("amount_ratio") > 1.2, 10)]
     score = percentile_rank("ret20") * 0.25

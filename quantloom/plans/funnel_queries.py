@@ -168,8 +168,8 @@ OLD_PREV = ", ".join(f"lag({c}, {k}) over {W} p_{c}{k}" for k in (1, 2) for c in
 
 @query("b12_old_gates", f"""{BF}, g as (select *, {OLD_PREV} from f), last as (select * from g qualify row_number() over (partition by code order by d desc) = 1) select code, {rule_sql.OLD_GATES} as dropped from last""")
 def old_gates(spark, sf):
-    x = ind.with_features(_bars(spark, sf)).withColumns({f"p_{c}{k}": F.lag(c, k).over(series()) for k in (1, 2) for c in ("c", "o", "v")})
-    return ind.last_bars(x).select("code", F.expr(scoring.OLD_GATES).alias("dropped"))
+    before = {f"p_{c}{k}": F.lag(c, k).over(series()) for k in (1, 2) for c in ("c", "o", "v")}
+    return ind.last_features(_bars(spark, sf), more=before).select("code", F.expr(scoring.OLD_GATES).alias("dropped"))
 
 
 @query("f7_dual_track")
@@ -213,9 +213,8 @@ last as (select * from x qualify row_number() over (partition by code order by d
 select code, {", ".join(PARTS)}, total, {rule_sql.SIGNAL_LABEL} as signal from z""")
 def signal_score(spark, sf):
     b = _bars(spark, sf)
-    o = ind.oscillators(b).select("code", "d", "dif", "dea", "hist", "rsi6")
-    x = ind.with_features(b).join(o, ["code", "d"]).withColumn("p_hist", F.lag("hist").over(series()))
-    last = ind.last_bars(x).withColumns({"bias": (F.col("c") - F.col("ma5")) / F.col("ma5") * 100, "vr": F.col("v") / F.greatest(F.col("v5"), F.lit(1e-9))})
+    x = ind.last_features(b).join(ind.last_oscillators(b).select("code", "dif", "dea", "hist", "p_hist", "rsi6"), "code")
+    last = x.withColumns({"bias": (F.col("c") - F.col("ma5")) / F.col("ma5") * 100, "vr": F.col("v") / F.greatest(F.col("v5"), F.lit(1e-9))})
     last = last.withColumns({k: F.expr(v) for k, v in PARTS.items()}).withColumn("total", sum((F.col(k) for k in PARTS), F.lit(0)))
     enough = F.col("nbar") >= 5
     return last.select("code", *PARTS, F.when(enough, F.col("total")).otherwise(0).alias("total"), F.when(enough, F.expr(scoring.SIGNAL_LABEL)).otherwise("SELL").alias("signal"))

@@ -135,18 +135,18 @@ def features(spark, sf):
 
 @query("e16_percentile_rank", f"""{BF}, {LASTBARS} select code, {fix("(rank() over (order by ret20) + (count(*) over (partition by ret20) - 1) / 2.0) / cast(count(*) over () as double) * 100")} as rps20 from last""")
 def e16(spark, sf):
-    return ind.last_bars(ind.with_features(_bars(spark, sf))).select("code", fixed(percentile_rank("ret20")).alias("rps20"))
+    return ind.last_features(_bars(spark, sf)).select("code", fixed(percentile_rank("ret20")).alias("rps20"))
 
 
 @query("e18_sector_rank", f"""{BF}, {fx.SECTORS}, {LASTBARS} select code, sector, {fix("row_number() over (partition by sector order by ret20, code) / cast(count(*) over (partition by sector) as double) * 100")} as pos from last join sector_map using (code)""")
 def e18(spark, sf):
-    last = ind.last_bars(ind.with_features(_bars(spark, sf))).join(fx.sector_map(spark, sf), "code")
+    last = ind.last_features(_bars(spark, sf)).join(fx.sector_map(spark, sf), "code")
     return last.select("code", "sector", fixed(position_rank("ret20", "code", "sector")).alias("pos"))
 
 
 @query("e17_e19_market_rps", f"""{BF}, {LASTBARS} select code, {fix("ret20")} as ret20, {fix("(rank() over (order by ret20) - 1) / cast(count(*) over () as double)")} as below from last""")
 def e17(spark, sf):
-    return ind.last_bars(ind.with_features(_bars(spark, sf))).select("code", fixed("ret20").alias("ret20"), fixed(share_below("ret20")).alias("below"))
+    return ind.last_features(_bars(spark, sf)).select("code", fixed("ret20").alias("ret20"), fixed(share_below("ret20")).alias("below"))
 
 
 @query("e20_pivots", f"""{B}, p as (select code, d, h, l, max(h) over (partition by code order by d rows between 5 preceding and 1 preceding) hb, max(h) over (partition by code order by d rows between 1 following and 5 following) ha,
@@ -158,22 +158,20 @@ def e20(spark, sf):
 
 @query("e23_ma_alignment", f"{BF}, {LASTBARS} select code, {rule_sql.ALIGNMENT} as alignment, ma5 > ma20 and ma20 > ma60 as bullish, ma5 < ma20 and ma20 < ma60 as bearish from last")
 def e23(spark, sf):
-    last = ind.last_bars(ind.with_features(_bars(spark, sf)))
+    last = ind.last_features(_bars(spark, sf))
     return last.select("code", F.expr(labels.ALIGNMENT).alias("alignment"), F.expr("ma5 > ma20 and ma20 > ma60").alias("bullish"), F.expr("ma5 < ma20 and ma20 < ma60").alias("bearish"))
 
 
 @query("e24_macd_status", f"""{B}, {OSC}, p as (select *, lag(dif) over {W} p_dif, lag(dea) over {W} p_dea, lag(hist) over {W} p_hist from osc)
 select code, {rule_sql.MACD_STATUS} as status, {fix("dif", 2)} as dif from p qualify row_number() over (partition by code order by d desc) = 1""")
 def e24(spark, sf):
-    o = ind.oscillators(_bars(spark, sf))
-    x = o.withColumns({f"p_{n}": F.lag(n).over(series()) for n in ("dif", "dea", "hist")})
-    return ind.last_bars(x).select("code", F.expr(labels.MACD_STATUS).alias("status"), fixed("dif", 2).alias("dif"))
+    return ind.last_oscillators(_bars(spark, sf)).select("code", F.expr(labels.MACD_STATUS).alias("status"), fixed("dif", 2).alias("dif"))
 
 
 @query("e25_index_trend", f"""{BF}, {LASTBARS} select code, {rule_sql.TREND} as trend,
 {fix("(c - prev_c) / cast(prev_c as double) * 100")} as chg1, {fix("v5 / v20")} as v5_20 from last""")
 def e25(spark, sf):
-    last = ind.last_bars(ind.with_features(_bars(spark, sf)))
+    last = ind.last_features(_bars(spark, sf))
     return last.select("code", F.expr(labels.TREND).alias("trend"), fixed((F.col("c") - F.col("prev_c")) / F.col("prev_c") * 100).alias("chg1"), fixed(F.col("v5") / F.col("v20")).alias("v5_20"))
 
 
@@ -192,10 +190,9 @@ def e26(spark, sf):
 s as (select code, c, list_reverse_sort(list_filter([ma20, ma60, cast(low20 as double)], lambda x: x < c)) lo, list_sort(list_filter([cast(h20 as double), cast(h60 as double)], lambda x: x > c * 1.005)) hi from last)
 select code, {fix("coalesce(lo[1], c * 0.97)")} as s1, {fix("coalesce(lo[2], c * 0.95)")} as s2, {fix("coalesce(hi[1], c * 1.03)")} as r1, {fix("coalesce(hi[2], c * 1.05)")} as r2 from s""")
 def e27(spark, sf):
-    x = ind.with_features(_bars(spark, sf)).withColumn("h60", F.max("h").over(trailing(60)))
-    last = ind.last_bars(x)
+    last = ind.last_features(_bars(spark, sf), more={"h60": F.max("h").over(trailing(60))})
     below = F.sort_array(F.filter(F.array(F.col("ma20"), F.col("ma60"), F.col("low20").cast("double")), lambda y: y < F.col("c")), asc=False)
-    above = F.sort_array(F.filter(F.array(F.col("h20").cast("double"), F.col("h60").cast("double")), lambda y: y > F.col("c") * 1.005))
+    above = F.sort_array(F.filter(F.array(F.col("h20").cast("double"), F.col("h60").cast("double")), lambda y: y * 1000 > F.col("c") * 1005))
     get = lambda a, k, other: fixed(F.coalesce(F.get(a, F.lit(k)), F.col("c") * other))
     return last.select("code", get(below, 0, 0.97).alias("s1"), get(below, 1, 0.95).alias("s2"), get(above, 0, 1.03).alias("r1"), get(above, 1, 1.05).alias("r2"))
 
