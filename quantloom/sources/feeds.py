@@ -94,6 +94,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task that sorts series; partitions grow with the table, so a task's memory doesn't.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt out by the keys to as many tasks as `rows` rows need."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)), *keys)
+
+
 def drop_partitions(spark: SparkSession, path: str, by: str, before: str) -> list[str]:
     """Delete the partitions of a dated store whose value is less than `before`; their values. The names alone are read."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.sources.feeds import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +20,7 @@ def bars_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     p = F.round(F.col("l_extendedprice") * 100).cast("long")
     r = li.select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("d"), p.alias("p"), F.col("l_quantity").cast("long").alias("q"))
+    r = dealt(r, li.count(), "code")  # one exchange for bars and windows by code
     day = r.groupBy("code", "d").agg(F.sum(F.col("p") % 401 - 200).alias("step"), F.max(F.col("p") % 97).alias("up"), F.max(F.col("p") % 89).alias("dn"), F.sum("q").alias("v"))
     c = (F.lit(20000) + F.sum("step").over(Window.partitionBy("code").orderBy("d").rowsBetween(Window.unboundedPreceding, 0))).alias("c")
     o = F.col("c") - F.col("step")
