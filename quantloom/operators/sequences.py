@@ -24,8 +24,8 @@ KEY = ("code", "timeframe")
 def frames(bars: DataFrame) -> DataFrame:
     """bars as daily series, and for codes of FOR_WEEKS bars or more the weeks that end on Friday as weekly ones."""
     daily = bars.select("code", F.lit("daily").alias("timeframe"), "d", *(F.col(c).cast("double").alias(c) for c in "hlcv"))
-    many = bars.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") >= FOR_WEEKS).select("code")
-    weeks = resample(bars.join(many, "code", "left_semi"), "week_friday", "w")
+    many = bars.withColumn("_n", F.count("*").over(Window.partitionBy("code"))).where(F.col("_n") >= FOR_WEEKS).drop("_n")
+    weeks = resample(many, "week_friday", "w")
     return daily.unionByName(weeks.select("code", F.lit("weekly").alias("timeframe"), F.col("w").alias("d"), *(F.col(c).cast("double").alias(c) for c in "hlcv")))
 
 
