@@ -10,14 +10,16 @@
    block stand in one trie along the global order, so sets that begin alike share their first runs.  A probe goes down
    it by levels, counts its overlap with a shared run once, and leaves a subtree once the overlap so far plus the most
    that can remain is too small, or once all below is in the probe's component: more links change nothing there.
-4. Components of the links so far; then every remaining pair of nodes in different components that shares a prefix
-   token and passes the size and position bounds is compared exactly.  So no link between components is lost, and no
-   pairs inside a group of copies are made.
+4. Components of the links so far; then the nodes that still share a prefix token with one of another component.  Of
+   a token's rows, those that pass the bounds on sizes, positions and sketches (the parities of a set's tokens in slots,
+   which differ in no more slots than the sets in tokens) are joined to families, by a forest: at most a row out for a
+   row in, never a row for each pair.  A family's whole sets then stand in one trie as in step 3, so each node's set is
+   moved once.  Linked nodes are of one family, so no link between components is lost.
 
 At scale: to the driver come the list of frequent shingles (at most `frequent`), a bitmap of 256 bits an open node (at
 most FILTER_BITS bits) and the nodes whose digests clash (of 10^10 sets some three), never links, components or
 fingerprints.  Blocks are bounded in sets and in shingles.  The rows of a token with more than HOT of them meet by pairs
-of parts in steps 2 and 4, so no task gets more than two parts of one token.
+of parts in steps 2 and 4, so no task gets more than two parts of one token; so do those of a family beyond a block.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
 from .runtime import materialize, release, small_batches, tables, texts
 from .shingles import shingle_set
 
-SLOTS, FINE_SLOTS = 128, 1024
+SLOTS, LEAST_SKETCH = 128, 1024
 WHOLE_GROUP = 20_000
 HOT = 500
 FILTER_BITS = 1 << 28
@@ -161,11 +163,14 @@ class Trie:
         return hits[group[hits] != group[k]]
 
 
-def linked_pairs(sizes_sets: list[tuple[int, np.ndarray]], limit: Threshold) -> list[tuple[int, int]]:
-    """Links that connect each component of (id, ordered set) fully: one for each two components that a probe joins."""
+def linked_pairs(sizes_sets: list[tuple[int, np.ndarray]], limit: Threshold, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect each component of (id, ordered set) fully: one for each two components that a probe joins.
+
+    labels: what is one component already, whose own links are not looked for.
+    """
     trie = Trie([s for _, s in sizes_sets])
     names = [sizes_sets[k][0] for k in trie.order]
-    group = np.arange(len(names))
+    group = np.arange(len(names)) if labels is None else np.unique(labels, return_inverse=True)[1][trie.order]
     links = []
     for k in range(len(names) - 1):
         hits = trie.linked(k, limit, group)
@@ -447,12 +452,11 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, nam
                 if not len(tokens) or node in seen or not int(bits[bit // 64]) >> (bit % 64) & 1:
                     continue
                 seen.add(node)
-                fine = np.minimum(np.bincount(tokens & (FINE_SLOTS - 1), minlength=FINE_SLOTS), 255).astype(np.uint8).tobytes()
-                out.append((node, len(tokens), tokens.tobytes(), fine))
+                out.append((node, len(tokens), tokens.tobytes(), sketch(tokens)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "tokens", "fine"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "tokens", "sketch"])
 
-    sets = docs.select(text).mapInArrow(whole, "node long, n long, tokens binary, fine binary").join(names, "node", "left_semi")
+    sets = docs.select(text).mapInArrow(whole, "node long, n long, tokens binary, sketch binary").join(names, "node", "left_semi")
     sets = materialize(sets.dropDuplicates(["node"]))
 
     # two rounds of buckets: the first shared token, then the one that another hash puts first, each in random blocks
@@ -464,18 +468,19 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, nam
     placed = placed.select("node", F.xxhash64("round", "token", "block").alias("bucket"))
 
     def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, labels_ = None, [], []
 
         def done() -> list[tuple[int, int]]:
-            return linked_pairs(held, limit) if len(held) > 1 else []
+            return linked_pairs(held, limit, labels_) if len(set(labels_)) > 1 else []
 
         out = []
         for batch in batches:
-            for bucket, node, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, node, label, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now:
                     out += done()
-                    now, held = bucket, []
+                    now, held, labels_ = bucket, [], []
                 held.append((node, np.frombuffer(tokens, np.int64)))
+                labels_.append(label)
             if out:
                 yield _edges(out)
                 out = []
@@ -483,84 +488,112 @@ def _labels(docs: DataFrame, text: str, active: DataFrame, limit: Threshold, nam
         if out:
             yield _edges(out)
 
-    blocks = placed.join(sets.select("node", "tokens"), "node").select("bucket", "node", "tokens").repartition("bucket").sortWithinPartitions("bucket")
-    edges = materialize(blocks.mapInArrow(join_blocks, "a long, b long").distinct())
+    def joined(rows: DataFrame) -> DataFrame:
+        """Links (a, b) between different labels of a bucket's (node, label)."""
+        blocks = rows.join(sets.select("node", "tokens"), "node").select("bucket", "node", "label", "tokens").repartition("bucket").sortWithinPartitions("bucket")
+        return materialize(blocks.mapInArrow(join_blocks, "a long, b long").distinct())
+
+    edges = joined(placed.withColumn("label", F.col("node")))
     labels = connected(edges)
 
-    # what is left: pairs in different components that share a prefix token
+    # what is left: nodes in different components that share a prefix token
     labelled = active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     labelled = labelled.join(materialize(mixed), "token", "left_semi")
+    met = _meeting(labelled, "token", F.lit(1), HOT).join(sets.select("node", "sketch"), "node")
 
-    # where a token has many rows, those outside its largest component meet the others by parts of both
-    sides = labelled.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", "count").alias("major"), F.max("count").alias("most"), F.sum("count").alias("all"))
-    big = materialize(sides.where(F.col("all") > HOT).select("token", "major", F.ceil(F.col("most") / HOT).alias("majors"), F.ceil((F.col("all") - F.col("most")) / HOT).alias("minors")))
-    few = labelled.join(big, "token", "left_anti").select(F.col("token").alias("cell"), "n", "node", "pos", "label", F.lit(0).cast("long").alias("part"))
-    many = labelled.join(big, "token").withColumn("major", F.col("label") == F.col("major"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))))
-    meet = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
-    named_cell = lambda kind, x, y: F.xxhash64("token", F.lit(kind), x, y).alias("cell")
-    body_ = ["n", "node", "pos", "label"]
-    across = many.where("major").withColumn("other", meet("minors")).select(named_cell("across", "other", "own"), *body_, F.lit(0).cast("long").alias("part"))
-    across = across.unionByName(many.where("not major").withColumn("other", meet("majors")).select(named_cell("across", "own", "other"), *body_, F.lit(1).cast("long").alias("part")))
-    among = many.where("not major").withColumn("other", meet("minors")).select(named_cell("among", F.least("own", "other"), F.greatest("own", "other")), *body_, F.col("own").cast("long").alias("part"))
-    met = few.unionByName(across).unionByName(among)
-
-    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, _ in _by_token(batches):
-            token = columns[0]
-            ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
-            for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
-                yield from _across(*(c[i:j] for c in columns[1:]), limit)
-
-    pairs = met.repartition("cell").sortWithinPartitions("cell", "n", "node").mapInArrow(differing, "a long, b long")
-    pairs = materialize(pairs.distinct())
-    body = sets.select("node", "tokens")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose finer slot counts allow a link: whole sets, which may be long, are moved for these alone."""
-        for batch in batches:
-            a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FINE_SLOTS).astype(np.int16) for k in (4, 5))
-            good = np.abs(x - y).sum(axis=1) <= n + m - 2 * limit.overlap(n, m)
-            yield pa.RecordBatch.from_pydict({"a": a[good], "b": b[good]})
-
-    fine = sets.select("node", "n", "fine")
-    pairs = pairs.join(fine.toDF("a", "n", "x"), "a").join(fine.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    pairs = materialize(pairs.mapInArrow(close, "a long, b long"))
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+            cell = columns[0]
+            ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell))
             out = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                if len(np.intersect1d(x, y, assume_unique=True)) >= limit.overlap(len(x), len(y)):
-                    out.append((a, b))
+            for i, j in zip(np.append(0, ends[:-1]), ends, strict=True):
+                out += _forest(*(c[i:j] for c in columns[1:]), limit)
             if out:
                 yield _edges(out)
 
-    late = materialize(pairs.join(body.toDF("a", "x"), "a").join(body.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
+    cells = met.select("cell", "n", "node", "pos", "label", "part", "sketch").repartition("cell").sortWithinPartitions("cell", "n", "node")
+    families = materialize(cells.mapInArrow(near, "a long, b long").distinct())
+    if families.isEmpty():
+        return labels
+    members = materialize(connected(families).withColumnRenamed("label", "family").join(labels, "node", "left").join(sets.select("node", "n"), "node").withColumn("label", F.coalesce("label", "node")))
+    late = joined(_meeting(members, "family", F.greatest("n", F.lit(max(1, BLOCK_SHINGLES // BLOCK_SETS))), BLOCK_SHINGLES).select(F.col("cell").alias("bucket"), "node", "label"))
     if late.isEmpty():
         return labels
     return connected(edges.unionByName(late))
 
 
+def _meeting(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
+    """rows of (key, node, label, ...) with (cell, part): two of a key and of different labels meet in a cell.
+
+    Where a key's rows weigh more than `most`, those outside its largest component meet the others by parts of both; in a
+    cell of two parts only rows of different parts need to be compared.
+    """
+    sides = rows.groupBy(key, "label").agg(F.sum(weight).alias("load")).groupBy(key).agg(F.max_by("label", "load").alias("major"), F.max("load").alias("most"), F.sum("load").alias("all"))
+    big = materialize(sides.where(F.col("all") > most).select(key, "major", F.ceil(F.col("most") / most).alias("majors"), F.ceil((F.col("all") - F.col("most")) / most).alias("minors")))
+    whole = F.lit(0).cast("long").alias("part")
+    few = rows.join(big, key, "left_anti").select(F.col(key).alias("cell"), *[c for c in rows.columns if c != key], whole)
+    many = rows.join(big, key).withColumn("major", F.col("label") == F.col("major"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("node", F.lit("part")), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))))
+    meet = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
+    named_cell = lambda kind, x, y: F.xxhash64(key, F.lit(kind), x, y).alias("cell")
+    body = [c for c in rows.columns if c != key]
+    across = many.where("major").withColumn("other", meet("minors")).select(named_cell("across", "other", "own"), *body, whole)
+    across = across.unionByName(many.where("not major").withColumn("other", meet("majors")).select(named_cell("across", "own", "other"), *body, F.lit(1).cast("long").alias("part")))
+    among = many.where("not major").withColumn("other", meet("minors")).select(named_cell("among", F.least("own", "other"), F.greatest("own", "other")), *body, F.col("own").cast("long").alias("part"))
+    return few.unionByName(across).unionByName(among)
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def _across(n: np.ndarray, node: np.ndarray, pos: np.ndarray, label: np.ndarray, part: np.ndarray, limit: Threshold) -> Iterator[pa.RecordBatch]:
-    """Pairs of a token's rows in different components that pass the size and position bounds; of two parts, across them."""
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parities of a set's tokens in slots, as many as tokens up to the next power of 2, LEAST_SKETCH at least."""
+    slots = max(LEAST_SKETCH, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount(tokens & (slots - 1), minlength=slots) & 1).astype(bool)).tobytes()
+
+
+def _apart(one: bytes, others: np.ndarray) -> np.ndarray:
+    """Slots in which a sketch differs from each of the others, of two sizes in those of the smaller."""
+    out = np.zeros(len(others), np.int64)
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        x, y = np.frombuffer(one, np.uint64)[None], np.frombuffer(b"".join(others[at]), np.uint64).reshape(len(at), -1)
+        while x.shape[1] != y.shape[1]:  # a half of the slots falls on the other
+            z = max(x, y, key=lambda z: z.shape[1])
+            half = z[:, : z.shape[1] // 2] ^ z[:, z.shape[1] // 2 :]
+            x, y = (half, y) if z is x else (x, half)
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
+def _forest(n: np.ndarray, node: np.ndarray, pos: np.ndarray, label: np.ndarray, part: np.ndarray, sketches: np.ndarray, limit: Threshold) -> list[tuple[int, int]]:
+    """Pairs of a cell's rows that join all those that may be linked across components, directly or by others: fewer than rows.
+
+    Rows of different labels may be linked if they pass the bounds on sizes, positions and sketches; of two parts, across them.
+    """
     kinds, counts = np.unique(label, return_counts=True)
     if len(kinds) < 2:
-        return
+        return []
     two = part.min() != part.max()
-    for i in np.flatnonzero(label != kinds[counts.argmax()]):
+    rest = label != kinds[counts.argmax()]
+    open_ = np.ones(len(n), bool)
+    group, out = np.arange(len(n)), []
+    for i in np.flatnonzero(rest):
         # each such row against all others; two of them meet once
-        ok = (label != label[i]) & (np.minimum(n, n[i]) >= limit.least(np.maximum(n, n[i])))
+        open_[i] = False
+        ok = open_ & (label != label[i]) & (group != group[i]) & (np.minimum(n, n[i]) >= limit.least(np.maximum(n, n[i])))
         ok &= 1 + np.minimum(n - 1 - pos, n[i] - 1 - pos[i]) >= limit.overlap(n, n[i])
         if two:
             ok &= part != part[i]
-        if ok.any():
-            other = node[ok]
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(other, node[i]), "b": np.maximum(other, node[i])})
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        at = at[_apart(sketches[i], sketches[at]) <= n[at] + n[i] - 2 * limit.overlap(n[at], n[i])]
+        if len(at):
+            other, k = np.unique(group[at], return_index=True)
+            out += [(int(node[i]), int(node[j])) for j in at[k]]
+            group[np.isin(group, other)] = group[i]
+    return out

@@ -804,6 +804,64 @@ def test_ngram_components_with_hot_tokens_and_clashing_names(spark, monkeypatch)
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
 
 
+@pytest.mark.parametrize("hot, shingles, sets", [(500, 8_000_000, 2_000), (4, 900, 30)])
+def test_ngram_near_misses_make_no_pairs(spark, monkeypatch, hot, shingles, sets):
+    """Sixty texts of which each two are just not linked, and one linked with two of them: rows by members, not by pairs."""
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for i in range(3):
+            w[(k * 3 + i) % 60 * 3 + 9] = f"x{k}.{i}"
+        rows.append((k, " ".join(w)))
+    rows += [(60, rows[0][1].replace("x0.0", "w9")), (61, rows[1][1].replace("x1.0", "y")), (62, " ".join(base))]
+    made = []
+
+    def counted(df, plain=ngram_join.materialize):
+        out = plain(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    for name, value in (("HOT", hot), ("BLOCK_SHINGLES", shingles), ("BLOCK_SETS", sets)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = ngram_join.ngram_components(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows)
+    assert made and max(made) < len(rows) * (1 if hot > len(rows) else 8)
+
+
+def test_links_within_a_label_are_not_looked_for():
+    sets = [(k, np.array(s, np.int64)) for k, s in enumerate([[1, 2, 3, 4], [1, 2, 3, 5], [8, 9], [8, 9, 10]])]
+    assert sorted(ngram_join.linked_pairs(sets, ngram_join.Threshold(1, 2))) == [(0, 1), (2, 3)]
+    assert ngram_join.linked_pairs(sets, ngram_join.Threshold(1, 2), [7, 7, 2, 9]) == [(2, 3)]
+
+
+def test_forest_joins_all_that_may_be_linked():
+    rng = random.Random(5)
+    for t in range(60):
+        limit = ngram_join.Threshold(*[(9, 10), (4, 5), (1, 2)][t % 3])
+        base = sorted(rng.sample(range(1 << 40), rng.choice([8, 300, 1020, 2045])))
+        sets = []
+        for _ in range(25):
+            s = set(rng.sample(base, rng.randint(len(base) * 3 // 4, len(base)))) | {base[0]}
+            sets.append(np.array(sorted(s | {rng.randrange(1 << 40) for _ in range(rng.randrange(9))}), np.int64))
+        pos = [int(np.searchsorted(s, base[0])) for s in sets]
+        label, part = [rng.randrange(12) for _ in sets], [rng.randrange(2) if t % 2 else 0 for _ in sets]
+        sketches = np.array([ngram_join.sketch(s) for s in sets] + [b""], object)[:-1]
+        forest = ngram_join._forest(*(np.array(x, np.int64) for x in ([len(s) for s in sets], range(25), pos, label, part)), sketches, limit)
+        assert len(forest) < len(sets)
+        group = list(range(25))
+        for i, j in forest:
+            assert label[i] != label[j]
+            group = [group[i] if g == group[j] else g for g in group]
+        for i, j in itertools.combinations(range(25), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            fits = limit.den * both >= limit.num * (len(sets[i]) + len(sets[j]) - both) and 1 + min(len(sets[i]) - 1 - pos[i], len(sets[j]) - 1 - pos[j]) >= limit.overlap(len(sets[i]), len(sets[j]))
+            if fits and label[i] != label[j] and (len(set(part)) == 1 or part[i] != part[j]):
+                assert group[i] == group[j]
+
+
 def test_trie_against_all_pairs():
     rng = random.Random(7)
     for t in range(60):
