@@ -62,16 +62,20 @@ def _clusters(events: DataFrame) -> DataFrame:
 
     open_ = first.select("kind", "at")
     begun = open_.where(F.lit(False))
+    # a round reads the open titles' rows, and words of clusters begun in the last one: earlier clusters stopped none of them
+    named_open, holds_open, fresh = named, holds, named.where(F.lit(False))
     while not open_.isEmpty():
-        waiting = named.join(open_, ["kind", "at"], "left_semi").groupBy("kind", "word").agg(F.min("at").alias("first_open"))
-        taken = named.join(begun, ["kind", "at"], "left_semi").groupBy("kind", "word").agg(F.min("at").alias("first_begun"))
-        met = holds.join(open_, ["kind", "at"], "left_semi").join(waiting, ["kind", "word"], "left").join(taken, ["kind", "word"], "left")
+        waiting = named_open.groupBy("kind", "word").agg(F.min("at").alias("first_open"))
+        taken = fresh.groupBy("kind", "word").agg(F.min("at").alias("first_begun"))
+        met = holds_open.join(waiting, ["kind", "word"], "left").join(taken, ["kind", "word"], "left")
         least = met.groupBy("kind", "at").agg(F.min("first_open").alias("first_open"), F.min("first_begun").alias("first_begun"))
         joins = F.coalesce(F.col("first_begun") < F.col("at"), F.lit(False))
         begins = ~joins & ~F.coalesce(F.col("first_open") < F.col("at"), F.lit(False))
         now = stored(open_.join(least, ["kind", "at"], "left").select("kind", "at", joins.alias("joins"), begins.alias("begins")))
         begun = begun.unionByName(now.where("begins").select("kind", "at"))
         open_ = now.where("not joins and not begins").select("kind", "at")
+        fresh = named_open.join(now.where("begins"), ["kind", "at"], "left_semi")
+        named_open, holds_open = (stored(x.join(open_, ["kind", "at"], "left_semi")) for x in (named_open, holds_open))
 
     begun = stored(begun)
     of_word = named.join(begun, ["kind", "at"], "left_semi").groupBy("kind", "word").agg(F.min("at").alias("place"))
@@ -91,11 +95,12 @@ def merged_events(events: DataFrame, most: int = 5, beneficiaries: int = 10) ->
     event counts.
     """
     t = F.coalesce(F.substring("title", 1, TITLE), F.lit(""))
-    events = events.withColumn("kind", _known("kind"))
+    # stored, as the reports' whole texts may stand behind it
+    events = stored(events.select(_known("kind").alias("kind"), "pos", "title", "certainty", "model", "beneficiaries"))
     x = events.withColumn("t", t).join(_clusters(events).select("kind", "t", "cluster", "place"), ["kind", "t"])
     wordless = F.size(_title_words(F.col("t"))) == 0
     last = F.max("pos").over(Window.partitionBy("kind", "t"))
-    x = x.withColumns({"certainty": F.coalesce("certainty", F.lit(0)), "_last": last}).where(~wordless | (F.col("pos") == F.col("_last")))
+    x = stored(x.withColumns({"certainty": F.coalesce("certainty", F.lit(0)), "_last": last}).where(~wordless | (F.col("pos") == F.col("_last"))))
     key = ["kind", "place"]
     best = F.struct(-F.col("certainty"), F.col("pos"))
     c = x.groupBy(*key).agg(F.first("cluster").alias("cluster"), F.count("*").alias("model_votes"), F.max("certainty").alias("certainty"), F.min_by("title", best).alias("event"))

@@ -75,3 +75,21 @@ def test_chains_wait_for_each_other(spark):
 
 def test_no_events(spark):
     assert events.merged_events(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rounds_read_what_is_open(spark, monkeypatch):
+    """Each title waits for the one before it: the rows of a round are those of open titles, not all."""
+    made, plain = [], events.stored
+
+    def counted(df):
+        out = plain(df)
+        if "word" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(events, "stored", counted)
+    rows = [("k", k, f"w{k} w{k + 1}", 1, "m", []) for k in range(8)]
+    got = {(r.t, r.place) for r in events.event_clusters(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {(x[2], group[0][1]) for group in one_by_one(rows)["k"].values() for x in group}
+    assert got == want
+    assert len(made) > 4 and made[-1] == 0 and made[2] < made[0] and made[3] < made[1]
